@@ -130,3 +130,179 @@ def knn_label_file_accuracy(spark, sf):
     scored = pred.join(labels, "doc_id")  # K9: compare with the label file by key
     return scored.agg(F.count(F.lit(1)).alias("n_test"),
                       r6(F.avg(F.col("prediction").eqNullSafe(F.col("quality")).cast("double"))).alias("accuracy"))
+
+
+# ------------------------------------------------------------ cleaning, joins
+
+from corvid.functions import clip, false_if_null, keep_if, not_equal_null_safe  # noqa: E402
+from corvid.operators import clean, encode, joins, timeseries as ts  # noqa: E402
+
+# Segment renames used by the cleaning query.
+SEGMENT_RENAMES = {"HOUSEHOLD": "HOME", "AUTOMOBILE": "AUTO"}
+
+
+def _europe_nations(spark, sf):
+    nation = read_table(spark, sf, "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    region = read_table(spark, sf, "region", ["r_regionkey", "r_name"]).filter(F.col("r_name") == "EUROPE")
+    return clean.keep_members(nation, "n_regionkey", region, "r_regionkey")
+
+
+@register
+def clean_replace_project(spark, sf):
+    cust = read_table(spark, sf, "customer", ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"])
+    out = clean.replace_values(cust, SEGMENT_RENAMES)
+    out = clean.replace_values(out, {"": "Other"}, subset=["c_mktsegment"])
+    return clean.drop_all_missing(out)
+
+
+@register
+def derived_features(spark, sf):
+    orders = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate",
+                                              "o_orderpriority"])
+    cust = read_table(spark, sf, "customer", ["c_custkey", "c_acctbal"])
+    j = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    return j.select(
+        "o_orderkey",
+        F.to_date("o_orderdate").alias("order_day"),
+        r6(F.col("o_totalprice") / 1000).alias("total_k"),
+        r6(F.col("o_totalprice") - F.col("c_acctbal")).alias("balance_gap"),
+        r6((F.col("o_totalprice") + F.col("c_acctbal")) / 2).alias("mean_amount"),
+        false_if_null(F.col("c_acctbal") > 0).alias("in_credit"),
+        not_equal_null_safe("o_orderpriority", "1-URGENT").alias("not_urgent"),
+        r6(F.coalesce(clip("c_acctbal", 0, 5000), F.lit(0.0))).alias("acctbal_clipped"),
+    )
+
+
+@register
+def filter_membership(spark, sf):
+    cust = read_table(spark, sf, "customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    picked = cust.filter(F.col("c_mktsegment") == "BUILDING").filter("c_acctbal > 0")
+    picked = clean.keep_members(picked, "c_nationkey", _europe_nations(spark, sf), "n_nationkey")
+    return picked.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+
+
+@register
+def membership_flag_onehot(spark, sf):
+    orders = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey"])
+    cust = read_table(spark, sf, "customer", ["c_custkey", "c_nationkey"])
+    nation = read_table(spark, sf, "nation", ["n_nationkey", "n_name"])
+    o = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    o = joins.lookup(o, "c_nationkey", F.broadcast(nation), "n_nationkey", ["n_name"])  # 25-row dimension
+    europe = _europe_nations(spark, sf)
+    o = clean.member_flag(o, "n_name", europe, "n_name", "in_europe")
+    o = o.withColumn("participant", keep_if("in_europe", "n_name", ""))
+    o = clean.replace_values(o, {"": "Other"}, subset=["participant"])
+    return encode.one_hot(o.select("o_orderkey", "participant"), "participant")
+
+
+def _event_days(spark, sf):
+    ev = read_table(spark, sf, "events", ["event_id", "ts", "user_id", "event_type", "value"])
+    return ev.withColumn("day", F.to_date("ts"))
+
+
+def _daily_first(spark, sf):
+    ev = _event_days(spark, sf).select(
+        "event_id", "user_id", "day",
+        F.when(F.col("event_type") == "purchase", F.col("value")).alias("purchase_value"),
+        F.when(F.col("event_type") == "error", F.col("value")).alias("error_value"))
+    return ts.daily_first(ev, ["user_id"], "day", "event_id", ["purchase_value", "error_value"])
+
+
+def _month(c):
+    return F.date_trunc("month", c)
+
+
+def _filled_daily(spark, sf):
+    grid = ts.daily_grid(_daily_first(spark, sf), ["user_id"], "day")
+    return ts.ffill(grid, ["user_id"], ["day"], ["purchase_value", "error_value"], segment=_month(F.col("day")))
+
+
+@register
+def daily_first(spark, sf):
+    d = _daily_first(spark, sf)
+    return d.select("user_id", "day", r6("purchase_value").alias("purchase_value"),
+                    r6("error_value").alias("error_value"))
+
+
+@register
+def daily_grid_ffill(spark, sf):
+    d = _filled_daily(spark, sf)
+    return d.select("user_id", "day", r6("purchase_value").alias("purchase_value"),
+                    r6("error_value").alias("error_value"))
+
+
+@register
+def ffill_across_keys(spark, sf):
+    grid = ts.daily_grid(_daily_first(spark, sf), ["user_id"], "day")
+    d = ts.ffill_across_keys(grid, "user_id", ["day"], ["purchase_value", "error_value"],
+                             segment=_month(F.col("day")), key_bucket_width=16)
+    return d.select("user_id", "day", r6("purchase_value").alias("purchase_value"),
+                    r6("error_value").alias("error_value"))
+
+
+def _typed_series(spark, sf, event_type, suffix=""):
+    """Daily first value (and first value above 50) of one event type per user."""
+    ev = _event_days(spark, sf).filter(F.col("event_type") == event_type)
+    ev = ev.select("event_id", "user_id", "day", F.col("value").alias("first_value"),
+                   F.when(F.col("value") > 50, F.col("value")).alias("big_value"))
+    d = ts.daily_first(ev, ["user_id"], "day", "event_id", ["first_value", "big_value"])
+    return d.select(F.col("user_id").alias("s_user"), F.col("day").alias("s_day"),
+                    *[F.col(c).alias(c + suffix) for c in ("first_value", "big_value")])
+
+
+def _clicks(spark, sf):
+    return _event_days(spark, sf).filter(F.col("event_type") == "click").select("event_id", "user_id", "day")
+
+
+@register
+def asof_bounded(spark, sf):
+    out = ts.asof_join(_clicks(spark, sf), _typed_series(spark, sf, "error"), "user_id", "s_user", "day",
+                       "s_day", ["first_value", "big_value"], segment=_month)
+    return out.select("event_id", "user_id", "day", r6("first_value").alias("first_value"),
+                      r6("big_value").alias("big_value"))
+
+
+@register
+def asof_two_sided(spark, sf):
+    clicks = _clicks(spark, sf)
+    a = ts.asof_join(clicks, _typed_series(spark, sf, "error", "_err"), "user_id", "s_user", "day", "s_day",
+                     ["first_value_err", "big_value_err"], segment=_month)
+    b = ts.asof_join(a, _typed_series(spark, sf, "purchase", "_pur"), "user_id", "s_user", "day", "s_day",
+                     ["first_value_pur", "big_value_pur"], segment=_month)
+    return b.select("event_id", "user_id", "day",
+                    r6("first_value_err").alias("first_value_err"), r6("first_value_pur").alias("first_value_pur"),
+                    r6(F.col("first_value_err") - F.col("first_value_pur")).alias("value_gap"),
+                    r6((F.col("first_value_err") + F.col("first_value_pur")) / 2).alias("value_mean"))
+
+
+@register
+def two_key_join(spark, sf):
+    right = _typed_series(spark, sf, "purchase").select("s_user", "s_day", "first_value")
+    out = joins.merge(_clicks(spark, sf), right, ["day", "user_id"], ["s_day", "s_user"])
+    return out.select("event_id", "user_id", "day", "s_user", "s_day", r6("first_value").alias("first_value"))
+
+
+@register
+def rest_days_clipped(spark, sf):
+    orders = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    o = orders.withColumn("order_day", F.to_date("o_orderdate")).drop("o_orderdate")
+    out = ts.gap_days(o, ["o_custkey"], "order_day", ["order_day", "o_orderkey"], 0, 30, 30,
+                      segment=F.year("order_day"))
+    return out.select("o_orderkey", "o_custkey", "order_day", "rest_days")
+
+
+@register
+def latest_per_key(spark, sf):
+    d = _filled_daily(spark, sf)
+    last_day = d.agg(F.max("day").alias("_last_day"))  # one row
+    latest = d.join(F.broadcast(last_day), d.day == last_day._last_day).drop("_last_day")
+    signups = _event_days(spark, sf).filter(F.col("event_type") == "signup").select("user_id")
+    latest = clean.keep_members(latest, "user_id", signups, "user_id")
+    return latest.select("user_id", "day", r6("purchase_value").alias("purchase_value"),
+                         r6("error_value").alias("error_value"))
+
+
+@register
+def first_rows(spark, sf):
+    orders = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"])
+    return clean.first_rows(orders, ["o_orderkey"], 5)

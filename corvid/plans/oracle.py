@@ -102,3 +102,121 @@ ORACLE_SQL: dict[str, str] = {
              round(avg(CASE WHEN p.prediction = l.quality THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS accuracy
       FROM pred p JOIN labels l USING (doc_id)""",
 }
+
+
+def _r6(c: str, alias: str | None = None) -> str:
+    return f"round({c}, 6) AS {alias or c}"
+
+
+EUROPE = ("(SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN "
+          "(SELECT r_regionkey FROM region WHERE r_name = 'EUROPE'))")
+
+DAILY_FIRST = """
+  SELECT user_id, CAST(ts AS DATE) AS day,
+         arg_min(value, event_id) FILTER (WHERE event_type = 'purchase') AS purchase_value,
+         arg_min(value, event_id) FILTER (WHERE event_type = 'error') AS error_value
+  FROM events GROUP BY ALL"""
+
+GRID = f"""
+  WITH df AS ({DAILY_FIRST}),
+  span AS (SELECT user_id, min(day) AS lo, max(day) AS hi FROM df GROUP BY user_id),
+  grid AS (SELECT user_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM span)
+  SELECT g.user_id, g.day, df.purchase_value, df.error_value
+  FROM grid g LEFT JOIN df ON g.user_id = df.user_id AND g.day = df.day"""
+
+
+def _filled(over: str) -> str:
+    frame = f"OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""SELECT user_id, day,
+      last_value(purchase_value IGNORE NULLS) {frame} AS purchase_value,
+      last_value(error_value IGNORE NULLS) {frame} AS error_value
+    FROM ({GRID})"""
+
+
+FILLED = _filled("PARTITION BY user_id ORDER BY day")
+
+
+def _series(event_type: str) -> str:
+    """Dense daily series of one event type per user, forward filled (W1+W2)."""
+    return f"""
+    WITH r AS (
+      SELECT user_id, CAST(ts AS DATE) AS day, arg_min(value, event_id) AS first_value,
+             arg_min(value, event_id) FILTER (WHERE value > 50) AS big_value
+      FROM events WHERE event_type = '{event_type}' GROUP BY ALL),
+    span AS (SELECT user_id, min(day) AS lo, max(day) AS hi FROM r GROUP BY user_id),
+    grid AS (SELECT user_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM span),
+    g AS (SELECT grid.user_id, grid.day, r.first_value, r.big_value
+          FROM grid LEFT JOIN r ON grid.user_id = r.user_id AND grid.day = r.day)
+    SELECT user_id, day,
+      last_value(first_value IGNORE NULLS) OVER w AS first_value,
+      last_value(big_value IGNORE NULLS) OVER w AS big_value
+    FROM g WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+CLICKS = "SELECT event_id, user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'click'"
+
+ORACLE_SQL.update({
+    "clean_replace_project": """
+      SELECT c_custkey,
+             CASE c_name WHEN 'HOUSEHOLD' THEN 'HOME' WHEN 'AUTOMOBILE' THEN 'AUTO' ELSE c_name END AS c_name,
+             CASE WHEN seg = '' THEN 'Other' ELSE seg END AS c_mktsegment, c_nationkey
+      FROM (SELECT *, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'HOME' WHEN 'AUTOMOBILE' THEN 'AUTO'
+                      ELSE c_mktsegment END AS seg FROM customer)
+      WHERE NOT (c_custkey IS NULL AND c_name IS NULL AND c_mktsegment IS NULL AND c_nationkey IS NULL)""",
+    "derived_features": f"""
+      SELECT o_orderkey, CAST(o_orderdate AS DATE) AS order_day,
+             {_r6('o_totalprice / 1000', 'total_k')},
+             {_r6('o_totalprice - c_acctbal', 'balance_gap')},
+             {_r6('(o_totalprice + c_acctbal) / 2', 'mean_amount')},
+             coalesce(c_acctbal > 0, false) AS in_credit,
+             NOT (o_orderpriority IS NOT DISTINCT FROM '1-URGENT') AS not_urgent,
+             {_r6('coalesce(greatest(least(c_acctbal, 5000), 0), 0)', 'acctbal_clipped')}
+      FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "filter_membership": f"""
+      SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer
+      WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0
+        AND c_nationkey IN (SELECT n_nationkey FROM {EUROPE})""",
+    "membership_flag_onehot": f"""
+      WITH o AS (
+        SELECT o_orderkey,
+               CASE WHEN n.n_name IN (SELECT n_name FROM {EUROPE}) THEN n.n_name ELSE 'Other' END AS participant
+        FROM orders JOIN customer ON o_custkey = c_custkey
+        LEFT JOIN nation n ON c_nationkey = n.n_nationkey)
+      SELECT o_orderkey, participant,
+             (participant = 'NATION_13')::INTEGER AS NATION_13, (participant = 'NATION_18')::INTEGER AS NATION_18,
+             (participant = 'NATION_23')::INTEGER AS NATION_23, (participant = 'NATION_3')::INTEGER AS NATION_3,
+             (participant = 'NATION_8')::INTEGER AS NATION_8, (participant = 'Other')::INTEGER AS Other
+      FROM o""",
+    "daily_first": f"SELECT user_id, day, {_r6('purchase_value')}, {_r6('error_value')} FROM ({DAILY_FIRST})",
+    "daily_grid_ffill": f"SELECT user_id, day, {_r6('purchase_value')}, {_r6('error_value')} FROM ({FILLED})",
+    "ffill_across_keys": f"""SELECT user_id, day, {_r6('purchase_value')}, {_r6('error_value')}
+      FROM ({_filled('ORDER BY user_id, day')})""",
+    "asof_bounded": f"""
+      SELECT l.event_id, l.user_id, l.day, {_r6('s.first_value', 'first_value')}, {_r6('s.big_value', 'big_value')}
+      FROM ({CLICKS}) l JOIN ({_series('error')}) s ON l.user_id = s.user_id AND l.day = s.day""",
+    "asof_two_sided": f"""
+      SELECT l.event_id, l.user_id, l.day,
+             {_r6('e.first_value', 'first_value_err')}, {_r6('p.first_value', 'first_value_pur')},
+             {_r6('e.first_value - p.first_value', 'value_gap')},
+             {_r6('(e.first_value + p.first_value) / 2', 'value_mean')}
+      FROM ({CLICKS}) l
+      JOIN ({_series('error')}) e ON l.user_id = e.user_id AND l.day = e.day
+      JOIN ({_series('purchase')}) p ON l.user_id = p.user_id AND l.day = p.day""",
+    "two_key_join": f"""
+      SELECT l.event_id, l.user_id, l.day, r.s_user, r.s_day, {_r6('r.first_value', 'first_value')}
+      FROM ({CLICKS}) l JOIN (
+        SELECT user_id AS s_user, CAST(ts AS DATE) AS s_day, arg_min(value, event_id) AS first_value
+        FROM events WHERE event_type = 'purchase' GROUP BY ALL) r
+      ON l.day = r.s_day AND l.user_id = r.s_user""",
+    "rest_days_clipped": """
+      SELECT o_orderkey, o_custkey, order_day,
+             CAST(coalesce(greatest(least(datediff('day', lag(order_day) OVER w, order_day), 30), 0), 30) AS INTEGER)
+               AS rest_days
+      FROM (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS order_day FROM orders)
+      WINDOW w AS (PARTITION BY o_custkey ORDER BY order_day, o_orderkey)""",
+    "latest_per_key": f"""
+      SELECT user_id, day, {_r6('purchase_value')}, {_r6('error_value')} FROM ({FILLED}) f
+      WHERE day = (SELECT max(day) FROM ({FILLED}))
+        AND user_id IN (SELECT user_id FROM events WHERE event_type = 'signup')""",
+    "first_rows": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders ORDER BY o_orderkey LIMIT 5",
+})
