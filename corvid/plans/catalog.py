@@ -306,3 +306,172 @@ def latest_per_key(spark, sf):
 def first_rows(spark, sf):
     orders = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"])
     return clean.first_rows(orders, ["o_orderkey"], 5)
+
+
+# ------------------------------------------------------------------ metrics
+
+from corvid.operators import logit, metrics, tournament  # noqa: E402
+
+
+def _scored_docs(spark, sf):
+    docs = read_table(spark, sf, "documents", ["doc_id", "n_chars", "lang"])
+    labels = read_table(spark, sf, "labels", ["doc_id", "quality"])
+    return docs.join(labels, "doc_id")
+
+
+@register
+def confusion(spark, sf):
+    d = _scored_docs(spark, sf).withColumn("predicted", (F.col("n_chars") >= 2000).cast("int"))
+    return metrics.confusion_matrix(d, "quality", "predicted", labels=[0, 1])
+
+
+@register
+def roc_points(spark, sf):
+    out = metrics.roc_points(_scored_docs(spark, sf), "quality", "n_chars")
+    return out.select("threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+
+
+@register
+def auc(spark, sf):
+    return metrics.auc(_scored_docs(spark, sf), "quality", "n_chars").select(r6("auc").alias("auc"))
+
+
+@register
+def value_shares(spark, sf):
+    d = _scored_docs(spark, sf).filter(F.col("quality") == 0)
+    return metrics.value_shares(d, "lang").select("lang", "n", r6("share").alias("share"))
+
+
+@register
+def kde_grid(spark, sf):
+    orders = read_table(spark, sf, "orders", ["o_totalprice"])
+    k = metrics.kde_grid(orders.select((F.col("o_totalprice") / 1000).alias("total_k")), "total_k")
+    return k.select("j", r6("x").alias("x"), F.round("density", 9).alias("density"))
+
+
+# ------------------------------------------------------------- logistic model
+
+# A given degree-2 model over (n_chars_k, n_spaces_k, is_en).
+FIXED_INTERCEPT = 0.9
+FIXED_COEFS = [0.02, 0.01, 0.15, -0.001, 0.0005, 0.01, -0.0002, 0.001, 0.05]
+DOC_MODEL_FEATURES = ["n_chars_k", "n_spaces_k", "is_en"]
+
+
+def _doc_model_table(spark, sf):
+    docs = read_table(spark, sf, "documents", ["doc_id", "text", "n_chars", "lang"])
+    labels = read_table(spark, sf, "labels", ["doc_id", "quality"])
+    spaces = F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))
+    d = docs.select("doc_id", (F.col("n_chars") / 1000).alias("n_chars_k"), (spaces / 1000).alias("n_spaces_k"),
+                    (F.col("lang") == "en").cast("double").alias("is_en"))
+    return d.join(labels, "doc_id")
+
+
+@register
+def logit_fit_predict(spark, sf):
+    train, test = split_parts(_doc_model_table(spark, sf), "doc_id", 0.2, seed=42)
+    model = logit.fit_poly_logit(train, DOC_MODEL_FEATURES, "quality", C=1e-5)
+    pred = logit.predict_proba(model, test, prob_col="p_quality")
+    return pred.select("doc_id", r6("p_quality").alias("p_quality"), F.col("prediction").cast("int").alias("prediction"))
+
+
+@register
+def logit_score_fixed(spark, sf):
+    d = _doc_model_table(spark, sf)
+    p = logit.logistic_score(DOC_MODEL_FEATURES, FIXED_INTERCEPT, FIXED_COEFS, degree=2)
+    d = d.withColumn("p_quality", p)
+    return d.select("doc_id", r6("p_quality").alias("p_quality"),
+                    (F.col("p_quality") > 0.5).cast("int").alias("prediction"))
+
+
+@register
+def error_slices(spark, sf):
+    train, test = _embedding_parts(spark, sf)
+    pred = knn.knn_predict(train, test.drop("label"), features="embedding", label_col="label",
+                           train_id="vec_id", test_id="vec_id", k=7)
+    scored = pred.join(test.select("vec_id", "label"), "vec_id")
+    wrong = clean.misclassified(scored, "prediction", "label")
+    a = metrics.value_shares(wrong, "label").withColumn("slice", F.lit("wrong"))
+    b = metrics.value_shares(scored, "label").withColumn("slice", F.lit("all"))
+    return a.unionByName(b).select("slice", "label", "n", r6("share").alias("share"))
+
+
+# ------------------------------------------------------------------ tournament
+
+# The pair model -- P(home) = sigmoid(-0.1 + 1.0 * diff/1000
+# + 0.05 * mean/1000 + 0.1 * is_stake), is_stake fixed to 1.
+PAIR_INTERCEPT = -0.1
+PAIR_COEFS = [1.0, 0.05, 0.1]
+
+
+def pair_probability(r_home, r_away):
+    feats = [(r_home - r_away) / 1000, (r_home + r_away) / 2000, F.lit(1.0)]
+    return logit.logistic_score(feats, PAIR_INTERCEPT, PAIR_COEFS, degree=1)
+
+
+def _teams(spark, sf):
+    cust = read_table(spark, sf, "customer", ["c_custkey", "c_name", "c_acctbal"])
+    return cust.select("c_custkey", "c_name", "c_acctbal",
+                       F.floor(F.col("c_custkey") / 32).alias("bracket"),
+                       (F.floor(F.col("c_custkey") / 4) % 8).cast("int").alias("grp"))
+
+
+def _standings(spark, sf):
+    teams = _teams(spark, sf)
+    scored = tournament.pair_scores(teams, ["bracket", "grp"], "c_custkey", "c_acctbal", pair_probability)
+    return teams, scored, tournament.standings(teams, scored, ["bracket", "grp"], "c_custkey")
+
+
+def _top2(spark, sf):
+    teams, _, st = _standings(spark, sf)
+    order = [F.col("points").desc(), F.col("total_prob").desc(), F.col("c_custkey")]
+    return teams, tournament.top_per_group(st, ["bracket", "grp"], order, 2)
+
+
+@register
+def pair_scores(spark, sf):
+    _, scored, _ = _standings(spark, sf)
+    return scored.select("bracket", "grp", "home", "away", r6("p_home").alias("p_home"))
+
+
+@register
+def standings(spark, sf):
+    _, _, st = _standings(spark, sf)
+    return st.select("bracket", "grp", "c_custkey", "points", r6("total_prob").alias("total_prob"))
+
+
+@register
+def top2_per_group(spark, sf):
+    _, top = _top2(spark, sf)
+    return top.select("bracket", "grp", "c_custkey", "place", "points", r6("total_prob").alias("total_prob"))
+
+
+def _seeded(spark, sf):
+    teams, top = _top2(spark, sf)
+    return teams, tournament.seed_slots(top, ["bracket"], "grp", "c_custkey")
+
+
+@register
+def seeded_slots(spark, sf):
+    _, seeded = _seeded(spark, sf)
+    return seeded
+
+
+def _rounds(spark, sf):
+    teams, seeded = _seeded(spark, sf)
+    rounds = tournament.fold_rounds(seeded, ["bracket"], "c_custkey", teams, "c_acctbal", pair_probability,
+                                    cut=0.8, n_rounds=4)
+    return teams, rounds
+
+
+@register
+def fold_rounds(spark, sf):
+    _, rounds = _rounds(spark, sf)
+    return rounds.select("bracket", "round", "round_name", "pair", "home", "away", r6("p_home").alias("p_home"),
+                         "winner")
+
+
+@register
+def round_report(spark, sf):
+    teams, rounds = _rounds(spark, sf)
+    rep = tournament.round_report(rounds, teams, "c_custkey", "c_name")
+    return rep.select("bracket", "round", "pair", "label", r6("p_home").alias("p_home"), r6("p_away").alias("p_away"))

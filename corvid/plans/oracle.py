@@ -220,3 +220,152 @@ ORACLE_SQL.update({
         AND user_id IN (SELECT user_id FROM events WHERE event_type = 'signup')""",
     "first_rows": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders ORDER BY o_orderkey LIMIT 5",
 })
+
+
+SCORED_DOCS = "SELECT d.doc_id, d.n_chars, d.lang, l.quality FROM documents d JOIN labels l USING (doc_id)"
+SCORE_COUNTS = f"""SELECT n_chars AS score, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS pos,
+  sum(CASE WHEN quality = 1 THEN 0 ELSE 1 END) AS neg FROM ({SCORED_DOCS}) GROUP BY n_chars"""
+
+
+def _dbl(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def _sigmoid(terms: list[str], intercept: float, coefs: list[float]) -> str:
+    z = _dbl(intercept)
+    for t, w in zip(terms, coefs):
+        z = f"({z} + {_dbl(w)} * ({t}))"
+    return f"(1.0 / (1.0 + exp(-{z})))"
+
+
+def _poly2(names: list[str]) -> list[str]:
+    out = list(names)
+    for i in range(len(names)):
+        for j in range(i, len(names)):
+            out.append(f"{names[i]} * {names[j]}")
+    return out
+
+
+DOC_MODEL = """SELECT d.doc_id, d.n_chars / 1000 AS a,
+  (length(d.text) - length(replace(d.text, ' ', ''))) / 1000 AS b,
+  CAST(d.lang = 'en' AS DOUBLE) AS c, l.quality
+  FROM documents d JOIN labels l USING (doc_id)"""
+
+# must equal catalog.FIXED_* and catalog.PAIR_* (imported there from one place)
+from corvid.plans.catalog import FIXED_COEFS, FIXED_INTERCEPT, PAIR_COEFS, PAIR_INTERCEPT  # noqa: E402
+from corvid.operators.tournament import PAIRING, ROUND_NAMES  # noqa: E402
+
+FIXED_P = _sigmoid(_poly2(["a", "b", "c"]), FIXED_INTERCEPT, FIXED_COEFS)
+
+
+def _pair_p(h: str, a: str) -> str:
+    return _sigmoid([f"({h} - {a}) / 1000", f"({h} + {a}) / 2000", "1.0"], PAIR_INTERCEPT, PAIR_COEFS)
+
+
+TEAMS = ("SELECT c_custkey, c_name, c_acctbal, c_custkey // 32 AS bracket, "
+         "CAST((c_custkey // 4) % 8 AS INTEGER) AS grp FROM customer")
+T_SCORED = f"""SELECT a.bracket, a.grp, a.c_custkey AS home, b.c_custkey AS away,
+  {_pair_p('a.c_acctbal', 'b.c_acctbal')} AS p_home
+  FROM ({TEAMS}) a JOIN ({TEAMS}) b ON a.bracket = b.bracket AND a.grp = b.grp AND a.c_custkey < b.c_custkey"""
+T_STAND = f"""
+  WITH s AS ({T_SCORED}),
+  sides AS (
+    SELECT bracket, grp, home AS team,
+           CASE WHEN p_home <= 0 THEN 0 WHEN p_home >= 0.76 THEN 3 WHEN p_home > 0 THEN 1 ELSE 0 END AS pts,
+           p_home AS prob FROM s
+    UNION ALL
+    SELECT bracket, grp, away,
+           CASE WHEN p_home <= 0 THEN 3 WHEN p_home >= 0.76 THEN 0 WHEN p_home > 0 THEN 1 ELSE 0 END,
+           1.0 - p_home FROM s)
+  SELECT t.bracket, t.grp, t.c_custkey, CAST(coalesce(sum(x.pts), 0) AS INTEGER) AS points,
+         coalesce(sum(x.prob), 0.0) AS total_prob
+  FROM ({TEAMS}) t LEFT JOIN sides x ON t.bracket = x.bracket AND t.grp = x.grp AND t.c_custkey = x.team
+  GROUP BY t.bracket, t.grp, t.c_custkey"""
+T_TOP2 = f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY bracket, grp
+  ORDER BY points DESC, total_prob DESC, c_custkey) AS INTEGER) AS place FROM ({T_STAND})) WHERE place <= 2"""
+T_SEEDED = f"""SELECT t.bracket, p.slot, t.c_custkey FROM ({T_TOP2}) t
+  JOIN (SELECT CAST(unnest(range({len(PAIRING)})) AS INTEGER) AS slot,
+               unnest({list(PAIRING)}) AS position) p
+  ON t.grp * 2 + t.place - 1 = p.position"""
+
+
+def _round(prev: str, n: int) -> str:
+    return f"""SELECT bracket, pair, home, away, p_home,
+      CASE WHEN away IS NULL THEN home WHEN home IS NULL THEN away
+           WHEN p_home <= 0.8 THEN away ELSE home END AS winner,
+      {n} AS round, '{ROUND_NAMES[n - 1]}' AS round_name
+    FROM (
+      SELECT bracket, pair, home, away,
+             CASE WHEN home IS NOT NULL AND away IS NOT NULL THEN {_pair_p('rh', 'ra')} END AS p_home
+      FROM (
+        SELECT s.bracket, CAST(s.slot // 2 AS INTEGER) AS pair,
+               max(CASE WHEN s.slot % 2 = 0 THEN s.c_custkey END) AS home,
+               max(CASE WHEN s.slot % 2 = 1 THEN s.c_custkey END) AS away,
+               max(CASE WHEN s.slot % 2 = 0 THEN t.c_acctbal END) AS rh,
+               max(CASE WHEN s.slot % 2 = 1 THEN t.c_acctbal END) AS ra
+        FROM ({prev}) s LEFT JOIN customer t ON s.c_custkey = t.c_custkey
+        GROUP BY s.bracket, CAST(s.slot // 2 AS INTEGER)))"""
+
+
+def _rounds_sql() -> str:
+    ctes = [f"r1 AS ({_round(T_SEEDED, 1)})"]
+    for n in range(2, 5):
+        ctes.append(f"r{n} AS ({_round(f'SELECT bracket, pair AS slot, winner AS c_custkey FROM r{n - 1}', n)})")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4"
+
+
+ROUNDS = _rounds_sql()
+
+ORACLE_SQL.update({
+    "confusion": """
+      SELECT quality, count(*) FILTER (WHERE pred = 0) AS pred_0, count(*) FILTER (WHERE pred = 1) AS pred_1
+      FROM (SELECT quality, CAST(n_chars >= 2000 AS INTEGER) AS pred FROM documents JOIN labels USING (doc_id))
+      GROUP BY quality""",
+    "roc_points": f"""
+      SELECT score AS threshold,
+        round(sum(neg) OVER w / (SELECT sum(neg) FROM ({SCORE_COUNTS})), 6) AS fpr,
+        round(sum(pos) OVER w / (SELECT sum(pos) FROM ({SCORE_COUNTS})), 6) AS tpr
+      FROM ({SCORE_COUNTS})
+      WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "auc": f"""
+      SELECT round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+                        THEN sum(pos * (cneg + neg * 0.5)) / (sum(pos) * sum(neg)) END, 6) AS auc
+      FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                  AS cneg FROM ({SCORE_COUNTS}))""",
+    "value_shares": f"""
+      SELECT lang, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
+      FROM ({SCORED_DOCS}) WHERE quality = 0 GROUP BY lang""",
+    "kde_grid": """
+      WITH v AS (SELECT o_totalprice / 1000 AS x FROM orders),
+      s AS (SELECT count(x) AS n, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi FROM v),
+      p AS (SELECT n, sd * pow(n, -0.2) AS h, lo - 0.5 * (hi - lo) AS g0,
+                   ((hi + 0.5 * (hi - lo)) - (lo - 0.5 * (hi - lo))) / 999 AS step FROM s),
+      grid AS (SELECT range AS j FROM range(1000))
+      SELECT CAST(j AS INTEGER) AS j, round(g0 + j * step, 6) AS x,
+             round(sum(exp(-0.5 * ((g0 + j * step - x) / h) * ((g0 + j * step - x) / h)))
+                   / (n * h * sqrt(2 * pi())), 9) AS density
+      FROM grid, p, v GROUP BY j, g0, step, n, h""",
+    "logit_score_fixed": f"""
+      SELECT doc_id, round({FIXED_P}, 6) AS p_quality, CAST({FIXED_P} > 0.5 AS INTEGER) AS prediction
+      FROM ({DOC_MODEL})""",
+    "error_slices": f"""
+      WITH pred AS ({_knn_vote(EMB_TRAIN, EMB_TEST, 'vec_id', 'label', EUCL, 7)}),
+      scored AS (SELECT p.vec_id, p.prediction, e.label FROM pred p JOIN embeddings e USING (vec_id))
+      SELECT 'wrong' AS slice, label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
+      FROM scored WHERE prediction <> label GROUP BY label
+      UNION ALL
+      SELECT 'all', label, count(*), round(count(*) / sum(count(*)) OVER (), 6) FROM scored GROUP BY label""",
+    "pair_scores": f"SELECT bracket, grp, home, away, round(p_home, 6) AS p_home FROM ({T_SCORED})",
+    "standings": f"SELECT bracket, grp, c_custkey, points, round(total_prob, 6) AS total_prob FROM ({T_STAND})",
+    "top2_per_group": f"""SELECT bracket, grp, c_custkey, place, points, round(total_prob, 6) AS total_prob
+      FROM ({T_TOP2})""",
+    "seeded_slots": T_SEEDED,
+    "fold_rounds": f"""SELECT bracket, round, round_name, pair, home, away, round(p_home, 6) AS p_home, winner
+      FROM ({ROUNDS})""",
+    "round_report": f"""
+      SELECT r.bracket, r.round, r.pair,
+             printf('%s(%.2f) vs. %s(%.2f)', h.c_name, 1.0 / r.p_home, a.c_name, 1.0 / (1.0 - r.p_home)) AS label,
+             round(r.p_home, 6) AS p_home, round(1.0 - r.p_home, 6) AS p_away
+      FROM ({ROUNDS}) r LEFT JOIN customer h ON r.home = h.c_custkey LEFT JOIN customer a ON r.away = a.c_custkey
+      WHERE r.p_home IS NOT NULL""",
+})
