@@ -86,7 +86,8 @@ def knn_neighbors(train: DataFrame, test: DataFrame, *, features: str | Sequence
                   metric: str = "euclidean", p: float = 2.0,
                   weights: Sequence[float] | None = None, keep_cols: Sequence[str] = (),
                   allow_fewer: bool = False, train_block_rows: int = 50_000,
-                  test_block_rows: int = 20_000) -> DataFrame:
+                  test_block_rows: int = 20_000, n_train: int | None = None,
+                  n_test: int | None = None) -> DataFrame:
     """The ``k`` nearest training rows of every test row.
 
     Returns ``test_id, neighbor_id, neighbor_label, distance, rank`` plus the
@@ -98,7 +99,7 @@ def knn_neighbors(train: DataFrame, test: DataFrame, *, features: str | Sequence
         raise ValueError("empty training set")
     if k > n_train and not allow_fewer:
         raise ValueError(f"k={k} is larger than the {n_train} training rows")
-    n_test = test.count()
+    n_test = test.count() if n_test is None else n_test
     n_rb = max(1, math.ceil(n_train / train_block_rows))
     n_tb = max(1, math.ceil(n_test / test_block_rows))
     w = None if weights is None else np.asarray(weights, dtype=np.float64)
@@ -200,13 +201,13 @@ def knn_score(train: DataFrame, test: DataFrame, *, features, label_col: str, tr
 
 def pseudo_label_refit(train: DataFrame, test: DataFrame, *, features, label_col: str,
                        train_id: str, test_id: str, k: int = 5, metric: str = "euclidean",
-                       **kw) -> DataFrame:
+                       n_train: int | None = None, n_test: int | None = None, **kw) -> DataFrame:
     """K8: predict the test rows, refit on them with the predicted labels and
     predict them again.  Returns ``test_id, pseudo_label, refit_prediction``."""
     first = knn_predict(train, test, features=features, label_col=label_col, train_id=train_id,
-                        test_id=test_id, k=k, metric=metric, **kw)
+                        test_id=test_id, k=k, metric=metric, n_train=n_train, n_test=n_test, **kw)
     relabelled = test.join(first.withColumnRenamed("prediction", "pseudo_label"), test_id)
     second = knn_predict(relabelled, relabelled, features=features, label_col="pseudo_label",
                          train_id=test_id, test_id=test_id, k=k, metric=metric,
-                         keep_cols=["pseudo_label"], **kw)
+                         keep_cols=["pseudo_label"], n_train=n_test, n_test=n_test, **kw)
     return second.select(test_id, "pseudo_label", F.col("prediction").alias("refit_prediction"))

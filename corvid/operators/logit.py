@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
@@ -19,20 +20,34 @@ from corvid.operators.encode import poly2_terms
 
 
 def fit_poly_logit(train: DataFrame, feature_cols: Sequence[str], label_col: str, C: float = 1e-5,
-                   degree: int = 2, max_iter: int = 100, tol: float = 1e-6) -> PipelineModel:
+                   degree: int = 2, max_iter: int = 100, tol: float = 1e-6,
+                   rows_per_partition: int = 2_000_000) -> PipelineModel:
     """L2-L4: polynomial expansion + L2-penalised logistic regression with a
     free intercept and no feature scaling.  ``C`` is the inverse penalty on the
     summed loss, so Spark's mean-loss ``regParam`` is ``1 / (C * n)``.  The
     constant polynomial term is left out: next to the free intercept its
-    penalised weight is 0 at the optimum."""
+    penalised weight is 0 at the optimum.
+
+    Every optimiser step is one pass over the training rows, so the input is
+    coalesced (no shuffle) to about ``rows_per_partition`` rows per task:
+    many tiny partitions only add per-step task overhead, large inputs keep
+    their parallelism."""
     n = train.count()
     data = train.withColumn(label_col, F.col(label_col).cast("double"))
+    want = max(1, -(-n // rows_per_partition))
+    if want < data.rdd.getNumPartitions():
+        data = data.coalesce(want)
+    # the optimiser reads the rows once per step: keep them (spills to disk when large)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     assembler = VectorAssembler(inputCols=list(feature_cols), outputCol="_raw", handleInvalid="keep")
     poly = PolynomialExpansion(degree=degree, inputCol="_raw", outputCol="_poly")
     lr = LogisticRegression(featuresCol="_poly", labelCol=label_col, regParam=1.0 / (C * n),
                             elasticNetParam=0.0, standardization=False, fitIntercept=True,
                             maxIter=max_iter, tol=tol)
-    return Pipeline(stages=[assembler, poly, lr]).fit(data)
+    try:
+        return Pipeline(stages=[assembler, poly, lr]).fit(data)
+    finally:
+        data.unpersist()
 
 
 def predict_proba(model: PipelineModel, df: DataFrame, prob_col: str = "p", pred_col: str = "prediction") -> DataFrame:

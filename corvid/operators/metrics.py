@@ -15,12 +15,11 @@ from corvid.operators.scan import prefix_sums
 
 
 def value_shares(df: DataFrame, col: str, by: Sequence[str] = (), share_col: str = "share") -> DataFrame:
-    """A4: frequency of every value as a share of the rows (within ``by``)."""
+    """A4: frequency of every value as a share of the rows (within ``by``).
+    The total comes from a window over the aggregated counts -- one row per
+    distinct value (a categorical column), so the input is scanned once."""
     counts = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
-    if by:
-        total = F.sum("n").over(Window.partitionBy(*by))
-    else:
-        total = F.lit(df.count())
+    total = F.sum("n").over(Window.partitionBy(*by))
     return counts.withColumn(share_col, F.col("n") / total)
 
 

@@ -24,9 +24,10 @@ def test_size(n: int, share: float) -> int:
 
 
 def exact_split(df: DataFrame, key_col: str, test_share: float = 0.25, seed: int = 0,
-                flag_col: str = "is_test", rows_per_bucket: int = 100_000) -> DataFrame:
-    """Add a boolean ``flag_col``: true for the test part.  ``key_col`` must be unique."""
-    n = df.count()
+                flag_col: str = "is_test", rows_per_bucket: int = 100_000, n: int | None = None) -> DataFrame:
+    """Add a boolean ``flag_col``: true for the test part.  ``key_col`` must be unique.
+    ``n`` is the row count if already known."""
+    n = df.count() if n is None else n
     n_test = test_size(n, test_share)
     digits = 1
     while digits < 5 and n / (16 ** digits) > rows_per_bucket:
@@ -47,8 +48,19 @@ def exact_split(df: DataFrame, key_col: str, test_share: float = 0.25, seed: int
     return whole.unionByName(cut).drop("_h", "_b", "_cnt", "_before")
 
 
-def split_parts(df: DataFrame, key_col: str, test_share: float = 0.25, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(train, test) from ``exact_split``."""
-    flagged = exact_split(df, key_col, test_share, seed, flag_col="_is_test")
-    return (flagged.filter(~F.col("_is_test")).drop("_is_test"),
-            flagged.filter(F.col("_is_test")).drop("_is_test"))
+class Parts(tuple):
+    """(train, test) with the part sizes known from the split itself."""
+
+    n_train: int
+    n_test: int
+
+
+def split_parts(df: DataFrame, key_col: str, test_share: float = 0.25, seed: int = 0) -> Parts:
+    """(train, test) from ``exact_split``; ``.n_train`` / ``.n_test`` hold the sizes."""
+    n = df.count()
+    flagged = exact_split(df, key_col, test_share, seed, flag_col="_is_test", n=n)
+    parts = Parts((flagged.filter(~F.col("_is_test")).drop("_is_test"),
+                   flagged.filter(F.col("_is_test")).drop("_is_test")))
+    parts.n_test = test_size(n, test_share)
+    parts.n_train = n - parts.n_test
+    return parts

@@ -112,32 +112,55 @@ def asof_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     ``daily_first`` makes it so.  ``segment`` is a function day-column ->
     segment expression (hot keys).  No row is multiplied: it is a union and a
     windowed scan, not a join."""
-    clash = set(left.columns) & set(value_cols)
-    if clash:
-        raise ValueError(f"left already has columns {sorted(clash)}; rename first")
+    return asof_join_many(left, left_key, left_day, [(right, right_key, right_day, value_cols)],
+                          bounded=bounded, segment=segment, how=how)
+
+
+def asof_join_many(left: DataFrame, left_key: str, left_day: str,
+                   rights: Sequence[tuple[DataFrame, str, str, Sequence[str]]], bounded: bool = True,
+                   segment=None, how: str = "inner") -> DataFrame:
+    """J3 against several right tables on the same key at once: one union,
+    one forward scan and one backward scan for all of them (instead of one
+    shuffle and two sorts per right table).  ``rights`` holds
+    ``(table, key, day, value_cols)``; value column names must be distinct.
+    With ``how='inner'`` a left row must lie inside the day range of every
+    right table."""
     l_cols = left.columns
-    lr = left.select(*l_cols, F.col(left_key).alias("_k"), F.col(left_day).alias("_d"),
-                     F.lit(1).alias("_side"))
-    rr = right.select(F.col(right_key).alias("_k"), F.col(right_day).alias("_d"), F.lit(0).alias("_side"),
-                      *value_cols, F.col(right_day).alias("_rday"),
-                      F.col(right_day).alias("_rday_raw"))
-    u = lr.unionByName(rr, allowMissingColumns=True)
+    all_vals = [c for _, _, _, vc in rights for c in vc]
+    clash = set(l_cols) & set(all_vals)
+    if clash or len(set(all_vals)) != len(all_vals):
+        raise ValueError(f"value columns must be new and distinct: {sorted(clash) or all_vals}")
+    parts = [left.select(*l_cols, F.col(left_key).alias("_k"), F.col(left_day).alias("_d"),
+                         F.lit(len(rights)).alias("_side"))]
+    fwd, back = [], []
+    for i, (r, rk, rd, vc) in enumerate(rights):
+        parts.append(r.select(F.col(rk).alias("_k"), F.col(rd).alias("_d"), F.lit(i).alias("_side"),
+                              *vc, F.col(rd).alias(f"_rday{i}"), F.col(rd).alias(f"_rraw{i}")))
+        fwd += [*vc, f"_rday{i}"]
+        back.append(f"_rraw{i}")
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p, allowMissingColumns=True)
     seg = segment(F.col("_d")) if segment is not None else None
-    filled = ffill(u, ["_k"], ["_d", "_side"], [*value_cols, "_rday"], seg)
+    # same day: right rows (side < n) sort before the left rows in the forward scan
+    filled = ffill(u, ["_k"], ["_d", "_side"], fwd, seg)
+    inside = [F.col(f"_rday{i}").isNotNull() for i in range(len(rights))]
     if bounded:
-        # backward scan; on the same day the right row must come first
-        filled = filled.withColumn("_bside", F.lit(1) - F.col("_side"))
-        filled = ffill(filled, ["_k"], ["_d", "_bside"], ["_rday_raw"], seg, ascending=False,
-                       out_cols={"_rday_raw": "_rday_next"})
-        inside = F.col("_rday").isNotNull() & F.col("_rday_next").isNotNull()
-    else:
-        inside = F.col("_rday").isNotNull()
-    out = filled.filter(F.col("_side") == 1)
+        # backward scan; on the same day the right rows must come first again
+        filled = filled.withColumn("_bside", F.lit(len(rights)) - F.col("_side"))
+        filled = ffill(filled, ["_k"], ["_d", "_bside"], back, seg, ascending=False,
+                       out_cols={c: f"_next{i}" for i, c in enumerate(back)})
+        inside = [c & F.col(f"_next{i}").isNotNull() for i, c in enumerate(inside)]
+    out = filled.filter(F.col("_side") == len(rights))
     if how == "inner":
-        out = out.filter(inside)
+        cond = inside[0]
+        for c in inside[1:]:
+            cond = cond & c
+        out = out.filter(cond)
     else:
-        out = out.withColumns({c: F.when(inside, F.col(c)) for c in value_cols})
-    return out.select(*l_cols, *value_cols)
+        for i, (_, _, _, vc) in enumerate(rights):
+            out = out.withColumns({c: F.when(inside[i], F.col(c)) for c in vc})
+    return out.select(*l_cols, *all_vals)
 
 
 def gap_days(df: DataFrame, keys: Sequence[str], date_col: str, order_cols: Sequence[str],

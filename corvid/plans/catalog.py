@@ -44,10 +44,16 @@ def _embedding_parts(spark, sf):
     return split_parts(emb, "vec_id", 0.25, seed=0)
 
 
+def _sizes(parts, test_is_train=False):
+    n = parts.n_train
+    return dict(n_train=n, n_test=n if test_is_train else parts.n_test)
+
+
 def _emb_knn(spark, sf, k, metric):
-    train, test = _embedding_parts(spark, sf)
+    parts = _embedding_parts(spark, sf)
+    train, test = parts
     return knn.knn_predict(train, test.drop("label"), features="embedding", label_col="label",
-                           train_id="vec_id", test_id="vec_id", k=k, metric=metric)
+                           train_id="vec_id", test_id="vec_id", k=k, metric=metric, **_sizes(parts))
 
 
 @register
@@ -62,11 +68,12 @@ def knn_manhattan_k7(spark, sf):
 
 @register
 def knn_many_k(spark, sf):
-    train, test = _embedding_parts(spark, sf)
+    parts = _embedding_parts(spark, sf)
+    train, test = parts
     ks = [3, 5, 7, 17]
     nb = knn.knn_neighbors(train, test.withColumnRenamed("label", "actual"), features="embedding",
                            label_col="label", train_id="vec_id", test_id="vec_id", k=max(ks),
-                           keep_cols=["actual"])
+                           keep_cols=["actual"], **_sizes(parts))
     votes = knn.knn_vote_many(nb, "vec_id", ks, keep_cols=["actual"])
     acc = knn.accuracy(votes, "prediction", "actual", by=["k"])
     return acc.select(F.col("k").cast("int").alias("k"), r6("accuracy").alias("accuracy"))
@@ -74,10 +81,11 @@ def knn_many_k(spark, sf):
 
 @register
 def knn_accuracy(spark, sf):
-    train, test = _embedding_parts(spark, sf)
+    parts = _embedding_parts(spark, sf)
+    train, test = parts
     kw = dict(features="embedding", label_col="label", train_id="vec_id", test_id="vec_id", k=7)
-    held = knn.knn_score(train, test, **kw).withColumn("part", F.lit("held_out"))
-    own = knn.knn_score(train, train, **kw).withColumn("part", F.lit("training"))
+    held = knn.knn_score(train, test, **kw, **_sizes(parts)).withColumn("part", F.lit("held_out"))
+    own = knn.knn_score(train, train, **kw, **_sizes(parts, True)).withColumn("part", F.lit("training"))
     return held.unionByName(own).select("part", r6("accuracy").alias("accuracy"))
 
 
@@ -92,25 +100,31 @@ def _part_parts(spark, sf, scale):
 def knn_scaled_feature(spark, sf):
     preds = []
     for name, scale in (("pred_raw", 1), ("pred_scaled", 1000)):
-        train, test = _part_parts(spark, sf, scale)
+        parts = _part_parts(spark, sf, scale)
+        train, test = parts
         p = knn.knn_predict(train, test.drop("p_type"), features=["p_size", "p_retailprice"],
-                            label_col="p_type", train_id="p_partkey", test_id="p_partkey", k=3)
+                            label_col="p_type", train_id="p_partkey", test_id="p_partkey", k=3,
+                            **_sizes(parts))
         preds.append(p.withColumnRenamed("prediction", name))
     return preds[0].join(preds[1], "p_partkey")
 
 
 @register
 def knn_feature_subset(spark, sf):
-    train, test = _part_parts(spark, sf, 1)
+    parts = _part_parts(spark, sf, 1)
+    train, test = parts
     return knn.knn_predict(train, test.drop("p_type"), features=["p_retailprice"],
-                           label_col="p_type", train_id="p_partkey", test_id="p_partkey", k=3)
+                           label_col="p_type", train_id="p_partkey", test_id="p_partkey", k=3,
+                           **_sizes(parts))
 
 
 @register
 def knn_pseudo_refit(spark, sf):
-    train, test = _embedding_parts(spark, sf)
+    parts = _embedding_parts(spark, sf)
+    train, test = parts
     return knn.pseudo_label_refit(train, test.drop("label"), features="embedding",
-                                  label_col="label", train_id="vec_id", test_id="vec_id", k=5)
+                                  label_col="label", train_id="vec_id", test_id="vec_id", k=5,
+                                  **_sizes(parts))
 
 
 def _doc_features(spark, sf):
@@ -124,9 +138,11 @@ def _doc_features(spark, sf):
 def knn_label_file_accuracy(spark, sf):
     labels = read_table(spark, sf, "labels", ["doc_id", "quality"])
     labelled = _doc_features(spark, sf).join(labels, "doc_id")
-    train, test = split_parts(labelled, "doc_id", 0.25, seed=0)
+    parts = split_parts(labelled, "doc_id", 0.25, seed=0)
+    train, test = parts
     pred = knn.knn_predict(train, test.drop("quality"), features=["n_chars", "n_spaces"],
-                           label_col="quality", train_id="doc_id", test_id="doc_id", k=5)
+                           label_col="quality", train_id="doc_id", test_id="doc_id", k=5,
+                           **_sizes(parts))
     scored = pred.join(labels, "doc_id")  # K9: compare with the label file by key
     return scored.agg(F.count(F.lit(1)).alias("n_test"),
                       r6(F.avg(F.col("prediction").eqNullSafe(F.col("quality")).cast("double"))).alias("accuracy"))
@@ -264,11 +280,9 @@ def asof_bounded(spark, sf):
 
 @register
 def asof_two_sided(spark, sf):
-    clicks = _clicks(spark, sf)
-    a = ts.asof_join(clicks, _typed_series(spark, sf, "error", "_err"), "user_id", "s_user", "day", "s_day",
-                     ["first_value_err", "big_value_err"], segment=_month)
-    b = ts.asof_join(a, _typed_series(spark, sf, "purchase", "_pur"), "user_id", "s_user", "day", "s_day",
-                     ["first_value_pur", "big_value_pur"], segment=_month)
+    rights = [(_typed_series(spark, sf, "error", "_err"), "s_user", "s_day", ["first_value_err", "big_value_err"]),
+              (_typed_series(spark, sf, "purchase", "_pur"), "s_user", "s_day", ["first_value_pur", "big_value_pur"])]
+    b = ts.asof_join_many(_clicks(spark, sf), "user_id", "day", rights, segment=_month)
     return b.select("event_id", "user_id", "day",
                     r6("first_value_err").alias("first_value_err"), r6("first_value_pur").alias("first_value_pur"),
                     r6(F.col("first_value_err") - F.col("first_value_pur")).alias("value_gap"),
@@ -385,9 +399,10 @@ def logit_score_fixed(spark, sf):
 
 @register
 def error_slices(spark, sf):
-    train, test = _embedding_parts(spark, sf)
+    parts = _embedding_parts(spark, sf)
+    train, test = parts
     pred = knn.knn_predict(train, test.drop("label"), features="embedding", label_col="label",
-                           train_id="vec_id", test_id="vec_id", k=7)
+                           train_id="vec_id", test_id="vec_id", k=7, **_sizes(parts))
     scored = pred.join(test.select("vec_id", "label"), "vec_id")
     wrong = clean.misclassified(scored, "prediction", "label")
     a = metrics.value_shares(wrong, "label").withColumn("slice", F.lit("wrong"))
