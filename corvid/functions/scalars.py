@@ -37,9 +37,10 @@ def days_between(later, earlier) -> Column:
     return F.datediff(_c(later), _c(earlier))
 
 
-def to_day(col) -> Column:
-    """Text or timestamp to a date; bad text raises (ANSI)."""
-    return F.to_date(_c(col))
+def to_day(col, tolerant: bool = False) -> Column:
+    """Text or timestamp to a date; bad text raises (ANSI) unless
+    ``tolerant``, which gives NULL."""
+    return F.try_to_date(_c(col)) if tolerant else F.to_date(_c(col))
 
 
 def decimal_odds(p) -> Column:

@@ -1,6 +1,7 @@
 """Ordered prefix sums without a global single-partition window.
 
-Rows are cut into ``n_buckets`` value ranges of the order column; sums run
+Rows are cut into ``n_buckets`` ranges of the order column at approximate
+quantiles (so a clustered order column still gives even buckets); sums run
 inside each bucket (one window per bucket), the bucket totals (``n_buckets``
 rows) give the offsets, and one broadcast join of the offsets adds them.
 Used by ROC points and AUC."""
@@ -20,15 +21,16 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], ascendin
     """Add ``prefix + c``: the sum of ``c`` over all rows before (and with
     ``inclusive``, at) this row in ``order_col`` order.  ``order_col`` must be
     unique (aggregate to distinct values first)."""
-    stats = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    lo, hi = stats["lo"], stats["hi"]
-    if lo is None:
-        return df.withColumns({prefix + c: F.lit(None).cast("double") for c in sum_cols})
-    width = (float(hi) - float(lo)) or 1.0
-    pos = (F.col(order_col).cast("double") - F.lit(float(lo))) / F.lit(width) * n_buckets
-    bucket = F.least(F.floor(pos), F.lit(n_buckets - 1)).cast("int")
+    cuts: list = []
+    if n_buckets > 1:
+        probs = [i / n_buckets for i in range(1, n_buckets)]
+        row = df.agg(F.percentile_approx(order_col, probs, 10_000).alias("q")).first()
+        cuts = sorted(set(row["q"] or []))  # bounded: at most n_buckets - 1 values
+    bucket = F.lit(len(cuts))
+    for i, b in reversed(list(enumerate(cuts))):
+        bucket = F.when(F.col(order_col) <= F.lit(b), F.lit(i)).otherwise(bucket)
     if not ascending:
-        bucket = F.lit(n_buckets - 1) - bucket
+        bucket = F.lit(len(cuts)) - bucket
     d = df.withColumn("_bk", bucket)
     order = F.col(order_col).asc() if ascending else F.col(order_col).desc()
     frame = (UNB, 0) if inclusive else (UNB, -1)

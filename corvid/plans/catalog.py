@@ -145,13 +145,14 @@ def knn_label_file_accuracy(spark, sf):
                            **_sizes(parts))
     scored = pred.join(labels, "doc_id")  # K9: compare with the label file by key
     return scored.agg(F.count(F.lit(1)).alias("n_test"),
+                      F.count_if(~F.col("prediction").eqNullSafe(F.col("quality"))).alias("n_wrong"),
                       r6(F.avg(F.col("prediction").eqNullSafe(F.col("quality")).cast("double"))).alias("accuracy"))
 
 
 # ------------------------------------------------------------ cleaning, joins
 
 from corvid.functions import clip, false_if_null, keep_if, not_equal_null_safe  # noqa: E402
-from corvid.operators import clean, encode, joins, timeseries as ts  # noqa: E402
+from corvid.operators import clean, encode, joins, timeseries as ts, tournament  # noqa: E402
 
 # Segment renames used by the cleaning query.
 SEGMENT_RENAMES = {"HOUSEHOLD": "HOME", "AUTOMOBILE": "AUTO"}
@@ -307,11 +308,8 @@ def rest_days_clipped(spark, sf):
 
 @register
 def latest_per_key(spark, sf):
-    d = _filled_daily(spark, sf)
-    last_day = d.agg(F.max("day").alias("_last_day"))  # one row
-    latest = d.join(F.broadcast(last_day), d.day == last_day._last_day).drop("_last_day")
     signups = _event_days(spark, sf).filter(F.col("event_type") == "signup").select("user_id")
-    latest = clean.keep_members(latest, "user_id", signups, "user_id")
+    latest = tournament.latest_ratings(_filled_daily(spark, sf), "day", "user_id", signups, "user_id")
     return latest.select("user_id", "day", r6("purchase_value").alias("purchase_value"),
                          r6("error_value").alias("error_value"))
 
@@ -324,7 +322,7 @@ def first_rows(spark, sf):
 
 # ------------------------------------------------------------------ metrics
 
-from corvid.operators import logit, metrics, tournament  # noqa: E402
+from corvid.operators import logit, metrics  # noqa: E402
 
 
 def _scored_docs(spark, sf):
@@ -490,3 +488,22 @@ def round_report(spark, sf):
     teams, rounds = _rounds(spark, sf)
     rep = tournament.round_report(rounds, teams, "c_custkey", "c_name")
     return rep.select("bracket", "round", "pair", "label", r6("p_home").alias("p_home"), r6("p_away").alias("p_away"))
+
+
+@register
+def error_slice_density(spark, sf):
+    """Density of a feature over the misclassified rows against all rows
+    (KNN on documents predicting the quality label)."""
+    labels = read_table(spark, sf, "labels", ["doc_id", "quality"])
+    labelled = _doc_features(spark, sf).join(labels, "doc_id")
+    parts = split_parts(labelled, "doc_id", 0.25, seed=0)
+    train, test = parts
+    pred = knn.knn_predict(train, test.drop("quality"), features=["n_chars", "n_spaces"],
+                           label_col="quality", train_id="doc_id", test_id="doc_id", k=5, **_sizes(parts))
+    scored = pred.join(test.select("doc_id", "quality", (F.col("n_chars") / 1000).alias("n_chars_k")), "doc_id")
+    wrong = clean.misclassified(scored, "prediction", "quality")
+    out = None
+    for name, d in (("wrong", wrong), ("all", scored)):
+        k = metrics.kde_grid(d.select("n_chars_k"), "n_chars_k", points=200).withColumn("slice", F.lit(name))
+        out = k if out is None else out.unionByName(k)
+    return out.select("slice", "j", r6("x").alias("x"), F.round("density", 9).alias("density"))

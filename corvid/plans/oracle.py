@@ -98,7 +98,7 @@ ORACLE_SQL: dict[str, str] = {
     "knn_label_file_accuracy": f"""
       WITH pred AS ({_knn_vote(f'SELECT * FROM ({DOC_SPLIT}) WHERE NOT is_test',
                                f'SELECT * FROM ({DOC_SPLIT}) WHERE is_test', 'doc_id', 'quality', DOC_DIST, 5)})
-      SELECT count(*) AS n_test,
+      SELECT count(*) AS n_test, count_if(p.prediction <> l.quality) AS n_wrong,
              round(avg(CASE WHEN p.prediction = l.quality THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS accuracy
       FROM pred p JOIN labels l USING (doc_id)""",
 }
@@ -369,3 +369,28 @@ ORACLE_SQL.update({
       FROM ({ROUNDS}) r LEFT JOIN customer h ON r.home = h.c_custkey LEFT JOIN customer a ON r.away = a.c_custkey
       WHERE r.p_home IS NOT NULL""",
 })
+
+
+def _kde_sql(values: str, points: int) -> str:
+    """Brute-force KDE (every value against every grid point)."""
+    return f"""
+      WITH v AS ({values}),
+      s AS (SELECT count(x) AS n, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi FROM v),
+      p AS (SELECT n, sd * pow(n, -0.2) AS h, lo - 0.5 * (hi - lo) AS g0,
+                   ((hi + 0.5 * (hi - lo)) - (lo - 0.5 * (hi - lo))) / {points - 1} AS step FROM s),
+      grid AS (SELECT range AS j FROM range({points}))
+      SELECT CAST(j AS INTEGER) AS j, round(g0 + j * step, 6) AS x,
+             round(sum(exp(-0.5 * ((g0 + j * step - x) / h) * ((g0 + j * step - x) / h)))
+                   / (n * h * sqrt(2 * pi())), 9) AS density
+      FROM grid, p, v GROUP BY j, g0, step, n, h"""
+
+
+DOC_PRED = _knn_vote(f"SELECT * FROM ({DOC_SPLIT}) WHERE NOT is_test", f"SELECT * FROM ({DOC_SPLIT}) WHERE is_test",
+                     "doc_id", "quality", DOC_DIST, 5)
+DOC_SCORED = f"""SELECT p.doc_id, p.prediction, f.quality, f.n_chars / 1000 AS n_chars_k
+  FROM ({DOC_PRED}) p JOIN ({DOC_FEATS}) f USING (doc_id)"""
+
+ORACLE_SQL["error_slice_density"] = f"""
+  SELECT 'wrong' AS slice, * FROM ({_kde_sql(f"SELECT n_chars_k AS x FROM ({DOC_SCORED}) WHERE prediction <> quality", 200)})
+  UNION ALL
+  SELECT 'all', * FROM ({_kde_sql(f"SELECT n_chars_k AS x FROM ({DOC_SCORED})", 200)})"""

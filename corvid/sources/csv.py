@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -67,6 +67,20 @@ def _cast(c: Column, dtype) -> Column:
     return c.cast(dtype)
 
 
+def dense_row_number(df: DataFrame, col: str = "row_id") -> DataFrame:
+    """A dense 0..n-1 row number in input order, without a global sort or
+    a single partition: per-partition row counts (one row per partition) give
+    the offsets.  Deterministic for a deterministic input order (file scans),
+    so a recomputed partition gets the same numbers."""
+    t = df.withColumn("_mid", F.monotonically_increasing_id())
+    t = t.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_off", F.col("_mid").bitwiseAND((1 << 33) - 1))
+    counts = t.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_pid", F.coalesce(before, F.lit(0)).alias("_start"))
+    out = t.join(F.broadcast(offsets), "_pid")  # one row per input partition
+    return out.withColumn(col, F.col("_start") + F.col("_off")).drop("_mid", "_pid", "_off", "_start")
+
+
 def write_labels(df: DataFrame, path: str, row_id: str = "row_id", label: str = "label",
                  single_file: bool = False) -> None:
     """Prediction sink (S5): header CSV with ``row_id,label``; the path is

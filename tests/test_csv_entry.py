@@ -54,3 +54,11 @@ def test_some_oracles_small_sf(spark):
         exp = con.execute(entry.oracle_sql()[name]).fetchdf()
         assert len(got) == len(exp), name
         assert sorted(got.columns) == sorted(exp.columns), name
+
+
+def test_dense_row_number(spark):
+    from corvid.sources import dense_row_number
+    df = spark.range(0, 1000, 1, 7).withColumnRenamed("id", "v")
+    out = dense_row_number(df).collect()
+    assert sorted(r.row_id for r in out) == list(range(1000))
+    assert all(r.row_id == r.v for r in out)  # input order kept

@@ -95,3 +95,18 @@ def test_many_k_equals_single_k(spark):
     many = knn.knn_vote_many(nb, "vec_id", [3, 7]).filter(F.col("k") == 3).select("vec_id", "prediction")
     single = knn.knn_predict(train, test.drop("label"), k=3, **kw)
     assert sorted(many.collect()) == sorted(single.collect())
+
+
+def test_minkowski_power(spark):
+    emb = read_table(spark, SF_SMALL, "embeddings", ["vec_id", "embedding", "label"])
+    train, test = split_parts(emb, "vec_id", 0.25, 0)
+    kw = dict(features="embedding", label_col="label", train_id="vec_id", test_id="vec_id", k=5)
+    p2 = knn.knn_predict(train, test.drop("label"), metric="minkowski", p=2, **kw)
+    eu = knn.knn_predict(train, test.drop("label"), metric="euclidean", **kw)
+    assert sorted(p2.collect()) == sorted(eu.collect())
+    tr = train.toPandas().sort_values("vec_id")
+    te = test.toPandas().sort_values("vec_id")
+    expect = _brute_knn(np.stack(tr.embedding).astype(float), tr.label.to_numpy(), tr.vec_id.to_numpy(),
+                        np.stack(te.embedding).astype(float), 5, 3)
+    p3 = knn.knn_predict(train, test.drop("label"), metric="minkowski", p=3, **kw).toPandas().sort_values("vec_id")
+    assert list(p3.prediction) == list(expect)
