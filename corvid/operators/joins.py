@@ -45,10 +45,16 @@ def lookup(df: DataFrame, key_col: str, table: DataFrame, table_key: str,
 
 
 def pairs_in_groups(df: DataFrame, group_cols: Sequence[str], order_col: str,
-                    keep: Sequence[str], suffixes: tuple[str, str] = ("_home", "_away")) -> DataFrame:
-    """Unordered pairs inside each group, the earlier row first.  Groups
-    must have a bounded size (fixed-size groups): the pair count is
-    size*(size-1)/2 per group."""
+                    keep: Sequence[str], suffixes: tuple[str, str] = ("_home", "_away"),
+                    max_group_size: int | None = 16) -> DataFrame:
+    """Unordered pairs inside each group, the earlier row first.  The
+    pair count is size*(size-1)/2 per group, so groups must be small: the
+    largest group is checked against ``max_group_size`` first (one small
+    aggregate; ``None`` skips the check)."""
+    if max_group_size is not None:
+        biggest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
+        if biggest is not None and biggest > max_group_size:
+            raise ValueError(f"a group has {biggest} rows (> {max_group_size}); pairs would not be bounded")
     a = df.select(*group_cols, *[F.col(c).alias(c + suffixes[0]) for c in [order_col, *keep]])
     b = df.select(*group_cols, *[F.col(c).alias(c + suffixes[1]) for c in [order_col, *keep]])
     return a.join(b, list(group_cols)).filter(F.col(order_col + suffixes[0]) < F.col(order_col + suffixes[1]))

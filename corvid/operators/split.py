@@ -1,16 +1,23 @@
 """L1: exact, seeded, repeatable train/test split.
 
 Rows are ordered by ``md5('<seed>:<key>')``; the first ``ceil(share * n)``
-are the test part.  The order is never materialised globally: rows are put in
-hash-prefix buckets, the bucket counts (at most 16**digits rows) give offsets,
-and only the single bucket that holds the cut is ranked.  The same rows come
-out of a plain ``row_number() OVER (ORDER BY md5(...))`` in any SQL engine."""
+are the test part -- the same rows as ``row_number() OVER (ORDER BY md5(...))``
+in any SQL engine.  The order is never materialised: two small jobs find the
+hash value at the cut,
+
+1. row counts per hash-prefix bucket (at most 16**digits rows) locate the
+   bucket that holds the cut and how many of its rows are still needed;
+2. only that bucket (about ``rows_per_bucket`` rows) is ranked to read the
+   cut hash;
+
+and the split itself is then a plain projection ``md5(...) <= cut``: no
+shuffle, no join, nothing to lose when an executor dies."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,29 +30,35 @@ def test_size(n: int, share: float) -> int:
     return int(math.ceil(share * n))
 
 
-def exact_split(df: DataFrame, key_col: str, test_share: float = 0.25, seed: int = 0,
-                flag_col: str = "is_test", rows_per_bucket: int = 100_000, n: int | None = None) -> DataFrame:
-    """Add a boolean ``flag_col``: true for the test part.  ``key_col`` must be unique.
-    ``n`` is the row count if already known."""
-    n = df.count() if n is None else n
-    n_test = test_size(n, test_share)
+def cut_hash(df: DataFrame, key_col: str, n_test: int, seed: int, n: int,
+             rows_per_bucket: int = 100_000) -> str | None:
+    """The largest hash among the ``n_test`` smallest (None when n_test = 0)."""
+    if n_test <= 0:
+        return None
     digits = 1
-    while digits < 5 and n / (16 ** digits) > rows_per_bucket:
+    while digits < 4 and n / (16 ** digits) > rows_per_bucket:
         digits += 1
     h = hash_order(key_col, seed)
-    tagged = df.withColumn("_h", h).withColumn(
-        "_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int"))
-    counts = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    # bounded: one row per bucket (<= 16**digits); a single ordered window is cheap here
-    before = F.sum("_cnt").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_b", "_cnt", F.coalesce(before, F.lit(0)).alias("_before"))
-    located = tagged.join(F.broadcast(offsets), "_b")
-    whole = located.filter((F.col("_before") + F.col("_cnt") <= n_test) | (F.col("_before") >= n_test))
-    whole = whole.withColumn(flag_col, F.col("_before") < n_test)
-    cut = located.filter((F.col("_before") < n_test) & (F.col("_before") + F.col("_cnt") > n_test))
-    rank_in_bucket = F.row_number().over(Window.partitionBy("_b").orderBy("_h"))
-    cut = cut.withColumn(flag_col, F.col("_before") + rank_in_bucket <= n_test)
-    return whole.unionByName(cut).drop("_h", "_b", "_cnt", "_before")
+    bucket = F.substring(h, 1, digits)
+    counts = sorted((r[0], r[1]) for r in df.groupBy(bucket.alias("b")).count().collect())  # <= 16**digits rows
+    seen = 0
+    for b, c in counts:
+        if seen + c >= n_test:
+            need = n_test - seen
+            in_bucket = df.select(h.alias("h")).where(F.substring("h", 1, digits) == b)
+            return in_bucket.orderBy("h").limit(need).agg(F.max("h")).first()[0]
+        seen += c
+    return counts[-1][0] + "g" if counts else None  # n_test >= n: above every hash
+
+
+def exact_split(df: DataFrame, key_col: str, test_share: float = 0.25, seed: int = 0,
+                flag_col: str = "is_test", rows_per_bucket: int = 100_000, n: int | None = None) -> DataFrame:
+    """Add a boolean ``flag_col``: true for the test part.  ``key_col`` must be
+    unique.  ``n`` is the row count if already known."""
+    n = df.count() if n is None else n
+    cut = cut_hash(df, key_col, test_size(n, test_share), seed, n, rows_per_bucket)
+    flag = F.lit(False) if cut is None else hash_order(key_col, seed) <= F.lit(cut)
+    return df.withColumn(flag_col, flag)
 
 
 class Parts(tuple):
@@ -58,9 +71,10 @@ class Parts(tuple):
 def split_parts(df: DataFrame, key_col: str, test_share: float = 0.25, seed: int = 0) -> Parts:
     """(train, test) from ``exact_split``; ``.n_train`` / ``.n_test`` hold the sizes."""
     n = df.count()
-    flagged = exact_split(df, key_col, test_share, seed, flag_col="_is_test", n=n)
-    parts = Parts((flagged.filter(~F.col("_is_test")).drop("_is_test"),
-                   flagged.filter(F.col("_is_test")).drop("_is_test")))
-    parts.n_test = test_size(n, test_share)
+    n_test = test_size(n, test_share)
+    cut = cut_hash(df, key_col, n_test, seed, n)
+    test_flag = F.lit(False) if cut is None else hash_order(key_col, seed) <= F.lit(cut)
+    parts = Parts((df.filter(~test_flag), df.filter(test_flag)))
+    parts.n_test = min(n_test, n)
     parts.n_train = n - parts.n_test
     return parts

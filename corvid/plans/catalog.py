@@ -89,19 +89,18 @@ def knn_accuracy(spark, sf):
     return held.unionByName(own).select("part", r6("accuracy").alias("accuracy"))
 
 
-def _part_parts(spark, sf, scale):
+def _part_parts(spark, sf):
     part = read_table(spark, sf, "part", ["p_partkey", "p_size", "p_retailprice", "p_type"])
-    if scale != 1:
-        part = part.withColumn("p_retailprice", F.col("p_retailprice") / scale)
     return split_parts(part, "p_partkey", 0.25, seed=0)
 
 
 @register
 def knn_scaled_feature(spark, sf):
+    parts = _part_parts(spark, sf)  # one split, both unit scales
     preds = []
     for name, scale in (("pred_raw", 1), ("pred_scaled", 1000)):
-        parts = _part_parts(spark, sf, scale)
-        train, test = parts
+        train, test = (d.withColumn("p_retailprice", F.col("p_retailprice") / scale) if scale != 1 else d
+                       for d in parts)
         p = knn.knn_predict(train, test.drop("p_type"), features=["p_size", "p_retailprice"],
                             label_col="p_type", train_id="p_partkey", test_id="p_partkey", k=3,
                             **_sizes(parts))
@@ -111,7 +110,7 @@ def knn_scaled_feature(spark, sf):
 
 @register
 def knn_feature_subset(spark, sf):
-    parts = _part_parts(spark, sf, 1)
+    parts = _part_parts(spark, sf)
     train, test = parts
     return knn.knn_predict(train, test.drop("p_type"), features=["p_retailprice"],
                            label_col="p_type", train_id="p_partkey", test_id="p_partkey", k=3,
@@ -204,7 +203,7 @@ def membership_flag_onehot(spark, sf):
     cust = read_table(spark, sf, "customer", ["c_custkey", "c_nationkey"])
     nation = read_table(spark, sf, "nation", ["n_nationkey", "n_name"])
     o = orders.join(cust, orders.o_custkey == cust.c_custkey)
-    o = joins.lookup(o, "c_nationkey", F.broadcast(nation), "n_nationkey", ["n_name"])  # 25-row dimension
+    o = joins.lookup(o, "c_nationkey", nation, "n_nationkey", ["n_name"])
     europe = _europe_nations(spark, sf)
     o = clean.member_flag(o, "n_name", europe, "n_name", "in_europe")
     o = o.withColumn("participant", keep_if("in_europe", "n_name", ""))
