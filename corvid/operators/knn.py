@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from corvid.session import materialize
+
 METRICS = ("euclidean", "manhattan", "minkowski")
 
 
@@ -206,7 +208,8 @@ def pseudo_label_refit(train: DataFrame, test: DataFrame, *, features, label_col
     predict them again.  Returns ``test_id, pseudo_label, refit_prediction``."""
     first = knn_predict(train, test, features=features, label_col=label_col, train_id=train_id,
                         test_id=test_id, k=k, metric=metric, n_train=n_train, n_test=n_test, **kw)
-    relabelled = test.join(first.withColumnRenamed("prediction", "pseudo_label"), test_id)
+    # the relabelled rows are both sides of the second search: store them once
+    relabelled = materialize(test.join(first.withColumnRenamed("prediction", "pseudo_label"), test_id))
     second = knn_predict(relabelled, relabelled, features=features, label_col="pseudo_label",
                          train_id=test_id, test_id=test_id, k=k, metric=metric,
                          keep_cols=["pseudo_label"], n_train=n_test, n_test=n_test, **kw)

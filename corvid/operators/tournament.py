@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvid.functions import matchup_label, tiered_points
+from corvid.session import materialize
 from corvid.operators.joins import pairs_in_groups
 
 # Seeding order of the 16 qualifiers (positions 2*group + place,
@@ -98,17 +99,19 @@ def fold_round(slots: DataFrame, bracket_cols: Sequence[str], team_col: str, rat
 
 def fold_rounds(slots: DataFrame, bracket_cols: Sequence[str], team_col: str, ratings: DataFrame,
                 rating_col: str, prob: ProbFn, cut: float = 0.8, n_rounds: int = 4,
-                checkpoint_every: int | None = None) -> DataFrame:
+                checkpoint_every: int | None = 1) -> DataFrame:
     """T5: repeat rounds until one slot is left (16 -> 8 -> 4 -> 2 -> 1);
     returns all rounds with ``round`` and ``round_name``.  The driver only
-    builds ``n_rounds`` plan steps; ``checkpoint_every`` cuts the lineage of
-    deep brackets through the session's checkpoint folder."""
+    builds ``n_rounds`` plan steps.  Every round feeds both the next round
+    and the output, so by default each round is written once to the shared
+    checkpoint folder (``checkpoint_every=1``); otherwise every later round
+    would re-run the whole plan before it.  ``None`` keeps one lazy plan."""
     out = []
     cur = slots
     for i in range(n_rounds):
         res = fold_round(cur, bracket_cols, team_col, ratings, rating_col, prob, cut)
         if checkpoint_every and (i + 1) % checkpoint_every == 0:
-            res = res.checkpoint()
+            res = materialize(res)
         name = ROUND_NAMES[i] if i < len(ROUND_NAMES) else f"round_{i + 1}"
         out.append(res.withColumn("round", F.lit(i + 1)).withColumn("round_name", F.lit(name)))
         cur = res.select(*bracket_cols, F.col("pair").alias("slot"), F.col("winner").alias(team_col))

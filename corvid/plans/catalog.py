@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvid.operators import knn
 from corvid.operators.split import exact_split, split_parts
+from corvid.session import materialize
 from corvid.sources import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -400,7 +401,7 @@ def error_slices(spark, sf):
     train, test = parts
     pred = knn.knn_predict(train, test.drop("label"), features="embedding", label_col="label",
                            train_id="vec_id", test_id="vec_id", k=7, **_sizes(parts))
-    scored = pred.join(test.select("vec_id", "label"), "vec_id")
+    scored = materialize(pred.join(test.select("vec_id", "label"), "vec_id"))  # used twice
     wrong = clean.misclassified(scored, "prediction", "label")
     a = metrics.value_shares(wrong, "label").withColumn("slice", F.lit("wrong"))
     b = metrics.value_shares(scored, "label").withColumn("slice", F.lit("all"))
@@ -499,7 +500,8 @@ def error_slice_density(spark, sf):
     train, test = parts
     pred = knn.knn_predict(train, test.drop("quality"), features=["n_chars", "n_spaces"],
                            label_col="quality", train_id="doc_id", test_id="doc_id", k=5, **_sizes(parts))
-    scored = pred.join(test.select("doc_id", "quality", (F.col("n_chars") / 1000).alias("n_chars_k")), "doc_id")
+    scored = materialize(pred.join(test.select("doc_id", "quality", (F.col("n_chars") / 1000).alias("n_chars_k")),
+                                   "doc_id"))  # read by two densities (stats + grid each)
     wrong = clean.misclassified(scored, "prediction", "quality")
     out = None
     for name, d in (("wrong", wrong), ("all", scored)):

@@ -49,3 +49,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="corvid-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and return a frame
+    that reads it back: for results used more than once, so the plan that
+    made them is not re-run per use, and a lost executor re-reads stored data
+    instead of recomputing the lineage.  (Never a local checkpoint.)"""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
