@@ -1,12 +1,19 @@
 """K1-K9: exact k-nearest-neighbour classification as Spark jobs.
 
-Plan: the training rows are cut into ``B`` hash blocks and the query rows into
-``T`` hash blocks; every (query block, train block) pair meets in one cogroup
-task, which computes the distances in numpy and emits only the ``k`` best
-neighbours of each query row (never the pairs).  With ``B > 1`` a final
-per-query top-k (WindowGroupLimit) merges the ``B * k`` candidates.  Block
-sizes bound the memory of every task; nothing passes through the driver
-except the two row counts.
+Two physical plans, chosen from the row counts:
+
+* small training set (``n_train * dim * 8`` bytes under ``broadcast_bytes``,
+  a proven bound): the training matrix is broadcast once and the query rows
+  stream through ``mapInPandas`` where they are -- no shuffle of the query
+  side at all;
+* otherwise the training rows are cut into ``B`` hash blocks and the query
+  rows into ``T`` hash blocks; every (query block, train block) pair meets in
+  one cogroup task.  With ``B > 1`` a final per-query top-k
+  (WindowGroupLimit) merges the ``B * k`` candidates.  Block sizes bound the
+  memory of every task.
+
+Either way numpy computes the distances inside the task and only the ``k``
+best neighbours of each query row are emitted (never the pairs).
 
 Distance ties are broken by the training key, vote ties by the smallest
 label (``mode(..., deterministic=True)``)."""
@@ -89,21 +96,20 @@ def knn_neighbors(train: DataFrame, test: DataFrame, *, features: str | Sequence
                   weights: Sequence[float] | None = None, keep_cols: Sequence[str] = (),
                   allow_fewer: bool = False, train_block_rows: int = 50_000,
                   test_block_rows: int = 20_000, n_train: int | None = None,
-                  n_test: int | None = None) -> DataFrame:
+                  n_test: int | None = None, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """The ``k`` nearest training rows of every test row.
 
     Returns ``test_id, neighbor_id, neighbor_label, distance, rank`` plus the
     ``keep_cols`` of the test row.  ``k`` larger than the training set raises
-    ``ValueError`` (K5) unless ``allow_fewer``, which then votes with all rows."""
+    ``ValueError`` (K5) unless ``allow_fewer``, which then votes with all rows.
+    ``n_train`` / ``n_test`` skip the count jobs when the sizes are known;
+    ``broadcast_bytes`` bounds the training matrix that may be broadcast."""
     power = _power(metric, p)
-    n_train = train.count()
+    n_train = train.count() if n_train is None else n_train
     if n_train == 0:
         raise ValueError("empty training set")
     if k > n_train and not allow_fewer:
         raise ValueError(f"k={k} is larger than the {n_train} training rows")
-    n_test = test.count() if n_test is None else n_test
-    n_rb = max(1, math.ceil(n_train / train_block_rows))
-    n_tb = max(1, math.ceil(n_test / test_block_rows))
     w = None if weights is None else np.asarray(weights, dtype=np.float64)
 
     rid_t = train.schema[train_id].dataType
@@ -113,6 +119,18 @@ def knn_neighbors(train: DataFrame, test: DataFrame, *, features: str | Sequence
 
     r = train.select(F.col(train_id).alias("_rid"), F.col(label_col).alias("_rlab"),
                      feature_vector(train, features).alias("_x"))
+    if isinstance(features, str) and isinstance(train.schema[features].dataType, ArrayType):
+        dim = r.select(F.size("_x")).first()[0] or 0
+    else:
+        dim = 1 if isinstance(features, str) else len(features)
+    if n_train * (dim + 2) * 8 <= broadcast_bytes:
+        cand = _broadcast_neighbours(r, test, test_id, features, keep_cols, k, power, w, qid_t,
+                                     keep_fields, rid_t, lab_t)
+        return _with_root(cand, power)
+
+    n_test = test.count() if n_test is None else n_test
+    n_rb = max(1, math.ceil(n_train / train_block_rows))
+    n_tb = max(1, math.ceil(n_test / test_block_rows))
     r = (r.withColumn("_rb", F.pmod(F.xxhash64("_rid"), F.lit(n_rb)).cast("int"))
           .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(n_tb - 1)))))
     q = test.select(F.col(test_id).alias("_qid"), feature_vector(test, features).alias("_x"),
@@ -120,11 +138,7 @@ def knn_neighbors(train: DataFrame, test: DataFrame, *, features: str | Sequence
     q = (q.withColumn("_tb", F.pmod(F.xxhash64("_qid"), F.lit(n_tb)).cast("int"))
           .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(n_rb - 1)))))
 
-    out_schema = StructType([
-        StructField(test_id, qid_t), *keep_fields,
-        StructField("neighbor_id", rid_t), StructField("neighbor_label", lab_t),
-        StructField("distance", DoubleType()), StructField("rank", IntegerType()),
-    ])
+    out_schema = _out_schema(test_id, qid_t, keep_fields, rid_t, lab_t)
     names = [f.name for f in out_schema.fields]
 
     def per_block(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
@@ -149,11 +163,57 @@ def knn_neighbors(train: DataFrame, test: DataFrame, *, features: str | Sequence
     if n_rb > 1:
         best = Window.partitionBy(test_id).orderBy("distance", "neighbor_id")
         cand = cand.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return _with_root(cand, power)
+
+
+def _out_schema(test_id, qid_t, keep_fields, rid_t, lab_t) -> StructType:
+    return StructType([
+        StructField(test_id, qid_t), *keep_fields,
+        StructField("neighbor_id", rid_t), StructField("neighbor_label", lab_t),
+        StructField("distance", DoubleType()), StructField("rank", IntegerType()),
+    ])
+
+
+def _with_root(cand: DataFrame, power: float) -> DataFrame:
     root = {2.0: F.sqrt(F.col("distance")), 1.0: F.col("distance")}.get(
         power, F.pow(F.col("distance"), 1.0 / power))
     return cand.withColumn("distance", root)
 
 
+def _broadcast_neighbours(r: DataFrame, test: DataFrame, test_id: str, features, keep_cols, k, power, w,
+                          qid_t, keep_fields, rid_t, lab_t) -> DataFrame:
+    """Small training set: one broadcast of the training matrix (size checked
+    by the caller), query rows scored in place by ``mapInPandas``."""
+    pdf = r.toPandas()
+    r_ids = pdf["_rid"].to_numpy()
+    r_lab = pdf["_rlab"].to_numpy()
+    r_x = (np.stack(pdf["_x"].to_numpy()).astype(np.float64) if len(pdf)
+           else np.zeros((0, 0)))
+    bc = test.sparkSession.sparkContext.broadcast((r_ids, r_lab, r_x))
+    schema = _out_schema(test_id, qid_t, keep_fields, rid_t, lab_t)
+    names = [f.name for f in schema.fields]
+    q = test.select(F.col(test_id).alias("_qid"), feature_vector(test, features).alias("_x"),
+                    *[F.col(c) for c in keep_cols])
+
+    def score(batches):
+        ids, labs, x = bc.value
+        for qp in batches:
+            if qp.empty:
+                continue
+            q_x = np.stack(qp["_x"].to_numpy()).astype(np.float64)
+            qi, ri, dist, rank = _block_neighbours(qp["_qid"].to_numpy(), q_x, ids, labs, x, k, power, w)
+            res = {test_id: qp["_qid"].to_numpy()[qi]}
+            for c in keep_cols:
+                res[c] = qp[c].to_numpy()[qi]
+            res["neighbor_id"] = ids[ri]
+            res["neighbor_label"] = labs[ri]
+            res["distance"] = dist
+            res["rank"] = rank.astype(np.int32)
+            yield pd.DataFrame(res, columns=names)
+
+    return q.mapInPandas(score, schema=schema)
+
+
 def knn_vote(neighbors: DataFrame, test_id: str, k: int | None = None,
              keep_cols: Sequence[str] = (), prediction_col: str = "prediction") -> DataFrame:
     """K3: majority label of the first ``k`` neighbours, ties to the smallest label."""

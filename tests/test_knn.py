@@ -67,9 +67,11 @@ def test_blocked_equals_brute_force(spark, metric, power):
     expect = _brute_knn(np.stack(tr.embedding).astype(float), tr.label.to_numpy(), tr.vec_id.to_numpy(),
                         np.stack(te.embedding).astype(float), 7, power)
     kw = dict(features="embedding", label_col="label", train_id="vec_id", test_id="vec_id", k=7, metric=metric)
-    one = knn.knn_predict(train, test.drop("label"), **kw).toPandas().sort_values("vec_id")
+    bcast = knn.knn_predict(train, test.drop("label"), **kw).toPandas().sort_values("vec_id")
+    one = knn.knn_predict(train, test.drop("label"), broadcast_bytes=0, **kw).toPandas().sort_values("vec_id")
     blocked = knn.knn_predict(train, test.drop("label"), train_block_rows=50, test_block_rows=40,
-                              **kw).toPandas().sort_values("vec_id")
+                              broadcast_bytes=0, **kw).toPandas().sort_values("vec_id")
+    assert list(bcast.prediction) == list(expect)
     assert list(one.prediction) == list(expect)
     assert list(blocked.prediction) == list(expect)
 
