@@ -73,7 +73,8 @@ def ffill(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], value_c
     carry = segment_carry(d, keys, "_seg", order_cols, value_cols, ascending)
     out = local.join(carry, [*keys, "_seg"], "left")
     out = out.withColumns({target[c]: F.coalesce(f"_loc_{c}", f"_carry_{c}") for c in value_cols})
-    return out.drop("_seg", *[f"_loc_{c}" for c in value_cols], *[f"_carry_{c}" for c in value_cols])
+    new = [t for t in target.values() if t not in df.columns]
+    return out.select(*df.columns, *new)  # input column order kept
 
 
 def ffill_across_keys(df: DataFrame, key: str, order_cols: Sequence[str], value_cols: Sequence[str],
@@ -96,7 +97,7 @@ def ffill_across_keys(df: DataFrame, key: str, order_cols: Sequence[str], value_
         key, *[F.coalesce(f"_in_{c}", f"_carry_{c}").alias(f"_kc_{c}") for c in value_cols])
     out = per_key.join(carry, key, "left")
     out = out.withColumns({c: F.coalesce(c, f"_kc_{c}") for c in value_cols})
-    return out.drop(*[f"_kc_{c}" for c in value_cols])
+    return out.select(*df.columns)
 
 
 def asof_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_day: str,
@@ -184,6 +185,6 @@ def gap_days(df: DataFrame, keys: Sequence[str], date_col: str, order_cols: Sequ
             Window.partitionBy(*keys).orderBy("_seg")).alias("_carry"))
         d = s.join(prev_seg, [*keys, "_seg"], "left")
         d = d.withColumn("_prev", F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_prev")))
-        d = d.drop("_seg", "_rn", "_carry")
     gap = clip(F.datediff(F.col(date_col), F.col("_prev")), lo, hi)
-    return d.withColumn(out_col, F.coalesce(gap, F.lit(fill)).cast("int")).drop("_prev")
+    d = d.withColumn(out_col, F.coalesce(gap, F.lit(fill)).cast("int"))
+    return d.select(*df.columns, out_col)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions import matchup_label, tiered_points
 from corvid.session import materialize
-from corvid.operators.joins import pairs_in_groups
+from corvid.operators.joins import pair_neighbour_slots, pairs_in_groups
 
 # Seeding order of the 16 qualifiers (positions 2*group + place,
 # groups A..H) -- slot i takes position PAIRING[i]; and the round names.
@@ -86,10 +86,9 @@ def fold_round(slots: DataFrame, bracket_cols: Sequence[str], team_col: str, rat
     ``pair`` (= next slot), home, away, p_home, winner."""
     r = ratings.select(F.col(team_col).alias("_t"), F.col(rating_col).alias("_r"))
     s = slots.join(r, slots[team_col] == r["_t"], "left").drop("_t")
-    home = F.col("slot") % 2 == 0
-    g = s.groupBy(*bracket_cols, F.floor(F.col("slot") / 2).cast("int").alias("pair")).agg(
-        F.max(F.when(home, F.col(team_col))).alias("home"), F.max(F.when(~home, F.col(team_col))).alias("away"),
-        F.max(F.when(home, F.col("_r"))).alias("_rh"), F.max(F.when(~home, F.col("_r"))).alias("_ra"))
+    g = pair_neighbour_slots(s, bracket_cols, "slot", [team_col, "_r"])
+    g = g.select(*bracket_cols, F.col("pair").cast("int").alias("pair"), F.col(f"{team_col}_home").alias("home"),
+                 F.col(f"{team_col}_away").alias("away"), F.col("_r_home").alias("_rh"), F.col("_r_away").alias("_ra"))
     p = F.when(F.col("home").isNotNull() & F.col("away").isNotNull(), prob(F.col("_rh"), F.col("_ra")))
     g = g.withColumn("p_home", p)
     winner = (F.when(F.col("away").isNull(), F.col("home")).when(F.col("home").isNull(), F.col("away"))
