@@ -120,39 +120,63 @@ def asof_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
 def asof_join_many(left: DataFrame, left_key: str, left_day: str,
                    rights: Sequence[tuple[DataFrame, str, str, Sequence[str]]], bounded: bool = True,
                    segment=None, how: str = "inner") -> DataFrame:
-    """J3 against several right tables on the same key at once: one union,
-    one forward scan and one backward scan for all of them (instead of one
-    shuffle and two sorts per right table).  ``rights`` holds
-    ``(table, key, day, value_cols)``; value column names must be distinct.
-    With ``how='inner'`` a left row must lie inside the day range of every
-    right table."""
+    """J3 against several right tables on the same key at once.
+
+    ``rights`` holds ``(table, key, day, value_cols)``; value column names must
+    be new and distinct.  With ``how='inner'`` a left row must lie inside the
+    day range of every right table.
+
+    Plan: one union of the left rows and all right rows, one shuffle by
+    (key[, segment]); inside that stage a forward window (last value on or
+    before the day) and a backward window (next right day, for the upper
+    bound).  With a ``segment``, a per-(key, segment) summary -- partially
+    aggregated from the union, no second full shuffle -- carries values
+    across segment borders in both directions through one join whose large
+    side is already partitioned."""
     l_cols = left.columns
+    n = len(rights)
     all_vals = [c for _, _, _, vc in rights for c in vc]
     clash = set(l_cols) & set(all_vals)
     if clash or len(set(all_vals)) != len(all_vals):
         raise ValueError(f"value columns must be new and distinct: {sorted(clash) or all_vals}")
     parts = [left.select(*l_cols, F.col(left_key).alias("_k"), F.col(left_day).alias("_d"),
-                         F.lit(len(rights)).alias("_side"))]
-    fwd, back = [], []
+                         F.lit(n).alias("_side"))]
+    fwd, raw = [], []
     for i, (r, rk, rd, vc) in enumerate(rights):
         parts.append(r.select(F.col(rk).alias("_k"), F.col(rd).alias("_d"), F.lit(i).alias("_side"),
                               *vc, F.col(rd).alias(f"_rday{i}"), F.col(rd).alias(f"_rraw{i}")))
         fwd += [*vc, f"_rday{i}"]
-        back.append(f"_rraw{i}")
+        raw.append(f"_rraw{i}")
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p, allowMissingColumns=True)
-    seg = segment(F.col("_d")) if segment is not None else None
-    # same day: right rows (side < n) sort before the left rows in the forward scan
-    filled = ffill(u, ["_k"], ["_d", "_side"], fwd, seg)
-    inside = [F.col(f"_rday{i}").isNotNull() for i in range(len(rights))]
+    # same day: right rows sort before left rows in both directions
+    u = u.withColumn("_bside", F.lit(n) - F.col("_side"))
+    if segment is not None:
+        u = u.withColumn("_seg", segment(F.col("_d")))
+    part = ["_k", "_seg"] if segment is not None else ["_k"]
+    wf = Window.partitionBy(*part).orderBy("_d", "_side").rowsBetween(UNB, 0)
+    wb = Window.partitionBy(*part).orderBy(F.col("_d").desc(), F.col("_bside").desc()).rowsBetween(UNB, 0)
+    x = u.withColumns({c: F.last(c, True).over(wf) for c in fwd})
+    if bounded:
+        x = x.withColumns({f"_next{i}": F.last(c, True).over(wb) for i, c in enumerate(raw)})
+    if segment is not None:
+        ords = F.struct("_d", "_side")
+        summ = u.groupBy("_k", "_seg").agg(
+            *[F.max_by(c, F.when(F.col(c).isNotNull(), ords)).alias(c) for c in fwd],
+            *[F.min(c).alias(c) for c in raw])
+        before = Window.partitionBy("_k").orderBy("_seg").rowsBetween(UNB, -1)
+        after = Window.partitionBy("_k").orderBy(F.col("_seg").desc()).rowsBetween(UNB, -1)
+        carry = summ.select("_k", "_seg", *[F.last(c, True).over(before).alias(f"_cf_{c}") for c in fwd],
+                            *[F.last(c, True).over(after).alias(f"_cb_{i}") for i, c in enumerate(raw)])
+        x = x.join(carry, ["_k", "_seg"], "left")
+        x = x.withColumns({c: F.coalesce(c, f"_cf_{c}") for c in fwd})
+        if bounded:
+            x = x.withColumns({f"_next{i}": F.coalesce(f"_next{i}", f"_cb_{i}") for i in range(n)})
+    inside = [F.col(f"_rday{i}").isNotNull() for i in range(n)]
     if bounded:
-        # backward scan; on the same day the right rows must come first again
-        filled = filled.withColumn("_bside", F.lit(len(rights)) - F.col("_side"))
-        filled = ffill(filled, ["_k"], ["_d", "_bside"], back, seg, ascending=False,
-                       out_cols={c: f"_next{i}" for i, c in enumerate(back)})
         inside = [c & F.col(f"_next{i}").isNotNull() for i, c in enumerate(inside)]
-    out = filled.filter(F.col("_side") == len(rights))
+    out = x.filter(F.col("_side") == n)
     if how == "inner":
         cond = inside[0]
         for c in inside[1:]:
@@ -176,11 +200,12 @@ def gap_days(df: DataFrame, keys: Sequence[str], date_col: str, order_cols: Sequ
         prev = F.lag(date_col).over(w)
         d = df.withColumn("_prev", prev)
     else:
-        s = df.withColumn("_seg", segment)
+        raw = df.withColumn("_seg", segment)
         w = Window.partitionBy(*keys, "_seg").orderBy(*order_cols)
-        s = s.withColumn("_prev", F.lag(date_col).over(w)).withColumn("_rn", F.row_number().over(w))
+        s = raw.withColumn("_prev", F.lag(date_col).over(w)).withColumn("_rn", F.row_number().over(w))
         ords = F.struct(*order_cols)
-        last_in_seg = s.groupBy(*keys, "_seg").agg(F.max_by(date_col, ords).alias("_last"))
+        # summary from the raw rows: partial aggregation, no second full shuffle
+        last_in_seg = raw.groupBy(*keys, "_seg").agg(F.max_by(date_col, ords).alias("_last"))
         prev_seg = last_in_seg.select(*keys, "_seg", F.lag("_last").over(
             Window.partitionBy(*keys).orderBy("_seg")).alias("_carry"))
         d = s.join(prev_seg, [*keys, "_seg"], "left")
