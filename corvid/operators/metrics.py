@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.operators.scan import prefix_sums
+from corvid.session import materialize
 
 
 def value_shares(df: DataFrame, col: str, by: Sequence[str] = (), share_col: str = "share") -> DataFrame:
@@ -27,23 +28,27 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str, labels: Sequenc
                      prefix: str = "pred_") -> DataFrame:
     """One row per actual label, one count column per predicted label
     (sorted labels; empty cells 0; labels seen only as predictions still get a row)."""
+    # one pass over the input; the cell counts (labels^2 rows) are stored once
+    counts = materialize(df.groupBy(actual, predicted).agg(F.count(F.lit(1)).alias("_n")))
     if labels is None:
         from corvid.operators.encode import category_list
-        both = df.select(F.col(actual).alias("_l")).union(df.select(F.col(predicted).alias("_l")))
+        both = counts.select(F.col(actual).alias("_l")).union(counts.select(F.col(predicted).alias("_l")))
         labels = category_list(both, "_l")
-    wide = df.groupBy(actual).pivot(predicted, list(labels)).count()
+    wide = counts.groupBy(actual).pivot(predicted, list(labels)).agg(F.sum("_n"))
     wide = wide.withColumnsRenamed({str(v): f"{prefix}{v}" for v in labels})
-    rows = (df.select(F.col(actual).alias("_a")).union(df.select(F.col(predicted).alias("_a")))
+    rows = (counts.select(F.col(actual).alias("_a")).union(counts.select(F.col(predicted).alias("_a")))
               .distinct().where(F.col("_a").isNotNull()))
     out = rows.join(wide, rows["_a"] == wide[actual], "left").drop(actual).withColumnRenamed("_a", actual)
     return out.na.fill(0, subset=[f"{prefix}{v}" for v in labels])
 
 
 def _score_counts(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
+    """(score, pos, neg) per distinct score, written once: the quantile cut,
+    the totals and both prefix-sum branches all read it."""
     valid = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     pos = (F.col(label) == F.lit(positive)).cast("long")
-    return valid.groupBy(F.col(score).alias("score")).agg(
-        F.sum(pos).alias("pos"), F.sum(F.lit(1) - pos).alias("neg"))
+    return materialize(valid.groupBy(F.col(score).alias("score")).agg(
+        F.sum(pos).alias("pos"), F.sum(F.lit(1) - pos).alias("neg")))
 
 
 def roc_points(df: DataFrame, label: str, score: str, positive=1, n_buckets: int = 64) -> DataFrame:

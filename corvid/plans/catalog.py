@@ -229,9 +229,14 @@ def _month(c):
     return F.date_trunc("month", c)
 
 
+def _grid(spark, sf):
+    # the grid feeds the fill's window and its segment summary: store it once
+    return materialize(ts.daily_grid(_daily_first(spark, sf), ["user_id"], "day"))
+
+
 def _filled_daily(spark, sf):
-    grid = ts.daily_grid(_daily_first(spark, sf), ["user_id"], "day")
-    return ts.ffill(grid, ["user_id"], ["day"], ["purchase_value", "error_value"], segment=_month(F.col("day")))
+    return ts.ffill(_grid(spark, sf), ["user_id"], ["day"], ["purchase_value", "error_value"],
+                    segment=_month(F.col("day")))
 
 
 @register
@@ -250,8 +255,7 @@ def daily_grid_ffill(spark, sf):
 
 @register
 def ffill_across_keys(spark, sf):
-    grid = ts.daily_grid(_daily_first(spark, sf), ["user_id"], "day")
-    d = ts.ffill_across_keys(grid, "user_id", ["day"], ["purchase_value", "error_value"],
+    d = ts.ffill_across_keys(_grid(spark, sf), "user_id", ["day"], ["purchase_value", "error_value"],
                              segment=_month(F.col("day")), key_bucket_width=16)
     return d.select("user_id", "day", r6("purchase_value").alias("purchase_value"),
                     r6("error_value").alias("error_value"))
@@ -309,7 +313,8 @@ def rest_days_clipped(spark, sf):
 @register
 def latest_per_key(spark, sf):
     signups = _event_days(spark, sf).filter(F.col("event_type") == "signup").select("user_id")
-    latest = tournament.latest_ratings(_filled_daily(spark, sf), "day", "user_id", signups, "user_id")
+    filled = materialize(_filled_daily(spark, sf))  # read by the max and by the filter
+    latest = tournament.latest_ratings(filled, "day", "user_id", signups, "user_id")
     return latest.select("user_id", "day", r6("purchase_value").alias("purchase_value"),
                          r6("error_value").alias("error_value"))
 
