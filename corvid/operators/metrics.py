@@ -93,7 +93,9 @@ def kde_grid(df: DataFrame, col: str, points: int = 1000, cutoff: float = 8.0) -
     x = F.col(col).cast("double")
     j_lo = F.greatest(F.ceil((x - cutoff * h - g0) / step), F.lit(0)).cast("int")
     j_hi = F.least(F.floor((x + cutoff * h - g0) / step), F.lit(points - 1)).cast("int")
-    near = df.where(F.col(col).isNotNull()).select(x.alias("x"), F.explode(F.sequence(j_lo, j_hi)).alias("j"))
+    # (sequence would count down when no grid point is in reach)
+    js = F.when(j_lo <= j_hi, F.sequence(j_lo, j_hi)).otherwise(F.array().cast("array<int>"))
+    near = df.where(F.col(col).isNotNull()).select(x.alias("x"), F.explode(js).alias("j"))
     z = (F.lit(g0) + F.col("j") * F.lit(step) - F.col("x")) / F.lit(h)
     sums = near.groupBy("j").agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("_s"))
     norm = n * h * math.sqrt(2 * math.pi)

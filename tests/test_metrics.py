@@ -74,3 +74,16 @@ def test_prefix_sums_any_bucket_count(spark):
                 run += int(o) % 7
                 assert got[o] == run
         assert got == ref
+
+
+def test_kde_narrow_bandwidth_has_no_spurious_terms(spark):
+    # two tight clusters far apart: most grid points are out of every value's reach
+    x = np.r_[np.zeros(50), np.full(50, 1000.0)] + np.linspace(0, 1e-3, 100)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    got = metrics.kde_grid(df, "x", points=1000).orderBy("j").toPandas()
+    h = x.std(ddof=1) * len(x) ** -0.2
+    rng = x.max() - x.min()
+    grid = np.linspace(x.min() - rng / 2, x.max() + rng / 2, 1000)
+    z = (grid[:, None] - x[None, :]) / h
+    dens = np.where(np.abs(z) <= 8, np.exp(-0.5 * z ** 2), 0).sum(1) / (len(x) * h * math.sqrt(2 * math.pi))
+    assert np.allclose(got.density.to_numpy(), dens, rtol=1e-9, atol=1e-15)

@@ -16,11 +16,12 @@ def test_exact_split_matches_brute_force(spark):
         assert got == _brute(range(1000), share, seed)
 
 
-def test_bucket_depth_does_not_change_rows(spark):
-    df = spark.range(3000).withColumnRenamed("id", "key")
+def test_bucket_refinement_does_not_change_rows(spark):
+    df = spark.range(20000).withColumnRenamed("id", "key")
     a = {r.key for r in exact_split(df, "key", 0.3, 1).filter("is_test").collect()}
-    b = {r.key for r in exact_split(df, "key", 0.3, 1, rows_per_bucket=10).filter("is_test").collect()}
-    assert a == b and len(a) == math.ceil(0.3 * 3000)
+    # ~5 rows per 3-digit bucket > 2: the cut bucket is refined by two more digits
+    b = {r.key for r in exact_split(df, "key", 0.3, 1, rows_per_bucket=2).filter("is_test").collect()}
+    assert a == b == _brute(range(20000), 0.3, 1)
 
 
 def test_parts_disjoint_and_complete(spark):
