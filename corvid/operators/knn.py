@@ -21,10 +21,12 @@ label (``mode(..., deterministic=True)``)."""
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
@@ -33,6 +35,10 @@ from corvid.session import materialize
 
 METRICS = ("euclidean", "manhattan", "minkowski")
 
+# The task functions below run in Python workers: ship them by value, so the
+# executors need numpy/pandas but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def feature_vector(df: DataFrame, features: str | Sequence[str]) -> F.Column:
     """One ``array<double>`` from an array column or a list of numeric columns."""
