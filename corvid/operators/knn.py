@@ -100,16 +100,19 @@ def knn_neighbors(train: DataFrame, test: DataFrame, *, features: str | Sequence
                   label_col: str, train_id: str, test_id: str, k: int,
                   metric: str = "euclidean", p: float = 2.0,
                   weights: Sequence[float] | None = None, keep_cols: Sequence[str] = (),
-                  allow_fewer: bool = False, train_block_rows: int = 50_000,
-                  test_block_rows: int = 20_000, n_train: int | None = None,
-                  n_test: int | None = None, broadcast_bytes: int = 64 << 20) -> DataFrame:
+                  allow_fewer: bool = False, train_block_rows: int | None = None,
+                  test_block_rows: int | None = None, n_train: int | None = None,
+                  n_test: int | None = None, broadcast_bytes: int = 64 << 20,
+                  block_bytes: int = 128 << 20) -> DataFrame:
     """The ``k`` nearest training rows of every test row.
 
     Returns ``test_id, neighbor_id, neighbor_label, distance, rank`` plus the
     ``keep_cols`` of the test row.  ``k`` larger than the training set raises
     ``ValueError`` (K5) unless ``allow_fewer``, which then votes with all rows.
     ``n_train`` / ``n_test`` skip the count jobs when the sizes are known;
-    ``broadcast_bytes`` bounds the training matrix that may be broadcast."""
+    ``broadcast_bytes`` bounds the training matrix that may be broadcast;
+    ``block_bytes`` sizes the blocks (rows per block = bytes / row bytes,
+    unless ``train_block_rows`` / ``test_block_rows`` are given)."""
     power = _power(metric, p)
     n_train = train.count() if n_train is None else n_train
     if n_train == 0:
@@ -135,6 +138,9 @@ def knn_neighbors(train: DataFrame, test: DataFrame, *, features: str | Sequence
         return _with_root(cand, power)
 
     n_test = test.count() if n_test is None else n_test
+    row_bytes = 8 * (dim + 2)
+    train_block_rows = train_block_rows or max(1_000, block_bytes // row_bytes)
+    test_block_rows = test_block_rows or max(1_000, block_bytes // (4 * row_bytes))
     n_rb = max(1, math.ceil(n_train / train_block_rows))
     n_tb = max(1, math.ceil(n_test / test_block_rows))
     r = (r.withColumn("_rb", F.pmod(F.xxhash64("_rid"), F.lit(n_rb)).cast("int"))
