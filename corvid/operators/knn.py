@@ -132,12 +132,17 @@ def knn_neighbors(train: DataFrame, test: DataFrame, *, features: str | Sequence
         dim = r.select(F.size("_x")).first()[0] or 0
     else:
         dim = 1 if isinstance(features, str) else len(features)
+    n_test = test.count() if n_test is None else n_test
     if n_train * (dim + 2) * 8 <= broadcast_bytes:
+        # the scoring is n_test * n_train * dim work: when that is large, spread
+        # the test rows over all cores instead of keeping the scan's partitions
+        par = test.sparkSession.sparkContext.defaultParallelism
+        if n_test * n_train * max(dim, 1) > 5e7 and test.rdd.getNumPartitions() < par:
+            test = test.repartition(par)
         cand = _broadcast_neighbours(r, test, test_id, features, keep_cols, k, power, w, qid_t,
                                      keep_fields, rid_t, lab_t)
         return _with_root(cand, power)
 
-    n_test = test.count() if n_test is None else n_test
     row_bytes = 8 * (dim + 2)
     train_block_rows = train_block_rows or max(1_000, block_bytes // row_bytes)
     test_block_rows = test_block_rows or max(1_000, block_bytes // (4 * row_bytes))
