@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from corvid.session import materialize
+from corvid.session import materialize, spread
 
 METRICS = ("euclidean", "manhattan", "minkowski")
 
@@ -136,9 +136,7 @@ def knn_neighbors(train: DataFrame, test: DataFrame, *, features: str | Sequence
     if n_train * (dim + 2) * 8 <= broadcast_bytes:
         # the scoring is n_test * n_train * dim work: when that is large, spread
         # the test rows over all cores instead of keeping the scan's partitions
-        par = test.sparkSession.sparkContext.defaultParallelism
-        if n_test * n_train * max(dim, 1) > 5e7 and test.rdd.getNumPartitions() < par:
-            test = test.repartition(par)
+        test = spread(test, n_test * n_train * max(dim, 1))
         cand = _broadcast_neighbours(r, test, test_id, features, keep_cols, k, power, w, qid_t,
                                      keep_fields, rid_t, lab_t)
         return _with_root(cand, power)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.operators.scan import prefix_sums
-from corvid.session import materialize
+from corvid.session import materialize, spread
 
 
 def value_shares(df: DataFrame, col: str, by: Sequence[str] = (), share_col: str = "share") -> DataFrame:
@@ -95,7 +95,8 @@ def kde_grid(df: DataFrame, col: str, points: int = 1000, cutoff: float = 8.0) -
     j_hi = F.least(F.floor((x + cutoff * h - g0) / step), F.lit(points - 1)).cast("int")
     # (sequence would count down when no grid point is in reach)
     js = F.when(j_lo <= j_hi, F.sequence(j_lo, j_hi)).otherwise(F.array().cast("array<int>"))
-    near = df.where(F.col(col).isNotNull()).select(x.alias("x"), F.explode(js).alias("j"))
+    fan_out = 2 * cutoff * h / step + 1  # grid points per value
+    near = spread(df.where(F.col(col).isNotNull()), n * fan_out).select(x.alias("x"), F.explode(js).alias("j"))
     z = (F.lit(g0) + F.col("j") * F.lit(step) - F.col("x")) / F.lit(h)
     sums = near.groupBy("j").agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("_s"))
     norm = n * h * math.sqrt(2 * math.pi)

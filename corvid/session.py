@@ -59,3 +59,14 @@ def materialize(df):
     instead of recomputing the lineage.  (Never a local checkpoint.)"""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df, work: float, threshold: float = 5e7):
+    """Round-robin ``df`` over the default parallelism when the estimated
+    work on its rows is large and it has fewer partitions than cores (a small
+    input read as one file would otherwise run in one task).  Large inputs
+    already have enough partitions and are left as they are."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if work > threshold and df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
