@@ -513,3 +513,49 @@ def error_slice_density(spark, sf):
         k = metrics.kde_grid(d.select("n_chars_k"), "n_chars_k", points=200).withColumn("slice", F.lit(name))
         out = k if out is None else out.unionByName(k)
     return out.select("slice", "j", r6("x").alias("x"), F.round("density", 9).alias("density"))
+
+
+def _fixed_scores(spark, sf):
+    d = _doc_model_table(spark, sf)
+    p = logit.logistic_score(DOC_MODEL_FEATURES, FIXED_INTERCEPT, FIXED_COEFS, degree=2)
+    return d.withColumn("p_quality", p).withColumn("prediction", (F.col("p_quality") > 0.5).cast("int"))
+
+
+@register
+def logit_fixed_auc(spark, sf):
+    """A11 on model output: AUC of the fixed model's probabilities."""
+    return metrics.auc(_fixed_scores(spark, sf), "quality", "p_quality").select(r6("auc").alias("auc"))
+
+
+@register
+def logit_fixed_confusion(spark, sf):
+    """A9 on model output: confusion of the fixed model's hard predictions."""
+    return metrics.confusion_matrix(_fixed_scores(spark, sf), "quality", "prediction", labels=[0, 1])
+
+
+@register
+def logit_evaluation(spark, sf):
+    """The reference's evaluation of the fitted model: test AUC, and accuracy
+    and confusion cells on the test and the training part (rows-only check:
+    the fit is iterative)."""
+    train, test = split_parts(_doc_model_table(spark, sf), "doc_id", 0.2, seed=42)
+    model = logit.fit_poly_logit(train, DOC_MODEL_FEATURES, "quality", C=1e-5)
+    out = []
+    for part, d in (("test", test), ("train", train)):
+        pred = materialize(logit.predict_proba(model, d, prob_col="p").withColumn(
+            "prediction", F.col("prediction").cast("int")))
+        acc = knn.accuracy(pred, "prediction", "quality").select(F.lit("accuracy").alias("metric"),
+                                                                  r6("accuracy").alias("value"))
+        cells = pred.groupBy("quality", "prediction").count().select(
+            F.format_string("actual_%s_pred_%s", "quality", "prediction").alias("metric"),
+            F.col("count").cast("double").alias("value"))
+        parts = [acc, cells]
+        if part == "test":
+            parts.append(metrics.auc(pred, "quality", "p").select(F.lit("auc").alias("metric"),
+                                                                  r6("auc").alias("value")))
+        for x in parts:
+            out.append(x.withColumn("part", F.lit(part)))
+    res = out[0]
+    for x in out[1:]:
+        res = res.unionByName(x)
+    return res.select("part", "metric", "value")

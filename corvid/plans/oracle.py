@@ -394,3 +394,19 @@ ORACLE_SQL["error_slice_density"] = f"""
   SELECT 'wrong' AS slice, * FROM ({_kde_sql(f"SELECT n_chars_k AS x FROM ({DOC_SCORED}) WHERE prediction <> quality", 200)})
   UNION ALL
   SELECT 'all', * FROM ({_kde_sql(f"SELECT n_chars_k AS x FROM ({DOC_SCORED})", 200)})"""
+
+FIXED_SCORED = f"""SELECT doc_id, quality, {FIXED_P} AS p, CAST({FIXED_P} > 0.5 AS INTEGER) AS pred
+  FROM ({DOC_MODEL})"""
+FIXED_COUNTS = f"""SELECT p AS score, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS pos,
+  sum(CASE WHEN quality = 1 THEN 0 ELSE 1 END) AS neg FROM ({FIXED_SCORED}) GROUP BY p"""
+
+ORACLE_SQL.update({
+    "logit_fixed_auc": f"""
+      SELECT round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+                        THEN sum(pos * (cneg + neg * 0.5)) / (sum(pos) * sum(neg)) END, 6) AS auc
+      FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                  AS cneg FROM ({FIXED_COUNTS}))""",
+    "logit_fixed_confusion": f"""
+      SELECT quality, count(*) FILTER (WHERE pred = 0) AS pred_0, count(*) FILTER (WHERE pred = 1) AS pred_1
+      FROM ({FIXED_SCORED}) GROUP BY quality""",
+})

@@ -40,7 +40,7 @@ def test_entry_and_contract(spark):
     assert {r.part for r in out} == {"held_out", "training"}
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == {"logit_fit_predict"}
+    assert set(qs) - set(sql) == {"logit_fit_predict", "logit_evaluation"}
 
 
 def test_some_oracles_small_sf(spark):
