@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.operators import knn
+from corvid.functions import clip, false_if_null, keep_if, not_equal_null_safe
+from corvid.operators import clean, encode, joins, knn, logit, metrics, timeseries as ts, tournament
 from corvid.operators.split import exact_split, split_parts
 from corvid.session import materialize
 from corvid.sources import read_table
@@ -151,8 +152,6 @@ def knn_label_file_accuracy(spark, sf):
 
 # ------------------------------------------------------------ cleaning, joins
 
-from corvid.functions import clip, false_if_null, keep_if, not_equal_null_safe  # noqa: E402
-from corvid.operators import clean, encode, joins, timeseries as ts, tournament  # noqa: E402
 
 # Segment renames used by the cleaning query.
 SEGMENT_RENAMES = {"HOUSEHOLD": "HOME", "AUTOMOBILE": "AUTO"}
@@ -327,8 +326,6 @@ def first_rows(spark, sf):
 
 # ------------------------------------------------------------------ metrics
 
-from corvid.operators import logit, metrics  # noqa: E402
-
 
 def _scored_docs(spark, sf):
     docs = read_table(spark, sf, "documents", ["doc_id", "n_chars", "lang"])

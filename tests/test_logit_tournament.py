@@ -78,3 +78,21 @@ def test_bracket_rounds(spark):
     rep = tournament.round_report(rounds, teams.withColumn("name", F.concat(F.lit("T"), "team")), "team", "name")
     assert rep.count() == 15
     assert all(" vs. " in r.label for r in rep.collect())
+
+
+def test_fold_cut_is_inclusive_for_away(spark):
+    slots = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 2, 3), (0, 3, 4)], "bracket int, slot int, team long")
+    ratings = spark.createDataFrame([(1, 0.8), (2, 0.0), (3, 0.81), (4, 0.0)], "team long, r double")
+    # P(home) is the home rating itself: 0.8 -> away wins (p <= cut), 0.81 -> home wins
+    prob = lambda h, a: h
+    r1 = {r.pair: r.winner for r in tournament.fold_round(slots, ["bracket"], "team", ratings, "r", prob).collect()}
+    assert r1 == {0: 2, 1: 3}
+
+
+def test_top2_ties(spark):
+    st = spark.createDataFrame([
+        (0, 0, 1, 3, 1.2), (0, 0, 2, 3, 1.5), (0, 0, 3, 3, 1.5), (0, 0, 4, 0, 0.1),  # tie on points; full tie 2/3
+    ], "bracket int, grp int, team long, points int, total_prob double")
+    order = [F.col("points").desc(), F.col("total_prob").desc(), F.col("team")]
+    top = tournament.top_per_group(st, ["bracket", "grp"], order, 2).orderBy("place").collect()
+    assert [(r.team, r.place) for r in top] == [(2, 1), (3, 2)]
