@@ -115,14 +115,14 @@ def test_minkowski_power(spark):
 
 
 def test_weight_units_change_neighbours(spark):
-    train = spark.createDataFrame([(1, 150.0, 1, "A"), (2, 151.0, 5, "B"), (3, 190.0, 1, "C")],
+    train = spark.createDataFrame([(1, 150.0, 1, "A"), (2, 151.0, 5, "B"), (3, 195.0, 1, "C")],
                                   "id long, Weight double, Colour int, Label string")
     test = spark.createDataFrame([(9, 170.0, 1)], "id long, Weight double, Colour int")
     kw = dict(features=["Weight", "Colour"], label_col="Label", train_id="id", test_id="id", k=1)
     grams = knn.knn_predict(train, test, **kw).first().prediction
     kg = knn.knn_predict(train.withColumn("Weight", F.col("Weight") / 1000),
                          test.withColumn("Weight", F.col("Weight") / 1000), **kw).first().prediction
-    # grams: d^2 = 400 (A), 19^2 + 4^2 = 377 (B), 400 (C) -> B
+    # grams: d^2 = 400 (A), 19^2 + 4^2 = 377 (B), 625 (C) -> B
     assert grams == "B"
-    # kg: the colour dominates; A and C tie at 0.02^2 -> smaller key -> A
+    # kg: the colour dominates: 0.02^2 (A) < 0.025^2 (C) < 16 (B) -> A
     assert kg == "A"
