@@ -128,18 +128,21 @@ def knn_pseudo_refit(spark, sf):
                                   **_sizes(parts))
 
 
-def _doc_features(spark, sf):
+def _labelled_doc_features(spark, sf):
+    """(doc_id, n_chars, n_spaces, quality) of the labelled documents; the
+    join comes first so the whole-text work runs only for them."""
     docs = read_table(spark, sf, "documents", ["doc_id", "text", "n_chars"])
+    labels = read_table(spark, sf, "labels", ["doc_id", "quality"])
+    d = docs.join(labels, "doc_id")
     spaces = F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))
-    return docs.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"),
-                       spaces.cast("double").alias("n_spaces"))
+    return d.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"),
+                    spaces.cast("double").alias("n_spaces"), "quality")
 
 
 @register
 def knn_label_file_accuracy(spark, sf):
     labels = read_table(spark, sf, "labels", ["doc_id", "quality"])
-    labelled = _doc_features(spark, sf).join(labels, "doc_id")
-    parts = split_parts(labelled, "doc_id", 0.25, seed=0)
+    parts = split_parts(_labelled_doc_features(spark, sf), "doc_id", 0.25, seed=0)
     train, test = parts
     pred = knn.knn_predict(train, test.drop("quality"), features=["n_chars", "n_spaces"],
                            label_col="quality", train_id="doc_id", test_id="doc_id", k=5,
@@ -374,10 +377,10 @@ DOC_MODEL_FEATURES = ["n_chars_k", "n_spaces_k", "is_en"]
 def _doc_model_table(spark, sf):
     docs = read_table(spark, sf, "documents", ["doc_id", "text", "n_chars", "lang"])
     labels = read_table(spark, sf, "labels", ["doc_id", "quality"])
+    d = docs.join(labels, "doc_id")  # join first: text work only for labelled documents
     spaces = F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))
-    d = docs.select("doc_id", (F.col("n_chars") / 1000).alias("n_chars_k"), (spaces / 1000).alias("n_spaces_k"),
-                    (F.col("lang") == "en").cast("double").alias("is_en"))
-    return d.join(labels, "doc_id")
+    return d.select("doc_id", (F.col("n_chars") / 1000).alias("n_chars_k"), (spaces / 1000).alias("n_spaces_k"),
+                    (F.col("lang") == "en").cast("double").alias("is_en"), "quality")
 
 
 @register
@@ -496,9 +499,7 @@ def round_report(spark, sf):
 def error_slice_density(spark, sf):
     """Density of a feature over the misclassified rows against all rows
     (KNN on documents predicting the quality label)."""
-    labels = read_table(spark, sf, "labels", ["doc_id", "quality"])
-    labelled = _doc_features(spark, sf).join(labels, "doc_id")
-    parts = split_parts(labelled, "doc_id", 0.25, seed=0)
+    parts = split_parts(_labelled_doc_features(spark, sf), "doc_id", 0.25, seed=0)
     train, test = parts
     pred = knn.knn_predict(train, test.drop("quality"), features=["n_chars", "n_spaces"],
                            label_col="quality", train_id="doc_id", test_id="doc_id", k=5, **_sizes(parts))
