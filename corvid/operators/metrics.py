@@ -51,16 +51,39 @@ def _score_counts(df: DataFrame, label: str, score: str, positive=1) -> DataFram
         F.sum(pos).alias("pos"), F.sum(F.lit(1) - pos).alias("neg")))
 
 
-def roc_points(df: DataFrame, label: str, score: str, positive=1, n_buckets: int = 64) -> DataFrame:
+def roc_points(df: DataFrame, label: str, score: str, positive=1, n_buckets: int = 64,
+               drop_intermediate: bool = False, with_origin: bool = False) -> DataFrame:
     """A10: (threshold, fpr, tpr) at every distinct score, highest first.
-    All points are kept (no pruning of collinear points)."""
+
+    By default all points are kept.  ``drop_intermediate`` drops the points
+    whose false and true positive counts both lie on a straight line with
+    their neighbours (zero second difference), keeping the first and last --
+    the usual pruning of collinear points.  The neighbours come from a rank
+    (two-phase prefix count) and two equi-joins on rank +- 1, not from a
+    global window.  ``with_origin`` adds the (0, 0) start point with a NULL
+    threshold."""
     sc = _score_counts(df, label, score, positive)
-    cum = prefix_sums(sc, "score", ["pos", "neg"], ascending=False, n_buckets=n_buckets)
-    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
-    p_tot, n_tot = tot["P"] or 0, tot["N"] or 0
-    return cum.select(F.col("score").alias("threshold"),
-                      F.try_divide(F.col("cum_neg").cast("double"), F.lit(float(n_tot))).alias("fpr"),
-                      F.try_divide(F.col("cum_pos").cast("double"), F.lit(float(p_tot))).alias("tpr"))
+    cum = prefix_sums(sc.withColumn("_one", F.lit(1)), "score", ["pos", "neg", "_one"], ascending=False,
+                      n_buckets=n_buckets)
+    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("D")).first()
+    p_tot, n_tot, n_pts = tot["P"] or 0, tot["N"] or 0, tot["D"]
+    pts = cum.select(F.col("score").alias("threshold"), F.col("cum__one").alias("_rank"),
+                     F.col("cum_pos").alias("_tp"), F.col("cum_neg").alias("_fp"))
+    if drop_intermediate and n_pts > 2:
+        prev = pts.select((F.col("_rank") + 1).alias("_rank"), F.col("_tp").alias("_tp0"), F.col("_fp").alias("_fp0"))
+        nxt = pts.select((F.col("_rank") - 1).alias("_rank"), F.col("_tp").alias("_tp2"), F.col("_fp").alias("_fp2"))
+        j = pts.join(prev, "_rank", "left").join(nxt, "_rank", "left")
+        bend = ((F.col("_fp0") - 2 * F.col("_fp") + F.col("_fp2")) != 0) | \
+               ((F.col("_tp0") - 2 * F.col("_tp") + F.col("_tp2")) != 0)
+        pts = j.filter(F.col("_tp0").isNull() | F.col("_tp2").isNull() | bend).select(*pts.columns)
+    if with_origin:
+        origin = sc.limit(1).select(F.lit(None).cast(sc.schema["score"].dataType).alias("threshold"),
+                                    F.lit(0).cast("long").alias("_rank"), F.lit(0).cast("long").alias("_tp"),
+                                    F.lit(0).cast("long").alias("_fp"))
+        pts = origin.unionByName(pts)
+    return pts.select("threshold",
+                      F.try_divide(F.col("_fp").cast("double"), F.lit(float(n_tot))).alias("fpr"),
+                      F.try_divide(F.col("_tp").cast("double"), F.lit(float(p_tot))).alias("tpr"))
 
 
 def auc(df: DataFrame, label: str, score: str, positive=1, n_buckets: int = 64) -> DataFrame:

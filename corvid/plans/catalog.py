@@ -348,6 +348,12 @@ def roc_points(spark, sf):
     return out.select("threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
 
 
+@register
+def roc_points_pruned(spark, sf):
+    out = metrics.roc_points(_scored_docs(spark, sf), "quality", "n_chars", drop_intermediate=True)
+    return out.select("threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+
+
 @register
 def auc(spark, sf):
     return metrics.auc(_scored_docs(spark, sf), "quality", "n_chars").select(r6("auc").alias("auc"))

@@ -410,3 +410,17 @@ ORACLE_SQL.update({
       SELECT quality, count(*) FILTER (WHERE pred = 0) AS pred_0, count(*) FILTER (WHERE pred = 1) AS pred_1
       FROM ({FIXED_SCORED}) GROUP BY quality""",
 })
+
+ORACLE_SQL["roc_points_pruned"] = f"""
+  WITH c AS (
+    SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp
+    FROM ({SCORE_COUNTS})
+    WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  n AS (
+    SELECT *, lag(tp) OVER o AS tp0, lead(tp) OVER o AS tp2, lag(fp) OVER o AS fp0, lead(fp) OVER o AS fp2
+    FROM c WINDOW o AS (ORDER BY score DESC))
+  SELECT score AS threshold,
+         round(fp / (SELECT sum(neg) FROM ({SCORE_COUNTS})), 6) AS fpr,
+         round(tp / (SELECT sum(pos) FROM ({SCORE_COUNTS})), 6) AS tpr
+  FROM n
+  WHERE tp0 IS NULL OR tp2 IS NULL OR fp0 - 2 * fp + fp2 <> 0 OR tp0 - 2 * tp + tp2 <> 0"""

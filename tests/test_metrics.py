@@ -87,3 +87,30 @@ def test_kde_narrow_bandwidth_has_no_spurious_terms(spark):
     z = (grid[:, None] - x[None, :]) / h
     dens = np.where(np.abs(z) <= 8, np.exp(-0.5 * z ** 2), 0).sum(1) / (len(x) * h * math.sqrt(2 * math.pi))
     assert np.allclose(got.density.to_numpy(), dens, rtol=1e-9, atol=1e-15)
+
+
+def _pruned_reference(scores, labels):
+    """Collinear-point pruning written out with numpy (no library ROC at hand)."""
+    order = np.argsort(-scores, kind="stable")
+    s, y = scores[order], labels[order]
+    distinct = np.r_[np.where(np.diff(s))[0], len(s) - 1]
+    tps = np.cumsum(y)[distinct]
+    fps = (1 + distinct) - tps
+    keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+    return s[distinct][keep], fps[keep] / fps[-1], tps[keep] / tps[-1]
+
+
+def test_roc_pruning_matches_reference(spark):
+    rng = np.random.default_rng(3)
+    scores = rng.integers(0, 40, 300).astype(float)
+    labels = (rng.random(300) < 0.4).astype(int)
+    df = spark.createDataFrame([(int(l), float(sc)) for l, sc in zip(labels, scores)], "label int, score double")
+    got = metrics.roc_points(df, "label", "score", drop_intermediate=True, n_buckets=5).orderBy(
+        F.desc("threshold")).toPandas()
+    th, fpr, tpr = _pruned_reference(scores, labels)
+    assert list(got.threshold) == list(th)
+    assert np.allclose(got.fpr, fpr) and np.allclose(got.tpr, tpr)
+    full = metrics.roc_points(df, "label", "score").count()
+    assert len(got) < full
+    origin = metrics.roc_points(df, "label", "score", with_origin=True).filter(F.col("threshold").isNull()).first()
+    assert (origin.fpr, origin.tpr) == (0.0, 0.0)
