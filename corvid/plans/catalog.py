@@ -96,6 +96,18 @@ def _part_parts(spark, sf):
     return split_parts(part, "p_partkey", 0.25, seed=0)
 
 
+@register
+def knn_confusion(spark, sf):
+    """A9 on KNN output: multi-class confusion of the held-out predictions;
+    the label list comes from the data (bounded category list)."""
+    parts = _embedding_parts(spark, sf)
+    train, test = parts
+    pred = knn.knn_predict(train, test.withColumnRenamed("label", "actual"), features="embedding",
+                           label_col="label", train_id="vec_id", test_id="vec_id", k=7,
+                           keep_cols=["actual"], **_sizes(parts))
+    return metrics.confusion_matrix(pred, "actual", "prediction")
+
+
 @register
 def knn_scaled_feature(spark, sf):
     parts = _part_parts(spark, sf)  # one split, both unit scales

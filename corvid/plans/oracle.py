@@ -424,3 +424,9 @@ ORACLE_SQL["roc_points_pruned"] = f"""
          round(tp / (SELECT sum(pos) FROM ({SCORE_COUNTS})), 6) AS tpr
   FROM n
   WHERE tp0 IS NULL OR tp2 IS NULL OR fp0 - 2 * fp + fp2 <> 0 OR tp0 - 2 * tp + tp2 <> 0"""
+
+_PRED_CELLS = ", ".join(f"count(*) FILTER (WHERE p.prediction = {i}) AS pred_{i}" for i in range(10))
+ORACLE_SQL["knn_confusion"] = f"""
+  SELECT e.label AS actual, {_PRED_CELLS}
+  FROM ({_knn_vote(EMB_TRAIN, EMB_TEST, 'vec_id', 'label', EUCL, 7)}) p JOIN embeddings e USING (vec_id)
+  GROUP BY e.label"""
