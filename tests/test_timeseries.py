@@ -104,3 +104,17 @@ def test_pandas_reference_for_fill(spark):
     exp = pdf.copy()
     exp["v"] = exp.groupby("k")["v"].ffill()
     assert got["v"].fillna(-1).tolist() == exp["v"].fillna(-1).tolist()
+
+
+def test_asof_many_left_keeps_rows(spark):
+    r1 = spark.createDataFrame([("A", d("2018-01-02"), 1.0), ("A", d("2018-01-05"), 2.0)], "k string, day date, a double")
+    r2 = spark.createDataFrame([("A", d("2018-01-01"), 10.0), ("A", d("2018-01-03"), 30.0)], "k string, day date, b double")
+    left = spark.createDataFrame([(1, "A", d("2018-01-01")), (2, "A", d("2018-01-03")), (3, "A", d("2018-01-04")),
+                                  (4, "B", d("2018-01-03"))], "id int, k string, day date")
+    rights = [(r1.withColumnsRenamed({"k": "k1", "day": "d1"}), "k1", "d1", ["a"]),
+              (r2.withColumnsRenamed({"k": "k2", "day": "d2"}), "k2", "d2", ["b"])]
+    got = {r.id: (r.a, r.b) for r in ts.asof_join_many(left, "k", "day", rights, how="left").collect()}
+    # a: range 01-02..01-05; b: range 01-01..01-03
+    assert got == {1: (None, 10.0), 2: (1.0, 30.0), 3: (1.0, None), 4: (None, None)}
+    inner = {r.id for r in ts.asof_join_many(left, "k", "day", rights).collect()}
+    assert inner == {2}
