@@ -70,6 +70,7 @@ def roc_points(df: DataFrame, label: str, score: str, positive=1, n_buckets: int
     pts = cum.select(F.col("score").alias("threshold"), F.col("cum__one").alias("_rank"),
                      F.col("cum_pos").alias("_tp"), F.col("cum_neg").alias("_fp"))
     if drop_intermediate and n_pts > 2:
+        pts = materialize(pts)  # read three times: the points and both neighbour joins
         prev = pts.select((F.col("_rank") + 1).alias("_rank"), F.col("_tp").alias("_tp0"), F.col("_fp").alias("_fp0"))
         nxt = pts.select((F.col("_rank") - 1).alias("_rank"), F.col("_tp").alias("_tp2"), F.col("_fp").alias("_fp2"))
         j = pts.join(prev, "_rank", "left").join(nxt, "_rank", "left")
