@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvid.session import materialize
+
 UNB = Window.unboundedPreceding
 
 
@@ -78,18 +80,23 @@ def ffill(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], value_c
 
 
 def ffill_across_keys(df: DataFrame, key: str, order_cols: Sequence[str], value_cols: Sequence[str],
-                      segment: Column | None = None, key_bucket_width: int = 1024) -> DataFrame:
+                      segment: Column | None = None, key_buckets: int | None = None) -> DataFrame:
     """W2 parity option: a fill over the whole table in (key, order) order, so a
     key's leading gap takes the previous key's last value.
 
-    Done as a per-key fill plus one carry value per key; the carry runs over
-    the per-key summary in numeric key buckets (two levels), so no step puts
-    all rows -- or all keys -- in one partition."""
+    Done as a per-key fill plus one carry value per key.  The carry runs over
+    the per-key summary in two levels: keys are cut into ``key_buckets``
+    order-preserving buckets (range partitions of the summary, any orderable
+    key type), a window inside each bucket, then a carry across the bucket
+    summaries -- so no step puts all rows, or all keys, in one partition."""
     per_key = ffill(df, [key], order_cols, value_cols, segment)
     ords = F.struct(*order_cols)
     last_of_key = df.groupBy(key).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), ords)).alias(c) for c in value_cols])
-    last_of_key = last_of_key.withColumn("_kb", F.floor(F.col(key) / key_bucket_width))
+    nb = key_buckets or df.sparkSession.sparkContext.defaultParallelism
+    # range partition i holds smaller keys than partition i + 1; stored once so
+    # both readers below see the same buckets
+    last_of_key = materialize(last_of_key.repartitionByRange(nb, key).withColumn("_kb", F.spark_partition_id()))
     w_in = Window.partitionBy("_kb").orderBy(key).rowsBetween(UNB, -1)
     inner = last_of_key.select(key, "_kb", *[F.last(c, True).over(w_in).alias(f"_in_{c}") for c in value_cols])
     across = segment_carry(last_of_key, [], "_kb", [key], value_cols)

@@ -270,7 +270,7 @@ def daily_grid_ffill(spark, sf):
 @register
 def ffill_across_keys(spark, sf):
     d = ts.ffill_across_keys(_grid(spark, sf), "user_id", ["day"], ["purchase_value", "error_value"],
-                             segment=_month(F.col("day")), key_bucket_width=16)
+                             segment=_month(F.col("day")), key_buckets=8)
     return d.select("user_id", "day", r6("purchase_value").alias("purchase_value"),
                     r6("error_value").alias("error_value"))
 

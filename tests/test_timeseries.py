@@ -45,7 +45,10 @@ def test_grid_and_fill(spark):
 def test_across_keys_matches_table_wide_fill(spark):
     daily = ts.daily_first(_rankings(spark), ["country"], "day", "ord", ["rank", "points"])
     grid = ts.daily_grid(daily, ["country"], "day").withColumn("ck", F.ascii("country").cast("long"))
-    got = ts.ffill_across_keys(grid, "ck", ["day"], ["rank", "points"], key_bucket_width=1).toPandas()
+    got = ts.ffill_across_keys(grid, "ck", ["day"], ["rank", "points"], key_buckets=3).toPandas()
+    by_name = ts.ffill_across_keys(grid, "country", ["day"], ["rank", "points"], key_buckets=2).toPandas()
+    assert by_name.sort_values(["ck", "day"])["rank"].fillna(-1).tolist() == \
+        got.sort_values(["ck", "day"])["rank"].fillna(-1).tolist()  # string keys work too
     pdf = grid.toPandas().sort_values(["ck", "day"])
     pdf[["rank", "points"]] = pdf[["rank", "points"]].ffill()
     got = got.sort_values(["ck", "day"])
