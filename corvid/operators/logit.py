@@ -81,3 +81,23 @@ def logistic_score(feature_cols: Sequence[str | Column], intercept: float, coefs
 def coefficients(model: PipelineModel) -> tuple[float, list[float]]:
     lr = model.stages[-1]
     return float(lr.intercept), [float(x) for x in lr.coefficients.toArray()]
+
+
+def spark_poly2_order(n: int) -> list[tuple[int, ...]]:
+    """Monomials of Spark's degree-2 ``PolynomialExpansion`` in output order:
+    for each input j, x_j followed by x_i * x_j for i <= j."""
+    out: list[tuple[int, ...]] = []
+    for j in range(n):
+        out.append((j,))
+        out += [(i, j) for i in range(j + 1)]
+    return out
+
+
+def conventional_coefficients(model: PipelineModel, n_features: int) -> tuple[float, list[float]]:
+    """The fitted degree-2 model's (intercept, coefficients) in the order of
+    ``linear_terms`` / ``logistic_score`` (inputs, then x_i * x_j, i <= j), so
+    a trained model can be applied as a plain column expression."""
+    b0, w = coefficients(model)
+    by_term = dict(zip(spark_poly2_order(n_features), w))
+    order = [(j,) for j in range(n_features)] + [(i, j) for i in range(n_features) for j in range(i, n_features)]
+    return b0, [by_term[t] for t in order]

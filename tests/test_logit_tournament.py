@@ -96,3 +96,16 @@ def test_top2_ties(spark):
     order = [F.col("points").desc(), F.col("total_prob").desc(), F.col("team")]
     top = tournament.top_per_group(st, ["bracket", "grp"], order, 2).orderBy("place").collect()
     assert [(r.team, r.place) for r in top] == [(2, 1), (3, 2)]
+
+
+def test_fitted_model_as_expression(spark):
+    rng = np.random.default_rng(7)
+    X = rng.normal(size=(200, 3))
+    y = (X[:, 0] - X[:, 1] * X[:, 2] + rng.normal(size=200) > 0).astype(float)
+    df = spark.createDataFrame([(i, *map(float, x), float(t)) for i, (x, t) in enumerate(zip(X, y))],
+                               "id long, a double, b double, c double, y double")
+    model = logit.fit_poly_logit(df, ["a", "b", "c"], "y", C=1.0)
+    b0, w = logit.conventional_coefficients(model, 3)
+    via_model = {r.id: r.p for r in logit.predict_proba(model, df).collect()}
+    via_expr = {r.id: r.p for r in df.select("id", logit.logistic_score(["a", "b", "c"], b0, w).alias("p")).collect()}
+    assert all(abs(via_model[i] - via_expr[i]) < 1e-12 for i in via_model)
