@@ -62,3 +62,10 @@ def test_neighbour_slot_pairing(spark):
 def test_first_rows(spark):
     df = spark.range(20).withColumn("k", 19 - F.col("id"))
     assert [r.k for r in clean.first_rows(df, ["k"]).collect()] == [0, 1, 2, 3, 4]
+
+
+def test_replace_by_table(spark):
+    df = spark.createDataFrame([(1, "Germany DR"), (2, "China"), (3, "Spain"), (4, None)], "id int, team string")
+    mapping = spark.createDataFrame([("Germany DR", "Germany"), ("China", "China PR")], "old string, new string")
+    out = {r.id: r.team for r in clean.replace_by_table(df, "team", mapping).collect()}
+    assert out == {1: "Germany", 2: "China PR", 3: "Spain", 4: None}

@@ -38,3 +38,19 @@ def test_null_semantics(spark):
 def test_half(spark):
     df = spark.range(6).select(half("id").alias("h"))
     assert [r.h for r in df.collect()] == [0, 0, 1, 1, 2, 2]
+
+
+def test_dates(spark):
+    import datetime as dt
+
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from corvid.functions import days_between, to_day
+    df = spark.createDataFrame([("2018-06-14", "2018-06-01"), ("bad", "2018-06-01")], "a string, b string")
+    rows = df.select(to_day("a", tolerant=True).alias("d"),
+                     days_between(to_day("a", tolerant=True), to_day("b")).alias("n")).collect()
+    assert rows[0].d == dt.date(2018, 6, 14) and rows[0].n == 13
+    assert rows[1].d is None and rows[1].n is None
+    with pytest.raises(PySparkException):
+        df.select(to_day("a")).collect()  # strict parse: bad text raises
