@@ -56,6 +56,13 @@ def _power(metric: str, p: float) -> float:
     return {"euclidean": 2.0, "manhattan": 1.0}.get(metric, float(p))
 
 
+def _matrix(values, dim: int) -> np.ndarray:
+    """Stack feature vectors; a missing vector (or value) becomes NaN, which
+    the distance turns into +inf: such neighbours rank last, no row is lost."""
+    rows = [np.full(dim, np.nan) if v is None else np.asarray(v, dtype=np.float64) for v in values]
+    return np.stack(rows) if rows else np.zeros((0, dim))
+
+
 def _block_neighbours(q_ids, q_x, r_ids, r_lab, r_x, k, power, weights, max_cells=2_000_000):
     """k best (distance, train id) per query row; distances accumulate one
     feature at a time so the sum order is fixed."""
@@ -129,7 +136,8 @@ def knn_neighbors(train: DataFrame, test: DataFrame, *, features: str | Sequence
     r = train.select(F.col(train_id).alias("_rid"), F.col(label_col).alias("_rlab"),
                      feature_vector(train, features).alias("_x"))
     if isinstance(features, str) and isinstance(train.schema[features].dataType, ArrayType):
-        dim = r.select(F.size("_x")).first()[0] or 0
+        dim = r.where(F.col("_x").isNotNull()).select(F.size("_x")).first()
+        dim = (dim[0] if dim else 0) or 0
     else:
         dim = 1 if isinstance(features, str) else len(features)
     n_test = test.count() if n_test is None else n_test
@@ -138,7 +146,7 @@ def knn_neighbors(train: DataFrame, test: DataFrame, *, features: str | Sequence
         # the test rows over all cores instead of keeping the scan's partitions
         test = spread(test, n_test * n_train * max(dim, 1))
         cand = _broadcast_neighbours(r, test, test_id, features, keep_cols, k, power, w, qid_t,
-                                     keep_fields, rid_t, lab_t)
+                                     keep_fields, rid_t, lab_t, dim)
         return _with_root(cand, power)
 
     row_bytes = 8 * (dim + 2)
@@ -159,8 +167,8 @@ def knn_neighbors(train: DataFrame, test: DataFrame, *, features: str | Sequence
     def per_block(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if qp.empty or rp.empty:
             return pd.DataFrame({c: [] for c in names})
-        q_x = np.stack(qp["_x"].to_numpy()).astype(np.float64)
-        r_x = np.stack(rp["_x"].to_numpy()).astype(np.float64)
+        q_x = _matrix(qp["_x"].to_numpy(), dim)
+        r_x = _matrix(rp["_x"].to_numpy(), dim)
         r_ids = rp["_rid"].to_numpy()
         qi, ri, dist, rank = _block_neighbours(qp["_qid"].to_numpy(), q_x, r_ids,
                                                rp["_rlab"].to_numpy(), r_x, k, power, w)
@@ -196,14 +204,13 @@ def _with_root(cand: DataFrame, power: float) -> DataFrame:
 
 
 def _broadcast_neighbours(r: DataFrame, test: DataFrame, test_id: str, features, keep_cols, k, power, w,
-                          qid_t, keep_fields, rid_t, lab_t) -> DataFrame:
+                          qid_t, keep_fields, rid_t, lab_t, dim: int) -> DataFrame:
     """Small training set: one broadcast of the training matrix (size checked
     by the caller), query rows scored in place by ``mapInPandas``."""
     pdf = r.toPandas()
     r_ids = pdf["_rid"].to_numpy()
     r_lab = pdf["_rlab"].to_numpy()
-    r_x = (np.stack(pdf["_x"].to_numpy()).astype(np.float64) if len(pdf)
-           else np.zeros((0, 0)))
+    r_x = _matrix(pdf["_x"].to_numpy(), dim)
     bc = test.sparkSession.sparkContext.broadcast((r_ids, r_lab, r_x))
     schema = _out_schema(test_id, qid_t, keep_fields, rid_t, lab_t)
     names = [f.name for f in schema.fields]
@@ -215,7 +222,7 @@ def _broadcast_neighbours(r: DataFrame, test: DataFrame, test_id: str, features,
         for qp in batches:
             if qp.empty:
                 continue
-            q_x = np.stack(qp["_x"].to_numpy()).astype(np.float64)
+            q_x = _matrix(qp["_x"].to_numpy(), x.shape[1])
             qi, ri, dist, rank = _block_neighbours(qp["_qid"].to_numpy(), q_x, ids, labs, x, k, power, w)
             res = {test_id: qp["_qid"].to_numpy()[qi]}
             for c in keep_cols:

@@ -126,3 +126,14 @@ def test_weight_units_change_neighbours(spark):
     assert grams == "B"
     # kg: the colour dominates: 0.02^2 (A) < 0.025^2 (C) < 16 (B) -> A
     assert kg == "A"
+
+
+def test_missing_features_do_not_fail_or_drop(spark):
+    train = spark.createDataFrame([(1, [0.0, 0.0], "a"), (2, [5.0, 5.0], "b"), (3, None, "c")],
+                                  "id long, v array<double>, l string")
+    test = spark.createDataFrame([(10, [0.1, 0.0]), (11, None), (12, [4.0, None])], "id long, v array<double>")
+    kw = dict(features="v", label_col="l", train_id="id", test_id="id", k=1)
+    for extra in ({}, {"broadcast_bytes": 0}):
+        out = {r.id: r.prediction for r in knn.knn_predict(train, test, **kw, **extra).collect()}
+        assert set(out) == {10, 11, 12}  # every test row kept
+        assert out[10] == "a"
