@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from corvid.llm import warc
+import public_tokenizers
+
+from corvid.llm import tokens, warc
 from corvid.llm.shared import read_table
 
 
@@ -12,4 +14,9 @@ def op1_warc(spark, sf_dir):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc,)}
+def op2_token_ids(spark, sf_dir):
+    """Byte-level BPE ids of every document, read back from the sequence files."""
+    return tokens.tokenize_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_ids)}
