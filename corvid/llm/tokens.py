@@ -13,7 +13,7 @@ is filled up, with id 0 and mask 0.
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,14 +38,14 @@ class PieceEncoder:
 
     A byte-level BPE tokenizer first cuts a text into pieces and encodes each piece
     alone.  A space next to a character that is not white space always begins a piece,
-    so texts are cut there; the ids of a part are kept in a table of at most about
+    so texts are cut there; the ids of a part are kept in a table of at most
     ``most`` parts, and only parts that are not in it are encoded: Latin words by the
     tokenizer's model (they are one piece), all others by the whole tokenizer.  Texts in
     which a space stands between white space are given to the tokenizer whole, and so
     are all texts when the tokenizer is found to cut otherwise.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         import tokenizers
 
         self.most = most
@@ -57,13 +57,8 @@ class PieceEncoder:
         self.space = cut(" ")[0] if cut(" ") else ""
         self.spell = _Spelling(pre)
         self.cuts = self.whole.normalizer is None and cut(" abc") == [self.space + "abc"] and len(cut("abc.\nD e!!b")) == 7
-        self.clear()
-
-    def clear(self):
         self.index: dict[str, int] = {}
-        self.ids, self.size = np.empty(1 << 20, np.uint32), 0
-        self.starts, self.lens = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-        self.unsure = np.empty(1 << 16, bool)
+        self.ids, self.starts, self.lens, self.unsure = (np.empty(0, t) for t in (np.uint32, np.int64, np.int64, bool))
 
     def _new(self, parts: list[str]) -> list[list[int]]:
         """Ids of new parts, each with the space before it."""
@@ -87,16 +82,22 @@ class PieceEncoder:
         return out
 
     def _add(self, parts: list[str]):
-        for part, ids in zip(parts, self._new(parts), strict=True):
-            k, n = len(self.index), len(ids)
-            if k == len(self.starts):
-                self.starts, self.lens, self.unsure = (np.resize(x, 2 * k) for x in (self.starts, self.lens, self.unsure))
-            if self.size + n > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids) + n)
-            self.ids[self.size:self.size + n] = ids
-            self.starts[k], self.lens[k], self.unsure[k] = self.size, n, not part or part[0].isspace()
-            self.index[part] = k
-            self.size += n
+        """Put new parts behind the known ones; beyond ``most`` they stay for this call only."""
+        ids = self._new(parts)
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))
+        unsure = np.fromiter((not x or x[0].isspace() for x in parts), bool, len(parts))
+        self.index.update(zip(parts, range(len(self.index), len(self.index) + len(parts)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
+        self.ids, self.lens, self.unsure = (np.concatenate(x) for x in ((self.ids, flat), (self.lens, n), (self.unsure, unsure)))
+
+    def _forget(self, parts: list[str]):
+        """Drop the last of the added parts again where there are more than ``most``."""
+        if len(self.index) > self.most:
+            for part in parts[len(parts) - (len(self.index) - self.most):]:
+                del self.index[part]
+            self.starts, self.lens, self.unsure = (x[: self.most] for x in (self.starts, self.lens, self.unsure))
+            self.ids = self.ids[: int(self.starts[-1] + self.lens[-1])]
 
     def encode(self, texts, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each closed by ``end``; ids of each text)
@@ -104,8 +105,6 @@ class PieceEncoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if len(self.index) > self.most:
-            self.clear()
         if not self.cuts:
             parts = pa.ListArray.from_arrays(pa.array(range(len(texts) + 1), pa.int32()), texts)
         else:
@@ -134,6 +133,7 @@ class PieceEncoder:
                 ids, tail = self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, tail[:0]
             out += [np.array(ids, np.uint32), tail, close]
             sizes[i] = len(ids) + len(tail) + len(close)
+        self._forget(new)
         return np.concatenate(out), sizes
 
     def _gather(self, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
