@@ -2,7 +2,51 @@
 
 _B32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {s}) & 31) + 1, 1)"
 
+# the characters stripped or counted as white space: blank, and code points 9 to 13
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+# phrases of the boilerplate rule
+_BOILER = ("accept cookies|all rights reserved|click here|cookie policy|enable javascript|lorem ipsum|"
+           "privacy policy|read more|sign up for our newsletter|subscribe to our newsletter|terms of service|terms of use")
+
+
+
+def _licence_sql() -> str:
+    from corvid.llm.licenses import CUES, TERM, _template_rows
+
+    values = ", ".join(f"({k}, '{licence}', '{t}', {n})" for k, licence, t, n in _template_rows())
+    return f"""
+WITH tpl(template, licence, term, tf) AS (VALUES {values}),
+docs AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, coalesce(text, '') AS text FROM documents),
+total AS (SELECT count(*) AS n FROM docs),
+held AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{TERM}'))) AS term FROM docs)
+  WHERE term IN (SELECT term FROM tpl) GROUP BY term),
+idf AS (SELECT t.term, ln((n + 1.0) / (coalesce(df, 0) + 1.0)) + 1 AS idf FROM (SELECT DISTINCT term FROM tpl) t LEFT JOIN held USING (term), total),
+tw AS (SELECT template, licence, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY template)) AS w FROM tpl JOIN idf USING (term)),
+cued AS (SELECT * FROM docs WHERE regexp_matches(lower(text), '{CUES}')),
+lines AS (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS unit FROM cued),
+units AS (SELECT * FROM lines WHERE regexp_matches(lower(line), '{CUES}')
+  UNION ALL SELECT doc_id, path, text, -1 FROM cued WHERE length(text) <= 4000),
+tf AS (SELECT doc_id, path, unit, term, count(*) AS tf FROM (SELECT doc_id, path, unit, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM units)
+  GROUP BY ALL),
+w AS (SELECT doc_id, path, unit, tf.term, tf * coalesce(idf, ln(n + 1.0) + 1) AS w FROM total, tf LEFT JOIN idf USING (term)),
+norm AS (SELECT doc_id, path, unit, sqrt(sum(w ** 2)) AS norm FROM w GROUP BY ALL),
+score AS (SELECT doc_id, path, unit, template, licence, round(sum(w.w * tw.w) / any_value(norm), 6) AS score
+  FROM w JOIN tw USING (term) JOIN norm USING (doc_id, path, unit) GROUP BY ALL),
+own AS (SELECT doc_id, path, max_by(licence, struct_pack(s := score, t := -template)) AS licence, max(score) AS score, bool_or(unit = -1) AS whole
+  FROM score WHERE score >= 0.75 GROUP BY doc_id, path),
+by_dir AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, licence, count(*) AS n FROM own WHERE whole GROUP BY ALL),
+dir AS (SELECT dir, licence FROM by_dir QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, licence) = 1)
+SELECT d.doc_id, d.path, coalesce(own.licence, a.licence, b.licence, c.licence) AS licence, own.score,
+  CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN coalesce(a.licence, b.licence, c.licence) IS NOT NULL THEN 'inherited' END AS origin
+FROM docs d LEFT JOIN own ON own.doc_id = d.doc_id
+  LEFT JOIN dir a ON a.dir = regexp_extract(d.path, '^(.*)/[^/]*$', 1)
+  LEFT JOIN dir b ON b.dir = regexp_extract(d.path, '^(.*)/[^/]*/[^/]*$', 1)
+  LEFT JOIN dir c ON c.dir = ''"""
+
+
 ORACLE_SQL = {
+    "op7_license_scan": _licence_sql(),
     "op1_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 m AS (SELECT page_id, strlen(h) AS n, sha1(h) AS d, min(page_id) OVER (PARTITION BY h) AS f FROM p)
@@ -12,4 +56,34 @@ SELECT page_id, n::BIGINT AS payload_bytes,
   CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to
 FROM m""",
+    "op4_line_dedup": f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, translate(trim(line, {_WS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, c.top IS NOT NULL AND k.doc_id <> c.top AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
+    "op9_quality_rules": f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
+g AS (SELECT doc_id, i, list_slice(words, i, i + 4) AS five FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+d AS (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, five) AS c FROM g) WHERE c > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM d GROUP BY doc_id),
+b AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words,
+    coalesce(list_sum(list_transform(list_filter(lines, lambda x:
+      (length(regexp_replace(x, '[^|>»›•·]', '', 'g')) >= 3 AND length(regexp_replace(x, '[^|>»›•·]', '', 'g')) * 4
+         >= length(regexp_replace(x, '[^\\x20\\x09-\\x0D]', '', 'g')))
+      OR (length(regexp_replace(x, '[^#*$%&<>{{}}^~=_\\\\]', '', 'g')) >= 3
+         AND length(regexp_replace(x, '[^#*$%&<>{{}}^~=_\\\\]', '', 'g')) >= 0.1 * length(x))
+      OR len(regexp_extract_all(x, '[!?][!?]')) >= 3 OR regexp_matches(lower(x), '{_BOILER}')),
+      lambda x: length(regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g')))), 0) AS lost
+  FROM w LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars - lost >= 0.5 * word_chars AS kept FROM f""",
 }

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from corvid.llm import tokens, warc
-from corvid.llm.shared import read_table
+from corvid.llm import decontaminate, licenses, lines, quality, rules, tokens, warc
+from corvid.llm.shared import read_table, work_dir
 
 
 def op1_warc(spark, sf_dir):
@@ -19,4 +20,36 @@ def op2_token_ids(spark, sf_dir):
     return tokens.tokenize_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_ids)}
+def op3_quality_classifier(spark, sf_dir):
+    """Score of every document by the byte network learned from rows that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, net).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                                           (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_line_dedup(spark, sf_dir):
+    """Lines of 40 code points or more in 5 documents or more stay in the last one only."""
+    docs = read_table(spark, sf_dir, "documents")
+    index = lines.LineIndex(spark, work_dir(spark, "lines"), min_chars=40).insert(docs)
+    return index.clean(docs, min_docs=5).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_benchmark_decontamination(spark, sf_dir):
+    """Every benchmark passage found in a document."""
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op7_license_scan(spark, sf_dir):
+    """Own or inherited licence of every document; its file lies at source/lang/doc_id."""
+    docs = read_table(spark, sf_dir, "documents")
+    return licenses.licence_scan(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
+def op9_quality_rules(spark, sf_dir):
+    """Base counts and the line-first verdict for every document."""
+    return rules.quality_rules(read_table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_ids, op3_quality_classifier, op4_line_dedup, op5_benchmark_decontamination,
+                                   op7_license_scan, op9_quality_rules)}
