@@ -1,7 +1,7 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are folded to their ASCII letters and digits in lower case and their bytes beyond
-ASCII.  A folded item (in overlapping windows where it is long) of ``m`` bytes that occurs
+ASCII (Western capitals with accents in lower case too).  A folded item (in overlapping windows where it is long) of ``m`` bytes that occurs
 in a document with at most ``k`` edits shares ``m + 1 - q * (k + 1)`` q-grams with it or more,
 all on diagonals that lie within ``k`` of each other.  So the shared q-grams are counted in
 overlapping bands of ``2 * (k + 1)`` diagonals, and only bands that reach the bound are
@@ -30,6 +30,10 @@ _LOW[65:91] += 32
 def fold(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(folded bytes, their places in ``data``)."""
     low = _LOW[np.frombuffer(data, np.uint8)]
+    # capitals with accents: the second byte behind C3 is 80 to 9E (but for the sign D7) in UTF-8
+    up = np.flatnonzero(low[:-1] == 0xC3) + 1
+    up = up[(low[up] >= 0x80) & (low[up] <= 0x9E) & (low[up] != 0x97)]
+    low[up] += 32
     at = np.flatnonzero(_KEEP[low])
     return low[at], at
 

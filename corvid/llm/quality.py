@@ -1,8 +1,9 @@
 """Byte-level convolutional network that scores whole documents, in numpy.
 
 A document is its UTF-8 bytes.  Every byte has a learned vector; learned filters look at
-chunks of 8 bytes that begin every 4 bytes, so the chunks overlap and cover the whole
-document; each filter's largest response over all chunks goes into one probability.
+8 bytes from every fourth byte on.  Their mean responses over chunks of 256 bytes, which
+begin every 128 bytes and so overlap and cover the whole document, and the squares of these
+go to a second layer of learned filters; the largest response of each over all chunks goes into one probability.
 """
 
 from __future__ import annotations
@@ -12,87 +13,114 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-DIM, HOP, FILTERS = 8, 4, 32
-BLOCK = 1 << 18  # bytes looked at together
+DIM, HOP, FILTERS, CHUNK_FILTERS = 8, 4, 32, 32
+HALF = 32  # places of the first layer in half a chunk
+PIECE = 1 << 18  # bytes looked at together; a multiple of the bytes in half a chunk
 
 
 class ByteNet:
+    SHAPES = {"embed": (256, DIM), "conv": (2 * HOP * DIM, FILTERS), "bias": (FILTERS,), "chunk": (2 * FILTERS, CHUNK_FILTERS),
+              "chunk_bias": (CHUNK_FILTERS,), "out": (CHUNK_FILTERS,), "c": (1,)}
+
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
 
     @classmethod
     def new(cls, seed: int) -> ByteNet:
         rng = np.random.default_rng(seed)
-        return cls({"embed": rng.normal(0, 0.5, (256, DIM)).astype("f4"), "conv": rng.normal(0, 0.15, (2 * HOP * DIM, FILTERS)).astype("f4"),
-                    "bias": np.zeros(FILTERS, "f4"), "out": rng.normal(0, 0.1, FILTERS).astype("f4"), "c": np.zeros(1, "f4")})
+        scale = {"embed": 0.5, "conv": 0.15, "chunk": 0.3, "out": 0.1}
+        return cls({k: (rng.normal(0, scale[k], n) if k in scale else np.zeros(n)).astype("f4") for k, n in cls.SHAPES.items()})
 
     def dump(self) -> bytes:
-        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)]).astype("<f4").tobytes()
+        return np.concatenate([self.p[k].ravel() for k in self.SHAPES]).astype("<f4").tobytes()
 
     @classmethod
     def load(cls, data: bytes) -> ByteNet:
-        made, flat = cls.new(0), np.frombuffer(data, "<f4")
-        for k in sorted(made.p):
-            n = made.p[k].size
-            made.p[k], flat = flat[:n].reshape(made.p[k].shape), flat[n:]
-        return made
-
-    @staticmethod
-    def _rows(docs: list[bytes]):
-        """All bytes in rows of HOP, each document filled up with zeros to two rows at least;
-        first and end row of each document."""
-        sizes = np.array([max(2, -(-len(d) // HOP)) for d in docs])
-        flat = np.frombuffer(b"".join(d.ljust(n * HOP, b"\0") for d, n in zip(docs, sizes.tolist(), strict=True)), np.uint8)
-        ends = np.cumsum(sizes)
-        return flat, ends - sizes, ends
-
-    def _respond(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.p["embed"][flat].reshape(-1, HOP * DIM)
-        half = HOP * DIM
-        return rows, rows[:-1] @ self.p["conv"][:half] + rows[1:] @ self.p["conv"][half:]
+        flat, p = np.frombuffer(data, "<f4"), {}
+        for k, shape in cls.SHAPES.items():
+            n = int(np.prod(shape))
+            p[k], flat = flat[:n].reshape(shape), flat[n:]
+        return cls(p)
+
+    def _forward(self, docs: list[bytes]):
+        """First layer, half chunks and chunks of some documents, each filled up with zeros
+        to whole rows of HOP bytes, and to two rows at least."""
+        rows = np.array([max(2, -(-len(d) // HOP)) for d in docs])
+        flat = np.frombuffer(b"".join(d.ljust(n * HOP, b"\0") for d, n in zip(docs, rows.tolist(), strict=True)), np.uint8)
+        x = self.p["embed"][flat].reshape(-1, HOP * DIM)
+        w = HOP * DIM
+        z = x[:-1] @ self.p["conv"][:w]
+        z += x[1:] @ self.p["conv"][w:]
+        z += self.p["bias"]
+        np.maximum(z, 0, out=z)
+        # halves of each document's places; its last row is where no place begins
+        first, places = np.cumsum(rows) - rows, rows - 1
+        n_half = -(-places // HALF)
+        doc_of = np.repeat(np.arange(len(docs)), n_half)
+        rank = np.arange(len(doc_of)) - np.repeat(np.cumsum(n_half) - n_half, n_half)
+        lo = first[doc_of] + rank * HALF
+        hi = np.minimum(lo + HALF, first[doc_of] + places[doc_of])
+        bounds = np.stack([lo, hi], 1).ravel()
+        sums = np.add.reduceat(z, bounds[:-1] if bounds[-1] >= len(z) else bounds, axis=0)[::2]
+        # a chunk is a half and the next; the last half begins one only where it is alone
+        begin = np.flatnonzero((rank < n_half[doc_of] - 1) | (n_half[doc_of] == 1))
+        pair = n_half[doc_of[begin]] > 1
+        nxt = np.where(pair, begin + 1, begin)
+        size = ((hi - lo)[begin] + np.where(pair, (hi - lo)[nxt], 0)).astype("f4")
+        mean = (sums[begin] + np.where(pair[:, None], sums[nxt], 0)) / size[:, None]
+        seen = np.concatenate([mean, mean * mean], axis=1)  # squares: how far a chunk lies from the usual, whichever way
+        return {"flat": flat, "x": x, "z": z, "lo": lo, "hi": hi, "begin": begin, "next": nxt, "pair": pair, "size": size, "seen": seen,
+                "chunk": seen @ self.p["chunk"], "first": np.searchsorted(doc_of[begin], np.arange(len(docs)))}
 
     def pooled(self, docs: list[bytes]) -> np.ndarray:
-        """The largest response of each filter in each document (documents x filters)."""
+        """The largest response of each chunk filter in each document."""
+        half = HALF * HOP
         pieces, owner = [], []
-        for i, d in enumerate(docs):  # a long document in overlapping pieces
-            for lo in range(0, max(1, len(d) - HOP), BLOCK):
-                pieces.append(d[lo:lo + BLOCK + HOP])
+        for i, d in enumerate(docs):  # a long document in pieces that repeat the last half of the one before
+            for lo in range(0, max(1, len(d) - half - HOP), PIECE):
+                pieces.append(d[lo:lo + PIECE + half + HOP])
                 owner.append(i)
-        out = np.full((len(docs), FILTERS), -np.inf, "f4")
-        lo = 0
-        while lo < len(pieces):
-            hi, size = lo, 0
-            while hi < len(pieces) and (hi == lo or size + len(pieces[hi]) <= BLOCK):
-                size += len(pieces[hi])
-                hi += 1
-            flat, first, end = self._rows(pieces[lo:hi])
-            z = self._respond(flat)[1]
-            spans = np.stack([first, end - 1], 1).ravel()  # chunks that begin in a document's last row cross its end
-            most = np.maximum.reduceat(z, spans[:-1] if spans[-1] >= len(z) else spans, axis=0)[::2]
-            np.maximum.at(out, np.array(owner[lo:hi]), most)
-            lo = hi
+        out = np.full((len(docs), CHUNK_FILTERS), -np.inf, "f4")
+        for lo, hi in runs(np.array([len(p) for p in pieces], np.int64), PIECE):
+            f = self._forward(pieces[lo:hi])
+            np.maximum.at(out, np.array(owner[lo:hi]), np.maximum.reduceat(f["chunk"], f["first"], axis=0))
         return out
 
+    def _head(self, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = np.maximum(pooled + self.p["chunk_bias"], 0)
+        return h, 1 / (1 + np.exp(-np.clip(h.astype("f8") @ self.p["out"].astype("f8") + float(self.p["c"][0]), -500, 500)))
+
     def score(self, docs: list[bytes]) -> np.ndarray:
-        h = np.maximum(self.pooled(docs) + self.p["bias"], 0)
-        return 1 / (1 + np.exp(-(h.astype("f8") @ self.p["out"].astype("f8") + float(self.p["c"][0]))))
-
-    def grads(self, docs: list[bytes], y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        flat, first, end = self._rows(docs)
-        rows, z = self._respond(flat)
-        at = np.stack([z[a:b - 1].argmax(axis=0) + a for a, b in zip(first, end, strict=True)])  # documents x filters
-        pre = np.take_along_axis(z, at.reshape(-1, FILTERS), 0) + self.p["bias"]
-        h = np.maximum(pre, 0)
-        p = 1 / (1 + np.exp(-(h @ self.p["out"] + self.p["c"][0])))
-        d = ((p - y) / len(y)).astype("f4")
-        dh = d[:, None] * self.p["out"] * (pre > 0)
-        chunk = np.concatenate([rows[at], rows[at + 1]], axis=2)  # documents x filters x 64
-        dchunk = dh[:, :, None] * self.p["conv"].T[None]
-        embed = np.zeros_like(self.p["embed"])
-        byte = flat.reshape(-1, HOP)
-        np.add.at(embed, np.concatenate([byte[at], byte[at + 1]], axis=2).ravel(), dchunk.reshape(-1, DIM))
-        loss = float(-np.mean(np.where(y > 0, np.log(p + 1e-9), np.log(1 - p + 1e-9))))
-        return loss, {"embed": embed, "conv": np.einsum("df,dfk->kf", dh, chunk), "bias": dh.sum(0), "out": h.T @ d, "c": np.array([d.sum()], "f4")}
+        return self._head(self.pooled(docs))[1]
+
+    def grads(self, docs: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the mean logistic loss."""
+        f, p = self._forward(docs), self.p
+        ends = [*f["first"][1:], len(f["chunk"])]
+        at = np.stack([f["chunk"][a:b].argmax(axis=0) + a for a, b in zip(f["first"], ends, strict=True)])  # documents x chunk filters
+        h, prob = self._head(np.take_along_axis(f["chunk"], at, 0))
+        d = ((prob - y) / len(y)).astype("f4")
+        dh = d[:, None] * p["out"] * (h > 0)
+        dchunk = np.zeros_like(f["chunk"])
+        np.add.at(dchunk, (at, np.arange(CHUNK_FILTERS)[None]), dh)
+        dseen = dchunk @ p["chunk"].T
+        dmean = (dseen[:, :FILTERS] + 2 * f["seen"][:, :FILTERS] * dseen[:, FILTERS:]) / f["size"][:, None]
+        dhalf = np.zeros((len(f["lo"]), FILTERS), "f4")
+        dhalf[f["begin"]] += dmean
+        dhalf[f["next"][f["pair"]]] += dmean[f["pair"]]
+        dz = np.zeros_like(f["z"])
+        n = f["hi"] - f["lo"]
+        place = np.repeat(f["lo"] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        dz[place] = np.repeat(dhalf, n, axis=0)
+        dz *= f["z"] > 0
+        w = HOP * DIM
+        dx = np.zeros_like(f["x"])
+        dx[:-1] += dz @ p["conv"][:w].T
+        dx[1:] += dz @ p["conv"][w:].T
+        dx = dx.reshape(-1, DIM)
+        return {"embed": np.stack([np.bincount(f["flat"], dx[:, k], 256) for k in range(DIM)], 1),
+                "conv": np.concatenate([f["x"][:-1].T @ dz, f["x"][1:].T @ dz]), "bias": dz.sum(0), "chunk": f["seen"].T @ dchunk,
+                "chunk_bias": dh.sum(0), "out": h.T @ d, "c": np.array([d.sum()])}
 
 
 def fit_net(docs: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 16, rate: float = 0.01, seed: int = 7) -> ByteNet:
@@ -106,7 +134,7 @@ def fit_net(docs: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int =
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), batch):
             some = order[lo:lo + batch]
-            _, g = net.grads([docs[i] for i in some], labels[some])
+            g = net.grads([docs[i] for i in some], labels[some])
             t += 1
             lr = rate * min(1.0, t / 50) * (1 - t / (steps + 1))
             for k, x in g.items():
@@ -157,8 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
             net = fit_net([t for t, _ in kept], labels)
         else:
             net = ByteNet.new(0)
-            net.p["out"][:] = 0
-            net.p["c"][:] = 4.0 * (2 * labels.mean() - 1) if len(labels) else 0.0
+            net.p["out"] *= 0
+            net.p["c"][0] = 4.0 * (2 * labels.mean() - 1) if len(labels) else 0.0
         yield pa.RecordBatch.from_pydict({"net": pa.array([net.dump()], pa.binary())})
 
     return bytes(sample.select("place", "text", "y").repartition(1).mapInArrow(fit, "net binary").first()[0])
