@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from corvid.llm import decontaminate, licenses, lines, quality, rules, tokens, warc
+from corvid.llm import decontaminate, licenses, lines, quality, rules, similar, tokens, warc
 from corvid.llm.shared import read_table, work_dir
 
 
@@ -46,10 +46,15 @@ def op7_license_scan(spark, sf_dir):
     return licenses.licence_scan(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
 
 
+def op8_ngram_jaccard_join(spark, sf_dir):
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return similar.similar_components(read_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op9_quality_rules(spark, sf_dir):
     """Base counts and the line-first verdict for every document."""
     return rules.quality_rules(read_table(spark, sf_dir, "documents")).drop("clean_text")
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_token_ids, op3_quality_classifier, op4_line_dedup, op5_benchmark_decontamination,
-                                   op7_license_scan, op9_quality_rules)}
+                                   op7_license_scan, op8_ngram_jaccard_join, op9_quality_rules)}
