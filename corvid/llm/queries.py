@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from corvid.llm import decontaminate, licenses, lines, quality, rules, similar, tokens, warc
+from corvid.llm import decontaminate, licenses, lines, mixing, quality, repeats, rules, similar, tokens, warc
 from corvid.llm.shared import read_table, work_dir
 
 
@@ -40,6 +40,15 @@ def op5_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_source_mixing(spark, sf_dir):
+    """Rate of every document so that the languages' expected token totals match their targets.
+    The domains are the languages: they can be told from a text, which the sources cannot."""
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
+    labelled = docs.join(labels, docs["doc_id"] == labels["id"], "left_semi").select("text", F.col("lang").alias("domain"))
+    return mixing.document_rates(docs, labelled, {"en": 0.4, "de": 0.25, "fr": 0.2, "es": 0.15})
+
+
 def op7_license_scan(spark, sf_dir):
     """Own or inherited licence of every document; its file lies at source/lang/doc_id."""
     docs = read_table(spark, sf_dir, "documents")
@@ -56,5 +65,11 @@ def op9_quality_rules(spark, sf_dir):
     return rules.quality_rules(read_table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op10_suffix_array_dedup(spark, sf_dir):
+    """Bytes in strings of 400 bytes that start more than once go."""
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents"), length=400).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_token_ids, op3_quality_classifier, op4_line_dedup, op5_benchmark_decontamination,
-                                   op7_license_scan, op8_ngram_jaccard_join, op9_quality_rules)}
+                                   op6_source_mixing, op7_license_scan, op8_ngram_jaccard_join, op9_quality_rules, op10_suffix_array_dedup)}
