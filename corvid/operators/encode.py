@@ -8,22 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def category_list(df: DataFrame, col: str, max_categories: int = 1000) -> list:
-    """Sorted distinct values of a column.  The only driver pull of the
-    library: bounded by ``max_categories`` (fetches one more to detect
-    overflow, then raises)."""
-    vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct()
-            .orderBy(col).limit(max_categories + 1).collect()]
-    if len(vals) > max_categories:
-        raise ValueError(f"{col} has more than {max_categories} categories")
-    return vals
-
-
-def one_hot(df: DataFrame, col: str, categories: Sequence | None = None, prefix: str = "",
-            max_categories: int = 1000) -> DataFrame:
+def category_list(df: DataFrame, col: str) -> list:
+    """Sorted distinct values of a column.  They become columns, so the driver
+    holds as many values as the result has columns."""
+    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+
+
+def one_hot(df: DataFrame, col: str, categories: Sequence | None = None, prefix: str = "") -> DataFrame:
     """One 0/1 column per category, named ``prefix + value``, appended in
     sorted order; a missing value gives all zeros."""
-    cats = sorted(categories) if categories is not None else category_list(df, col, max_categories)
+    cats = sorted(categories) if categories is not None else category_list(df, col)
     return df.withColumns({f"{prefix}{v}": F.coalesce(F.col(col) == F.lit(v), F.lit(False)).cast("int")
                            for v in cats})
 

@@ -21,19 +21,21 @@ def match_features(matches: DataFrame, ratings: DataFrame, *, match_id: str = "m
                    rating_day: str = "rank_date", rating_order: str = "rating_row",
                    rating_cols: Sequence[str] = ("rank", "weighted_points"),
                    participants: DataFrame | None = None, participant_col: str = "team",
-                   max_rest: int = 30, segment=None, one_hot_prefix: str = "") -> DataFrame:
+                   no_stake: str = "Friendly", other: str = "Other", flag_col: str = "wc_participant",
+                   categories: Sequence[str] | None = None, max_rest: int = 30, one_hot_prefix: str = "") -> DataFrame:
     """One row per match that has both teams' ratings in range, with
     ``rank_difference, average_rank, point_difference, score_difference,
     is_won, is_stake, rest_days`` and, given ``participants``, a
-    ``wc_participant`` column plus one 0/1 column per value."""
+    ``flag_col`` column (the team, or ``other``) plus one 0/1 column per value
+    (of ``categories``, or of the data).  A match of the kind ``no_stake`` has
+    nothing at stake."""
     rank, points = rating_cols[0], rating_cols[1]
     daily = ts.daily_first(ratings, [rating_key], rating_day, rating_order, list(rating_cols))
     m = matches
     for side, key in (("_home", home_col), ("_away", away_col)):
         right = daily.select(F.col(rating_key).alias("_rk"), F.col(rating_day).alias("_rd"),
                              *[F.col(c).alias(c + side) for c in rating_cols])
-        m = ts.asof_join(m, right, key, "_rk", date_col, "_rd", [c + side for c in rating_cols],
-                         segment=segment)
+        m = ts.asof_join(m, right, key, "_rk", date_col, "_rd", [c + side for c in rating_cols])
     m = m.withColumns({
         "rank_difference": F.col(rank + "_home") - F.col(rank + "_away"),
         "average_rank": (F.col(rank + "_home") + F.col(rank + "_away")) / 2,
@@ -42,12 +44,12 @@ def match_features(matches: DataFrame, ratings: DataFrame, *, match_id: str = "m
     })
     m = m.withColumns({
         "is_won": false_if_null(F.col("score_difference") > 0),  # a draw counts as lost
-        "is_stake": not_equal_null_safe(tournament_col, "Friendly"),
+        "is_stake": not_equal_null_safe(tournament_col, no_stake),
     })
     m = ts.gap_days(m, [home_col], date_col, [date_col, match_id], 0, max_rest, max_rest, "rest_days")
     if participants is not None:
         m = clean.member_flag(m, home_col, participants, participant_col, "_is_participant")
-        m = m.withColumn("wc_participant", keep_if("_is_participant", home_col, "")).drop("_is_participant")
-        m = clean.replace_values(m, {"": "Other"}, subset=["wc_participant"])
-        m = encode.one_hot(m, "wc_participant", prefix=one_hot_prefix)
+        m = m.withColumn(flag_col, keep_if("_is_participant", home_col, "")).drop("_is_participant")
+        m = clean.replace_values(m, {"": other}, subset=[flag_col])
+        m = encode.one_hot(m, flag_col, categories, prefix=one_hot_prefix)
     return m

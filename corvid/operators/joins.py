@@ -11,51 +11,76 @@ from pyspark.sql import functions as F
 
 def merge(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str],
           how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y"),
-          null_safe: bool = False) -> DataFrame:
+          null_safe: bool = True) -> DataFrame:
     """Join on differently named keys; both key columns are kept, and
-    other columns present on both sides get the suffixes.  ``null_safe``
-    matches missing keys to each other (as pandas does)."""
+    other columns present on both sides get the suffixes.  A key with the same
+    name on both sides is one column, which also holds the keys that only the
+    right side has (``right`` and ``outer`` joins).  Missing keys match each
+    other, as in pandas; ``null_safe=False`` gives the SQL rule."""
     lcols, rcols = list(left.columns), list(right.columns)
-    shared = (set(lcols) & set(rcols))
-    same_keys = [l for l, r in zip(left_on, right_on) if l == r]
+    shared = set(lcols) & set(rcols)
+    same_keys = [a for a, b in zip(left_on, right_on) if a == b]
+    inner_only = how.lower().replace("_", "").startswith(("leftsemi", "semi", "leftanti", "anti"))
+
     def lname(c):
-        return c + suffixes[0] if c in shared and c not in same_keys else c
+        return c + suffixes[0] if c in shared and c not in same_keys and not inner_only else c
+
     def rname(c):
-        return c + suffixes[1] if c in shared else c
-    l = left.select(*[F.col(c).alias(lname(c)) for c in lcols])
-    r = right.select(*[F.col(c).alias(rname(c)) for c in rcols])
-    conds = []
+        return f"_right_{c}" if c in same_keys else c + suffixes[1] if c in shared else c
+
+    lt = left.select(*[F.col(f"`{c}`").alias(lname(c)) for c in lcols])
+    rt = right.select(*[F.col(f"`{c}`").alias(rname(c)) for c in rcols])
+    cond = None
     for a, b in zip(left_on, right_on):
-        lc, rc = l[lname(a)], r[rname(b)]
-        conds.append(lc.eqNullSafe(rc) if null_safe else lc == rc)
-    cond = conds[0]
-    for c in conds[1:]:
-        cond = cond & c
-    out = l.join(r, cond, how)
-    drop = [rname(b) for a, b in zip(left_on, right_on) if a == b]
-    return out.drop(*[r[c] for c in drop]) if drop else out
+        lc, rc = lt[lname(a)], rt[rname(b)]
+        one = lc.eqNullSafe(rc) if null_safe else lc == rc
+        cond = one if cond is None else cond & one
+    out = lt.join(rt, cond, how)
+    if inner_only:
+        return out
+    names = [lname(c) for c in lcols] + [rname(c) for c in rcols if c not in same_keys]
+    return out.select(*[F.coalesce(F.col(f"`{c}`"), F.col(f"`_right_{c}`")).alias(c) if c in same_keys else F.col(f"`{c}`")
+                        for c in names])
 
 
 def lookup(df: DataFrame, key_col: str, table: DataFrame, table_key: str,
-           fields: Sequence[str], suffix: str = "") -> DataFrame:
-    """Attach fields of the row with the same key (left join; an unknown
-    key gives NULLs)."""
-    t = table.select(F.col(table_key).alias("_lk"), *[F.col(f).alias(f + suffix) for f in fields])
-    return df.join(t, df[key_col] == t["_lk"], "left").drop("_lk")
+           fields: Sequence[str], suffix: str = "", unknown: str = "null") -> DataFrame:
+    """Attach fields of the row with the same key.  A key that ``table``
+    does not hold gives NULLs, or with ``unknown="error"`` stops the query; a key
+    that it holds more than once always does (no row is multiplied)."""
+    if unknown not in ("null", "error"):
+        raise ValueError("unknown must be 'null' or 'error'")
+    t = table.groupBy(F.col(table_key).alias("_lk")).agg(
+        F.count(F.lit(1)).alias("_lk_rows"), *[F.first(f).alias(f"_lk_{f}") for f in fields])
+    out = df.join(t, df[key_col] == t["_lk"], "left")
+    key = F.coalesce(F.col(key_col).cast("string"), F.lit("(missing)"))
+    stop = [(F.col("_lk_rows") > 1, "lookup: the table holds this key twice: ")]
+    if unknown == "error":
+        stop.append((F.col("_lk_rows").isNull(), "lookup: unknown key: "))
+
+    def checked(c):
+        for cond, text in stop:
+            c = F.when(cond, F.raise_error(F.concat(F.lit(text), key)).cast(t.schema[c_name].dataType)).otherwise(c)
+        return c
+
+    cols = []
+    for f in fields:
+        c_name = f"_lk_{f}"
+        cols.append(checked(F.col(c_name)).alias(f + suffix))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *cols)
 
 
 def pairs_in_groups(df: DataFrame, group_cols: Sequence[str], order_col: str,
-                    keep: Sequence[str], suffixes: tuple[str, str] = ("_home", "_away"),
-                    max_group_size: int | None = 16) -> DataFrame:
-    """Unordered pairs inside each group, the earlier row first.  The
-    pair count is size*(size-1)/2 per group, so groups must be small: the
-    largest group is checked against ``max_group_size`` first (one small
-    aggregate; ``None`` skips the check)."""
-    if max_group_size is not None:
-        biggest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
-        if biggest is not None and biggest > max_group_size:
-            raise ValueError(f"a group has {biggest} rows (> {max_group_size}); pairs would not be bounded")
-    a = df.select(*group_cols, *[F.col(c).alias(c + suffixes[0]) for c in [order_col, *keep]])
+                    keep: Sequence[str], max_group_size: int,
+                    suffixes: tuple[str, str] = ("_home", "_away")) -> DataFrame:
+    """Unordered pairs inside each group, the earlier row first.  A group
+    of ``size`` rows makes size*(size-1)/2 pairs, so the caller states how large
+    a group may be; a larger one stops the query instead of making its pairs."""
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_size"))
+    too_large = F.raise_error(F.format_string(f"pairs_in_groups: a group has %s rows (> {max_group_size})", "_size")).cast("boolean")
+    ok = sizes.where(F.when(F.col("_size") > max_group_size, too_large).otherwise(F.lit(True)))
+    a = df.join(ok.select(*group_cols), list(group_cols), "left_semi").select(
+        *group_cols, *[F.col(c).alias(c + suffixes[0]) for c in [order_col, *keep]])
     b = df.select(*group_cols, *[F.col(c).alias(c + suffixes[1]) for c in [order_col, *keep]])
     return a.join(b, list(group_cols)).filter(F.col(order_col + suffixes[0]) < F.col(order_col + suffixes[1]))
 

@@ -1,42 +1,36 @@
 """K1-K9: exact k-nearest-neighbour classification as Spark jobs.
 
-Two physical plans, chosen from the row counts:
-
-* small training set (``n_train * dim * 8`` bytes under ``broadcast_bytes``,
-  a proven bound): the training matrix is broadcast once and the query rows
-  stream through ``mapInPandas`` where they are -- no shuffle of the query
-  side at all;
-* otherwise the training rows are cut into ``B`` hash blocks and the query
-  rows into ``T`` hash blocks; every (query block, train block) pair meets in
-  one cogroup task.  With ``B > 1`` a final per-query top-k
-  (WindowGroupLimit) merges the ``B * k`` candidates.  Block sizes bound the
-  memory of every task.
-
-Either way numpy computes the distances inside the task and only the ``k``
-best neighbours of each query row are emitted (never the pairs).
-
-Distance ties are broken by the training key, vote ties by the smallest
-label (``mode(..., deterministic=True)``)."""
+``store_training`` writes the training rows once, sorted by the feature that
+varies most, as blocks of bounded size in the shared folder, and keeps the
+bounding box of each block.  The query rows stay where they are: inside
+``mapInArrow`` a task takes a bounded chunk of them and reads the blocks that
+can hold a neighbour, nearest box first, until the next box is farther away
+than the k-th neighbour of every row.  So nothing is broadcast but the boxes,
+no side is shuffled, and the training set is never copied per query block.
+With one feature, or few, the boxes leave only the blocks around a row's value.
+
+numpy computes the distances and only the ``k`` best neighbours of each query
+row leave the task.  Distance ties are broken by the training key, vote ties by
+the smallest label (``mode(..., deterministic=True)``)."""
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, StructField, StructType
 
-from corvid.session import materialize, spread
+from corvid.session import materialize, shared_folder, spread
 
 METRICS = ("euclidean", "manhattan", "minkowski")
 
 # The task functions below run in Python workers: ship them by value, so the
-# executors need numpy/pandas but not this package.
+# executors need numpy/pyarrow but not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -56,189 +50,257 @@ def _power(metric: str, p: float) -> float:
     return {"euclidean": 2.0, "manhattan": 1.0}.get(metric, float(p))
 
 
-def _matrix(values, dim: int) -> np.ndarray:
-    """Stack feature vectors; a missing vector (or value) becomes NaN, which
-    the distance turns into +inf: such neighbours rank last, no row is lost."""
-    rows = [np.full(dim, np.nan) if v is None else np.asarray(v, dtype=np.float64) for v in values]
-    return np.stack(rows) if rows else np.zeros((0, dim))
-
-
-def _block_neighbours(q_ids, q_x, r_ids, r_lab, r_x, k, power, weights, max_cells=2_000_000):
-    """k best (distance, train id) per query row; distances accumulate one
-    feature at a time so the sum order is fixed."""
-    m, n = q_x.shape[0], r_x.shape[0]
-    kk = min(k, n)
-    out_q, out_r, out_d, out_rank = [], [], [], []
-    step = max(1, max_cells // max(n, 1))
-    for s in range(0, m, step):
-        qs = q_x[s:s + step]
-        acc = np.zeros((qs.shape[0], n))
-        for j in range(qs.shape[1]):
-            diff = qs[:, j][:, None] - r_x[:, j][None, :]
-            if power == 2.0:
-                term = diff * diff
-            elif power == 1.0:
-                term = np.abs(diff)
-            else:
-                term = np.abs(diff) ** power
-            if weights is not None:
-                term = term * weights[j]
-            acc += term
-        acc = np.where(np.isnan(acc), np.inf, acc)
-        kth = np.partition(acc, kk - 1, axis=1)[:, kk - 1]
-        rows, cols = np.nonzero(acc <= kth[:, None])  # ties at the cut stay in
-        order = np.lexsort((r_ids[cols], acc[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        starts = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
-        rank = np.arange(rows.size) - np.repeat(starts, np.diff(np.r_[starts, rows.size]))
-        keep = rank < kk
-        rows, cols, rank = rows[keep], cols[keep], rank[keep]
-        out_q.append(rows + s)
-        out_r.append(cols)
-        out_d.append(acc[rows, cols])
-        out_rank.append(rank + 1)
-    qi = np.concatenate(out_q) if out_q else np.array([], dtype=int)
-    ri = np.concatenate(out_r) if out_r else np.array([], dtype=int)
-    return (qi, ri, np.concatenate(out_d) if out_d else np.array([]),
-            np.concatenate(out_rank) if out_rank else np.array([], dtype=int))
-
-
-def knn_neighbors(train: DataFrame, test: DataFrame, *, features: str | Sequence[str],
-                  label_col: str, train_id: str, test_id: str, k: int,
+def _vectors(column, dim: int):
+    """(matrix, usable) of an Arrow list column: a row is usable when it has ``dim``
+    finite or infinite values, none missing."""
+    out, ok = np.full((len(column), dim), np.nan), np.zeros(len(column), bool)
+    sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(), -1)
+    full = np.flatnonzero(sizes == dim)
+    if len(full):
+        flat = column.take(full.tolist()).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        out[full] = flat.reshape(len(full), dim)
+        ok[full] = ~np.isnan(out[full]).any(axis=1)
+    return out, ok
+
+
+def _terms(diff: np.ndarray, power: float) -> np.ndarray:
+    if power == 2.0:
+        return diff * diff
+    return np.abs(diff) if power == 1.0 else np.abs(diff) ** power
+
+
+def _distances(q: np.ndarray, r: np.ndarray, power: float, weights) -> np.ndarray:
+    """Summed one feature at a time, so the order of addition is fixed."""
+    acc = np.zeros((len(q), len(r)))
+    for j in range(q.shape[1]):
+        term = _terms(q[:, j][:, None] - r[:, j][None, :], power)
+        acc += term if weights is None else term * weights[j]
+    return acc
+
+
+def _box_distances(lo: np.ndarray, hi: np.ndarray, box_lo: np.ndarray, box_hi: np.ndarray, power: float, weights) -> np.ndarray:
+    """Least distance of the rows in [lo, hi] to each box, added up as ``_distances`` does, so
+    that rounding never makes it larger than the distance of a row in the box."""
+    acc = np.zeros((len(lo), len(box_lo)))
+    for j in range(lo.shape[1]):
+        gap = np.maximum(np.maximum(box_lo[:, j][None, :] - hi[:, j][:, None], lo[:, j][:, None] - box_hi[:, j][None, :]), 0)
+        term = _terms(gap, power)
+        acc += term if weights is None else term * weights[j]
+    return acc
+
+
+def _sortable(ids) -> np.ndarray:
+    x = ids.to_numpy(zero_copy_only=False)
+    return x.astype(str) if x.dtype == object else x
+
+
+def _read_block(uri: str):
+    """(vectors, keys, labels) of a stored block; the folder is one that all machines share."""
+    from urllib.parse import unquote, urlparse
+
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    local = uri.startswith("file:") or "://" not in uri
+    where, path = (fs.LocalFileSystem(), unquote(urlparse(uri).path) if uri.startswith("file:") else uri) if local else fs.FileSystem.from_uri(uri)
+    with where.open_input_file(path) as f:
+        row = pq.read_table(f, columns=["n", "ids", "labels", "xs"])
+    n = row["n"][0].as_py()
+    x = np.frombuffer(row["xs"][0].as_py(), np.float64).reshape(n, -1)
+    return x, row["ids"].combine_chunks().flatten(), row["labels"].combine_chunks().flatten()
+
+
+@dataclass
+class TrainingBlocks:
+    """Training rows stored by ``store_training``: files, boxes and what they hold."""
+
+    files: list[str]
+    lo: np.ndarray
+    hi: np.ndarray
+    n: int
+    dim: int
+    order: int
+    features: str | Sequence[str]
+    id_type: DataType
+    label_type: DataType
+
+
+def store_training(train: DataFrame, *, features: str | Sequence[str], label_col: str, train_id: str,
+                   block_bytes: int = 16 << 20, block_rows: int | None = None) -> TrainingBlocks:
+    """Write the training rows as blocks, once for any number of predictions.
+
+    Rows without a full feature vector are left out: they are at no distance from
+    anything.  The driver gets each block's file name, row count and box."""
+    spark = train.sparkSession
+    r = train.select(F.col(train_id).alias("_rid"), F.col(label_col).alias("_rlab"), feature_vector(train, features).alias("_x"))
+    r = r.where(F.col("_x").isNotNull() & ~F.exists("_x", lambda v: v.isNull() | F.isnan(v)))
+    if isinstance(features, str) and isinstance(train.schema[features].dataType, ArrayType):
+        dim = r.agg(F.max(F.size("_x"))).first()[0] or 0
+    else:
+        dim = 1 if isinstance(features, str) else len(features)
+    r = r.where(F.size("_x") == dim)
+    spreads = r.agg(*[F.var_pop(F.col("_x")[j]).alias(f"v{j}") for j in range(dim)]).first() if dim > 1 else [0]
+    order = max(range(dim), key=lambda j: spreads[j] or 0.0) if dim else 0
+    rows_per_block = block_rows or max(1_000, block_bytes // (8 * (dim + 4)))
+    id_type, label_type = train.schema[train_id].dataType, train.schema[label_col].dataType
+    schema = StructType([StructField("n", IntegerType()), StructField("ids", ArrayType(id_type)), StructField("labels", ArrayType(label_type)),
+                         *StructType.fromDDL("xs binary, lo array<double>, hi array<double>").fields])
+
+    def pack(batches):
+        import pyarrow as pa
+
+        def block(parts):
+            table = pa.Table.from_batches(parts).combine_chunks()
+            x = _vectors(table["_x"].combine_chunks(), dim)[0]
+            one = [pa.array([0, len(x)], pa.int32())]
+            return pa.RecordBatch.from_arrays([
+                pa.array([len(x)], pa.int32()), pa.ListArray.from_arrays(*one, table["_rid"].combine_chunks()),
+                pa.ListArray.from_arrays(*one, table["_rlab"].combine_chunks()), pa.array([x.tobytes()], pa.binary()),
+                pa.array([x.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([x.max(axis=0).tolist()], pa.list_(pa.float64()))],
+                ["n", "ids", "labels", "xs", "lo", "hi"])
+
+        waiting, n = [], 0
+        for b in batches:
+            while b.num_rows:
+                take = min(b.num_rows, rows_per_block - n)
+                waiting.append(b.slice(0, take))
+                b, n = b.slice(take), n + take
+                if n == rows_per_block:
+                    yield block(waiting)
+                    waiting, n = [], 0
+        if n:
+            yield block(waiting)
+
+    path = shared_folder(spark, "training")
+    if dim:
+        r = r.repartitionByRange(F.col("_x")[order], F.xxhash64("_rid")).sortWithinPartitions(F.col("_x")[order])
+    r.mapInArrow(pack, schema).write.option("maxRecordsPerFile", 1).parquet(path)
+    boxes = spark.read.schema(schema).parquet(path).select(F.input_file_name(), "n", "lo", "hi").collect()
+    as_matrix = lambda rows: np.array(rows, np.float64).reshape(len(rows), dim)
+    return TrainingBlocks([b[0] for b in boxes], as_matrix([b[2] for b in boxes]), as_matrix([b[3] for b in boxes]),
+                          sum(b[1] for b in boxes), dim, order, features, id_type, label_type)
+
+
+def knn_neighbors(train: DataFrame | TrainingBlocks, test: DataFrame, *, features: str | Sequence[str] | None = None,
+                  label_col: str | None = None, train_id: str | None = None, test_id: str, k: int,
                   metric: str = "euclidean", p: float = 2.0,
                   weights: Sequence[float] | None = None, keep_cols: Sequence[str] = (),
-                  allow_fewer: bool = False, train_block_rows: int | None = None,
-                  test_block_rows: int | None = None, n_train: int | None = None,
-                  n_test: int | None = None, broadcast_bytes: int = 64 << 20,
-                  block_bytes: int = 128 << 20) -> DataFrame:
+                  allow_fewer: bool = False, missing: str = "null", block_rows: int | None = None,
+                  n_test: int | None = None, chunk_rows: int = 4096) -> DataFrame:
     """The ``k`` nearest training rows of every test row.
 
     Returns ``test_id, neighbor_id, neighbor_label, distance, rank`` plus the
-    ``keep_cols`` of the test row.  ``k`` larger than the training set raises
-    ``ValueError`` (K5) unless ``allow_fewer``, which then votes with all rows.
-    ``n_train`` / ``n_test`` skip the count jobs when the sizes are known;
-    ``broadcast_bytes`` bounds the training matrix that may be broadcast;
-    ``block_bytes`` sizes the blocks (rows per block = bytes / row bytes,
-    unless ``train_block_rows`` / ``test_block_rows`` are given)."""
+    ``keep_cols`` of the test row.  ``train`` is a table or stored blocks.  ``k``
+    larger than the training rows raises ``ValueError`` (K5) unless
+    ``allow_fewer``, which then gives all rows.  A test row without a full
+    feature vector gets one row with a NULL neighbour (``missing="error"`` stops
+    the query).  ``n_test``, where known, lets a small table with heavy work be
+    dealt over all cores."""
     power = _power(metric, p)
-    n_train = train.count() if n_train is None else n_train
-    if n_train == 0:
+    if missing not in ("null", "error"):
+        raise ValueError("missing must be 'null' or 'error'")
+    blocks = train if isinstance(train, TrainingBlocks) else store_training(
+        train, features=features, label_col=label_col, train_id=train_id, block_rows=block_rows)
+    if blocks.n == 0:
         raise ValueError("empty training set")
-    if k > n_train and not allow_fewer:
-        raise ValueError(f"k={k} is larger than the {n_train} training rows")
+    if k > blocks.n and not allow_fewer:
+        raise ValueError(f"k={k} is larger than the {blocks.n} training rows")
     w = None if weights is None else np.asarray(weights, dtype=np.float64)
-
-    rid_t = train.schema[train_id].dataType
-    lab_t = train.schema[label_col].dataType
-    qid_t = test.schema[test_id].dataType
-    keep_fields = [test.schema[c] for c in keep_cols]
-
-    r = train.select(F.col(train_id).alias("_rid"), F.col(label_col).alias("_rlab"),
-                     feature_vector(train, features).alias("_x"))
-    if isinstance(features, str) and isinstance(train.schema[features].dataType, ArrayType):
-        dim = r.where(F.col("_x").isNotNull()).select(F.size("_x")).first()
-        dim = (dim[0] if dim else 0) or 0
-    else:
-        dim = 1 if isinstance(features, str) else len(features)
-    n_test = test.count() if n_test is None else n_test
-    if n_train * (dim + 2) * 8 <= broadcast_bytes:
-        # the scoring is n_test * n_train * dim work: when that is large, spread
-        # the test rows over all cores instead of keeping the scan's partitions
-        test = spread(test, n_test * n_train * max(dim, 1))
-        cand = _broadcast_neighbours(r, test, test_id, features, keep_cols, k, power, w, qid_t,
-                                     keep_fields, rid_t, lab_t, dim)
-        return _with_root(cand, power)
-
-    row_bytes = 8 * (dim + 2)
-    train_block_rows = train_block_rows or max(1_000, block_bytes // row_bytes)
-    test_block_rows = test_block_rows or max(1_000, block_bytes // (4 * row_bytes))
-    n_rb = max(1, math.ceil(n_train / train_block_rows))
-    n_tb = max(1, math.ceil(n_test / test_block_rows))
-    r = (r.withColumn("_rb", F.pmod(F.xxhash64("_rid"), F.lit(n_rb)).cast("int"))
-          .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(n_tb - 1)))))
-    q = test.select(F.col(test_id).alias("_qid"), feature_vector(test, features).alias("_x"),
-                    *[F.col(c) for c in keep_cols])
-    q = (q.withColumn("_tb", F.pmod(F.xxhash64("_qid"), F.lit(n_tb)).cast("int"))
-          .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(n_rb - 1)))))
-
-    out_schema = _out_schema(test_id, qid_t, keep_fields, rid_t, lab_t)
-    names = [f.name for f in out_schema.fields]
-
-    def per_block(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if qp.empty or rp.empty:
-            return pd.DataFrame({c: [] for c in names})
-        q_x = _matrix(qp["_x"].to_numpy(), dim)
-        r_x = _matrix(rp["_x"].to_numpy(), dim)
-        r_ids = rp["_rid"].to_numpy()
-        qi, ri, dist, rank = _block_neighbours(qp["_qid"].to_numpy(), q_x, r_ids,
-                                               rp["_rlab"].to_numpy(), r_x, k, power, w)
-        res = {test_id: qp["_qid"].to_numpy()[qi]}
-        for c in keep_cols:
-            res[c] = qp[c].to_numpy()[qi]
-        res["neighbor_id"] = r_ids[ri]
-        res["neighbor_label"] = rp["_rlab"].to_numpy()[ri]
-        res["distance"] = dist
-        res["rank"] = rank.astype(np.int32)
-        return pd.DataFrame(res, columns=names)
-
-    cand = (q.groupBy("_tb", "_rb").cogroup(r.groupBy("_tb", "_rb"))
-             .applyInPandas(per_block, schema=out_schema))
-    if n_rb > 1:
-        best = Window.partitionBy(test_id).orderBy("distance", "neighbor_id")
-        cand = cand.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return _with_root(cand, power)
-
-
-def _out_schema(test_id, qid_t, keep_fields, rid_t, lab_t) -> StructType:
-    return StructType([
-        StructField(test_id, qid_t), *keep_fields,
-        StructField("neighbor_id", rid_t), StructField("neighbor_label", lab_t),
-        StructField("distance", DoubleType()), StructField("rank", IntegerType()),
-    ])
-
-
-def _with_root(cand: DataFrame, power: float) -> DataFrame:
-    root = {2.0: F.sqrt(F.col("distance")), 1.0: F.col("distance")}.get(
-        power, F.pow(F.col("distance"), 1.0 / power))
-    return cand.withColumn("distance", root)
-
-
-def _broadcast_neighbours(r: DataFrame, test: DataFrame, test_id: str, features, keep_cols, k, power, w,
-                          qid_t, keep_fields, rid_t, lab_t, dim: int) -> DataFrame:
-    """Small training set: one broadcast of the training matrix (size checked
-    by the caller), query rows scored in place by ``mapInPandas``."""
-    pdf = r.toPandas()
-    r_ids = pdf["_rid"].to_numpy()
-    r_lab = pdf["_rlab"].to_numpy()
-    r_x = _matrix(pdf["_x"].to_numpy(), dim)
-    bc = test.sparkSession.sparkContext.broadcast((r_ids, r_lab, r_x))
-    schema = _out_schema(test_id, qid_t, keep_fields, rid_t, lab_t)
-    names = [f.name for f in schema.fields]
-    q = test.select(F.col(test_id).alias("_qid"), feature_vector(test, features).alias("_x"),
-                    *[F.col(c) for c in keep_cols])
-
-    def score(batches):
-        ids, labs, x = bc.value
-        for qp in batches:
-            if qp.empty:
-                continue
-            q_x = _matrix(qp["_x"].to_numpy(), x.shape[1])
-            qi, ri, dist, rank = _block_neighbours(qp["_qid"].to_numpy(), q_x, ids, labs, x, k, power, w)
-            res = {test_id: qp["_qid"].to_numpy()[qi]}
-            for c in keep_cols:
-                res[c] = qp[c].to_numpy()[qi]
-            res["neighbor_id"] = ids[ri]
-            res["neighbor_label"] = labs[ri]
-            res["distance"] = dist
-            res["rank"] = rank.astype(np.int32)
-            yield pd.DataFrame(res, columns=names)
-
-    return q.mapInPandas(score, schema=schema)
+    features = blocks.features if features is None else features
+    dim, kk, files, order = blocks.dim, min(k, blocks.n), blocks.files, blocks.order
+
+    schema = StructType([
+        StructField(test_id, test.schema[test_id].dataType), *[test.schema[c] for c in keep_cols],
+        StructField("neighbor_id", blocks.id_type), StructField("neighbor_label", blocks.label_type),
+        StructField("distance", DoubleType()), StructField("rank", IntegerType())])
+    q = test.select(F.col(test_id).alias("_qid"), feature_vector(test, features).alias("_x"), *[F.col(c).alias(f"_keep_{c}") for c in keep_cols])
+    if n_test is not None:
+        q = spread(q, float(n_test) * blocks.n * max(dim, 1), n_test)
+    if dim and len(files) > 1:
+        q = q.sortWithinPartitions(F.col("_x")[order])  # rows of a chunk lie close together
+    boxes = test.sparkSession.sparkContext.broadcast((blocks.lo, blocks.hi))
+
+    def search(batches):
+        import pyarrow as pa
+
+        box_lo, box_hi = boxes.value
+        held: dict[int, tuple] = {}
+
+        def load(i):
+            if i not in held:
+                while len(held) >= 4:
+                    held.pop(next(iter(held)))
+                held[i] = _read_block(files[i])
+            return held[i]
+
+        def nearest(x):
+            """(row, key, label, distance, rank) of the kk nearest of each row, in order."""
+            kth, best = np.full(len(x), np.inf), np.full((len(x), kk), np.inf)
+            found = []
+            near = _box_distances(x.min(axis=0)[None], x.max(axis=0)[None], box_lo, box_hi, power, w)[0]
+            for i in np.argsort(near, kind="stable"):
+                if near[i] > kth.max():
+                    break
+                rows = np.flatnonzero(_box_distances(x, x, box_lo[i:i + 1], box_hi[i:i + 1], power, w)[:, 0] <= kth)
+                if not len(rows):
+                    continue
+                r, ids, labels = load(i)
+                step = max(1, 2_000_000 // len(r))
+                for lo in range(0, len(rows), step):
+                    some = rows[lo:lo + step]
+                    d = _distances(x[some], r, power, w)
+                    n = min(kk, len(r))
+                    top = np.partition(d, n - 1, axis=1)[:, :n]
+                    limit = np.minimum(kth[some], top.max(axis=1)) if n == kk else kth[some]
+                    a, b = np.nonzero(d <= limit[:, None])  # ties at the limit stay in
+                    found.append((some[a], ids.take(pa.array(b)), labels.take(pa.array(b)), d[a, b]))
+                    best[some] = np.sort(np.concatenate([best[some], top], axis=1), axis=1)[:, :kk]
+                    kth[some] = best[some, kk - 1]
+            row, dist = (np.concatenate([f[c] for f in found]) for c in (0, 3))
+            ids, labels = (pa.concat_arrays([f[c] for f in found]) for c in (1, 2))
+            keep = np.flatnonzero(dist <= kth[row])
+            row, dist, ids, labels = row[keep], dist[keep], ids.take(pa.array(keep)), labels.take(pa.array(keep))
+            at = np.lexsort((_sortable(ids), dist, row))
+            row, dist = row[at], dist[at]
+            begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            rank = np.arange(len(row)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(row)]])))
+            first = rank < kk
+            at = pa.array(at[first])
+            return row[first], ids.take(at), labels.take(at), dist[first], rank[first] + 1
+
+        for b in batches:
+            for lo in range(0, b.num_rows, chunk_rows):
+                part = b.slice(lo, chunk_rows)
+                x, ok = _vectors(part.column(1), dim)
+                out = []
+                if not ok.all():
+                    if missing == "error":
+                        raise ValueError("a test row has no full feature vector")
+                    bad = np.flatnonzero(~ok)
+                    none = pa.nulls(len(bad))
+                    out.append((bad, None, None, none.cast(pa.float64()), pa.array(np.ones(len(bad)), pa.int32(), safe=False)))
+                if ok.any():
+                    good = np.flatnonzero(ok)
+                    row, ids, labels, dist, rank = nearest(x[good])
+                    dist = {2.0: np.sqrt, 1.0: lambda d: d}.get(power, lambda d: d ** (1.0 / power))(dist)
+                    out.append((good[row], ids, labels, pa.array(dist), pa.array(rank, pa.int32())))
+                for row, ids, labels, dist, rank in out:
+                    at = pa.array(row)
+                    keys, values = (c if c is not None else pa.nulls(len(row)).cast(t) for c, t in ((ids, id_kind), (labels, label_kind)))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), *[part.column(i).take(at) for i in range(2, part.num_columns)],
+                                                      keys, values, dist, rank], names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_kind, label_kind = to_arrow_type(blocks.id_type), to_arrow_type(blocks.label_type)
+    names = schema.names
+    return q.mapInArrow(search, schema)
 
 
 def knn_vote(neighbors: DataFrame, test_id: str, k: int | None = None,
              keep_cols: Sequence[str] = (), prediction_col: str = "prediction") -> DataFrame:
-    """K3: majority label of the first ``k`` neighbours, ties to the smallest label."""
+    """K3: majority label of the first ``k`` neighbours, ties to the smallest label;
+    NULL for a row without neighbours."""
     nb = neighbors if k is None else neighbors.filter(F.col("rank") <= k)
     return nb.groupBy(test_id).agg(
         F.mode("neighbor_label", True).alias(prediction_col),
@@ -255,15 +317,11 @@ def knn_vote_many(neighbors: DataFrame, test_id: str, ks: Sequence[int],
         *[F.any_value(c).alias(c) for c in keep_cols])
 
 
-def knn_predict(train: DataFrame, test: DataFrame, *, features, label_col: str, train_id: str,
-                test_id: str, k: int = 5, metric: str = "euclidean", p: float = 2.0,
-                weights=None, keep_cols: Sequence[str] = (), allow_fewer: bool = False,
-                **blocks) -> DataFrame:
-    """K1-K4: fit (= hold the training rows) and predict in one plan."""
-    nb = knn_neighbors(train, test, features=features, label_col=label_col, train_id=train_id,
-                       test_id=test_id, k=k, metric=metric, p=p, weights=weights,
-                       keep_cols=keep_cols, allow_fewer=allow_fewer, **blocks)
-    return knn_vote(nb, test_id, keep_cols=keep_cols)
+def knn_predict(train: DataFrame | TrainingBlocks, test: DataFrame, *, test_id: str, k: int = 5,
+                keep_cols: Sequence[str] = (), **kw) -> DataFrame:
+    """K1-K4: fit (= hold the training rows) and predict in one plan; the other
+    arguments are those of ``knn_neighbors``."""
+    return knn_vote(knn_neighbors(train, test, test_id=test_id, k=k, keep_cols=keep_cols, **kw), test_id, keep_cols=keep_cols)
 
 
 def accuracy(df: DataFrame, prediction_col: str = "prediction", label_col: str = "label",
@@ -274,25 +332,23 @@ def accuracy(df: DataFrame, prediction_col: str = "prediction", label_col: str =
     return df.groupBy(*by).agg(agg) if by else df.agg(agg)
 
 
-def knn_score(train: DataFrame, test: DataFrame, *, features, label_col: str, train_id: str,
-              test_id: str, k: int = 5, metric: str = "euclidean", **kw) -> DataFrame:
-    """K7: accuracy of a KNN fitted on ``train`` over the labelled ``test`` rows."""
-    t = test.withColumnRenamed(label_col, "_actual") if label_col in test.columns else test
-    pred = knn_predict(train, t, features=features, label_col=label_col, train_id=train_id,
-                       test_id=test_id, k=k, metric=metric, keep_cols=["_actual"], **kw)
+def knn_score(train: DataFrame | TrainingBlocks, test: DataFrame, *, score_label: str | None = None, **kw) -> DataFrame:
+    """K7: accuracy of a KNN fitted on ``train`` over the labels in the test rows'
+    column ``score_label`` (by default the training label's name): true labels, or
+    predictions of the same or another fit."""
+    label = score_label or kw["label_col"]
+    pred = knn_predict(train, test.withColumnRenamed(label, "_actual"), keep_cols=["_actual"], **kw)
     return accuracy(pred, "prediction", "_actual")
 
 
-def pseudo_label_refit(train: DataFrame, test: DataFrame, *, features, label_col: str,
-                       train_id: str, test_id: str, k: int = 5, metric: str = "euclidean",
-                       n_train: int | None = None, n_test: int | None = None, **kw) -> DataFrame:
+def pseudo_label_refit(train: DataFrame | TrainingBlocks, test: DataFrame, *, features, label_col: str,
+                       train_id: str, test_id: str, k: int = 5, **kw) -> DataFrame:
     """K8: predict the test rows, refit on them with the predicted labels and
     predict them again.  Returns ``test_id, pseudo_label, refit_prediction``."""
     first = knn_predict(train, test, features=features, label_col=label_col, train_id=train_id,
-                        test_id=test_id, k=k, metric=metric, n_train=n_train, n_test=n_test, **kw)
+                        test_id=test_id, k=k, **kw)
     # the relabelled rows are both sides of the second search: store them once
     relabelled = materialize(test.join(first.withColumnRenamed("prediction", "pseudo_label"), test_id))
     second = knn_predict(relabelled, relabelled, features=features, label_col="pseudo_label",
-                         train_id=test_id, test_id=test_id, k=k, metric=metric,
-                         keep_cols=["pseudo_label"], n_train=n_test, n_test=n_test, **kw)
+                         train_id=test_id, test_id=test_id, k=k, keep_cols=["pseudo_label"], **kw)
     return second.select(test_id, "pseudo_label", F.col("prediction").alias("refit_prediction"))

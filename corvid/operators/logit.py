@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.operators.encode import poly2_terms
+from corvid.session import materialize
 
 
 def fit_poly_logit(train: DataFrame, feature_cols: Sequence[str], label_col: str, C: float = 1e-5,
@@ -28,15 +29,13 @@ def fit_poly_logit(train: DataFrame, feature_cols: Sequence[str], label_col: str
     constant polynomial term is left out: next to the free intercept its
     penalised weight is 0 at the optimum.
 
-    Every optimiser step is one pass over the training rows, so the input is
-    coalesced (no shuffle) to about ``rows_per_partition`` rows per task:
-    many tiny partitions only add per-step task overhead, large inputs keep
-    their parallelism."""
-    n = train.count()
-    data = train.withColumn(label_col, F.col(label_col).cast("double"))
-    want = max(1, -(-n // rows_per_partition))
-    if want < data.rdd.getNumPartitions():
-        data = data.coalesce(want)
+    The numeric columns are computed and stored once, at the input's full
+    parallelism.  Every optimiser step is one pass over them, so the stored rows
+    are then read by tasks of about ``rows_per_partition`` rows: many tiny
+    partitions would only add overhead to each step."""
+    data = materialize(train.select(*feature_cols, F.col(label_col).cast("double").alias(label_col)))
+    n = data.count()
+    data = data.coalesce(max(1, -(-n // rows_per_partition)))
     # the optimiser reads the rows once per step: keep them (spills to disk when large)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     assembler = VectorAssembler(inputCols=list(feature_cols), outputCol="_raw", handleInvalid="keep")
@@ -101,3 +100,17 @@ def conventional_coefficients(model: PipelineModel, n_features: int) -> tuple[fl
     by_term = dict(zip(spark_poly2_order(n_features), w))
     order = [(j,) for j in range(n_features)] + [(i, j) for i in range(n_features) for j in range(i, n_features)]
     return b0, [by_term[t] for t in order]
+
+
+def penalised_gradient(df: DataFrame, feature_cols: Sequence[str], label_col: str, intercept: float,
+                       coefs: Sequence[float], C: float, degree: int = 2) -> DataFrame:
+    """(term, gradient): the gradient of the penalised summed loss at given
+    coefficients, one row per term; all 0 at the optimum (the intercept is free).
+    One aggregate over the rows, independent of the optimiser."""
+    names = ["intercept"] + ([n for n, _ in poly2_terms(feature_cols, include_bias=False)] if degree == 2 else list(feature_cols))
+    terms = [F.lit(1.0), *linear_terms(feature_cols, degree)]
+    miss = logistic_score(feature_cols, intercept, coefs, degree) - F.col(label_col).cast("double")
+    sums = df.agg(*[F.sum(miss * t).alias(f"g{i}") for i, t in enumerate(terms)])
+    penalty = [0.0, *(float(w) / C for w in coefs)]
+    rows = F.array(*[F.struct(F.lit(n).alias("term"), (F.col(f"g{i}") + F.lit(penalty[i])).alias("gradient")) for i, n in enumerate(names)])
+    return sums.select(F.inline(rows))

@@ -16,30 +16,46 @@ from corvid.session import materialize, spread
 
 
 def value_shares(df: DataFrame, col: str, by: Sequence[str] = (), share_col: str = "share") -> DataFrame:
-    """A4: frequency of every value as a share of the rows (within ``by``).
-    The total comes from a window over the aggregated counts -- one row per
-    distinct value (a categorical column), so the input is scanned once."""
+    """A4: frequency of every value as a share of the rows (within ``by``).  The
+    total is a one-row sum of the counts (with ``by``, one row per group joined
+    back), so no task holds all distinct values."""
     counts = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*by))
-    return counts.withColumn(share_col, F.col("n") / total)
+    if not by:
+        return counts.withColumn(share_col, F.col("n") / counts.agg(F.sum("n")).scalar())
+    total = counts.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.sum("n").alias("_total"))
+    cond = None
+    for c in by:
+        one = counts[c].eqNullSafe(total[f"_by_{c}"])
+        cond = one if cond is None else cond & one
+    out = counts.join(total, cond)
+    return out.select(*by, col, "n", (F.col("n") / F.col("_total")).alias(share_col))
+
+
+def confusion_cells(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """A9 as a table: (actual, predicted, n) for every pair that occurs; a missing
+    label or prediction is a value of its own, so the counts add up to all rows."""
+    return df.groupBy(actual, predicted).agg(F.count(F.lit(1)).alias("n"))
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str, labels: Sequence | None = None,
                      prefix: str = "pred_") -> DataFrame:
-    """One row per actual label, one count column per predicted label
-    (sorted labels; empty cells 0; labels seen only as predictions still get a row)."""
-    # one pass over the input; the cell counts (labels^2 rows) are stored once
-    counts = materialize(df.groupBy(actual, predicted).agg(F.count(F.lit(1)).alias("_n")))
+    """A9 as a view of ``confusion_cells``: one row per actual label (a missing one
+    included), one count column per label, and ``other`` and ``missing`` columns
+    for predictions outside the labels and for none (empty cells 0; labels seen
+    only as predictions still get a row).  The cells add up to the rows."""
+    counts = materialize(confusion_cells(df, actual, predicted))
     if labels is None:
         from corvid.operators.encode import category_list
         both = counts.select(F.col(actual).alias("_l")).union(counts.select(F.col(predicted).alias("_l")))
         labels = category_list(both, "_l")
-    wide = counts.groupBy(actual).pivot(predicted, list(labels)).agg(F.sum("_n"))
-    wide = wide.withColumnsRenamed({str(v): f"{prefix}{v}" for v in labels})
-    rows = (counts.select(F.col(actual).alias("_a")).union(counts.select(F.col(predicted).alias("_a")))
-              .distinct().where(F.col("_a").isNotNull()))
-    out = rows.join(wide, rows["_a"] == wide[actual], "left").drop(actual).withColumnRenamed("_a", actual)
-    return out.na.fill(0, subset=[f"{prefix}{v}" for v in labels])
+    labels = list(labels)
+    rows = counts.unionByName(counts.where(F.col(predicted).isNotNull()).select(
+        F.col(predicted).cast(counts.schema[actual].dataType).alias(actual), F.lit(None).cast(counts.schema[predicted].dataType).alias(predicted),
+        F.lit(0).cast("long").alias("n")))
+    cell = lambda cond, name: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).alias(prefix + name)
+    known = F.col(predicted).isin(labels)
+    return rows.groupBy(actual).agg(*[cell(F.col(predicted) == F.lit(v), str(v)) for v in labels],
+                                    cell(F.col(predicted).isNotNull() & ~known, "other"), cell(F.col(predicted).isNull(), "missing"))
 
 
 def _score_counts(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
@@ -51,80 +67,92 @@ def _score_counts(df: DataFrame, label: str, score: str, positive=1) -> DataFram
         F.sum(pos).alias("pos"), F.sum(F.lit(1) - pos).alias("neg")))
 
 
-def roc_points(df: DataFrame, label: str, score: str, positive=1, n_buckets: int = 64,
+def roc_points(df: DataFrame, label: str, score: str, positive=1, n_buckets: int | None = None,
                drop_intermediate: bool = False, with_origin: bool = False) -> DataFrame:
     """A10: (threshold, fpr, tpr) at every distinct score, highest first.
 
     By default all points are kept.  ``drop_intermediate`` drops the points
     whose false and true positive counts both lie on a straight line with
     their neighbours (zero second difference), keeping the first and last --
-    the usual pruning of collinear points.  The neighbours come from a rank
-    (two-phase prefix count) and two equi-joins on rank +- 1, not from a
-    global window.  ``with_origin`` adds the (0, 0) start point with a NULL
-    threshold."""
+    the usual pruning of collinear points.  The neighbours are those in the
+    same range of scores, and at its ends the border rows of the next ranges.
+    ``with_origin`` adds the (0, 0) start point with a NULL threshold."""
     sc = _score_counts(df, label, score, positive)
-    cum = prefix_sums(sc.withColumn("_one", F.lit(1)), "score", ["pos", "neg", "_one"], ascending=False,
-                      n_buckets=n_buckets)
-    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("D")).first()
-    p_tot, n_tot, n_pts = tot["P"] or 0, tot["N"] or 0, tot["D"]
-    pts = cum.select(F.col("score").alias("threshold"), F.col("cum__one").alias("_rank"),
-                     F.col("cum_pos").alias("_tp"), F.col("cum_neg").alias("_fp"))
-    if drop_intermediate and n_pts > 2:
-        pts = materialize(pts)  # read three times: the points and both neighbour joins
-        prev = pts.select((F.col("_rank") + 1).alias("_rank"), F.col("_tp").alias("_tp0"), F.col("_fp").alias("_fp0"))
-        nxt = pts.select((F.col("_rank") - 1).alias("_rank"), F.col("_tp").alias("_tp2"), F.col("_fp").alias("_fp2"))
-        j = pts.join(prev, "_rank", "left").join(nxt, "_rank", "left")
-        bend = ((F.col("_fp0") - 2 * F.col("_fp") + F.col("_fp2")) != 0) | \
-               ((F.col("_tp0") - 2 * F.col("_tp") + F.col("_tp2")) != 0)
-        pts = j.filter(F.col("_tp0").isNull() | F.col("_tp2").isNull() | bend).select(*pts.columns)
+    cum = prefix_sums(sc, "score", ["pos", "neg"], ascending=False, n_buckets=n_buckets, keep_bucket="_bk")
+    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    p_tot, n_tot = tot["P"] or 0, tot["N"] or 0
+    pts = cum.select(F.col("score").alias("threshold"), "_bk", F.col("cum_pos").alias("_tp"), F.col("cum_neg").alias("_fp"))
+    if drop_intermediate:
+        here = Window.partitionBy("_bk").orderBy(F.col("threshold").desc())
+        ends = pts.groupBy("_bk").agg(*[f(c, "threshold").alias(f"_{side}{c}") for c in ("_tp", "_fp")
+                                        for side, f in (("first", F.max_by), ("last", F.min_by))])
+        order = Window.orderBy("_bk")  # one row per range
+        ends = ends.select("_bk", *[F.lag(f"_last{c}").over(order).alias(f"_prev{c}") for c in ("_tp", "_fp")],
+                           *[F.lead(f"_first{c}").over(order).alias(f"_next{c}") for c in ("_tp", "_fp")])
+        pts = pts.withColumns({f"_b{c}": F.lag(c).over(here) for c in ("_tp", "_fp")}
+                              | {f"_a{c}": F.lead(c).over(here) for c in ("_tp", "_fp")}).join(F.broadcast(ends), "_bk")
+        before = {c: F.coalesce(f"_b{c}", f"_prev{c}") for c in ("_tp", "_fp")}
+        after = {c: F.coalesce(f"_a{c}", f"_next{c}") for c in ("_tp", "_fp")}
+        bend = F.lit(False)
+        for c in ("_tp", "_fp"):
+            bend = bend | before[c].isNull() | after[c].isNull() | ((before[c] - 2 * F.col(c) + after[c]) != 0)
+        pts = pts.filter(bend).select("threshold", "_tp", "_fp")
+    pts = pts.select("threshold", "_tp", "_fp")
     if with_origin:
         origin = sc.limit(1).select(F.lit(None).cast(sc.schema["score"].dataType).alias("threshold"),
-                                    F.lit(0).cast("long").alias("_rank"), F.lit(0).cast("long").alias("_tp"),
-                                    F.lit(0).cast("long").alias("_fp"))
+                                    F.lit(0).cast("long").alias("_tp"), F.lit(0).cast("long").alias("_fp"))
         pts = origin.unionByName(pts)
     return pts.select("threshold",
                       F.try_divide(F.col("_fp").cast("double"), F.lit(float(n_tot))).alias("fpr"),
                       F.try_divide(F.col("_tp").cast("double"), F.lit(float(p_tot))).alias("tpr"))
 
 
-def auc(df: DataFrame, label: str, score: str, positive=1, n_buckets: int = 64) -> DataFrame:
+def auc(df: DataFrame, label: str, score: str, positive=1, n_buckets: int | None = None) -> DataFrame:
     """Area under the ROC curve with ties counted half (rank-sum form).
     One row, NULL when only one class is present."""
     sc = _score_counts(df, label, score, positive)
+    return auc_of_counts(sc, n_buckets)
+
+
+def auc_of_counts(sc: DataFrame, n_buckets: int | None = None) -> DataFrame:
+    """A11 from (score, pos, neg) rows with distinct scores.  Products are taken as
+    doubles: positives times negatives does not fit a 64-bit integer for long."""
     cum = prefix_sums(sc, "score", ["neg"], ascending=True, inclusive=False, n_buckets=n_buckets)
-    part = F.col("pos") * (F.col("cum_neg") + F.col("neg") * 0.5)
+    part = F.col("pos").cast("double") * (F.col("cum_neg") + F.col("neg") * 0.5)
     agg = cum.agg(F.sum(part).alias("s"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return agg.select(F.when((F.col("P") > 0) & (F.col("N") > 0),
-                             F.col("s") / (F.col("P") * F.col("N"))).alias("auc"))
+                             F.col("s") / (F.col("P").cast("double") * F.col("N").cast("double"))).alias("auc"))
 
 
-def kde_grid(df: DataFrame, col: str, points: int = 1000, cutoff: float = 8.0) -> DataFrame:
+def kde_grid(df: DataFrame, col: str, points: int = 1000) -> DataFrame:
     """Gaussian kernel density on ``points`` equally spaced values over
     [min - range/2, max + range/2]; bandwidth std(ddof=1) * n^(-1/5).
 
-    Each row adds to the grid points within ``cutoff`` bandwidths (beyond it
-    a term is < exp(-cutoff^2/2) of the peak), then a partial+final sum per
-    grid point: no row x grid product."""
+    Every row adds its kernel to every grid point, none is cut off.  A task adds
+    the kernels of its rows up in one array and sends ``points`` sums."""
     s = df.agg(F.count(col).alias("n"), F.stddev_samp(col).alias("sd"),
                F.min(col).alias("lo"), F.max(col).alias("hi")).first()
     n, sd, lo, hi = s["n"], s["sd"], s["lo"], s["hi"]
     if not n or sd is None or sd == 0:
         raise ValueError("kde needs at least two distinct values")
+    sd, lo, hi = float(sd), float(lo), float(hi)
     h = sd * n ** (-0.2)
-    rng = hi - lo
-    g0, g1 = lo - 0.5 * rng, hi + 0.5 * rng
-    step = (g1 - g0) / (points - 1)
-    x = F.col(col).cast("double")
-    j_lo = F.greatest(F.ceil((x - cutoff * h - g0) / step), F.lit(0)).cast("int")
-    j_hi = F.least(F.floor((x + cutoff * h - g0) / step), F.lit(points - 1)).cast("int")
-    # (sequence would count down when no grid point is in reach)
-    js = F.when(j_lo <= j_hi, F.sequence(j_lo, j_hi)).otherwise(F.array().cast("array<int>"))
-    fan_out = 2 * cutoff * h / step + 1  # grid points per value
-    near = spread(df.where(F.col(col).isNotNull()), n * fan_out).select(x.alias("x"), F.explode(js).alias("j"))
-    z = (F.lit(g0) + F.col("j") * F.lit(step) - F.col("x")) / F.lit(h)
-    sums = near.groupBy("j").agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("_s"))
+    g0 = lo - 0.5 * (hi - lo)
+    step = ((hi + 0.5 * (hi - lo)) - g0) / (points - 1)
+
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        grid, sums = g0 + np.arange(points) * step, np.zeros(points)
+        for b in batches:
+            x = b.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(x), 1024):
+                z = (grid[None, :] - x[at:at + 1024, None]) / h
+                sums += np.exp(-0.5 * z * z).sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"j": pa.array(np.arange(points), pa.int32()), "s": pa.array(sums)})
+
+    x = spread(df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("x")), float(n) * points, n)
+    sums = x.mapInArrow(add, "j int, s double").groupBy("j").agg(F.sum("s").alias("_s"))
     norm = n * h * math.sqrt(2 * math.pi)
-    grid = df.sparkSession.range(points).withColumnRenamed("id", "j")
-    out = grid.join(sums, "j", "left")
-    return out.select(F.col("j").cast("int").alias("j"), (F.lit(g0) + F.col("j") * F.lit(step)).alias("x"),
-                      (F.coalesce("_s", F.lit(0.0)) / F.lit(norm)).alias("density"))
+    return sums.select("j", (F.lit(g0) + F.col("j") * F.lit(step)).alias("x"), (F.col("_s") / F.lit(norm)).alias("density"))

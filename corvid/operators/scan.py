@@ -1,10 +1,10 @@
 """Ordered prefix sums without a global single-partition window.
 
-Rows are cut into ``n_buckets`` ranges of the order column at approximate
-quantiles (so a clustered order column still gives even buckets); sums run
-inside each bucket (one window per bucket), the bucket totals (``n_buckets``
-rows) give the offsets, and one broadcast join of the offsets adds them.
-Used by ROC points and AUC."""
+Rows are range-partitioned by the order column and stored once with the
+number of their range; sums run inside each range, the totals of the ranges
+(one row each) give the offsets, and one join adds them.  The number of ranges
+follows the data: Spark samples the column, and merges small ranges.  Used
+by ROC points and AUC."""
 
 from __future__ import annotations
 
@@ -13,33 +13,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvid.session import materialize
+
 UNB = Window.unboundedPreceding
 
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], ascending: bool = True,
-                inclusive: bool = True, n_buckets: int = 64, prefix: str = "cum_") -> DataFrame:
+                inclusive: bool = True, n_buckets: int | None = None, prefix: str = "cum_",
+                keep_bucket: str | None = None) -> DataFrame:
     """Add ``prefix + c``: the sum of ``c`` over all rows before (and with
     ``inclusive``, at) this row in ``order_col`` order.  ``order_col`` must be
-    unique (aggregate to distinct values first)."""
-    cuts: list = []
-    if n_buckets > 1:
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        row = df.agg(F.percentile_approx(order_col, probs, 10_000).alias("q")).first()
-        cuts = sorted(set(row["q"] or []))  # bounded: at most n_buckets - 1 values
-    bucket = F.lit(len(cuts))
-    for i, b in reversed(list(enumerate(cuts))):
-        bucket = F.when(F.col(order_col) <= F.lit(b), F.lit(i)).otherwise(bucket)
-    if not ascending:
-        bucket = F.lit(len(cuts)) - bucket
-    d = df.withColumn("_bk", bucket)
+    unique (aggregate to distinct values first).  ``n_buckets`` fixes the number
+    of ranges; ``keep_bucket`` names a column for the range, which rises in the
+    order asked for."""
+    ranged = df.repartitionByRange(order_col) if n_buckets is None else df.repartitionByRange(n_buckets, order_col)
+    d = materialize(ranged.withColumn("_range", F.spark_partition_id()))
+    d = d.withColumn("_range", F.col("_range") if ascending else -F.col("_range"))
     order = F.col(order_col).asc() if ascending else F.col(order_col).desc()
     frame = (UNB, 0) if inclusive else (UNB, -1)
-    w_in = Window.partitionBy("_bk").orderBy(order).rowsBetween(*frame)
+    w_in = Window.partitionBy("_range").orderBy(order).rowsBetween(*frame)
+    totals = d.groupBy("_range").agg(*[F.sum(c).alias(c) for c in sum_cols])
+    w_before = Window.orderBy("_range").rowsBetween(UNB, -1)  # one row per range
+    offsets = totals.select("_range", *[F.coalesce(F.sum(c).over(w_before), F.lit(0)).alias(f"_off_{c}")
+                                        for c in sum_cols])
     d = d.withColumns({f"_in_{c}": F.coalesce(F.sum(c).over(w_in), F.lit(0)) for c in sum_cols})
-    totals = df.withColumn("_bk", bucket).groupBy("_bk").agg(*[F.sum(c).alias(c) for c in sum_cols])
-    w_before = Window.orderBy("_bk").rowsBetween(UNB, -1)  # n_buckets rows
-    offsets = totals.select("_bk", *[F.coalesce(F.sum(c).over(w_before), F.lit(0)).alias(f"_off_{c}")
-                                     for c in sum_cols])
-    d = d.join(F.broadcast(offsets), "_bk")
+    d = d.join(F.broadcast(offsets), "_range")
     d = d.withColumns({prefix + c: F.col(f"_in_{c}") + F.col(f"_off_{c}") for c in sum_cols})
-    return d.drop("_bk", *[f"_in_{c}" for c in sum_cols], *[f"_off_{c}" for c in sum_cols])
+    if keep_bucket:
+        d = d.withColumn(keep_bucket, F.col("_range"))
+    return d.drop("_range", *[f"_in_{c}" for c in sum_cols], *[f"_off_{c}" for c in sum_cols])

@@ -21,7 +21,7 @@ from corvid.operators.joins import pair_neighbour_slots, pairs_in_groups
 PAIRING = [0, 3, 4, 7, 8, 11, 12, 15, 1, 2, 5, 6, 9, 10, 13, 14]
 ROUND_NAMES = ["round_of_16", "quarterfinal", "semifinal", "final"]
 
-ProbFn = Callable[[Column, Column], Column]  # (home rating, away rating) -> P(home wins)
+ProbFn = Callable[..., Column]  # (home rating(s), away rating(s)) -> P(home wins)
 
 
 def latest_ratings(df: DataFrame, day_col: str, key_col: str, members: DataFrame | None = None,
@@ -36,11 +36,17 @@ def latest_ratings(df: DataFrame, day_col: str, key_col: str, members: DataFrame
     return out
 
 
-def pair_scores(teams: DataFrame, group_cols: Sequence[str], team_col: str, rating_col: str,
-                prob: ProbFn) -> DataFrame:
-    """Every pair in a group (earlier team at home) with P(home wins)."""
-    pairs = pairs_in_groups(teams, group_cols, team_col, [rating_col])
-    return pairs.withColumn("p_home", prob(F.col(f"{rating_col}_home"), F.col(f"{rating_col}_away"))).select(
+def pair_scores(teams: DataFrame, group_cols: Sequence[str], team_col: str, ratings: str | Sequence[str],
+                prob: ProbFn, max_group_size: int) -> DataFrame:
+    """Every pair in a group (earlier team at home) with P(home wins).  ``prob``
+    gets the home and the away rating as columns, or with a list of ``ratings``
+    two dictionaries name -> column.  A pair with a missing rating has a NULL
+    probability.  Groups may hold ``max_group_size`` teams at the most."""
+    names = [ratings] if isinstance(ratings, str) else list(ratings)
+    pairs = pairs_in_groups(teams, group_cols, team_col, names, max_group_size)
+    home, away = ({c: F.col(f"{c}_{side}") for c in names} for side in ("home", "away"))
+    p = prob(home[ratings], away[ratings]) if isinstance(ratings, str) else prob(home, away)
+    return pairs.withColumn("p_home", p).select(
         *group_cols, F.col(f"{team_col}_home").alias("home"), F.col(f"{team_col}_away").alias("away"), "p_home")
 
 
@@ -71,40 +77,59 @@ def seed_slots(table: DataFrame, bracket_cols: Sequence[str], group_index: str,
                pairing: Sequence[int] = PAIRING) -> DataFrame:
     """T4/O3: qualifiers (``place`` 1/2 per group) -> knock-out slots.
     ``group_index`` is 0 for group A, 1 for B, ...; position = 2*group +
-    place - 1; slot i takes position ``pairing[i]`` (a broadcast join with
-    the fixed 16-row permutation).  A missing group leaves empty slots (byes)."""
-    spark = table.sparkSession
-    perm = spark.createDataFrame([(pos, slot) for slot, pos in enumerate(pairing)], "position int, slot int")
-    q = table.withColumn("position", (F.col(group_index) * 2 + F.col("place") - 1).cast("int"))
-    return q.join(F.broadcast(perm), "position").select(*bracket_cols, "slot", team_col)
+    place - 1; slot i takes position ``pairing[i]``.  A missing group leaves
+    empty slots (byes); a position that ``pairing`` does not list is an error."""
+    q = table.withColumn("_position", (F.col(group_index) * 2 + F.col("place") - 1).cast("int"))
+    return reorder_by_list(q, "_position", pairing, "slot").select(*bracket_cols, "slot", team_col)
+
+
+def reorder_by_list(df: DataFrame, position_col: str, positions: Sequence[int], out_col: str = "slot",
+                    unlisted: str = "error") -> DataFrame:
+    """O3: the place of each row's position in a list (a map lookup inside the
+    scan, no join).  Rows whose position the list does not hold stop the query,
+    or with ``unlisted="null"`` stay with NULL."""
+    if unlisted not in ("error", "null"):
+        raise ValueError("unlisted must be 'error' or 'null'")
+    places = F.create_map(*[F.lit(int(x)) for slot, pos in enumerate(positions) for x in (pos, slot)])
+    found = F.try_element_at(places, F.col(position_col).cast("int"))
+    if unlisted == "error":
+        text = F.format_string("reorder_by_list: position %s is not in the list", position_col)
+        found = F.when(found.isNull(), F.raise_error(text).cast("int")).otherwise(found)
+    return df.withColumn(out_col, found)
 
 
 def fold_round(slots: DataFrame, bracket_cols: Sequence[str], team_col: str, ratings: DataFrame,
                rating_col: str, prob: ProbFn, cut: float = 0.8) -> DataFrame:
     """T5, one round: slots 2i / 2i+1 meet (J10), home wins when P(home) > cut.
-    A slot without an opponent advances (bye).  Returns one row per pair:
+    A slot without an opponent advances (bye); a pair with a missing rating is an
+    error, not a win for either side.  Returns one row per pair:
     ``pair`` (= next slot), home, away, p_home, winner."""
     r = ratings.select(F.col(team_col).alias("_t"), F.col(rating_col).alias("_r"))
     s = slots.join(r, slots[team_col] == r["_t"], "left").drop("_t")
     g = pair_neighbour_slots(s, bracket_cols, "slot", [team_col, "_r"])
     g = g.select(*bracket_cols, F.col("pair").cast("int").alias("pair"), F.col(f"{team_col}_home").alias("home"),
                  F.col(f"{team_col}_away").alias("away"), F.col("_r_home").alias("_rh"), F.col("_r_away").alias("_ra"))
-    p = F.when(F.col("home").isNotNull() & F.col("away").isNotNull(), prob(F.col("_rh"), F.col("_ra")))
-    g = g.withColumn("p_home", p)
+    both = F.col("home").isNotNull() & F.col("away").isNotNull()
+    g = g.withColumn("p_home", F.when(both, prob(F.col("_rh"), F.col("_ra"))))
+    missing = F.raise_error(F.format_string("fold_round: no rating for %s or %s", "home", "away")).cast("double")
+    g = g.withColumn("p_home", F.when(both & F.col("p_home").isNull(), missing).otherwise(F.col("p_home")))
     winner = (F.when(F.col("away").isNull(), F.col("home")).when(F.col("home").isNull(), F.col("away"))
                .when(F.col("p_home") <= cut, F.col("away")).otherwise(F.col("home")))
     return g.withColumn("winner", winner).drop("_rh", "_ra")
 
 
 def fold_rounds(slots: DataFrame, bracket_cols: Sequence[str], team_col: str, ratings: DataFrame,
-                rating_col: str, prob: ProbFn, cut: float = 0.8, n_rounds: int = 4,
+                rating_col: str, prob: ProbFn, cut: float = 0.8, n_rounds: int | None = None,
                 checkpoint_every: int | None = 1) -> DataFrame:
-    """T5: repeat rounds until one slot is left (16 -> 8 -> 4 -> 2 -> 1);
-    returns all rounds with ``round`` and ``round_name``.  The driver only
-    builds ``n_rounds`` plan steps.  Every round feeds both the next round
+    """T5: repeat rounds until one slot is left (16 -> 8 -> 4 -> 2 -> 1), or
+    ``n_rounds`` where given; returns all rounds with ``round`` and ``round_name``.
+    The driver asks for the highest slot and builds one plan step per round.  Every round feeds both the next round
     and the output, so by default each round is written once to the shared
     checkpoint folder (``checkpoint_every=1``); otherwise every later round
     would re-run the whole plan before it.  ``None`` keeps one lazy plan."""
+    if n_rounds is None:
+        top = slots.agg(F.max("slot")).first()[0]
+        n_rounds = max(1, int(top).bit_length()) if top is not None else 1
     out = []
     cur = slots
     for i in range(n_rounds):

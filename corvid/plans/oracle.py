@@ -10,7 +10,8 @@ def _split(table: str, key: str, share: float, seed: int) -> str:
 
 
 def _dist(a: str, b: str, metric: str) -> str:
-    term = {"euclidean": "(z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)",
+    term = {"minkowski3": "pow(abs(z[1]::DOUBLE - z[2]::DOUBLE), 3)",
+            "euclidean": "(z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)",
             "manhattan": "abs(z[1]::DOUBLE - z[2]::DOUBLE)"}[metric]
     return (f"list_reduce(list_transform(list_zip({a}, {b}), lambda z: {term}), "
             f"lambda x, y: x + y)")
@@ -45,9 +46,9 @@ def _part_split(scale: int) -> str:
                   "p_partkey", 0.25, 0)
 
 
-def _part_knn(scale: int, features: list[str], k: int) -> str:
+def _part_knn(scale: int, features: list[str], k: int, weights: tuple = (1.0, 1.0)) -> str:
     s = _part_split(scale)
-    dist = " + ".join(f"(q.{f}::DOUBLE - r.{f}::DOUBLE) * (q.{f}::DOUBLE - r.{f}::DOUBLE)" for f in features)
+    dist = " + ".join(f"(q.{f}::DOUBLE - r.{f}::DOUBLE) * (q.{f}::DOUBLE - r.{f}::DOUBLE) * {w}::DOUBLE" for f, w in zip(features, weights))
     return _knn_vote(f"SELECT * FROM ({s}) WHERE NOT is_test", f"SELECT * FROM ({s}) WHERE is_test",
                      "p_partkey", "p_type", dist, k)
 
@@ -88,6 +89,24 @@ ORACLE_SQL: dict[str, str] = {
       FROM ({_part_knn(1, ['p_size', 'p_retailprice'], 3)}) a
       JOIN ({_part_knn(1000, ['p_size', 'p_retailprice'], 3)}) b USING (p_partkey)""",
     "knn_feature_subset": _part_knn(1, ["p_retailprice"], 3),
+    "knn_minkowski_p3": _knn_vote(EMB_TRAIN, EMB_TEST, "vec_id", "label", _dist("q.embedding", "r.embedding", "minkowski3"), 5),
+    "knn_feature_weights": _part_knn(1, ["p_size", "p_retailprice"], 3, (100.0, 0.25)),
+    "knn_k_above_n": """
+      SELECT s_suppkey, (SELECT n_regionkey FROM nation GROUP BY n_regionkey ORDER BY count(*) DESC, n_regionkey LIMIT 1) AS prediction
+      FROM supplier""",
+    "knn_literal_rows": f"""
+      WITH q AS (SELECT * FROM (VALUES (1, 10, 950.0::DOUBLE), (2, 33, 1500.5::DOUBLE)) t(row_id, p_size, p_retailprice))
+      SELECT row_id::INTEGER AS row_id, prediction FROM ({_knn_vote('SELECT * FROM part', 'SELECT * FROM q', 'row_id', 'p_type',
+        '(q.p_size::DOUBLE - r.p_size::DOUBLE) * (q.p_size::DOUBLE - r.p_size::DOUBLE) + (q.p_retailprice::DOUBLE - r.p_retailprice::DOUBLE) * (q.p_retailprice::DOUBLE - r.p_retailprice::DOUBLE)',
+        5).replace('r.row_id', 'r.p_partkey')})
+      UNION ALL SELECT 3, NULL""",
+    "knn_own_prediction_score": f"""
+      WITH first AS ({_knn_vote(EMB_TRAIN, EMB_TEST, 'vec_id', 'label', EUCL, 5)}),
+           relab AS (SELECT t.vec_id, t.embedding, f.prediction FROM ({EMB_TEST}) t JOIN first f USING (vec_id)),
+           second AS ({_knn_vote('SELECT * FROM relab', 'SELECT * FROM relab', 'vec_id', 'prediction', EUCL, 5)})
+      SELECT 'same' AS fit, 1.0::DOUBLE AS accuracy
+      UNION ALL SELECT 'refit', round(avg(CASE WHEN s.prediction = r.prediction THEN 1.0 ELSE 0.0 END)::DOUBLE, 6)
+      FROM second s JOIN relab r USING (vec_id)""",
     "knn_pseudo_refit": f"""
       WITH first AS ({_knn_vote(EMB_TRAIN, EMB_TEST, 'vec_id', 'label', EUCL, 5)}),
            relab AS (SELECT t.vec_id, t.embedding, f.prediction AS pseudo_label
@@ -155,7 +174,52 @@ def _series(event_type: str) -> str:
 
 CLICKS = "SELECT event_id, user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'click'"
 
+MATCH_SQL = """
+  WITH ev AS (SELECT *, CAST(ts AS DATE) AS day FROM events),
+  m AS (SELECT event_id AS match_id, day, printf('T%02d', (user_id * 7) % 40) AS home_team, printf('T%02d', (user_id * 7 + event_id % 11 + 1) % 40) AS away_team,
+      floor(value)::BIGINT AS hs, CASE WHEN event_id % 9 <> 0 THEN floor(100 - value)::BIGINT END AS aws,
+      CASE WHEN event_id % 5 = 0 THEN 'Friendly' WHEN event_id % 5 <> 1 THEN 'Cup' END AS kind FROM ev WHERE event_type = 'click'),
+  r AS (SELECT team, day, arg_min(rank, event_id) FILTER (WHERE rank IS NOT NULL) AS rank, arg_min(points, event_id) FILTER (WHERE points IS NOT NULL) AS points
+    FROM (SELECT event_id, day, printf('T%02d', (user_id * 7) % 40) AS team, CASE WHEN event_id % 4 <> 0 THEN floor(value)::BIGINT END AS rank,
+            CASE WHEN event_id % 3 <> 0 THEN value * 10 END AS points FROM ev WHERE event_type = 'error') GROUP BY ALL),
+  span AS (SELECT team, min(day) AS lo, max(day) AS hi FROM r GROUP BY team),
+  grid AS (SELECT team, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM span),
+  f AS (SELECT g.team, g.day, last_value(rank IGNORE NULLS) OVER w AS rank, last_value(points IGNORE NULLS) OVER w AS points
+    FROM grid g LEFT JOIN r ON r.team = g.team AND r.day = g.day WINDOW w AS (PARTITION BY g.team ORDER BY g.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  j AS (SELECT m.*, h.rank AS hr, a.rank AS ar, h.points AS hp, a.points AS ap FROM m JOIN f h ON h.team = home_team AND h.day = m.day
+    JOIN f a ON a.team = away_team AND a.day = m.day)
+  SELECT match_id, home_team, away_team, hr - ar AS rank_difference, round((hr + ar) / 2, 6) AS average_rank, round(hp - ap, 6) AS point_difference,
+    hs - aws AS score_difference, coalesce(hs - aws > 0, false) AS is_won, NOT (kind IS NOT DISTINCT FROM 'Friendly') AS is_stake,
+    CAST(coalesce(greatest(least(datediff('day', lag(day) OVER (PARTITION BY home_team ORDER BY day, match_id), day), 30), 0), 30) AS INTEGER) AS rest_days,
+    CASE WHEN home_team IN ('T03', 'T17') THEN home_team ELSE 'Other' END AS wc_participant,
+    (home_team = 'T03')::INTEGER AS T03, (home_team = 'T17')::INTEGER AS T17, (home_team NOT IN ('T03', 'T17'))::INTEGER AS Other
+  FROM j"""
+
 ORACLE_SQL.update({
+    "match_feature_table": MATCH_SQL,
+    "segmented_ffill": f"SELECT user_id, day, {_r6('purchase_value')}, {_r6('error_value')} FROM ({FILLED})",
+    "left_join_missing": """
+      WITH j AS (SELECT c_custkey, o_orderkey, o_totalprice, o_orderpriority FROM customer
+                 LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 150000) o ON o_custkey = c_custkey)
+      SELECT c_custkey, o_orderkey, NOT (o_orderpriority IS NOT DISTINCT FROM '1-URGENT') AS not_urgent,
+             coalesce(o_totalprice > 200000, false) AS large, (SELECT count(o_orderkey) FROM j) AS n_orders FROM j""",
+    "merge_suffixes": """
+      SELECT doc_id, item_id, lang, length(d.text)::INTEGER AS doc_chars, length(b.text)::INTEGER AS item_chars
+      FROM documents d FULL JOIN benchmark b ON d.doc_id = b.item_id""",
+    "lookup_unknown": """
+      SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation LEFT JOIN (SELECT * FROM region WHERE r_name <> 'ASIA') ON r_regionkey = n_regionkey""",
+    "csv_typed_roundtrip": """
+      SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment,
+             round(CASE WHEN c_acctbal >= 0 THEN c_acctbal END, 6) AS c_credit,
+             'c_custkey:bigint, c_name:string, c_nationkey:bigint, c_acctbal:double, c_mktsegment:string, c_credit:double' AS kinds
+      FROM customer""",
+    "csv_newline_header": "SELECT n_nationkey::BIGINT AS nation_key, n_name AS full_name FROM nation",
+    "csv_dates": """
+      SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(NULL AS DATE) AS no_day,
+             datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE))::INTEGER AS days FROM orders""",
+    "csv_label_sink": """
+      SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_id, (row_number() OVER (ORDER BY p_partkey) - 1) // 2 AS half, p_type AS label
+      FROM part""",
     "clean_replace_project": """
       SELECT c_custkey,
              CASE c_name WHEN 'HOUSEHOLD' THEN 'HOME' WHEN 'AUTOMOBILE' THEN 'AUTO' ELSE c_name END AS c_name,
@@ -252,12 +316,18 @@ DOC_MODEL = """SELECT d.doc_id, d.n_chars / 1000 AS a,
   FROM documents d JOIN labels l USING (doc_id)"""
 
 # must equal catalog.FIXED_* and catalog.PAIR_* (imported there from one place)
-from corvid.plans.catalog import FIXED_COEFS, FIXED_INTERCEPT, PAIR_COEFS, PAIR_INTERCEPT  # noqa: E402
+from corvid.plans.catalog import (FIXED_COEFS, FIXED_INTERCEPT, PAIR_COEFS, PAIR_INTERCEPT,  # noqa: E402
+                                  TWO_RATING_COEFS, TWO_RATING_INTERCEPT)
 from corvid.operators.tournament import PAIRING, ROUND_NAMES  # noqa: E402
 
 FIXED_P = _sigmoid(_poly2(["a", "b", "c"]), FIXED_INTERCEPT, FIXED_COEFS)
 
 
+def _two_p() -> str:
+    feats = ["(a.points_k - b.points_k)", "((a.points_k + b.points_k) / 2)", "((a.place - b.place) / 10)", "1.0"]
+    return _sigmoid(_poly2(feats), TWO_RATING_INTERCEPT, TWO_RATING_COEFS)
+
+
 def _pair_p(h: str, a: str) -> str:
     return _sigmoid([f"({h} - {a}) / 1000", f"({h} + {a}) / 2000", "1.0"], PAIR_INTERCEPT, PAIR_COEFS)
 
@@ -282,7 +352,7 @@ T_STAND = f"""
   FROM ({TEAMS}) t LEFT JOIN sides x ON t.bracket = x.bracket AND t.grp = x.grp AND t.c_custkey = x.team
   GROUP BY t.bracket, t.grp, t.c_custkey"""
 T_TOP2 = f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY bracket, grp
-  ORDER BY points DESC, total_prob DESC, c_custkey) AS INTEGER) AS place FROM ({T_STAND})) WHERE place <= 2"""
+  ORDER BY points DESC, round(total_prob, 9) DESC, c_custkey) AS INTEGER) AS place FROM ({T_STAND})) WHERE place <= 2"""
 T_SEEDED = f"""SELECT t.bracket, p.slot, t.c_custkey FROM ({T_TOP2}) t
   JOIN (SELECT CAST(unnest(range({len(PAIRING)})) AS INTEGER) AS slot,
                unnest({list(PAIRING)}) AS position) p
@@ -318,9 +388,38 @@ ROUNDS = _rounds_sql()
 
 ORACLE_SQL.update({
     "confusion": """
-      SELECT quality, count(*) FILTER (WHERE pred = 0) AS pred_0, count(*) FILTER (WHERE pred = 1) AS pred_1
+      SELECT quality, count(*) FILTER (WHERE pred = 0) AS pred_0, count(*) FILTER (WHERE pred = 1) AS pred_1,
+        0::BIGINT AS pred_other, 0::BIGINT AS pred_missing
       FROM (SELECT quality, CAST(n_chars >= 2000 AS INTEGER) AS pred FROM documents JOIN labels USING (doc_id))
       GROUP BY quality""",
+    "confusion_with_missing": """
+      WITH d AS (SELECT quality, CASE WHEN d.doc_id % 7 <> 0 THEN CASE WHEN n_chars > 5000 THEN 2 WHEN n_chars >= 2000 THEN 1 ELSE 0 END END AS pred
+                 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+      c AS (SELECT quality, count(*) FILTER (WHERE pred = 0) AS pred_0, count(*) FILTER (WHERE pred = 1) AS pred_1,
+              count(*) FILTER (WHERE pred NOT IN (0, 1)) AS pred_other, count(*) FILTER (WHERE pred IS NULL) AS pred_missing FROM d GROUP BY quality)
+      SELECT * FROM c UNION ALL SELECT DISTINCT pred, 0, 0, 0, 0 FROM d WHERE pred IS NOT NULL AND pred NOT IN (SELECT quality FROM c WHERE quality IS NOT NULL)""",
+    "confusion_table": """
+      SELECT quality, CAST(least(floor(n_chars / 1000), 5) AS INTEGER) AS predicted, count(*) AS n
+      FROM documents JOIN labels USING (doc_id) GROUP BY ALL""",
+    "value_shares_by": f"""
+      SELECT quality, lang, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY quality), 6) AS share
+      FROM ({SCORED_DOCS}) GROUP BY quality, lang""",
+    "logit_fit_gradient": """
+      SELECT unnest(['intercept', 'n_chars_k', 'n_spaces_k', 'is_en', 'n_chars_k*n_chars_k', 'n_chars_k*n_spaces_k', 'n_chars_k*is_en',
+                     'n_spaces_k*n_spaces_k', 'n_spaces_k*is_en', 'is_en*is_en']) AS term, true AS at_optimum""",
+    "pair_scores_two_ratings": f"""
+      WITH t AS (SELECT c_custkey, c_custkey // 4 AS grp, c_acctbal / 1000 AS points_k, c_nationkey::DOUBLE AS place FROM customer)
+      SELECT a.grp, a.c_custkey AS home, b.c_custkey AS away, round({_two_p()}, 6) AS p_home
+      FROM t a JOIN t b ON a.grp = b.grp AND a.c_custkey < b.c_custkey""",
+    "reorder_by_list": """
+      SELECT n_nationkey, n_name, CAST(CASE WHEN n_nationkey IN (3, 11) THEN NULL
+        ELSE 24 - n_nationkey - (n_nationkey < 3)::INTEGER - (n_nationkey < 11)::INTEGER END AS INTEGER) AS slot FROM nation""",
+    "neighbour_slots": """
+      SELECT s_suppkey // 2 AS pair, max(s_name) FILTER (WHERE s_suppkey % 2 = 0) AS s_name_even, max(s_name) FILTER (WHERE s_suppkey % 2 = 1) AS s_name_odd
+      FROM supplier GROUP BY 1""",
+    "matchup_labels": f"""
+      SELECT bracket, home, away, printf('%s(%.2f) vs. %s(%.2f)', h.c_name, 1.0 / p_home, a.c_name, 1.0 / (1.0 - p_home)) AS label, round(1.0 / p_home, 4) AS odds
+      FROM ({T_SCORED}) JOIN customer h ON h.c_custkey = home JOIN customer a ON a.c_custkey = away""",
     "roc_points": f"""
       SELECT score AS threshold,
         round(sum(neg) OVER w / (SELECT sum(neg) FROM ({SCORE_COUNTS})), 6) AS fpr,
@@ -407,7 +506,8 @@ ORACLE_SQL.update({
       FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
                   AS cneg FROM ({FIXED_COUNTS}))""",
     "logit_fixed_confusion": f"""
-      SELECT quality, count(*) FILTER (WHERE pred = 0) AS pred_0, count(*) FILTER (WHERE pred = 1) AS pred_1
+      SELECT quality, count(*) FILTER (WHERE pred = 0) AS pred_0, count(*) FILTER (WHERE pred = 1) AS pred_1,
+        0::BIGINT AS pred_other, 0::BIGINT AS pred_missing
       FROM ({FIXED_SCORED}) GROUP BY quality""",
 })
 
@@ -427,6 +527,6 @@ ORACLE_SQL["roc_points_pruned"] = f"""
 
 _PRED_CELLS = ", ".join(f"count(*) FILTER (WHERE p.prediction = {i}) AS pred_{i}" for i in range(10))
 ORACLE_SQL["knn_confusion"] = f"""
-  SELECT e.label AS actual, {_PRED_CELLS}
+  SELECT e.label AS actual, {_PRED_CELLS}, 0::BIGINT AS pred_other, 0::BIGINT AS pred_missing
   FROM ({_knn_vote(EMB_TRAIN, EMB_TEST, 'vec_id', 'label', EUCL, 7)}) p JOIN embeddings e USING (vec_id)
   GROUP BY e.label"""

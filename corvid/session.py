@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -38,8 +39,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     The folder comes from ``spark.checkpoint.dir`` (or one already set on the
-    context).  Only when neither is set -- local tests -- a scratch folder is
-    created and registered.
+    context).  Without either, a session on a cluster gets an error: a folder of
+    the driver's own would not be seen by the executors.  A local session, where
+    all tasks run on this machine, gets a scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         conf_dir = tempfile.mkdtemp(prefix="corvid-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
@@ -61,12 +65,15 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-def spread(df, work: float, threshold: float = 5e7):
-    """Round-robin ``df`` over the default parallelism when the estimated
-    work on its rows is large and it has fewer partitions than cores (a small
-    input read as one file would otherwise run in one task).  Large inputs
-    already have enough partitions and are left as they are."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if work > threshold and df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one run inside the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df, work: float, rows: int, threshold: float = 5e7, small: int = 1_000_000):
+    """Deal a small table with heavy work on each row over all cores (a small file would be read
+    in one task).  ``rows`` is known to the caller, so nothing runs to decide; a table of more
+    rows has partitions enough and is left as it is."""
+    if work > threshold and rows <= small:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return df

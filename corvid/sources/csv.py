@@ -7,6 +7,7 @@ Header names may hold newlines (S2): read with ``multiLine`` and rename."""
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ MISSING_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
                   "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
                   "nan", "null"]
 
+# From narrow to wide; a column gets the first that fits.
+INFERRED_TYPES = ("bigint", "double", "boolean", "date", "timestamp")
+
 
 def clean_column_names(df: DataFrame) -> DataFrame:
     """Collapse whitespace (including embedded newlines) in column names."""
@@ -26,32 +30,50 @@ def clean_column_names(df: DataFrame) -> DataFrame:
 
 
 def normalise_missing(df: DataFrame, tokens: list[str] | None = None) -> DataFrame:
-    """Turn missing-value tokens in string columns into NULL."""
+    """Turn missing-value tokens in string columns into NULL.  Only whole cells
+    count: a token with blanks around it is text."""
     tokens = MISSING_TOKENS if tokens is None else tokens
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, StringType):
-            c = F.when(F.trim(c).isin(tokens), F.lit(None).cast("string")).otherwise(c)
+            c = F.when(c.isin(tokens), F.lit(None).cast("string")).otherwise(c)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
 
+def infer_types(df: DataFrame, types: Sequence[str] = INFERRED_TYPES) -> DataFrame:
+    """Give each text column the first of ``types`` that all its values cast to
+    (a column without values stays text).  One aggregate over the table; the
+    driver gets one row of flags."""
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    if not text:
+        return df
+    flags = []
+    for i, c in enumerate(text):
+        col = F.col(f"`{c}`")
+        flags.append(F.count(col).alias(f"n{i}"))
+        flags += [F.coalesce(F.bool_and(col.isNull() | col.try_cast(t).isNotNull()), F.lit(False)).alias(f"{t}{i}") for t in types]
+    row = df.agg(*flags).first()
+    chosen = {c: next((t for t in types if row[f"n{i}"] and row[f"{t}{i}"]), "string") for i, c in enumerate(text)}
+    return df.select(*[F.col(f"`{c}`").cast(chosen.get(c, df.schema[c].dataType)).alias(c) for c in df.columns])
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
              multiline: bool = False, clean_names: bool = True,
              missing_tokens: list[str] | None = None) -> DataFrame:
-    """Header CSV scan.  With a schema, values are read as text first, missing
-    tokens become NULL, then each column is cast (so ``NA`` in a numeric column
-    is NULL, not an error)."""
-    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
+    """Header CSV scan.  Values are read as text and missing tokens become NULL;
+    then each column is cast to its type in ``schema``, or without one to the
+    narrowest type that fits all its values (so ``NA`` in a numeric column is
+    NULL and the column is numeric)."""
+    reader = (spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    raw = reader.csv(path)  # all strings
+    raw = clean_column_names(raw) if clean_names else raw
     if schema is None:
-        df = reader.option("inferSchema", True).csv(path)
-        df = clean_column_names(df) if clean_names else df
-        return normalise_missing(df, missing_tokens)
+        return infer_types(normalise_missing(raw, missing_tokens))
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    raw = reader.csv(path)  # all strings
-    raw = clean_column_names(raw) if clean_names else raw
     if len(raw.columns) != len(schema.fields):
         raise ValueError(f"expected {len(schema.fields)} columns, file has {len(raw.columns)}")
     raw = raw.toDF(*[f.name for f in schema.fields])

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -7,6 +8,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from corvid.session import build_session  # noqa: E402
 
+# Spark's event log, read by the plan guard
+EVENTS = tempfile.mkdtemp(prefix="corvid-events-")
+os.environ["PYSPARK_SUBMIT_ARGS"] = (f"--conf spark.eventLog.enabled=true --conf spark.eventLog.dir=file://{EVENTS} "
+                                     "--conf spark.eventLog.rolling.enabled=false --conf spark.eventLog.compress=false pyspark-shell")
+
 SF_SMALL = "/root/testdata/sf0.001"
 
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from corvid.operators import clean, encode, joins
@@ -47,7 +48,7 @@ def test_member_flag_and_semi(spark):
 
 def test_pairs_in_groups(spark):
     df = spark.createDataFrame([(g, t) for g in ("A", "B") for t in range(4)], "g string, t int")
-    pairs = joins.pairs_in_groups(df, ["g"], "t", [])
+    pairs = joins.pairs_in_groups(df, ["g"], "t", [], max_group_size=4)
     assert pairs.count() == 12
     assert pairs.filter(F.col("t_home") >= F.col("t_away")).count() == 0
 
@@ -69,3 +70,31 @@ def test_replace_by_table(spark):
     mapping = spark.createDataFrame([("Germany DR", "Germany"), ("China", "China PR")], "old string, new string")
     out = {r.id: r.team for r in clean.replace_by_table(df, "team", mapping).collect()}
     assert out == {1: "Germany", 2: "China PR", 3: "Spain", 4: None}
+
+
+def test_merge_keeps_keys_of_every_join_type(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "n")], "k int, v string")
+    b = spark.createDataFrame([(2, "p"), (3, "q"), (None, "m")], "k int, v string")
+    rows = lambda how, **kw: sorted(map(tuple, joins.merge(a, b, ["k"], ["k"], how=how, **kw).collect()), key=str)
+    assert joins.merge(a, b, ["k"], ["k"]).columns == ["k", "v_x", "v_y"]
+    assert rows("inner") == sorted([(2, "y", "p"), (None, "n", "m")], key=str)  # missing keys match, as in pandas
+    assert rows("inner", null_safe=False) == [(2, "y", "p")]
+    assert rows("outer") == sorted([(1, "x", None), (2, "y", "p"), (3, None, "q"), (None, "n", "m")], key=str)
+    assert rows("right") == sorted([(2, "y", "p"), (3, None, "q"), (None, "n", "m")], key=str)
+    assert rows("left_anti") == [(1, "x")]
+
+
+def test_lookup_unknown_and_repeated_keys(spark):
+    df = spark.createDataFrame([("A", 1), ("Z", 2), (None, 3)], "t string, i int")
+    table = spark.createDataFrame([("A", 10), ("B", 20)], "t string, rank int")
+    out = {r.i: r["rank"] for r in joins.lookup(df, "t", table, "t", ["rank"]).collect()}
+    assert out == {1: 10, 2: None, 3: None}
+    with pytest.raises(Exception, match="unknown key: Z"):
+        joins.lookup(df.where("i = 2"), "t", table, "t", ["rank"], unknown="error").collect()
+    with pytest.raises(Exception, match="this key twice: A"):
+        joins.lookup(df, "t", table.unionByName(table.where("t = 'A'")), "t", ["rank"]).collect()
+
+
+def test_one_hot_has_no_category_limit(spark):
+    df = spark.range(1200).select(F.format_string("c%04d", "id").alias("c"))
+    assert len(encode.one_hot(df, "c").columns) == 1201

@@ -24,7 +24,8 @@ def test_knn_csv_flow(spark):
         spark, os.path.join(d, "train.csv"), os.path.join(d, "test.csv"), os.path.join(d, "out"),
         features=["Weight", "Colour"], label="Label", k=5, drop_cols=["Label"], single_file=True).collect()}
     assert acc["held_out"] > 0.8 and acc["training"] > 0.8
-    assert acc["written_labels"] == 1.0  # scoring on its own predictions (k=1)
+    assert acc["written_labels"] == 1.0  # the file holds what this fit predicts
+    assert acc["refit"] == 2 / 3  # three rows labelled A, A, B: all vote, so the B row becomes an A
     out = sorted(open(os.path.join(d, "out", p)).read() for p in os.listdir(os.path.join(d, "out"))
                  if p.endswith(".csv"))
     lines = out[0].strip().splitlines()

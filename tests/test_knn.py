@@ -67,13 +67,35 @@ def test_blocked_equals_brute_force(spark, metric, power):
     expect = _brute_knn(np.stack(tr.embedding).astype(float), tr.label.to_numpy(), tr.vec_id.to_numpy(),
                         np.stack(te.embedding).astype(float), 7, power)
     kw = dict(features="embedding", label_col="label", train_id="vec_id", test_id="vec_id", k=7, metric=metric)
-    bcast = knn.knn_predict(train, test.drop("label"), **kw).toPandas().sort_values("vec_id")
-    one = knn.knn_predict(train, test.drop("label"), broadcast_bytes=0, **kw).toPandas().sort_values("vec_id")
-    blocked = knn.knn_predict(train, test.drop("label"), train_block_rows=50, test_block_rows=40,
-                              broadcast_bytes=0, **kw).toPandas().sort_values("vec_id")
-    assert list(bcast.prediction) == list(expect)
+    one = knn.knn_predict(train, test.drop("label"), **kw).toPandas().sort_values("vec_id")
+    many = knn.knn_predict(train, test.drop("label"), block_rows=20, chunk_rows=30, **kw).toPandas().sort_values("vec_id")
     assert list(one.prediction) == list(expect)
-    assert list(blocked.prediction) == list(expect)
+    assert list(many.prediction) == list(expect)
+
+
+def test_blocks_are_stored_once_and_skipped(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(x), str(int(x) % 3)) for i, x in enumerate(rng.integers(0, 500, 2000))]
+    train = spark.createDataFrame(rows, "id long, v double, l string")
+    fit = knn.store_training(train, features=["v"], label_col="l", train_id="id", block_rows=100)
+    assert fit.n == 2000 and len(fit.files) >= 20 and (fit.hi - fit.lo).max() < 100  # boxes are narrow
+    queries = np.r_[rng.uniform(-10, 510, 200), rng.integers(0, 500, 100)]
+    test = spark.createDataFrame([(i, float(x)) for i, x in enumerate(queries)], "qid long, v double")
+    got = knn.knn_neighbors(fit, test, test_id="qid", k=5).toPandas().sort_values(["qid", "rank"])
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for i, q in enumerate(queries):
+        d = (x - q) ** 2
+        assert got[got.qid == i].neighbor_id.tolist() == ids[np.lexsort((ids, d))[:5]].tolist()
+    plan = knn.knn_neighbors(fit, test, test_id="qid", k=5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # no side is shuffled
+
+
+def test_string_keys_and_labels(spark):
+    train = spark.createDataFrame([("b", 1.0, "x"), ("a", 1.0, "y"), ("c", 5.0, "x")], "id string, v double, l string")
+    test = spark.createDataFrame([("q", 1.0)], "qid string, v double")
+    for rows in (None, 1):
+        nb = knn.knn_neighbors(train, test, features=["v"], label_col="l", train_id="id", test_id="qid", k=2, block_rows=rows)
+        assert [r.neighbor_id for r in nb.orderBy("rank").collect()] == ["a", "b"]
 
 
 def test_accuracy_invariants(spark):
@@ -87,6 +109,9 @@ def test_accuracy_invariants(spark):
     again = knn.knn_predict(train, test.drop("label"), k=5, keep_cols=[], **kw)
     both = pred.join(again.withColumnRenamed("prediction", "p2"), "vec_id")
     assert knn.accuracy(both, "prediction", "p2").first().accuracy == 1.0
+    wrong = both.withColumn("p2", F.when(F.col("vec_id") % 2 == 0, F.col("p2")))
+    share = wrong.agg(F.avg((F.col("vec_id") % 2 == 0).cast("double"))).first()[0]
+    assert knn.accuracy(wrong, "prediction", "p2").first().accuracy == pytest.approx(share)
 
 
 def test_many_k_equals_single_k(spark):
@@ -128,12 +153,14 @@ def test_weight_units_change_neighbours(spark):
     assert kg == "A"
 
 
-def test_missing_features_do_not_fail_or_drop(spark):
-    train = spark.createDataFrame([(1, [0.0, 0.0], "a"), (2, [5.0, 5.0], "b"), (3, None, "c")],
+def test_missing_features_give_no_label(spark):
+    train = spark.createDataFrame([(1, [0.0, 0.0], "a"), (2, [5.0, 5.0], "b"), (3, None, "c"), (4, [0.0, None], "d")],
                                   "id long, v array<double>, l string")
     test = spark.createDataFrame([(10, [0.1, 0.0]), (11, None), (12, [4.0, None])], "id long, v array<double>")
     kw = dict(features="v", label_col="l", train_id="id", test_id="id", k=1)
-    for extra in ({}, {"broadcast_bytes": 0}):
-        out = {r.id: r.prediction for r in knn.knn_predict(train, test, **kw, **extra).collect()}
-        assert set(out) == {10, 11, 12}  # every test row kept
-        assert out[10] == "a"
+    out = {r.id: r.prediction for r in knn.knn_predict(train, test, **kw).collect()}
+    assert out == {10: "a", 11: None, 12: None}  # every test row kept, none guessed
+    with pytest.raises(Exception, match="feature vector"):
+        knn.knn_predict(train, test, missing="error", **kw).collect()
+    with pytest.raises(ValueError):
+        knn.knn_predict(train.limit(0), test, **kw)

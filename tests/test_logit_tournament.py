@@ -53,7 +53,7 @@ def _teams(spark, n_groups=8, per_group=4):
 
 def test_standings_invariants(spark):
     teams = _teams(spark)
-    scored = tournament.pair_scores(teams, ["bracket", "grp"], "team", "rating", _prob)
+    scored = tournament.pair_scores(teams, ["bracket", "grp"], "team", "rating", _prob, max_group_size=4)
     assert scored.count() == 8 * 6
     st = tournament.standings(teams, scored, ["bracket", "grp"], "team")
     tot = st.agg(F.sum("total_prob")).first()[0]
@@ -65,7 +65,7 @@ def test_standings_invariants(spark):
 
 def test_bracket_rounds(spark):
     teams = _teams(spark)
-    scored = tournament.pair_scores(teams, ["bracket", "grp"], "team", "rating", _prob)
+    scored = tournament.pair_scores(teams, ["bracket", "grp"], "team", "rating", _prob, max_group_size=4)
     st = tournament.standings(teams, scored, ["bracket", "grp"], "team")
     order = [F.col("points").desc(), F.col("total_prob").desc(), F.col("team")]
     top = tournament.top_per_group(st, ["bracket", "grp"], order, 2)
@@ -109,3 +109,51 @@ def test_fitted_model_as_expression(spark):
     via_model = {r.id: r.p for r in logit.predict_proba(model, df).collect()}
     via_expr = {r.id: r.p for r in df.select("id", logit.logistic_score(["a", "b", "c"], b0, w).alias("p")).collect()}
     assert all(abs(via_model[i] - via_expr[i]) < 1e-12 for i in via_model)
+
+
+def test_seeding_keeps_every_row(spark):
+    table = spark.createDataFrame([(0, g, p, 10 * g + p) for g in range(10) for p in (1, 2)], "bracket int, grp int, place int, team long")
+    with pytest.raises(Exception, match="not in the list"):
+        tournament.seed_slots(table, ["bracket"], "grp", "team").collect()
+    table = table.withColumn("pos", F.col("grp") * 2 + F.col("place") - 1)
+    assert tournament.reorder_by_list(table, "pos", tournament.PAIRING, unlisted="null").count() == 20
+
+
+def test_rounds_run_to_the_last_pair(spark):
+    slots = spark.createDataFrame([(0, i, i + 1) for i in range(32)], "bracket int, slot int, team long")
+    ratings = spark.createDataFrame([(i + 1, float(i)) for i in range(32)], "team long, rating double")
+    rounds = tournament.fold_rounds(slots, ["bracket"], "team", ratings, "rating", _prob)
+    counts = {r["round"]: r["count"] for r in rounds.groupBy("round").count().collect()}
+    assert counts == {1: 16, 2: 8, 3: 4, 4: 2, 5: 1}
+    with pytest.raises(Exception, match="no rating"):
+        tournament.fold_round(slots, ["bracket"], "team", ratings.where("team <> 3"), "rating", _prob).collect()
+
+
+def test_pair_scores_with_several_ratings_and_a_fitted_model(spark):
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(300, 2))
+    y = (X[:, 0] - X[:, 1] + rng.normal(size=300) > 0).astype(float)
+    df = spark.createDataFrame([(*map(float, x), float(t)) for x, t in zip(X, y)], "a double, b double, y double")
+    model = logit.fit_poly_logit(df, ["a", "b"], "y", C=1.0)
+    b0, w = logit.conventional_coefficients(model, 2)
+    prob = lambda h, a: logit.logistic_score([h["r"] - a["r"], h["s"] - a["s"]], b0, w)
+    teams = spark.createDataFrame([(1, 0, 1.0, 0.5), (2, 0, 0.2, -0.1), (3, 0, None, 1.0)], "team long, g int, r double, s double")
+    got = {(r.home, r.away): r.p_home for r in tournament.pair_scores(teams, ["g"], "team", ["r", "s"], prob, max_group_size=3).collect()}
+    assert set(got) == {(1, 2), (1, 3), (2, 3)} and got[(1, 3)] is None
+    one = spark.createDataFrame([(0.8, 0.6, 0.0)], "a double, b double, y double")
+    assert got[(1, 2)] == pytest.approx(logit.predict_proba(model, one).first().p)
+    with pytest.raises(Exception, match="pairs_in_groups"):
+        tournament.pair_scores(teams, ["g"], "team", ["r", "s"], prob, max_group_size=2).collect()
+
+
+def test_gradient_is_zero_at_the_fit_only(spark):
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(400, 2))
+    y = (X[:, 0] > rng.normal(size=400)).astype(float)
+    df = spark.createDataFrame([(*map(float, x), float(t)) for x, t in zip(X, y)], "a double, b double, y double")
+    model = logit.fit_poly_logit(df, ["a", "b"], "y", C=0.1, max_iter=500, tol=1e-12)
+    b0, w = logit.conventional_coefficients(model, 2)
+    at = {r.term: r.gradient for r in logit.penalised_gradient(df, ["a", "b"], "y", b0, w, 0.1).collect()}
+    assert set(at) == {"intercept", "a", "b", "a*a", "a*b", "b*b"} and max(map(abs, at.values())) < 1e-3
+    off = logit.penalised_gradient(df, ["a", "b"], "y", b0, [w[0] + 0.5, *w[1:]], 0.1).collect()
+    assert max(abs(r.gradient) for r in off) > 1

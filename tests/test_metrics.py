@@ -76,7 +76,7 @@ def test_prefix_sums_any_bucket_count(spark):
         assert got == ref
 
 
-def test_kde_narrow_bandwidth_has_no_spurious_terms(spark):
+def test_kde_narrow_bandwidth_keeps_every_term(spark):
     # two tight clusters far apart: most grid points are out of every value's reach
     x = np.r_[np.zeros(50), np.full(50, 1000.0)] + np.linspace(0, 1e-3, 100)
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
@@ -85,7 +85,7 @@ def test_kde_narrow_bandwidth_has_no_spurious_terms(spark):
     rng = x.max() - x.min()
     grid = np.linspace(x.min() - rng / 2, x.max() + rng / 2, 1000)
     z = (grid[:, None] - x[None, :]) / h
-    dens = np.where(np.abs(z) <= 8, np.exp(-0.5 * z ** 2), 0).sum(1) / (len(x) * h * math.sqrt(2 * math.pi))
+    dens = np.exp(-0.5 * z ** 2).sum(1) / (len(x) * h * math.sqrt(2 * math.pi))
     assert np.allclose(got.density.to_numpy(), dens, rtol=1e-9, atol=1e-15)
 
 
@@ -114,3 +114,33 @@ def test_roc_pruning_matches_reference(spark):
     assert len(got) < full
     origin = metrics.roc_points(df, "label", "score", with_origin=True).filter(F.col("threshold").isNull()).first()
     assert (origin.fpr, origin.tpr) == (0.0, 0.0)
+
+
+def test_confusion_counts_every_row(spark):
+    rows = [(0, 0), (0, None), (None, 1), (1, 7), (1, 1), (None, None)]
+    df = spark.createDataFrame(rows, "a int, p int")
+    cm = {r.a: (r.pred_0, r.pred_1, r.pred_other, r.pred_missing) for r in metrics.confusion_matrix(df, "a", "p", labels=[0, 1]).collect()}
+    assert cm == {0: (1, 0, 0, 1), 1: (0, 1, 1, 0), 7: (0, 0, 0, 0), None: (0, 1, 0, 1)}
+    assert sum(map(sum, cm.values())) == len(rows)
+    cells = {(r.a, r.p): r.n for r in metrics.confusion_cells(df, "a", "p").collect()}
+    assert cells == {k: 1 for k in rows}
+
+
+def test_auc_with_more_pairs_than_a_long_holds(spark):
+    sc = spark.createDataFrame([(0.2, 1_000_000_000, 3_500_000_000), (0.8, 3_000_000_000, 500_000_000)], "score double, pos long, neg long")
+    p, n = 4e9, 4e9
+    want = (1e9 * 3.5e9 * 0.5 + 3e9 * (3.5e9 + 0.25e9)) / (p * n)
+    assert metrics.auc_of_counts(sc).first().auc == pytest.approx(want)
+
+
+def test_value_shares_by_group_with_missing(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), (None, 1)], "g string, v int")
+    got = {(r.g, r.v): r.share for r in metrics.value_shares(df, "v", by=["g"]).collect()}
+    assert got == {("a", 1): 2 / 3, ("a", 2): 1 / 3, (None, 1): 1.0}
+
+
+def test_pruned_roc_is_the_same_for_any_ranges(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(int(rng.random() < 0.3), float(s)) for s in rng.integers(0, 60, 400)], "label int, score double")
+    out = [sorted(map(tuple, metrics.roc_points(df, "label", "score", drop_intermediate=True, n_buckets=b).collect())) for b in (None, 1, 7, 40)]
+    assert all(o == out[0] for o in out)

@@ -35,12 +35,19 @@ def test_hot_key_asof_and_gap_days(spark):
     right = ts.daily_first(df.filter(F.col("id") % 2 == 0), ["k"], "day", "id", ["v"])
     right = right.withColumnsRenamed({"k": "rk", "day": "rd"})
     left = df.filter(F.col("id") % 2 == 1).select("id", "k", "day")
-    a = ts.asof_join(left, right, "k", "rk", "day", "rd", ["v"])
-    b = ts.asof_join(left, right, "k", "rk", "day", "rd", ["v"], segment=lambda c: F.date_trunc("week", c))
-    assert sorted(a.collect()) == sorted(b.collect())
-    g1 = ts.gap_days(df, ["k"], "day", ["day", "id"])
-    g2 = ts.gap_days(df, ["k"], "day", ["day", "id"], segment=F.date_trunc("week", "day"))
-    assert sorted(g1.collect()) == sorted(g2.collect())
+    got = ts.asof_join(left, right, "k", "rk", "day", "rd", ["v"])
+    grid = ts.ffill(ts.daily_grid(right, ["rk"], "rd"), ["rk"], ["rd"], ["v"])
+    ref = left.join(grid, (left.k == grid.rk) & (left.day == grid.rd)).select("id", "k", "day", "v")
+    assert sorted(got.collect()) == sorted(ref.collect())
+    gaps = ts.gap_days(df, ["k"], "day", ["day", "id"])
+    ref = df.withColumn("_o", F.col("day")).select("*")
+    ref = ts.gap_days(ref, ["k"], "day", ["_o", "id"]).drop("_o")  # the window over all rows
+    assert sorted(gaps.collect()) == sorted(ref.collect())
+    # the windows stand on distinct (key, day): an aggregate lies between the rows and each window
+    for out in (got, gaps):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        window = plan[plan.index("Window"):]
+        assert "Aggregate" in window
 
 
 def test_split_is_a_projection(spark):

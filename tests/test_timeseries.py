@@ -67,13 +67,10 @@ def test_asof_equals_grid_fill_join(spark):
         "mid int, team string, mday date")
     r = right.withColumnsRenamed({"country": "rc", "day": "rd"})
     asof = ts.asof_join(matches, r, "team", "rc", "mday", "rd", ["rank", "points"])
-    asof_seg = ts.asof_join(matches, r, "team", "rc", "mday", "rd", ["rank", "points"],
-                            segment=lambda c: F.dayofmonth(c))
     grid = ts.ffill(ts.daily_grid(right, ["country"], "day"), ["country"], ["day"], ["rank", "points"])
     ref = matches.join(grid, (matches.team == grid.country) & (matches.mday == grid.day)).select(
         "mid", "team", "mday", "rank", "points")
     assert sorted(asof.collect()) == sorted(ref.collect())
-    assert sorted(asof_seg.collect()) == sorted(ref.collect())
     assert {r.mid for r in asof.collect()} == {1, 2, 6, 7}  # before first / after last / unknown dropped
 
 
@@ -83,9 +80,8 @@ def test_gap_days(spark):
     df = spark.createDataFrame(rows, "team string, day date, ord int")
     out = {r.ord: r.rest_days for r in ts.gap_days(df, ["team"], "day", ["day", "ord"]).collect()}
     assert out == {1: 30, 2: 0, 3: 5, 4: 30, 5: 30, 6: 30}
-    seg = {r.ord: r.rest_days for r in ts.gap_days(df, ["team"], "day", ["day", "ord"],
-                                                    segment=F.month("day")).collect()}
-    assert seg == out
+    by_window = {r.ord: r.rest_days for r in ts.gap_days(df.withColumn("d2", F.col("day")), ["team"], "day", ["d2", "ord"]).collect()}
+    assert by_window == out
     # current-row order, not date order: a negative gap clips to 0
     back = {r.ord: r.rest_days for r in ts.gap_days(df, ["team"], "day", ["ord"]).collect()}
     assert back[3] == 5
@@ -121,3 +117,33 @@ def test_asof_many_left_keeps_rows(spark):
     assert got == {1: (None, 10.0), 2: (1.0, 30.0), 3: (1.0, None), 4: (None, None)}
     inner = {r.id for r in ts.asof_join_many(left, "k", "day", rights).collect()}
     assert inner == {2}
+
+
+def test_daily_filled_equals_grid_and_fill(spark):
+    daily = ts.daily_first(_rankings(spark), ["country"], "day", "ord", ["rank", "points"])
+    ref = ts.ffill(ts.daily_grid(daily, ["country"], "day"), ["country"], ["day"], ["rank", "points"])
+    got = ts.daily_filled(daily, ["country"], "day", ["rank", "points"])
+    assert sorted(got.select(*ref.columns).collect(), key=str) == sorted(ref.collect(), key=str)
+    last = {r.country: (r.day, r["rank"], r.points) for r in ts.latest_filled(daily, ["country"], "day", ["rank", "points"]).collect()}
+    assert last == {"A": (d("2018-01-06"), 7, 70.0), "B": (d("2018-01-03"), 9, 90.0), "C": (d("2018-01-02"), 11, 110.0)}
+
+
+def test_null_keys_keep_their_values(spark):
+    rows = [(None, d("2018-01-01"), 1.0), (None, d("2018-02-03"), None), ("A", d("2018-01-01"), 2.0), ("A", d("2018-02-03"), None)]
+    df = spark.createDataFrame(rows, "k string, day date, v double")
+    plain = ts.ffill(df, ["k"], ["day"], ["v"])
+    seg = ts.ffill(df, ["k"], ["day"], ["v"], segment=F.month("day"))
+    assert sorted(plain.collect(), key=str) == sorted(seg.collect(), key=str)
+    assert {(r.k, r.v) for r in seg.collect()} == {(None, 1.0), ("A", 2.0)}
+    right = df.where("v is not null").withColumnsRenamed({"k": "rk", "day": "rd"})
+    asof = ts.asof_join(df.drop("v"), right, "k", "rk", "day", "rd", ["v"], bounded=False)
+    assert {(r.k, r.v) for r in asof.collect()} == {(None, 1.0), ("A", 2.0)}
+    gaps = ts.gap_days(df, ["k"], "day", ["day", "v"], 0, 60, 60)
+    assert sorted(r.rest_days for r in gaps.collect()) == [33, 33, 60, 60]
+
+
+def test_gap_days_missing_dates_and_equal_days(spark):
+    rows = [("T", None, 1), ("T", d("2018-01-05"), 2), ("T", d("2018-01-05"), 3), ("T", d("2018-01-08"), 4)]
+    df = spark.createDataFrame(rows, "team string, day date, ord int")
+    out = {r.ord: r.rest_days for r in ts.gap_days(df, ["team"], "day", ["day", "ord"]).collect()}
+    assert out == {1: 30, 2: 30, 3: 0, 4: 3}
