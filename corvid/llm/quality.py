@@ -144,6 +144,14 @@ def fit_net(docs: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int =
     return net
 
 
+def constant_net(logit: float) -> bytes:
+    """A network that gives every text the same score."""
+    net = ByteNet.new(0)
+    net.p["out"] *= 0
+    net.p["c"][0] = logit
+    return net.dump()
+
+
 def held_out(doc_id) -> F.Column:
     """Rows that never take part in learning: crc32 of the id as text is a multiple of 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -184,12 +192,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
         if 0 < labels.sum() < len(labels):
             net = fit_net([t for t, _ in kept], labels)
         else:
-            net = ByteNet.new(0)
-            net.p["out"] *= 0
-            net.p["c"][0] = 4.0 * (2 * labels.mean() - 1) if len(labels) else 0.0
+            yield pa.RecordBatch.from_pydict({"net": pa.array([constant_net(4.0 * (2 * labels.mean() - 1) if len(labels) else 0.0)], pa.binary())})
+            return
         yield pa.RecordBatch.from_pydict({"net": pa.array([net.dump()], pa.binary())})
 
-    return bytes(sample.select("place", "text", "y").repartition(1).mapInArrow(fit, "net binary").first()[0])
+    row = sample.select("place", "text", "y").repartition(1).mapInArrow(fit, "net binary").first()
+    return constant_net(0.0) if row is None else bytes(row[0])
 
 
 def score(docs: DataFrame, net: bytes, column: str = "score") -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.shared import WholeFile, filesystem, pick, work_dir, worker_memory
+from corvid.llm.shared import WholeFile, filesystem, pick, stored, work_dir, worker_memory
 
 
 class _Spelling(dict):
@@ -313,6 +313,6 @@ def tokenize_documents(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     the driver holds is one row (shard, tokens) for each file."""
     spark = docs.sparkSession
     folder = work_dir(spark, "tokens")
-    write_sequences(docs, f"{folder}/shards", tokenizer, **options).write.parquet(f"{folder}/manifest")
-    shards = spark.read.parquet(f"{folder}/manifest").select("shard", "tokens").collect()
+    written = stored(write_sequences(docs, f"{folder}/shards", tokenizer, **options), f"{folder}/manifest")
+    shards = written.select("shard", "tokens").collect()
     return read_documents(spark, shards, f"{folder}/shards")

@@ -13,7 +13,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.shared import WholeFile, filesystem, pick, work_dir
+from corvid.llm.shared import WholeFile, filesystem, pick, stored, work_dir
 
 # Magic number of the dictionary's skippable frame and of a formatted dictionary.
 DICT_FRAME = 0x184D2A5D
@@ -29,7 +29,7 @@ def _sha1_base32(data: bytes) -> str:
 
 def train_dictionary(pages: DataFrame, dict_bytes: int = 64 << 10, sample_bytes: int = 4 << 20,
                      piece: int = 16 << 10) -> bytes:
-    """Dictionary from a bounded sample of the payloads, trained in one task.
+    """Dictionary from a bounded sample of the records, trained in one task.
 
     A page enters the sample by a hash of its url and payload, at a rate that makes the
     sample ``sample_bytes`` in expectation; of a longer page one piece of ``piece``
@@ -44,20 +44,25 @@ def train_dictionary(pages: DataFrame, dict_bytes: int = 64 << 10, sample_bytes:
     spot = F.xxhash64("url", "html", F.lit("sample"))
     pieces = F.greatest(F.ceil(F.length("html") / piece), F.lit(1))
     sample = pages.where(F.pmod(spot, F.lit(1_000_000)) < min(1.0, sample_bytes / total) * 1_000_000).select(
-        F.substr("html", (F.pmod(F.shiftright(spot, 20), pieces) * piece + 1).cast("int"), F.lit(piece)).alias("piece"))
+        "page_id", "url", F.substr("html", (F.pmod(F.shiftright(spot, 20), pieces) * piece + 1).cast("int"), F.lit(piece)).alias("piece"))
 
     def train(batches):
         import pyarrow as pa
         import zstandard
 
-        samples = [x.as_py().encode() for b in batches for x in b.column(0) if x.is_valid and len(x.as_py()) >= 8]
+        samples = []
+        for b in batches:
+            for page_id, url, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data = piece.encode()
+                samples.append(_record(page_id, url, data, _sha1_base32(data), len(data), page_id, "1970-01-01T00:00:00Z"))
         try:
             data = zstandard.train_dictionary(min(dict_bytes, max(1024, sum(map(len, samples)) // 8)), samples).as_bytes()
         except (zstandard.ZstdError, ValueError):
             data = b""
         yield pa.RecordBatch.from_pydict({"dictionary": pa.array([data], pa.binary())})
 
-    return bytes(sample.repartition(1).mapInArrow(train, "dictionary binary").first()[0])
+    row = sample.repartition(1).mapInArrow(train, "dictionary binary").first()
+    return b"" if row is None else bytes(row[0])
 
 
 def _header(fields) -> bytes:
@@ -227,7 +232,5 @@ def archive_pages(pages: DataFrame, **options) -> DataFrame:
     """Write the archives into a new shared folder and read them back."""
     spark = pages.sparkSession
     folder = work_dir(spark, "warc")
-    files = write_archives(pages, f"{folder}/archives", **options)
-    files.write.parquet(f"{folder}/files")
-    files = spark.read.parquet(f"{folder}/files")
+    files = stored(write_archives(pages, f"{folder}/archives", **options), f"{folder}/files")
     return read_archives(files.repartition(max(1, files.count())), f"{folder}/archives")
