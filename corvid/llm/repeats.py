@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvid.llm.shared import stored, work_dir
+from corvid.llm.shared import may_hold, stored, work_dir
 
-LARGEST = 20_000  # classes of an anchor that one task compares as a tree
+LARGEST = 50_000  # classes of an anchor that one task compares as a tree
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1)
 
 
@@ -63,6 +63,44 @@ class Anchors:
         behind = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         return op(behind[: n - w + 1], ahead[w - 1: n])
 
+    def _needed(self, x: np.ndarray, at: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Which anchors of a text are needed.  In a stretch that repeats a short period many
+        places tie for the smallest hash.  A string of ``length`` bytes that reaches over an
+        end of the stretch holds its first or its last anchor, and equal strings the same one;
+        those in between are left out.  A stretch of ``length`` bytes or more holds such
+        strings as a whole: there all anchors near both ends stay, and in between, where
+        every string equals one near the ends, enough to cover it."""
+        keep = np.ones(len(at), bool)
+        tied = (h[1:] == h[:-1]) & (at[1:] - at[:-1] <= self.k // 2)
+        if not tied.any():
+            return keep
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], tied, [False]]).astype(np.int8)))
+        for first, last in zip(edges[::2], edges[1::2], strict=True):
+            if last - first < 2:
+                continue
+            d = int(at[first + 1] - at[first])
+            lo, hi = int(at[first]), int(at[last]) + self.k
+            lo -= self._run(x[:lo][::-1], x[d:lo + d][::-1])
+            hi += self._run(x[hi:], x[hi - d:len(x) - d])
+            inner = at[first + 1:last]
+            if hi - lo < self.length:
+                keep[first + 1:last] = False
+            else:
+                near = self.length + 2 * d
+                step = max(1, (self.length - self.k) // (2 * d))
+                keep[first + 1:last] = (inner < lo + near) | (inner + self.k > hi - near) | ((inner - lo) // d % step == 0)
+        return keep
+
+    @staticmethod
+    def _run(a: np.ndarray, b: np.ndarray, step: int = 512) -> int:
+        """Length of the common beginning."""
+        n = min(len(a), len(b))
+        for lo in range(0, n, step):
+            differ = np.flatnonzero(a[lo:min(n, lo + step)] != b[lo:min(n, lo + step)])
+            if len(differ):
+                return lo + int(differ[0])
+        return n
+
     def find(self, text: bytes, most: int = 1 << 22):
         """(place, anchor, context, left, right) of all anchors of a text; a long text in
         pieces that overlap by as much as an anchor can depend on."""
@@ -89,6 +127,7 @@ class Anchors:
         edge = np.zeros(w - 1, np.uint64)
         top = self._sliding(np.maximum, np.concatenate([edge, low, edge]), w, np.uint64(0))
         at = np.flatnonzero(top == h)
+        at = at[self._needed(x, at, h[at])]
         place = at + offset
         left, right = np.minimum(place, self.length - k), np.minimum(size - place, self.length)
         inside = (at >= left) & (at + right <= len(x))  # others lie inside the piece before or after
@@ -171,48 +210,86 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((first, depth))
 
 
+class _Nearest:
+    """Common beginnings of byte strings: of any two neighbours of a subset in sorted order, by
+    the least of the lengths between them (a table of minima over runs of 2, 4, 8 ... )."""
+
+    def __init__(self, rows: list[bytes]):
+        self.order = np.array(sorted(range(len(rows)), key=rows.__getitem__))
+        self.rank = np.empty(len(rows), np.int64)
+        self.rank[self.order] = np.arange(len(rows))
+        flat, sizes = _matrix([rows[i] for i in self.order])
+        self.lcp = _common(flat[:-1], flat[1:], np.minimum(sizes[:-1], sizes[1:]))
+        self.minima = [self.lcp]
+
+    def between(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """For sorted places lo < hi."""
+        power = np.frexp(hi - lo)[1] - 1
+        while len(self.minima) <= int(power.max(initial=0)):
+            last, half = self.minima[-1], 1 << (len(self.minima) - 1)
+            self.minima.append(np.minimum(last[:-half], last[half:]) if len(last) > half else last[:0])
+        out = np.empty(len(lo), np.int64)
+        for p in np.unique(power):
+            at = power == p
+            out[at] = np.minimum(self.minima[p][lo[at]], self.minima[p][hi[at] - (1 << int(p))])
+        return out
+
+
 def repeats_of(lefts: list[bytes], rights: list[bytes], length: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
     """(members, depth, match): for each common-prefix interval of the suffixes ``rights`` its
     members and, for those that match another one on ``length`` bytes or more, how many bytes on
-    the left (``lefts``, nearest byte first) do; 0 for the others.  Nothing is given for an
+    the left (``lefts``, nearest byte first) do; -1 for the others.  Nothing is given for an
     interval without such a member."""
-    order = np.array(sorted(range(len(rights)), key=rights.__getitem__))
-    right, right_n = _matrix([rights[i] for i in order])
-    left, left_n = _matrix(lefts)
-    rank = np.empty(len(lefts), np.int64)  # places in the order of the left sides
-    rank[sorted(range(len(lefts)), key=lefts.__getitem__)] = np.arange(len(lefts))
-    lcp = _common(right[:-1], right[1:], np.minimum(right_n[:-1], right_n[1:]))
-    for first, last, depth in intervals(lcp.tolist()):
-        members = order[first:last + 1]
-        members = members[np.argsort(rank[members])]
+    right, left = _Nearest(rights), _Nearest(lefts)
+    for first, last, depth in intervals(right.lcp.tolist()):
+        rank = np.sort(left.rank[right.order[first:last + 1]])
         # left extensions: neighbours in the order of the left sides match longest
-        same = _common(left[members[:-1]], left[members[1:]], np.minimum(left_n[members[:-1]], left_n[members[1:]]))
+        same = left.between(rank[:-1], rank[1:])
+        if int(same.max()) + depth < length:
+            continue
         match = np.maximum(np.concatenate([[-1], same]), np.concatenate([same, [-1]]))
-        match = np.where(match + depth >= length, match, -1)
-        if (match >= 0).any():
-            yield members, depth, match
-
+        yield left.order[rank], depth, np.where(match + depth >= length, match, -1)
 
-def _spans_of_trees(rows: DataFrame, by: list[str], length: int) -> DataFrame:
-    """(key, lo, hi) for the rows (key, place, n, lefts, rights) of each group ``by``."""
 
-    def scan(pdf):
-        import pandas as pd
+def _spans_of_trees(rows: DataFrame, by: list[str], length: int, k: int) -> DataFrame:
+    """(key, lo, hi) for the rows (key, place, lefts, rights) of each group ``by``, which agree in
+    ``k`` bytes before ``rights``: the groups of a partition come one after another, and one at a
+    time is held."""
 
-        lefts, rights = pdf["lefts"].tolist(), pdf["rights"].tolist()
-        on_left, on_right = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        for members, depth, match in repeats_of(lefts, rights, length):
+    def spans(group):
+        place, lefts, rights = ([r[i] for r in group] for i in (1, 2, 3))
+        on_left, on_right = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
+        for members, depth, match in repeats_of(lefts, rights, length - k):
             good = members[match >= 0]
             on_left[good] = np.maximum(on_left[good], match[match >= 0])
-            on_right[good] = np.maximum(on_right[good], depth)
-        place = pdf["place"].to_numpy()
-        found = on_right > 0
-        return pd.DataFrame({"key": pdf["key"].to_numpy()[found], "lo": (place - on_left)[found], "hi": (place + on_right)[found]})
-
-    return rows.groupBy(*by).applyInPandas(scan, "key long, lo long, hi long")
+            on_right[good] = np.maximum(on_right[good], depth + k)
+        return [(group[i][0], place[i] - int(on_left[i]), place[i] + int(on_right[i])) for i in np.flatnonzero(on_right > 0)]
 
+    def scan(batches):
+        import pyarrow as pa
 
-def _spans_of_neighbours(rows: DataFrame, side: str) -> DataFrame:
+        last, group, out = None, [], []
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            for row in zip(*columns, strict=True):
+                if row[4:] != last:
+                    if len(group) > 1:
+                        out += spans(group)
+                    last, group = row[4:], []
+                group.append(row[:4])
+                if len(out) > 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["key", "lo", "hi"])
+                    out = []
+        if len(group) > 1:
+            out += spans(group)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["key", "lo", "hi"])
+
+    rows = rows.repartition(*by).sortWithinPartitions(*by).select("key", "place", "lefts", "rights", *by)
+    return rows.mapInArrow(scan, "key long, lo long, hi long")
+
+
+def _spans_of_neighbours(rows: DataFrame, side: str, k: int) -> DataFrame:
     """(key, lo, hi) of groups in which any two occurrences match on the asked length: the
     longest match on one side is that with a neighbour in order, found in one stream over
     the sorted rows, whatever the size of a group."""
@@ -234,7 +311,7 @@ def _spans_of_neighbours(rows: DataFrame, side: str) -> DataFrame:
                         keys.append(key)
                         places.append(place)
                         lows.append(place - n if side == "lefts" else place)
-                        highs.append(place if side == "lefts" else place + n)
+                        highs.append(place if side == "lefts" else place + k + n)
                 last = row
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], ["key", "lo", "hi"])
 
@@ -242,10 +319,11 @@ def _spans_of_neighbours(rows: DataFrame, side: str) -> DataFrame:
         scan, "key long, lo long, hi long")
 
 
-def _context(docs: DataFrame, places: DataFrame, length: int, k: int) -> DataFrame:
-    """(anchor, n, key, place, lefts, rights): the bytes around the places (anchor, n, key, place)."""
-    wanted = places.groupBy("key").agg(F.collect_list(F.struct("place", "anchor", "n")).alias("wanted"))
-    rows = docs.join(wanted, "key").select("key", "text", "wanted")
+def _context(docs: DataFrame, places: DataFrame, folder: str, length: int, k: int) -> DataFrame:
+    """(anchor, key, place, lefts, rights): the bytes before the places (anchor, key, place), nearest
+    first, and those that follow the ``k`` bytes all of an anchor agree in."""
+    wanted = stored(places.groupBy("key").agg(F.collect_list(F.struct("place", "anchor")).alias("wanted")), f"{folder}/wanted")
+    rows = docs.where(may_hold(wanted, "key")(F.col("key"))).join(wanted, "key").select("key", "text", "wanted")
 
     def cut(batches):
         import pyarrow as pa
@@ -254,12 +332,12 @@ def _context(docs: DataFrame, places: DataFrame, length: int, k: int) -> DataFra
             for key, text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 at = [w["place"] for w in wanted]
                 yield pa.RecordBatch.from_pydict({
-                    "anchor": pa.array([w["anchor"] for w in wanted], pa.int64()), "n": pa.array([w["n"] for w in wanted], pa.int64()),
+                    "anchor": pa.array([w["anchor"] for w in wanted], pa.int64()),
                     "key": pa.array([key] * len(at), pa.int64()), "place": pa.array(at, pa.int64()),
                     "lefts": pa.array([text[max(0, p - length + k):p][::-1] for p in at], pa.binary()),
-                    "rights": pa.array([text[p:p + length] for p in at], pa.binary())})
+                    "rights": pa.array([text[p + k:p + length] for p in at], pa.binary())})
 
-    return rows.mapInArrow(cut, "anchor long, n long, key long, place long, lefts binary, rights binary")
+    return rows.mapInArrow(cut, "anchor long, key long, place long, lefts binary, rights binary")
 
 
 def repeated_spans(docs: DataFrame, folder: str, length: int, k: int, largest: int = LARGEST) -> DataFrame:
@@ -276,23 +354,24 @@ def repeated_spans(docs: DataFrame, folder: str, length: int, k: int, largest: i
     spans = whole.select("key", (F.col("place") - F.col("left")).alias("lo"), (F.col("place") + F.col("right")).alias("hi"))
     # the others are compared with all classes of their anchor
     todo = classes.where("kinds > 1 and least = 1")
-    around = stored(_context(docs, todo.select("anchor", "n", "key", "place"), length, k), f"{folder}/around")
-    sizes = todo.select("anchor", "kinds").where(F.col("kinds") > largest).distinct()
+    around = _context(docs, todo.select("anchor", "key", "place"), folder, length, k)
+    sizes = stored(todo.select("anchor", "kinds").where(F.col("kinds") > largest).distinct(), f"{folder}/sizes")
     if not sizes.limit(1).count():
-        return spans.unionByName(_spans_of_trees(around, ["anchor"], length))
-    spans = spans.unionByName(_spans_of_trees(around.join(sizes, "anchor", "left_anti"), ["anchor"], length))
+        return spans.unionByName(_spans_of_trees(around, ["anchor"], length, k))
+    around = stored(around, f"{folder}/around")
+    spans = spans.unionByName(_spans_of_trees(around.join(sizes, "anchor", "left_anti"), ["anchor"], length, k))
     many = around.join(sizes.select("anchor"), "anchor")
     ends = many.groupBy("anchor").agg(*[f(c).alias(f"{c}_{n}") for c in ("lefts", "rights") for n, f in (("a", F.min), ("z", F.max))])
-    core = _core(ends)
-    common = many.join(core.where(F.col("core") >= length).select("anchor"), "anchor")
+    core = stored(_core(ends), f"{folder}/core")
+    common = many.join(core.where(F.col("core") >= length - k).select("anchor"), "anchor")
     for side in ("lefts", "rights"):
-        spans = spans.unionByName(_spans_of_neighbours(common, side))
-    # two places that match on ``length`` bytes do so on half of them on the right or on the left
-    half = length // 2
-    rest = many.join(core.where(F.col("core") < length).select("anchor"), "anchor")
-    for side, size in (("rights", half), ("lefts", length - half)):
+        spans = spans.unionByName(_spans_of_neighbours(common, side, k))
+    # two places that match on ``length`` bytes do so on half of what is left on the right or on the left
+    half = (length - k) // 2
+    rest = many.join(core.where(F.col("core") < length - k).select("anchor"), "anchor")
+    for side, size in (("rights", half), ("lefts", length - k - half)):
         part = rest.where(F.length(side) >= size).withColumn("part", F.sha2(F.substring(side, 1, size), 256))
-        spans = spans.unionByName(_spans_of_trees(part, ["anchor", "part"], length))
+        spans = spans.unionByName(_spans_of_trees(part, ["anchor", "part"], length, k))
     return spans
 
 
@@ -329,8 +408,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int | None = None, fol
     folder = folder or work_dir(docs.sparkSession, "repeats")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(rows.select("key", "text"), folder, length, k, largest)
-    spans = spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    rows = rows.join(spans, "key", "left").select("doc_id", "text", "spans")
+    spans = stored(spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), f"{folder}/spans")
+    marked = rows.withColumn("cut", may_hold(spans, "key")(F.col("key")))
+    # texts without a span stay where they are
+    rows = marked.where("cut").join(spans, "key", "left").select("doc_id", "text", "spans").unionByName(
+        marked.where("not cut").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
 
     def cut(batches):
         import pyarrow as pa

@@ -6,6 +6,7 @@ import sys
 import uuid
 from urllib.parse import unquote, urlparse
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +73,27 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under fixed names, so extra columns of the input
     never clash with the ones an operator adds."""
     return df.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()])
+
+
+SKETCH_BITS = 26
+
+
+def may_hold(keys: DataFrame, key: str):
+    """A test (column -> boolean column) that is true for every value of ``keys.key`` and for few
+    others, from a bitmap of fixed size (8 MB): rows that fail it need not be shuffled to a
+    join with ``keys``.  With very many keys it lets more rows through, never fewer."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SKETCH_BITS))
+    words = keys.select(slot(F.col(key)).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    import numpy as np
+
+    table = np.zeros(1 << (SKETCH_BITS - 6), np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def test(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return lambda c: test(slot(c))
