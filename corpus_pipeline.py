@@ -18,10 +18,9 @@ LANGUAGE_WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}
 
 
 def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(text, domain): the documents of the labelled table with their language."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("domain"))
-    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(labels, docs["doc_id"] == labels["id"], "left_semi").select("text", "domain")
+    """(doc_id, domain): the documents of the labelled table with their language."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain"))
+    return docs.join(read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated until the languages have their target shares; none is lost."""
-    return mixing.mix(docs, labelled_languages(spark, sf_dir), LANGUAGE_WEIGHTS)
+    return mixing.mix(docs, labelled_languages(spark, sf_dir), LANGUAGE_WEIGHTS, texts=read_table(spark, sf_dir, "documents"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

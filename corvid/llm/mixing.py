@@ -62,15 +62,15 @@ class DomainModel:
         return cls(domains, w.astype("f4"), b.astype("f4"))
 
 
-def learn_domains(labelled: DataFrame, sample_rows: int = 2000, sample_bytes: int = 16 << 20) -> DomainModel | None:
-    """The classifier, learned in one task from a bounded sample of ``labelled`` (text, domain): the
-    ``sample_rows`` rows that come first by a hash of text and domain, with their whole texts, up
-    to ``sample_bytes``.  Rows with a null domain or text are left out; None without any row."""
-    rows = labelled.select("text", "domain").where("text is not null and domain is not null")
-    place = F.xxhash64("text", "domain", F.lit("fit"))
-    picked = rows.select(place.alias("place")).orderBy("place").limit(sample_rows).agg(F.max("place")).first()[0]
-    if picked is None:
-        return None
+def learn_domains(texts: DataFrame, labelled: DataFrame, sample_rows: int = 2000, sample_bytes: int = 16 << 20) -> DomainModel | None:
+    """The classifier, learned in one task from a bounded sample of ``labelled`` (doc_id, domain): the
+    ``sample_rows`` rows that come first by a hash of the id, with their whole texts out of
+    ``texts`` (doc_id, text), up to ``sample_bytes``.  The sample is taken before the texts are
+    looked up, so only its ids are sent to where they lie.  Rows with a null id, domain or text
+    are left out, and all but one of the domains of an id; None without any row."""
+    known = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    picked = known.withColumn("place", F.xxhash64("doc_id", F.lit("fit"))).orderBy("place", "doc_id").limit(sample_rows)
+    rows = texts.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
 
     def fit(batches):
         import pickle
@@ -80,18 +80,20 @@ def learn_domains(labelled: DataFrame, sample_rows: int = 2000, sample_bytes: in
         got, size = {}, 0
         for b in batches:
             for text, domain, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                got[at] = (text.encode(), domain)  # equal rows count once
+                got[at] = max(got.get(at, (b"", "")), (text.encode(), domain))  # an id counts once
                 size += len(text)
                 if size > 4 * sample_bytes:
                     got, size = _first(got, sample_bytes), 0
+        if not got:
+            return
         kept = _first(got, sample_bytes)
         model = DomainModel.fit([kept[k][0] for k in sorted(kept)], [kept[k][1] for k in sorted(kept)])
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps((model.domains, model.weights, model.bias))], pa.binary())})
 
-    sample = rows.withColumn("place", place).where(F.col("place") <= picked).repartition(1)
     import pickle
 
-    return DomainModel(*pickle.loads(bytes(sample.mapInArrow(fit, "model binary").first()[0])))
+    row = rows.select("text", "domain", "place").repartition(1).mapInArrow(fit, "model binary").first()
+    return None if row is None else DomainModel(*pickle.loads(bytes(row[0])))
 
 
 def _first(rows: dict, most: int) -> dict:
@@ -184,14 +186,16 @@ def _copies(rate, key):
     return (F.floor(rate) + (F.pmod(key, F.lit(1 << 20)) / (1 << 20) < rate - F.floor(rate)).cast("int")).cast("int")
 
 
-def document_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None, least: float = 0.0) -> DataFrame:
+def document_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None, least: float = 0.0,
+                   texts: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_tokens, domain, membership, rate, copies) for every row of ``docs`` (doc_id, text).
+    ``labelled`` (doc_id, domain) names domains of documents in ``texts`` (by default ``docs``).
 
     n_tokens: words without white space.  domain: the likeliest one (ties: the first name), with its
     posterior in membership.  copies: how often the row is taken.  A null text is empty: no tokens,
     the posterior of the labels' shares.  Without labelled rows domain and membership are null and
     all rates are 1.  Other columns are ignored."""
-    model = learn_domains(labelled)
+    model = learn_domains(docs if texts is None else texts, labelled)
     if model is None:
         return docs.select("doc_id", F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), "\\s+"), "")).cast("long").alias("n_tokens"),
                            F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("membership"),
@@ -214,11 +218,12 @@ def document_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     return rated.select("doc_id", "n_tokens", "domain", "membership", "rate", _copies(F.col("rate"), F.col("copy_key")).alias("copies"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None, least: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None, least: float = 1.0,
+        texts: DataFrame | None = None) -> DataFrame:
     """``docs`` with each row as often as its rate says, all columns as they were.  With the default
     ``least`` of 1 the targets are reached by repeating, and no row is lost."""
     columns, schema = docs.columns, docs.schema
-    model = learn_domains(labelled)
+    model = learn_domains(docs if texts is None else texts, labelled)
     if model is None:
         return docs
     scored = stored(_scored(docs, model), f"{work_dir(docs.sparkSession, 'mix')}/scored")

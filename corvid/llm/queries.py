@@ -44,8 +44,8 @@ def op6_source_mixing(spark, sf_dir):
     """Rate of every document so that the languages' expected token totals match their targets.
     The domains are the languages: they can be told from a text, which the sources cannot."""
     docs = read_table(spark, sf_dir, "documents")
-    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
-    labelled = docs.join(labels, docs["doc_id"] == labels["id"], "left_semi").select("text", F.col("lang").alias("domain"))
+    labels = read_table(spark, sf_dir, "labels").select("doc_id")
+    labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(labels, "doc_id", "left_semi")
     return mixing.document_rates(docs, labelled, {"en": 0.4, "de": 0.25, "fr": 0.2, "es": 0.15})
 
 

@@ -18,7 +18,7 @@ def _docs(spark):
 
 
 def _labelled(docs):
-    return docs.where("doc_id < 200").select("text", F.col("lang").alias("domain"))
+    return docs.where("doc_id < 200").select("doc_id", F.col("lang").alias("domain"))
 
 
 def test_targets_are_met(spark):
@@ -73,9 +73,9 @@ def test_projected_steps_equal_least_squares():
 
 def test_empty_tables_and_no_labels(spark):
     docs = _docs(spark)
-    none = docs.limit(0).select("text", F.col("lang").alias("domain"))
+    none = docs.limit(0).select("doc_id", F.col("lang").alias("domain"))
     assert {(r.domain, r.rate, r.copies) for r in mixing.document_rates(docs, none, {"en": 1.0}).collect()} == {(None, 1.0, 1)}
     assert mixing.mix(docs, none, {"en": 1.0}).count() == docs.count()
     empty = documents(spark, [])
-    assert mixing.document_rates(empty, _labelled(docs), {"en": 1.0}).count() == 0
-    assert mixing.mix(empty, _labelled(docs), {"en": 1.0}).count() == 0
+    assert mixing.document_rates(empty, _labelled(docs), {"en": 1.0}, texts=docs).count() == 0
+    assert mixing.mix(empty, _labelled(docs), {"en": 1.0}, texts=docs).count() == 0
