@@ -13,12 +13,26 @@ from pyspark.sql import functions as F
 from corvid.session import ensure_checkpoint_dir
 
 
+#: Rows that go to a Python task at once: texts may be long, and a batch is held as a whole.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one run, inside the folder that all machines share."""
+    small_batches(spark)
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 

@@ -9,8 +9,10 @@
 3. Classes that share a prefix n-gram are paired: all with all where they are few; where
    they are many, each with the one in which the n-gram stands first and with its neighbours.
 4. Each pair is verified once, after a suffix filter, on the sets of the two classes.
-5. N-grams of many classes that the links so far do not connect are joined again; only pairs
-   in different components are left, so a large group of near copies is never paired out.
+5. N-grams of many classes that the links so far do not connect are looked at again: first the
+   best class of each component with the best of all, which is linear, until nothing more is
+   joined; then every pair in different components, so nothing is lost and a large group of
+   near copies is never paired out.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm.graph import components
-from corvid.llm.shared import pick, stored, work_dir
+from corvid.llm.shared import may_hold, pick, stored, work_dir
 
 BITS = 22  # buckets of the n-gram counts
 CHUNK_BITS = 16
@@ -234,6 +236,8 @@ def _pair(postings: DataFrame, percent: int) -> DataFrame:
 
 def _grams(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """(set, grams): the sets of the classes in ``nodes`` (set, id), read from one document each."""
+    docs = docs.where(F.col("doc_id").isNotNull())
+    docs = docs.where(may_hold(nodes, "id")(F.col("doc_id")))  # other texts stay where they are
     rows = docs.join(nodes, docs["doc_id"] == nodes["id"]).select("set", "text")
 
     def read(batches):
@@ -279,6 +283,23 @@ def _verify(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(check, "a long, b long")
 
 
+def _stars(again: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Of each n-gram of many sets, each component's best set (the one in which the n-gram
+    stands first) paired with the best of all: one row for each component and n-gram."""
+    best = F.min(F.struct("pos", "n", "set"))
+    reps = again.join(labels, "set").groupBy("token", "c").agg(best.alias("r"))
+    hubs = reps.groupBy("token").agg(F.min("r").alias("h"), F.count("*").alias("parts")).where("parts > 1")
+    near = _filters(*[F.col(k) for k in ("r.n", "r.pos", "h.n", "h.pos")], percent)
+    pairs = reps.join(hubs, "token").where((F.col("r.set") != F.col("h.set")) & near)
+    return pairs.select(F.least("r.set", "h.set").alias("a"), F.greatest("r.set", "h.set").alias("b")).distinct()
+
+
+def _filters(nx, px, ny, py, percent: int):
+    """``_may_link`` for columns."""
+    need = F.floor((percent * (nx + ny) + 99 + percent) / (100 + percent))
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - px, ny - py) >= need)
+
+
 def _rejoin(again: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets that share an n-gram of many sets, pass the filters, and lie in different
     components.  ``labels``: (set, c).  Of each n-gram, sets outside its largest component meet the others."""
@@ -287,8 +308,7 @@ def _rejoin(again: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     rows = rows.join(tops, "token")
     x, y = (rows.select("token", *[F.col(k).alias(f"{k}_{side}") for k in ("set", "n", "pos", "c", "top")]) for side in "xy")
-    need = F.floor((percent * (F.col("n_x") + F.col("n_y")) + 99 + percent) / (100 + percent))
-    near = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.least(F.expr("n_x - pos_x"), F.expr("n_y - pos_y")) >= need)
+    near = _filters(*[F.col(k) for k in ("n_x", "pos_x", "n_y", "pos_y")], percent)
     pairs = x.where("c_x <> top_x").join(y, "token").where((F.col("c_x") != F.col("c_y")) & ((F.col("c_y") == F.col("top_y")) | (F.col("set_x") < F.col("set_y"))) & near)
     return pairs.select(F.least("set_x", "set_y").alias("a"), F.greatest("set_x", "set_y").alias("b")).distinct()
 
@@ -318,13 +338,24 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, folder: s
     pairs = stored(found.where("a is not null").select("a", "b").distinct(), f"{folder}/pairs")
     again = found.where("token is not null").select("token", "set", "n", "pos")
     nodes = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).unionByName(again.select("set")).distinct()
-    grams = stored(_grams(docs, nodes.join(classes, "set"), n), f"{folder}/grams")
+    nodes = stored(nodes.join(classes, "set"), f"{folder}/nodes")
+    grams = stored(_grams(docs, nodes, n), f"{folder}/grams")
     links = stored(_by_id(_verify(pairs, grams, percent), classes), f"{folder}/links")
-    joined = stored(_labels(classes, components(links, f"{folder}/first")), f"{folder}/labels")
-    more = stored(_rejoin(again, joined.select("set", "c"), percent).join(pairs, ["a", "b"], "left_anti"), f"{folder}/more")
-    if more.limit(1).count():
-        extra = stored(_by_id(_verify(more, grams, percent), classes), f"{folder}/extra")
-        joined = _labels(classes, components(links.unionByName(extra), f"{folder}/second"))
+    joined = stored(_labels(classes, components(links, f"{folder}/comps")), f"{folder}/labels")
+    # first the components' best sets until that joins no more, then every pair that is left
+    step, last = 0, False
+    while not last:
+        step, at = step + 1, f"{folder}/again{step + 1}"
+        labels = joined.select("set", "c")
+        more = stored(_stars(again, labels, percent).join(pairs, ["a", "b"], "left_anti"), f"{at}/pairs")
+        if not (extra := stored(_by_id(_verify(more, grams, percent), classes), f"{at}/links")).limit(1).count():
+            last, pairs = True, pairs.unionByName(more)
+            more = stored(_rejoin(again, labels, percent).join(pairs, ["a", "b"], "left_anti"), f"{at}/rest")
+            if not more.limit(1).count():
+                break
+            extra = stored(_by_id(_verify(more, grams, percent), classes), f"{at}/rest-links")
+        links, pairs = links.unionByName(extra), pairs.unionByName(more)
+        joined = stored(_labels(classes, components(links, f"{at}/comps")), f"{at}/labels")
     rows = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set").join(joined.select("set", "c"), "set", "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -344,8 +375,13 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
     folder = work_dir(docs.sparkSession, "near")
     found = stored(similar_components(docs, n, percent, f"{folder}/similar"), f"{folder}/components")
     linked = found.where("n_shingles > 0 and doc_id is not null").withColumnRenamed("doc_id", "id")
-    gone = linked.where("component_id <> id").select("id").distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+    gone = stored(linked.where("component_id <> id").select("id").distinct(), f"{folder}/gone")
+    mark = "may_go"
+    while mark in docs.columns:
+        mark += "_"
+    marked = docs.withColumn(mark, F.col("doc_id").isNotNull() & may_hold(gone, "id")(F.coalesce("doc_id", F.lit(0))))
+    doubtful = marked.where(mark)  # other rows stay where they are
+    kept = marked.where(~F.col(mark)).unionByName(doubtful.join(gone, doubtful["doc_id"] == gone["id"], "left_anti")).drop(mark)
     repeated = stored(linked.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"), f"{folder}/repeated")
     if not repeated.limit(1).count():
         return kept

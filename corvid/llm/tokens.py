@@ -45,7 +45,7 @@ class PieceEncoder:
     are all texts when the tokenizer is found to cut otherwise.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         import tokenizers
 
         self.most = most
