@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from corvid.llm.quality import fitting
 from corvid.llm.shared import stored, work_dir
 
 BITS = 12
@@ -63,30 +64,41 @@ class DomainModel:
 
 
 def learn_domains(texts: DataFrame, labelled: DataFrame, sample_rows: int = 2000, sample_bytes: int = 16 << 20) -> DomainModel | None:
-    """The classifier, learned in one task from a bounded sample of ``labelled`` (doc_id, domain): the
-    ``sample_rows`` rows that come first by a hash of the id, with their whole texts out of
-    ``texts`` (doc_id, text), up to ``sample_bytes``.  The sample is taken before the texts are
-    looked up, so only its ids are sent to where they lie.  Rows with a null id, domain or text
+    """The classifier, learned in one task from a bounded sample of ``labelled`` (doc_id, domain): up
+    to ``sample_rows`` rows by a hash of the id, with their whole texts out of ``texts`` (doc_id,
+    text).  A row that no longer fits into ``sample_bytes`` is passed over; texts of more than a
+    sixteenth of that come after the others, the shortest first.  The first row of each domain goes before all, so
+    a domain that occurs is learned, or there is an error.  The sample is taken before the texts are
+    looked up, so only ids and sizes are sent to where they lie.  Rows with a null id, domain or text
     are left out, and all but one of the domains of an id; None without any row."""
     known = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    picked = known.withColumn("place", F.xxhash64("doc_id", F.lit("fit"))).orderBy("place", "doc_id").limit(sample_rows)
-    rows = texts.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    texts = texts.select("doc_id", "text").where("text is not null and doc_id is not null")
+    sizes = texts.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size"))
+    sized = known.join(sizes, "doc_id").withColumn("place", F.xxhash64("doc_id", F.lit("fit")))
+    sized = stored(sized, f"{work_dir(texts.sparkSession, 'sample')}/sized")
+    fit_in = F.col("size") <= sample_bytes // 16
+    row = F.struct(*sized.columns)
+    # the first of the short ones, or else the shortest
+    order = F.struct(F.when(fit_in, 0).otherwise(F.col("size")), "place", "doc_id")
+    heads = [r["r"] for r in sized.groupBy("domain").agg(F.min_by(row, order).alias("r")).collect()]
+    some = sized.where(fit_in).orderBy("place", "doc_id").limit(sample_rows).collect()
+    rest = sized.where(~fit_in).orderBy("size", "place", "doc_id").limit(sample_rows - len(some)).collect()
+    picked = fitting(heads, some + rest, sample_bytes, "domain", "domain")
+    if not picked:
+        return None
+    rows = texts.join(F.broadcast(texts.sparkSession.createDataFrame(picked, sized.schema).drop("size")), "doc_id")
 
     def fit(batches):
         import pickle
 
         import pyarrow as pa
 
-        got, size = {}, 0
+        kept = {}
         for b in batches:
             for text, domain, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                got[at] = max(got.get(at, (b"", "")), (text.encode(), domain))  # an id counts once
-                size += len(text)
-                if size > 4 * sample_bytes:
-                    got, size = _first(got, sample_bytes), 0
-        if not got:
+                kept[at] = max(kept.get(at, (b"", "")), (text.encode(), domain))  # an id counts once
+        if not kept:
             return
-        kept = _first(got, sample_bytes)
         model = DomainModel.fit([kept[k][0] for k in sorted(kept)], [kept[k][1] for k in sorted(kept)])
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps((model.domains, model.weights, model.bias))], pa.binary())})
 
@@ -96,12 +108,6 @@ def learn_domains(texts: DataFrame, labelled: DataFrame, sample_rows: int = 2000
     return None if row is None else DomainModel(*pickle.loads(bytes(row[0])))
 
 
-def _first(rows: dict, most: int) -> dict:
-    keys = sorted(rows)
-    sizes = np.cumsum([len(rows[k][0]) for k in keys])
-    return {k: rows[k] for k in keys[: max(1, int(np.searchsorted(sizes, most, "right")))]}
-
-
 def _rates(posterior: np.ndarray, steps: list[np.ndarray], least: float) -> np.ndarray:
     """The rates after some steps; all begin at 1 (or at ``least``)."""
     r = np.full(len(posterior), max(1.0, least))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from corvid.llm.shared import stored, work_dir
+
 DIM, HOP, FILTERS, CHUNK_FILTERS = 8, 4, 32, 32
 HALF = 32  # places of the first layer in half a chunk
 PIECE = 1 << 18  # bytes looked at together; a multiple of the bytes in half a chunk
@@ -157,37 +159,57 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def fitting(heads: list, rows: list, most: int, kind: str, column: str) -> list:
+    """The rows (doc_id, size, ...) that hold ``most`` bytes together, in their order; one that does not
+    fit any more is passed over.  ``heads``, the first of each ``kind``, go first and all have to fit."""
+    out, ids = [], set()
+    for r in [*sorted(heads, key=lambda r: r["size"]), *rows]:
+        if r["doc_id"] in ids:
+            continue
+        if r["size"] <= most:
+            out.append(r)
+            ids.add(r["doc_id"])
+            most -= r["size"]
+        elif len(ids) < len(heads):
+            raise ValueError(f"no text of {kind} {r[column]} fits into the sample: the shortest left has {r['size']} bytes of {most} free")
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 2400, sample_bytes: int = 12 << 20) -> bytes:
     """The network as bytes, learned in one task from a bounded sample of labelled rows.
 
     ``docs`` (doc_id, text) are joined with ``labels`` (doc_id, ``label``); held-out rows, null
-    ids and null labels are left out.  The sample holds the ``sample_rows`` rows that come
-    first by a hash of the id, half of them of each label where there are enough, with
-    their whole texts, and ends at ``sample_bytes``.  A null text is empty.  Without rows of
+    ids and null labels are left out.  The sample holds up to ``sample_rows`` rows, half of
+    them of each label where there are enough, with their whole texts, in turn of both labels
+    and by a hash of the id.  A row that no longer fits into ``sample_bytes`` is passed over;
+    texts of more than a sixteenth of that come after the others, the shortest first.  A label
+    that occurs has a row, or there is an error.  A null text is empty.  Without rows of
     both labels the network is the one of the untrained start, with the labels' mean.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.withColumn("place", F.xxhash64("doc_id", F.lit("fit"))).dropDuplicates(["doc_id"])
-    picked = [known.where(c).orderBy("place", "doc_id").limit(sample_rows // 2) for c in (F.col("y") > 0, F.col("y") <= 0)]
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = docs.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("size"))
+    sized = stored(known.join(sizes, "doc_id"), f"{work_dir(docs.sparkSession, 'sample')}/sized")
+    heads, short, long = [], [], []
+    for c in (F.col("y") > 0, F.col("y") <= 0):
+        fit_in = F.col("size") <= sample_bytes // 16
+        some = sized.where(c & fit_in).orderBy("place", "doc_id").limit(sample_rows // 2).collect()
+        rest = sized.where(c & ~fit_in).orderBy("size", "place", "doc_id").limit(sample_rows // 2 - len(some)).collect()
+        heads += (some + rest)[:1]
+        short += enumerate(some)
+        long += enumerate(rest)
+    turns = [r for part in (short, long) for _, r in sorted(part, key=lambda x: x[0])]
+    picked = fitting(heads, turns, sample_bytes, "label", "y")
+    if not picked:
+        return constant_net(0.0)
+    sample = docs.join(F.broadcast(docs.sparkSession.createDataFrame(picked, sized.schema).drop("size")), "doc_id")
 
     def fit(batches):
         import pyarrow as pa
 
-        def first(rows):
-            """The rows that come first and hold ``sample_bytes`` together."""
-            rows.sort()
-            sizes = np.cumsum([len(r[1]) for r in rows])
-            return rows[: max(1, int(np.searchsorted(sizes, sample_bytes, "right")))]
-
-        rows, waiting = [], 0
-        for b in batches:
-            for place, text, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows.append((place, text.encode(), y))
-                waiting += len(text)
-                if waiting > sample_bytes:
-                    rows, waiting = first(rows), 0
-        kept = [(text, float(y > 0)) for _, text, y in first(rows)]
+        rows = sorted((place, text.encode(), y) for b in batches for place, text, y in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        kept = [(text, float(y > 0)) for _, text, y in rows]
         labels = np.array([y for _, y in kept], "f4")
         if 0 < labels.sum() < len(labels):
             net = fit_net([t for t, _ in kept], labels)

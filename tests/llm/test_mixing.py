@@ -79,3 +79,14 @@ def test_empty_tables_and_no_labels(spark):
     empty = documents(spark, [])
     assert mixing.document_rates(empty, _labelled(docs), {"en": 1.0}, texts=docs).count() == 0
     assert mixing.mix(empty, _labelled(docs), {"en": 1.0}, texts=docs).count() == 0
+
+
+def test_no_domain_is_lost_to_long_texts(spark):
+    rows = [(2 * i, prose(i, 40)) for i in range(60)] + [(2 * i + 1, _german(i, 30)) for i in range(60)]
+    docs = documents(spark, [*rows, *[(200 + i, prose(i, 4000)) for i in range(40)]])
+    labelled = docs.select("doc_id", F.col("lang").alias("domain"))
+    rare = labelled.where("doc_id < 60").withColumn("domain", F.when(F.col("doc_id") == 0, "rare").otherwise(F.col("domain")))
+    assert mixing.learn_domains(docs, labelled, sample_bytes=20_000).domains == ["de", "en"]
+    assert mixing.learn_domains(docs, rare, sample_rows=5).domains == ["de", "en", "rare"]
+    with pytest.raises(ValueError, match="no text of domain"):
+        mixing.learn_domains(docs.where("doc_id >= 200"), labelled, sample_bytes=1000)

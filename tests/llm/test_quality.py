@@ -73,3 +73,18 @@ def test_no_labels_of_one_kind(spark):
 def test_fit_is_the_same_each_time():
     docs, y = [prose(i, 30).encode() if i % 2 else _bad(i).encode() for i in range(40)], np.array([i % 2 for i in range(40)], "f4")
     assert fit_net(docs, y, epochs=2).dump() == fit_net(docs, y, epochs=2).dump()
+
+
+def test_long_texts_leave_room_for_the_others(spark):
+    """A long text is passed over, wherever it comes in hash order; an error, if a label is left without a row."""
+    rows = [(i, prose(i, 50) if i % 2 else _bad(i)) for i in range(200)]
+    order = spark.range(200).where(~quality.held_out(F.col("id"))).orderBy(F.xxhash64("id", F.lit("fit"))).collect()
+    first = {order[0].id, order[1].id}
+    docs = documents(spark, [(i, t * 200 if i in first else t) for i, t in rows])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    net = quality.train(docs, labels, sample_bytes=30_000)
+    scores = {r.doc_id: r.score for r in quality.score(docs.select("doc_id", "text"), net).collect()}
+    assert len(set(scores.values())) > 100
+    assert np.mean([scores[i] > 0.5 for i in range(1, 200, 2)]) > 0.8 and np.mean([scores[i] > 0.5 for i in range(0, 200, 2)]) < 0.2
+    with pytest.raises(ValueError, match="no text of label"):
+        quality.train(docs.where(F.col("doc_id").isin(list(first))), labels, sample_bytes=3000)
