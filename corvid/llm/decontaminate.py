@@ -98,35 +98,42 @@ class Passages:
         place, unit = np.repeat(place, n), self.unit[rows]
         at = self.at[rows]
         step = self.k[unit] + 1
-        band = (place - at + len(x)) // step  # shifted, so never negative
-        span = 2 * len(x) + 2
+        # bands are counted from the start of each document, so that it gets what it would get alone
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        own = np.searchsorted(first, place, "right") - 1
+        far = max(len(u) for u in self.units)
+        base = first + np.arange(len(first)) * (far + 4)  # of the documents' band numbers
+        span = len(x) + len(first) * (far + 4)
+        band = base[own] + 1 + (place - first[own] - at + far) // step
         key = np.concatenate([unit * span + band, unit * span + band - 1])
         # the same q-gram of the item counts once in a band
         pairs = np.unique(key * 256 + np.concatenate([at, at]))
         key, shared = np.unique(pairs >> 8, return_counts=True)
         unit, band = key // span, key % span
         full = shared >= self.bound[unit]
-        return self._align(x, doc, unit[full], band[full])
+        unit, band = unit[full], band[full]
+        own = np.searchsorted(base, band, "right") - 1
+        start = first[own] + (band - base[own] - 1) * (self.k[unit] + 1) - far  # text place of the band's first diagonal
+        return self._align(x, first[own], np.append(first, len(x))[own + 1], unit, start)
 
-    def _align(self, x, doc, unit, band):
-        """Banded alignment of whole units, the place in the text free at both ends."""
+    def _align(self, x, low, high, unit, start):
+        """Banded alignment of whole units, the place in the text free at both ends and from ``low`` to ``high``."""
         out = []
         for k in np.unique(self.k[unit]):
             for m in np.unique([len(self.units[u]) for u in unit[self.k[unit] == k]]):
-                some = (self.k[unit] == k) & (np.array([len(self.units[u]) for u in unit]) == m)
-                for lo in range(0, int(some.sum()), 4096):
-                    out += self._align_equal(x, doc, unit[some][lo:lo + 4096], band[some][lo:lo + 4096], int(k), int(m))
+                some = np.flatnonzero((self.k[unit] == k) & (np.array([len(self.units[u]) for u in unit]) == m))
+                for lo in range(0, len(some), 4096):
+                    part = some[lo:lo + 4096]
+                    out += self._align_equal(x, low[part], high[part], unit[part], start[part], int(k), int(m))
         return out
 
-    def _align_equal(self, x, doc, unit, band, k, m):
+    def _align_equal(self, x, low, high, unit, start, k, m):
         width = 2 * (k + 1)
-        start = band * (k + 1) - len(x)  # text place of the band's first diagonal
         cols = np.arange(width)
         text = start[:, None] + np.arange(m + width)[None]
-        inside = (text >= 0) & (text < len(x))
-        text = np.where(inside, text, 0)
-        seen = np.where(inside, x[text], 0)  # 0 is in no folded text
-        owner = np.where(inside, doc[text], -1)
+        inside = (text >= low[:, None]) & (text < high[:, None])
+        # 0 is in no folded text: a letter of the unit beyond the document is one edit, as a dropped one
+        seen = np.where(inside, x[np.where(inside, text, 0)], 0)
         pat = np.stack([self.units[u] for u in unit])
         big = 1 << 12
         # edits * big + first diagonal: the least edits, and of these the leftmost beginning
@@ -140,9 +147,8 @@ class Passages:
         least = cost[np.arange(len(unit)), end]
         out = []
         for r in np.flatnonzero(least // big <= k):
-            a, b = int(start[r] + least[r] % big), int(start[r] + end[r] + m)
-            a, b = max(a, 0), min(b, len(x))
-            if a < b and doc[a] == doc[b - 1] and owner[r, end[r]] >= -1:
+            a, b = max(int(start[r] + least[r] % big), int(low[r])), min(int(start[r] + end[r] + m), int(high[r]))
+            if a < b:
                 out.append((a, b, int(unit[r]), int(least[r] // big)))
         return out
 

@@ -75,3 +75,19 @@ def test_equals_alignment_of_everything():
 def test_empty_tables(spark):
     assert _found(spark, [], [(1, ITEM)]) == {} and _found(spark, [(1, ITEM)], []) == {}
     assert dc.drop_contaminated(documents(spark, [(1, ITEM)]), _bench(spark, [])).count() == 1
+
+
+def test_neighbours_in_a_batch_change_nothing():
+    """Items cut or changed at the edge of a document are found there, whatever text comes before or after."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for trial in range(60):
+        item = "".join(rng.choice(letters) for _ in range(80))
+        noise = ["".join(rng.choice(letters) for _ in range(60)) for _ in range(4)]
+        cut = 1 + trial % 6
+        p = dc.Passages([(1, item)], 0.1, 100)
+        docs = [noise[0], noise[1] + item[:-cut], noise[2], item[cut:] + noise[3], noise[0], item[:40], item[40:], item[:-cut] + "#" * 5]
+        docs = [d.encode() for d in docs]
+        alone = [(i, *h[1:]) for i, d in enumerate(docs) for h in dc._search(p, [d])]
+        assert dc._search(p, docs) == alone
+        assert [h[0] for h in alone] == [1, 3, 7] and all(h[4] <= cut for h in alone)
