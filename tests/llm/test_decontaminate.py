@@ -91,3 +91,22 @@ def test_neighbours_in_a_batch_change_nothing():
         alone = [(i, *h[1:]) for i, d in enumerate(docs) for h in dc._search(p, [d])]
         assert dc._search(p, docs) == alone
         assert [h[0] for h in alone] == [1, 3, 7] and all(h[4] <= cut for h in alone)
+
+
+def test_excerpts_are_found_wherever_they_begin():
+    """Each run of ``window`` folded bytes of a long item, also with the edits the rate allows."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    item = "".join(rng.choice(letters) for _ in range(330))
+    noise = "".join(rng.choice("123456789") for _ in range(90))
+    p = dc.Passages([(1, item), (2, noise[:12])], 0.1, 100)
+    texts = [(noise[20:] + item[lo:lo + 100] + noise[20:]).encode() for lo in range(231)]
+    assert [h for h in dc._search(p, texts) if h[1] == 1] == [(i, 1, 70, 170, 0) for i in range(231)]
+    changed = []
+    for lo in range(231):
+        part = list(item[lo:lo + 100])
+        for at in range(5, 100, 10):
+            part[at] = "#0"[rng.randrange(2)]
+        changed.append((noise[20:] + "".join(part) + noise[20:]).encode())
+    assert {h[0] for h in dc._search(p, changed)} == set(range(231))
+    assert not dc._search(p, [(noise[20:] + item[lo:lo + 80] + noise[20:]).encode() for lo in range(0, 240, 7)])
