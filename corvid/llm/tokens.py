@@ -42,15 +42,19 @@ class PieceEncoder:
     ``most`` parts, and only parts that are not in it are encoded: Latin words by the
     tokenizer's model (they are one piece), all others by the whole tokenizer.  Texts in
     which a space stands between white space are given to the tokenizer whole, and so
-    are all texts when the tokenizer is found to cut otherwise.
+    are all texts when the tokenizer is found to cut otherwise.  With ``added`` the ids are
+    those of the unchanged tokenizer: texts that hold one of its added tokens are given to it
+    whole; without, special tokens are encoded as any other text.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 250_000, added: bool = False):
         import tokenizers
 
         self.most = most
         self.whole = tokenizers.Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        if not added:
+            self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()] if added else []
         self.model = self.whole.model
         pre = self.whole.pre_tokenizer
         cut = lambda x: [p for p, _ in pre.pre_tokenize_str(x)] if pre else []
@@ -125,6 +129,8 @@ class PieceEncoder:
         edges = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])]
         # a part that is empty or begins with white space follows a space that may stand between white space
         unsure = set(np.repeat(np.arange(len(texts)), counts)[self.unsure[at]].tolist())
+        for token in self.added:
+            unsure.update(np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist())
         close = np.array([] if end is None else [end], np.uint32)
         out, sizes = [np.empty(0, np.uint32)], np.empty(len(texts), np.int64)
         for i, ids in enumerate(lead):
@@ -213,7 +219,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int =
         batch = next((b for b in batches if b.num_rows), None)
         if batch is None:
             return
-        coder = worker_memory(f"tokenizer {tokenizer}", lambda: PieceEncoder(tokenizer))
+        coder = worker_memory(f"tokenizer {tokenizer}", lambda: PieceEncoder(tokenizer, added=True))
         shard = TaskContext.get().partitionId()
         n_docs = n_tokens = 0
         index = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])

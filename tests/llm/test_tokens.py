@@ -70,3 +70,12 @@ def test_sequences_have_equal_length_and_masks(spark, library):
 
 def test_empty_table(spark):
     assert tokens.tokenize_documents(documents(spark, []), PATH).count() == 0
+
+
+def test_added_tokens_are_those_of_the_unchanged_tokenizer(spark):
+    plain = Tokenizer.from_file(PATH)
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x<|endoftext|>y the end"), (4, "a < |endoftext|> b"), (5, "the end <|endoftext|>  \n"), (6, prose(1, 50))]
+    assert plain.encode(rows[0][1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens.tokenize_documents(documents(spark, rows), PATH).collect()}
+    want = [(i, np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4")) for i, t in rows]
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want}
