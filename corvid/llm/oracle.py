@@ -45,7 +45,40 @@ FROM docs d LEFT JOIN own ON own.doc_id = d.doc_id
   LEFT JOIN dir c ON c.dir = ''"""
 
 
+def _clusters_sql(rounds: int = 3) -> str:
+    """Plain distances to 16 centroids, with one pair of tables for each round."""
+    ctes = ["""v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+            """c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) - 1 AS c, x FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) <= 16)"""]
+    for k in range(rounds + 1):
+        ctes.append(f"""a{k} AS (SELECT vec_id, x, min(struct_pack(d := d, c := c)) AS best FROM
+  (SELECT v.vec_id, v.x, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{k} c)
+  GROUP BY vec_id, x)""")
+        if k < rounds:
+            ctes.append(f"""m{k} AS (SELECT c, list(m ORDER BY j) AS x FROM (SELECT c, j, ((s - ((s % n) + n) % n) // n)::BIGINT AS m FROM
+  (SELECT best.c AS c, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, 65)) AS j) GROUP BY best.c, j)) GROUP BY c)""")
+            ctes.append(f"c{k + 1} AS (SELECT c, coalesce(m.x, o.x) AS x FROM c{k} o LEFT JOIN m{k} m USING (c))")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+  (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.best.c"""
+
+
 ORACLE_SQL = {
+    "op12_centroid_clustering": _clusters_sql(),
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 AND len(a.x) = len(b.x)),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, other AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
     "op7_license_scan": _licence_sql(),
     "op1_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

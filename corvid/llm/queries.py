@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from corvid.llm import decontaminate, licenses, lines, mixing, quality, repeats, rules, similar, tokens, warc
+from corvid.llm import centroids, decontaminate, licenses, lines, mixing, negatives, quality, repeats, rules, similar, tokens, warc
 from corvid.llm.shared import read_table, work_dir
 
 
@@ -71,5 +71,18 @@ def op10_suffix_array_dedup(spark, sf_dir):
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_centroid_clustering(spark, sf_dir):
+    """16 centroids of all vectors with 64 components, in integers, after three rounds."""
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64, seed=1)
+
+
+def op13_hard_negatives(spark, sf_dir):
+    """For every 50th vector and each of its five positives the three best negatives in its window of scores."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), positives=5, negatives=3, low=50, high=95, every=50, scale=256)
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_token_ids, op3_quality_classifier, op4_line_dedup, op5_benchmark_decontamination,
-                                   op6_source_mixing, op7_license_scan, op8_ngram_jaccard_join, op9_quality_rules, op10_suffix_array_dedup)}
+                                   op6_source_mixing, op7_license_scan, op8_ngram_jaccard_join, op9_quality_rules, op10_suffix_array_dedup,
+                                   op12_centroid_clustering, op13_hard_negatives)}
