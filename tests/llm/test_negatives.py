@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from corvid.llm import negatives
 from corvid.llm.shared import work_dir
@@ -50,9 +51,11 @@ def test_odd_rows(spark):
     rows = vectors(120, 4, 3)
     rows += [(None, [1.0] * 4, 1), (500, None, 1), (550, [1.0] * 4, None), (600, [None, 1.0, 1.0, 1.0], 2), (650, [float("nan")] * 4, 0),
              (700, [float("inf")] * 4, 0), (750, [], 1), (751, [], 1), (752, [], 2), (800, [0.5] * 3, 1), (801, [0.5] * 3, 1), (802, [0.4] * 3, 2),
-             (850, [1e7] * 4, 5), (851, [1e7] * 4, 5), (852, [8e6] * 4, 6)]
+             (850, [2e6] * 4, 5), (851, [2e6] * 4, 5), (852, [1.7e6] * 4, 6)]
     assert run(spark, rows) == plain(rows)
     assert run(spark, rows, block_rows=7, chunk_rows=2) == plain(rows)
+    with pytest.raises(Exception, match="too large"):  # a score of more than 64 bits
+        run(spark, [(50, [1e7] * 4, 1), (51, [1e7] * 4, 1), (52, [1e7] * 4, 2)])
     assert run(spark, []) == [] and run(spark, [(50, [1.0], 1)]) == []
 
 
