@@ -55,7 +55,7 @@ def test_odd_rows(spark):
     assert run(spark, rows) == plain(rows)
     assert run(spark, rows, block_rows=7, chunk_rows=2) == plain(rows)
     with pytest.raises(Exception, match="too large"):  # a score of more than 64 bits
-        run(spark, [(50, [1e7] * 4, 1), (51, [1e7] * 4, 1), (52, [1e7] * 4, 2)])
+        run(spark, [(50, [1e7] * 4, 1), (51, [1e7] * 4, 1), (52, [8e6] * 4, 2)])
     assert run(spark, []) == [] and run(spark, [(50, [1.0], 1)]) == []
 
 
