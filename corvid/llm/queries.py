@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from corvid.llm import centroids, decontaminate, licenses, lines, mixing, negatives, quality, repeats, rules, similar, tokens, warc
+from corvid.llm import centroids, decontaminate, language, licenses, lines, mixing, negatives, quality, repeats, rules, similar, tokens, warc
 from corvid.llm.shared import read_table, work_dir
 
 
@@ -71,6 +71,11 @@ def op10_suffix_array_dedup(spark, sf_dir):
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_lm_scoring(spark, sf_dir):
+    """Log10 probabilities of every document by the hashed maximum-entropy model and by smoothed frequencies."""
+    return language.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op12_centroid_clustering(spark, sf_dir):
     """16 centroids of all vectors with 64 components, in integers, after three rounds."""
     return centroids.cluster(read_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64, seed=1)
@@ -85,4 +90,4 @@ def op13_hard_negatives(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_token_ids, op3_quality_classifier, op4_line_dedup, op5_benchmark_decontamination,
                                    op6_source_mixing, op7_license_scan, op8_ngram_jaccard_join, op9_quality_rules, op10_suffix_array_dedup,
-                                   op12_centroid_clustering, op13_hard_negatives)}
+                                   op11_lm_scoring, op12_centroid_clustering, op13_hard_negatives)}
