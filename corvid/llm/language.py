@@ -3,9 +3,9 @@
 P(word | two words before) = P(class | context) * P(word | class, context).  The most frequent words
 make up classes of ``WIDE`` words each, in order of frequency; all other words of the training
 rows fall into one class for each octave of their counts; one more class stands for every unseen
-word.  Both softmaxes start from the smoothed frequencies and add weights for three features of
-the context: the word before (bigram), the word before that alone (skip) and both (trigram),
-each hashed to a row of a table of fixed size.  Inside the octaves and for unseen words the
+word.  Both softmaxes start from the smoothed frequencies and add weights for features of the
+context: the word before (bigram), the word before that alone (skip) and, for the class, both
+(trigram), each hashed to a row of a table of fixed size.  Inside the octaves and for unseen words the
 smoothed frequencies stay.  Without weights the model is exactly the smoothed unigram model, and the
 probabilities of all words and of one unseen word add up to 1 in every context.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from corvid.llm.shared import filesystem, pick, stored, work_dir
 
 WIDE = 64  # words of a class
-HEAD_CLASSES = 32
+HEAD_CLASSES = 16
 OCTAVES = 31
 CLASSES = HEAD_CLASSES + OCTAVES + 1
 CLASS_ROWS, WORD_ROWS = 13, 14  # bits
@@ -107,7 +107,7 @@ class Events:
         self.skip[first] = START
 
     def rows(self, at: slice) -> np.ndarray:
-        """Hashes of the three features, (3, events)."""
+        """Hashes of the three features, (3, events): bigram, skip and trigram."""
         b, s = self.before[at], self.skip[at]
         return np.stack([mix(b * _KEYS[0]), mix(s * _KEYS[1]), mix(b * _KEYS[2] + s * _KEYS[3])])
 
@@ -127,30 +127,29 @@ class Tables:
         z = words.start32 + self.by_class.take(rows_c[0], axis=0)
         for r in rows_c[1:]:
             z += self.by_class.take(r, axis=0)
-        log_c, p_c = _softmax(z, cls)
+        log_c, *p_c = _softmax(z, cls)
         head = np.flatnonzero(cls < HEAD_CLASSES)
-        rows_w = (mix(f[:, head] + cls[head].astype(np.uint64) * _KEYS[4]) >> np.uint64(64 - WORD_ROWS)).astype(np.int64)
+        rows_w = (mix(f[:2, head] + cls[head].astype(np.uint64) * _KEYS[4]) >> np.uint64(64 - WORD_ROWS)).astype(np.int64)
         z = words.within.take(cls[head], axis=0)
         for r in rows_w:
             z += self.by_word.take(r, axis=0)
         slot = events.slot[at][head]
-        log_h, p_w = _softmax(z, slot)
+        log_h, *p_w = _softmax(z, slot)
         log_w = events.fixed[at].copy()
         log_w[head] = log_h
         return log_c, log_w, (cls, rows_c, p_c, slot, rows_w, p_w)
 
 
-def _softmax(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(logarithm of the target's probability, all probabilities) of the rows of ``z``."""
-    z -= z.max(axis=1, keepdims=True)
+def _softmax(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logarithm of the target's probability, exponentials, their sums) of the rows of ``z``.  Starts are
+    logarithms of shares and weights are bounded by the steps taken, so nothing overflows."""
     hit = z[np.arange(len(z)), target].astype(np.float64)
     np.exp(z, out=z)
-    total = z.sum(axis=1)
-    z /= total[:, None]
-    return hit - np.log(total), z
+    total = z @ np.ones(z.shape[1], np.float32)
+    return hit - np.log(total), z, total
 
 
-STEP = 1 << 13
+STEP = 1 << 12  # events at a time: their rows stay in the processor's cache
 
 
 def log_probabilities(events: Events, words: Words, tables: Tables) -> np.ndarray:
@@ -167,7 +166,8 @@ def add_gradient(events: Events, words: Words, tables: Tables, by_class: np.ndar
     """Add expected minus observed of all events to the two sums; their last column counts the events of a row."""
     for lo in range(0, len(events.cls), STEP):
         _, _, (cls, rows_c, p_c, slot, rows_w, p_w) = tables.forward(events, words, slice(lo, lo + STEP))
-        for target, rows, p, out in ((cls, rows_c, p_c, by_class), (slot, rows_w, p_w, by_word)):
+        for target, rows, (p, all_p), out in ((cls, rows_c, p_c, by_class), (slot, rows_w, p_w, by_word)):
+            p /= all_p[:, None]
             p[np.arange(len(p)), target] -= 1
             flat = out.reshape(-1)
             for r in rows:
@@ -397,10 +397,24 @@ def train(docs: DataFrame, rounds: int = 8, chunk_tokens: int = 1 << 21, folder:
     pairs = chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select("w.words", "w.counts").where("counts > 0")
     counts = stored(pairs.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")), f"{folder}/counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
-    top = [(bytes(r["word"]), r["c"]) for r in counts.where(F.length("word") <= LONG).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()]
+    # the most frequent words, as whole steps of a sixty-fourth of an octave, are those of at least some count
+    power = F.length(F.bin("c")) - 1
+    step = (power * 64 + F.floor((F.col("c") - F.expr("shiftleft(1L, length(bin(c)) - 1)")) * 64 / F.expr("shiftleft(1L, length(bin(c)) - 1)"))).cast("int")
+    short = F.length("word") <= LONG
+    steps = counts.groupBy(step.alias("k")).agg(F.sum("c").alias("s"), F.count("c").alias("n"), F.count_if(short).alias("short")).collect()
+    least, free = 64 * 64, FREQUENT
+    for r in sorted(steps, key=lambda r: -r["k"]):
+        free -= r["short"]
+        if free < 0:
+            break
+        least = r["k"]
+    top = [(bytes(r["word"]), r["c"]) for r in counts.where(short & (step >= least)).collect()]
+    top.sort(key=lambda x: (-x[1], x[0]))
     head = HEAD_CLASSES * WIDE
-    octave = F.least(F.floor(F.log2("c")).cast("int"), F.lit(OCTAVES - 1))
-    sums = {r["k"]: [r["s"], r["n"]] for r in counts.groupBy(octave.alias("k")).agg(F.sum("c").alias("s"), F.count("c").alias("n")).collect()}
+    sums: dict[int, list] = {}
+    for r in steps:
+        here = sums.setdefault(min(r["k"] // 64, OCTAVES - 1), [0, 0])
+        here[0], here[1] = here[0] + r["s"], here[1] + r["n"]
     for _, c in top[:head]:
         here = sums[min(c.bit_length() - 1, OCTAVES - 1)]
         here[0], here[1] = here[0] - c, here[1] - 1
@@ -409,14 +423,14 @@ def train(docs: DataFrame, rounds: int = 8, chunk_tokens: int = 1 << 21, folder:
     # the counts of all other words go back to the chunks that hold them
     known = spark.createDataFrame([(w,) for w, _ in top], "word binary")
     entries = chunks.select("part", "chunk", F.posexplode("words").alias("number", "word"))
-    rare = entries.join(F.broadcast(known), "word", "left_anti").join(counts.join(F.broadcast(known), "word", "left_anti"), "word")
+    rare = entries.join(F.broadcast(known), "word", "left_anti").join(counts.where(~(short & (step >= least))), "word")
     rare = rare.select("part", "chunk", "number", "c").repartition("part").sortWithinPartitions("part", "chunk", "number")
     _joined(rare).write.partitionBy("part").parquet(f"{folder}/rare")
-    reader, tables, steps = Chunks(words, frequent, f"{folder}/rare"), Tables(), Optimizer(words)
+    reader, tables, optimizer = Chunks(words, frequent, f"{folder}/rare"), Tables(), Optimizer(words)
     files = sorted(chunks.inputFiles())
     for k in range(rounds if files and n else 0):
         mine = files[k::rounds] if len(files) >= rounds else [files[k % len(files)]]
-        tables = steps.step(tables, *_gradient(spark.read.schema(CHUNK).parquet(*mine), reader, tables))
+        tables = optimizer.step(tables, *_gradient(spark.read.schema(CHUNK).parquet(*mine), reader, tables))
     return Model(chunks, reader, tables)
 
 
