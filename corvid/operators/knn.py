@@ -1,20 +1,23 @@
 """K1-K9: exact k-nearest-neighbour classification as Spark jobs.
 
 ``store_training`` writes the training rows once, sorted by the feature that
-varies most, as blocks of bounded size in the shared folder, and keeps the
-bounding box of each block.  The query rows stay where they are: inside
-``mapInArrow`` a task takes a bounded chunk of them and reads the blocks that
-can hold a neighbour, nearest box first, until the next box is farther away
-than the k-th neighbour of every row.  So nothing is broadcast but the boxes,
-no side is shuffled, and the training set is never copied per query block.
-With one feature, or few, the boxes leave only the blocks around a row's value.
-
-numpy computes the distances and only the ``k`` best neighbours of each query
-row leave the task.  Distance ties are broken by the training key, vote ties by
+varies most, as blocks of bounded size in the shared folder, and next to them a
+directory of two levels: pages with the bounding boxes of neighbouring blocks,
+and the boxes of the pages.  The query rows stay where they are: inside
+``mapInArrow`` a task takes a bounded chunk of them and opens the pages and
+blocks that can hold a neighbour, nearest box first, until the next box is farther
+away than the k-th neighbour of every row.  So nothing is broadcast, the driver
+holds three numbers, no side is shuffled, and the training set is never copied
+per query block.  With one feature, or few, the boxes leave only the blocks
+around a row's value.
+
+numpy computes the distances, and the neighbours of a row, or only its vote,
+leave the task together.  Distance ties are broken by the training key, vote ties by
 the smallest label (``mode(..., deterministic=True)``)."""
 
 from __future__ import annotations
 
+import heapq
 import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -94,15 +97,22 @@ def _sortable(ids) -> np.ndarray:
     return x.astype(str) if x.dtype == object else x
 
 
-def _read_block(uri: str):
-    """(vectors, keys, labels) of a stored block; the folder is one that all machines share."""
+def _open(uri: str):
+    """(file system, path) of a file or folder that all machines share."""
     from urllib.parse import unquote, urlparse
 
-    import pyarrow.parquet as pq
     from pyarrow import fs
 
-    local = uri.startswith("file:") or "://" not in uri
-    where, path = (fs.LocalFileSystem(), unquote(urlparse(uri).path) if uri.startswith("file:") else uri) if local else fs.FileSystem.from_uri(uri)
+    if uri.startswith("file:") or "://" not in uri:
+        return fs.LocalFileSystem(), unquote(urlparse(uri).path) if uri.startswith("file:") else uri
+    return fs.FileSystem.from_uri(uri)
+
+
+def _read_block(uri: str):
+    """(vectors, keys, labels) of a stored block."""
+    import pyarrow.parquet as pq
+
+    where, path = _open(uri)
     with where.open_input_file(path) as f:
         row = pq.read_table(f, columns=["n", "ids", "labels", "xs"])
     n = row["n"][0].as_py()
@@ -110,13 +120,29 @@ def _read_block(uri: str):
     return x, row["ids"].combine_chunks().flatten(), row["labels"].combine_chunks().flatten()
 
 
+def _read_boxes(uri: str, dim: int):
+    """(files, least corners, greatest corners) of a page of the directory, or of its top folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    where, path = _open(uri)
+    found = where.get_file_info(path)
+    names = [path] if found.is_file else sorted(i.path for i in where.get_file_info(fs.FileSelector(path)) if i.path.endswith(".parquet"))
+    files, lo, hi = [], [], []
+    for name in names:
+        with where.open_input_file(name) as f:
+            rows = pq.read_table(f, columns=["file", "lo", "hi"])
+        files += rows["file"].to_pylist()
+        lo += rows["lo"].to_pylist()
+        hi += rows["hi"].to_pylist()
+    return files, *(np.array(v, np.float64).reshape(len(v), dim) for v in (lo, hi))
+
+
 @dataclass
 class TrainingBlocks:
-    """Training rows stored by ``store_training``: files, boxes and what they hold."""
+    """Training rows stored by ``store_training``: where they are and what they hold."""
 
-    files: list[str]
-    lo: np.ndarray
-    hi: np.ndarray
+    path: str
     n: int
     dim: int
     order: int
@@ -126,11 +152,14 @@ class TrainingBlocks:
 
 
 def store_training(train: DataFrame, *, features: str | Sequence[str], label_col: str, train_id: str,
-                   block_bytes: int = 16 << 20, block_rows: int | None = None) -> TrainingBlocks:
+                   block_bytes: int = 16 << 20, block_rows: int | None = None,
+                   page_blocks: int = 1024) -> TrainingBlocks:
     """Write the training rows as blocks, once for any number of predictions.
 
     Rows without a full feature vector are left out: they are at no distance from
-    anything.  The driver gets each block's file name, row count and box."""
+    anything.  The directory is made by Spark from the blocks' boxes: ``path/pages``
+    holds up to ``page_blocks`` neighbouring blocks a file, ``path/top`` a row for each
+    page.  The driver gets the number of rows, the dimension and the sort feature."""
     spark = train.sparkSession
     r = train.select(F.col(train_id).alias("_rid"), F.col(label_col).alias("_rlab"), feature_vector(train, features).alias("_x"))
     r = r.where(F.col("_x").isNotNull() & ~F.exists("_x", lambda v: v.isNull() | F.isnan(v)))
@@ -174,11 +203,17 @@ def store_training(train: DataFrame, *, features: str | Sequence[str], label_col
     path = shared_folder(spark, "training")
     if dim:
         r = r.repartitionByRange(F.col("_x")[order], F.xxhash64("_rid")).sortWithinPartitions(F.col("_x")[order])
-    r.mapInArrow(pack, schema).write.option("maxRecordsPerFile", 1).parquet(path)
-    boxes = spark.read.schema(schema).parquet(path).select(F.input_file_name(), "n", "lo", "hi").collect()
-    as_matrix = lambda rows: np.array(rows, np.float64).reshape(len(rows), dim)
-    return TrainingBlocks([b[0] for b in boxes], as_matrix([b[2] for b in boxes]), as_matrix([b[3] for b in boxes]),
-                          sum(b[1] for b in boxes), dim, order, features, id_type, label_type)
+    r.mapInArrow(pack, schema).write.option("maxRecordsPerFile", 1).parquet(f"{path}/blocks")
+    blocks = spark.read.schema(schema).parquet(f"{path}/blocks").select(F.input_file_name().alias("file"), "n", "lo", "hi")
+    n, count = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
+    if dim:
+        by = [F.col("lo")[order], F.col("file")]
+        blocks = blocks.repartitionByRange(max(1, -(-count // page_blocks)), *by).sortWithinPartitions(*by)
+    blocks.select("file", "lo", "hi").write.option("maxRecordsPerFile", page_blocks).parquet(f"{path}/pages")
+    pages = spark.read.parquet(f"{path}/pages").groupBy(F.input_file_name().alias("file"))
+    corner = lambda f, c: F.array(*[f(F.col(c)[j]) for j in range(dim)]) if dim else F.array().cast("array<double>")
+    pages.agg(corner(F.min, "lo").alias("lo"), corner(F.max, "hi").alias("hi")).write.parquet(f"{path}/top")
+    return TrainingBlocks(path, n, dim, order, features, id_type, label_type)
 
 
 def knn_neighbors(train: DataFrame | TrainingBlocks, test: DataFrame, *, features: str | Sequence[str] | None = None,
@@ -186,16 +221,17 @@ def knn_neighbors(train: DataFrame | TrainingBlocks, test: DataFrame, *, feature
                   metric: str = "euclidean", p: float = 2.0,
                   weights: Sequence[float] | None = None, keep_cols: Sequence[str] = (),
                   allow_fewer: bool = False, missing: str = "null", block_rows: int | None = None,
-                  n_test: int | None = None, chunk_rows: int = 4096) -> DataFrame:
+                  n_test: int | None = None, chunk_rows: int = 4096, votes: Sequence[int] | None = None) -> DataFrame:
     """The ``k`` nearest training rows of every test row.
 
     Returns ``test_id, neighbor_id, neighbor_label, distance, rank`` plus the
-    ``keep_cols`` of the test row.  ``train`` is a table or stored blocks.  ``k``
+    ``keep_cols`` of the test row, the rows of one test row together.  ``train`` is a table or stored blocks.  ``k``
     larger than the training rows raises ``ValueError`` (K5) unless
     ``allow_fewer``, which then gives all rows.  A test row without a full
     feature vector gets one row with a NULL neighbour (``missing="error"`` stops
     the query).  ``n_test``, where known, lets a small table with heavy work be
-    dealt over all cores."""
+    dealt over all cores.  With ``votes`` the task keeps the neighbours to itself and gives
+    ``test_id, k, prediction`` for each of these numbers of neighbours (see ``knn_predict``)."""
     power = _power(metric, p)
     if missing not in ("null", "error"):
         raise ValueError("missing must be 'null' or 'error'")
@@ -207,54 +243,70 @@ def knn_neighbors(train: DataFrame | TrainingBlocks, test: DataFrame, *, feature
         raise ValueError(f"k={k} is larger than the {blocks.n} training rows")
     w = None if weights is None else np.asarray(weights, dtype=np.float64)
     features = blocks.features if features is None else features
-    dim, kk, files, order = blocks.dim, min(k, blocks.n), blocks.files, blocks.order
+    dim, kk, order, top = blocks.dim, min(k, blocks.n), blocks.order, f"{blocks.path}/top"
 
-    schema = StructType([
-        StructField(test_id, test.schema[test_id].dataType), *[test.schema[c] for c in keep_cols],
-        StructField("neighbor_id", blocks.id_type), StructField("neighbor_label", blocks.label_type),
-        StructField("distance", DoubleType()), StructField("rank", IntegerType())])
+    found = [StructField("neighbor_id", blocks.id_type), StructField("neighbor_label", blocks.label_type),
+             StructField("distance", DoubleType()), StructField("rank", IntegerType())]
+    voted = [StructField("k", IntegerType()), StructField("prediction", blocks.label_type)]
+    schema = StructType([StructField(test_id, test.schema[test_id].dataType), *[test.schema[c] for c in keep_cols], *(voted if votes else found)])
     q = test.select(F.col(test_id).alias("_qid"), feature_vector(test, features).alias("_x"), *[F.col(c).alias(f"_keep_{c}") for c in keep_cols])
     if n_test is not None:
         q = spread(q, float(n_test) * blocks.n * max(dim, 1), n_test)
-    if dim and len(files) > 1:
+    if dim:
         q = q.sortWithinPartitions(F.col("_x")[order])  # rows of a chunk lie close together
-    boxes = test.sparkSession.sparkContext.broadcast((blocks.lo, blocks.hi))
 
     def search(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        box_lo, box_hi = boxes.value
-        held: dict[int, tuple] = {}
+        kept: dict[str, tuple] = {}
+        page_files, page_lo, page_hi = None, None, None
 
-        def load(i):
-            if i not in held:
-                while len(held) >= 4:
-                    held.pop(next(iter(held)))
-                held[i] = _read_block(files[i])
-            return held[i]
+        def load(file, read, *args):
+            """One of the few files in memory."""
+            if file not in kept:
+                while len(kept) >= 8:
+                    kept.pop(next(iter(kept)))
+                kept[file] = read(file, *args)
+            return kept[file]
 
         def nearest(x):
             """(row, key, label, distance, rank) of the kk nearest of each row, in order."""
+            nonlocal page_files, page_lo, page_hi
+            if page_files is None:
+                page_files, page_lo, page_hi = _read_boxes(top, dim)
             kth, best = np.full(len(x), np.inf), np.full((len(x), kk), np.inf)
             found = []
-            near = _box_distances(x.min(axis=0)[None], x.max(axis=0)[None], box_lo, box_hi, power, w)[0]
-            for i in np.argsort(near, kind="stable"):
-                if near[i] > kth.max():
+            low, high = x.min(axis=0)[None], x.max(axis=0)[None]
+            # pages and blocks by the distance of their boxes from the chunk's box; a page is replaced by its blocks
+            near = _box_distances(low, high, page_lo, page_hi, power, w)[0]
+            todo = [(d, 0, f, None, None) for d, f in zip(near.tolist(), page_files, strict=True)]
+            heapq.heapify(todo)
+            while todo:
+                d, is_block, file, lo_corner, hi_corner = heapq.heappop(todo)
+                if d > kth.max():
                     break
-                rows = np.flatnonzero(_box_distances(x, x, box_lo[i:i + 1], box_hi[i:i + 1], power, w)[:, 0] <= kth)
+                if not is_block:
+                    names, box_lo, box_hi = load(file, _read_boxes, dim)
+                    near = _box_distances(low, high, box_lo, box_hi, power, w)[0]
+                    for i in np.flatnonzero(near <= kth.max()).tolist():
+                        heapq.heappush(todo, (float(near[i]), 1, names[i], tuple(box_lo[i]), tuple(box_hi[i])))
+                    continue
+                box = (np.array(c, np.float64).reshape(1, dim) for c in (lo_corner, hi_corner))
+                rows = np.flatnonzero(_box_distances(x, x, *box, power, w)[:, 0] <= kth)
                 if not len(rows):
                     continue
-                r, ids, labels = load(i)
+                r, ids, labels = load(file, _read_block)
                 step = max(1, 2_000_000 // len(r))
                 for lo in range(0, len(rows), step):
                     some = rows[lo:lo + step]
                     d = _distances(x[some], r, power, w)
                     n = min(kk, len(r))
-                    top = np.partition(d, n - 1, axis=1)[:, :n]
-                    limit = np.minimum(kth[some], top.max(axis=1)) if n == kk else kth[some]
+                    top_n = np.partition(d, n - 1, axis=1)[:, :n]
+                    limit = np.minimum(kth[some], top_n.max(axis=1)) if n == kk else kth[some]
                     a, b = np.nonzero(d <= limit[:, None])  # ties at the limit stay in
                     found.append((some[a], ids.take(pa.array(b)), labels.take(pa.array(b)), d[a, b]))
-                    best[some] = np.sort(np.concatenate([best[some], top], axis=1), axis=1)[:, :kk]
+                    best[some] = np.sort(np.concatenate([best[some], top_n], axis=1), axis=1)[:, :kk]
                     kth[some] = best[some, kk - 1]
             row, dist = (np.concatenate([f[c] for f in found]) for c in (0, 3))
             ids, labels = (pa.concat_arrays([f[c] for f in found]) for c in (1, 2))
@@ -268,10 +320,39 @@ def knn_neighbors(train: DataFrame | TrainingBlocks, test: DataFrame, *, feature
             at = pa.array(at[first])
             return row[first], ids.take(at), labels.take(at), dist[first], rank[first] + 1
 
+        def ballot(part, row, labels, rank):
+            """For each number of voters a prediction for every row of the part, NULL without neighbours."""
+            names_of = sorted(pc.unique(labels.drop_null()).to_pylist(), key=lambda v: (v != v, v))
+            code = {v if v == v else None: i for i, v in enumerate(names_of)}
+            mine = labels.to_pylist()
+            codes = np.array([-1 if v is None else code[v if v == v else None] for v in mine], np.int64)
+            choice = pa.array(names_of, label_kind)
+            for voters in votes:
+                use = np.flatnonzero((rank <= voters) & (codes >= 0))
+                pair, n = np.unique(row[use] * max(1, len(names_of)) + codes[use], return_counts=True)
+                who, what = pair // max(1, len(names_of)), pair % max(1, len(names_of))
+                at = np.lexsort((what, -n, who))  # most votes, then the smallest label
+                first = at[np.flatnonzero(np.concatenate([[True], who[at][1:] != who[at][:-1]]))] if len(at) else at
+                won = np.full(part.num_rows, -1, np.int64)
+                won[who[first]] = what[first]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[part.column(i) for i in range(2, part.num_columns)],
+                                                  pa.array(np.full(part.num_rows, voters), pa.int32()),
+                                                  choice.take(pa.array(won, mask=won < 0))], names)
+
         for b in batches:
             for lo in range(0, b.num_rows, chunk_rows):
                 part = b.slice(lo, chunk_rows)
                 x, ok = _vectors(part.column(1), dim)
+                if votes:
+                    if missing == "error" and not ok.all():
+                        raise ValueError("a test row has no full feature vector")
+                    row, labels, rank = np.empty(0, np.int64), pa.nulls(0).cast(label_kind), np.empty(0, np.int64)
+                    if ok.any():
+                        good = np.flatnonzero(ok)
+                        row, _, labels, _, rank = nearest(x[good])
+                        row = good[row]
+                    yield from ballot(part, row, labels, rank)
+                    continue
                 out = []
                 if not ok.all():
                     if missing == "error":
@@ -320,8 +401,18 @@ def knn_vote_many(neighbors: DataFrame, test_id: str, ks: Sequence[int],
 def knn_predict(train: DataFrame | TrainingBlocks, test: DataFrame, *, test_id: str, k: int = 5,
                 keep_cols: Sequence[str] = (), **kw) -> DataFrame:
     """K1-K4: fit (= hold the training rows) and predict in one plan; the other
-    arguments are those of ``knn_neighbors``."""
-    return knn_vote(knn_neighbors(train, test, test_id=test_id, k=k, keep_cols=keep_cols, **kw), test_id, keep_cols=keep_cols)
+    arguments are those of ``knn_neighbors``.  The neighbours of a row are found in one
+    task and vote there, so nothing is shuffled: one prediction for each test row, also
+    for rows with equal ids; ties go to the smallest label, rows without neighbours get NULL."""
+    out = knn_neighbors(train, test, test_id=test_id, k=k, keep_cols=keep_cols, votes=[k], **kw)
+    return out.select(test_id, "prediction", *keep_cols)
+
+
+def knn_predict_many(train: DataFrame | TrainingBlocks, test: DataFrame, *, test_id: str, ks: Sequence[int],
+                     keep_cols: Sequence[str] = (), **kw) -> DataFrame:
+    """K6: ``test_id, k, prediction`` for every k from a single search at ``max(ks)``."""
+    out = knn_neighbors(train, test, test_id=test_id, k=max(ks), keep_cols=keep_cols, votes=sorted(set(ks)), **kw)
+    return out.select(test_id, "k", "prediction", *keep_cols)
 
 
 def accuracy(df: DataFrame, prediction_col: str = "prediction", label_col: str = "label",

@@ -71,9 +71,8 @@ def knn_many_k(spark, sf):
     parts = _embedding_parts(spark, sf)
     train, test = parts
     ks = [3, 5, 7, 17]
-    nb = knn.knn_neighbors(train, test.withColumnRenamed("label", "actual"), **EMB, test_id="vec_id", k=max(ks),
-                           keep_cols=["actual"], n_test=parts.n_test)
-    votes = knn.knn_vote_many(nb, "vec_id", ks, keep_cols=["actual"])
+    votes = knn.knn_predict_many(train, test.withColumnRenamed("label", "actual"), **EMB, test_id="vec_id", ks=ks,
+                                 keep_cols=["actual"], n_test=parts.n_test)
     acc = knn.accuracy(votes, "prediction", "actual", by=["k"])
     return acc.select(F.col("k").cast("int").alias("k"), r6("accuracy").alias("accuracy"))
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from corvid.session import shared_folder
+
 # Tokens read as missing (the common pandas default set).
 MISSING_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
                   "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
@@ -90,17 +92,27 @@ def _cast(c: Column, dtype) -> Column:
 
 
 def dense_row_number(df: DataFrame, col: str = "row_id") -> DataFrame:
-    """A dense 0..n-1 row number in input order, without a global sort or
-    a single partition: per-partition row counts (one row per partition) give
-    the offsets.  Deterministic for a deterministic input order (file scans),
-    so a recomputed partition gets the same numbers."""
-    t = df.withColumn("_mid", F.monotonically_increasing_id())
-    t = t.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_off", F.col("_mid").bitwiseAND((1 << 33) - 1))
-    counts = t.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_pid", F.coalesce(before, F.lit(0)).alias("_start"))
-    out = t.join(F.broadcast(offsets), "_pid")  # one row per input partition
-    return out.withColumn(col, F.col("_start") + F.col("_off")).drop("_mid", "_pid", "_off", "_start")
+    """A dense 0..n-1 row number in input order, without a global sort or a
+    single partition.
+
+    The rows are written once, each with its partition and its place in it, so the
+    counts and the numbers come from the same rows whatever made them: a plan that
+    is run twice may deal its rows differently (range partitioning samples anew).
+    What is read back is joined with one offset per written partition."""
+    spark = df.sparkSession
+    place = F.monotonically_increasing_id()
+    part, off = "_part", "_place"
+    while part in df.columns or off in df.columns:
+        part, off = part + "_", off + "_"
+    placed = df.withColumn(off, place).withColumn(part, F.shiftright(F.col(off), 33)).withColumn(off, F.col(off).bitwiseAND((1 << 33) - 1))
+    path = shared_folder(spark, "rows")
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path)
+    counts = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(part, F.coalesce(before, F.lit(0)).alias("start"))
+    numbered = rows.join(F.broadcast(offsets.withColumnRenamed("start", f"{off}0")), part)  # one row per task that wrote
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns if c != col], (F.col(f"{off}0") + F.col(off)).alias(col))
 
 
 def write_labels(df: DataFrame, path: str, row_id: str = "row_id", label: str = "label",

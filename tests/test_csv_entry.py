@@ -59,3 +59,17 @@ def test_dense_row_number(spark):
     out = dense_row_number(df).collect()
     assert sorted(r.row_id for r in out) == list(range(1000))
     assert all(r.row_id == r.v for r in out)  # input order kept
+
+
+def test_dense_row_number_of_a_shuffled_input(spark):
+    """More rows than the range sampler draws: a second run of the plan may cut its ranges elsewhere."""
+    from pyspark.sql import functions as F
+
+    from corvid.sources import dense_row_number
+    df = spark.range(0, 300_000, 1, 16).select((F.xxhash64("id") % 1_000_003).alias("v"), F.col("id").alias("_place"))
+    out = dense_row_number(df.repartitionByRange(7, "v").sortWithinPartitions("v"))
+    got = out.agg(F.count("*"), F.countDistinct("row_id"), F.min("row_id"), F.max("row_id")).first()
+    assert tuple(got) == (300_000, 300_000, 0, 299_999) and out.columns == ["v", "_place", "row_id"]
+    pairs = out.select("row_id", "v").orderBy("row_id").toPandas()
+    assert pairs.v.is_monotonic_increasing
+    assert dense_row_number(df.limit(0)).count() == 0

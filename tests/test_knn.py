@@ -78,7 +78,8 @@ def test_blocks_are_stored_once_and_skipped(spark):
     rows = [(i, float(x), str(int(x) % 3)) for i, x in enumerate(rng.integers(0, 500, 2000))]
     train = spark.createDataFrame(rows, "id long, v double, l string")
     fit = knn.store_training(train, features=["v"], label_col="l", train_id="id", block_rows=100)
-    assert fit.n == 2000 and len(fit.files) >= 20 and (fit.hi - fit.lo).max() < 100  # boxes are narrow
+    boxes = spark.read.parquet(f"{fit.path}/pages").collect()
+    assert fit.n == 2000 and len(boxes) >= 20 and max(b.hi[0] - b.lo[0] for b in boxes) < 100  # boxes are narrow
     queries = np.r_[rng.uniform(-10, 510, 200), rng.integers(0, 500, 100)]
     test = spark.createDataFrame([(i, float(x)) for i, x in enumerate(queries)], "qid long, v double")
     got = knn.knn_neighbors(fit, test, test_id="qid", k=5).toPandas().sort_values(["qid", "rank"])
@@ -164,3 +165,38 @@ def test_missing_features_give_no_label(spark):
         knn.knn_predict(train, test, missing="error", **kw).collect()
     with pytest.raises(ValueError):
         knn.knn_predict(train.limit(0), test, **kw)
+
+
+def test_directory_of_two_levels(spark):
+    """Many blocks and pages: the same neighbours, and nothing of the directory is in the plan or the driver."""
+    rows = [(i, float(i * 37 % 1000) / 3, i % 3) for i in range(1500)]
+    train = spark.createDataFrame(rows, "id int, v double, l int")
+    test = spark.createDataFrame([(i, float(i * 11 % 400)) for i in range(60)], "qid int, v double")
+    kw = dict(features=["v"], label_col="l", train_id="id", block_rows=20)
+    key = lambda df: [tuple(r) for r in df.orderBy("qid", "rank").collect()]
+    want = key(knn.knn_neighbors(train, test, features=["v"], label_col="l", train_id="id", test_id="qid", k=4))
+    for blocks in (3, 1000):
+        fit = knn.store_training(train, **kw, page_blocks=blocks)
+        pages, top = (spark.read.parquet(f"{fit.path}/{x}") for x in ("pages", "top"))
+        assert pages.count() >= 75 and top.count() >= (75 // 3 if blocks == 3 else 1)
+        assert key(knn.knn_neighbors(fit, test, test_id="qid", k=4)) == want
+        assert all(not hasattr(v, "__len__") or isinstance(v, (str, list)) for v in vars(fit).values())
+
+
+def test_votes_leave_the_search_task(spark):
+    train = spark.createDataFrame([(i, float(i // 2), ["b", "a", None][i % 3]) for i in range(30)], "id int, v double, l string")
+    test = spark.createDataFrame([(1, 3.2, "p"), (1, 9.9, "q"), (2, None, "r"), (None, 0.0, "s")], "qid int, v double, name string")
+    fit = knn.store_training(train, features=["v"], label_col="l", train_id="id", block_rows=4)
+    out = knn.knn_predict_many(fit, test, test_id="qid", ks=[1, 4, 4, 7], keep_cols=["name"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    got = {(r.name, r.k): r.prediction for r in out.collect()}
+    rows = train.collect()
+    for name, v in (("p", 3.2), ("q", 9.9), ("s", 0.0)):
+        near = sorted(rows, key=lambda r: (abs(r.v - v), r.id))
+        for k in (1, 4, 7):
+            labels = [r.l for r in near[:k] if r.l]
+            assert got[name, k] == min(set(labels), key=lambda x: (-labels.count(x), x), default=None)
+    assert got["r", 4] is None and len(got) == 12  # equal test ids are rows of their own
+    nb = knn.knn_neighbors(fit, test.where("name = 'q'"), test_id="qid", k=7)
+    assert knn.knn_vote(nb, "qid").first().prediction == got["q", 7]
