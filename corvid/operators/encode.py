@@ -7,17 +7,45 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvid.sources.csv import dense_row_number
 
-def category_list(df: DataFrame, col: str) -> list:
-    """Sorted distinct values of a column.  They become columns, so the driver
-    holds as many values as the result has columns."""
-    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
 
+#: Categories that a wide form may have, one column each; beyond it the long forms are meant.
+MOST_COLUMNS = 10_000
 
-def one_hot(df: DataFrame, col: str, categories: Sequence | None = None, prefix: str = "") -> DataFrame:
+
+def category_list(df: DataFrame, col: str, most: int = MOST_COLUMNS) -> list:
+    """Sorted distinct values of a column, for a wide form.  More than ``most`` are an
+    error, found before anything more reaches the driver."""
+    found = df.select(col).where(F.col(col).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"column {col} has more than {most} categories; use category_index and one_hot_cells")
+    return sorted(r[0] for r in found)
+
+
+def category_index(df: DataFrame, col: str) -> DataFrame:
+    """P15 as a table: ``(category, index)``, numbered from 0 in sorted order, whatever their number.
+    Missing values are no category."""
+    values = df.where(F.col(col).isNotNull()).select(F.col(col).alias("category")).distinct()
+    ranged = values.repartitionByRange("category").sortWithinPartitions("category")
+    return dense_row_number(ranged, "index")
+
+
+def one_hot_cells(df: DataFrame, key: str, col: str, index: DataFrame | None = None) -> DataFrame:
+    """P15 in long form: ``(key, category, index, size)`` with one row for every 1 of the indicator
+    columns; rows with a missing value have none.  ``size`` is the number of categories, so
+    (index, size) is the sparse vector of the row.  The index is joined, not collected."""
+    index = category_index(df, col) if index is None else index
+    size = index.agg(F.count(F.lit(1)).alias("size"))
+    cells = df.select(F.col(key), F.col(col).alias("category")).join(index, "category")
+    return cells.select(key, "category", "index", size.scalar().alias("size"))
+
+
+def one_hot(df: DataFrame, col: str, categories: Sequence | None = None, prefix: str = "", most: int = MOST_COLUMNS) -> DataFrame:
     """One 0/1 column per category, named ``prefix + value``, appended in
-    sorted order; a missing value gives all zeros."""
-    cats = sorted(categories) if categories is not None else category_list(df, col)
+    sorted order; a missing value gives all zeros.  Without given ``categories`` more than
+    ``most`` are an error (``one_hot_cells`` has no such limit)."""
+    cats = sorted(categories) if categories is not None else category_list(df, col, most)
     return df.withColumns({f"{prefix}{v}": F.coalesce(F.col(col) == F.lit(v), F.lit(False)).cast("int")
                            for v in cats})
 

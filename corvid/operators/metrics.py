@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvid.operators.encode import MOST_COLUMNS, category_list
 from corvid.operators.scan import prefix_sums
 from corvid.session import materialize, spread
 
@@ -38,16 +39,16 @@ def confusion_cells(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str, labels: Sequence | None = None,
-                     prefix: str = "pred_") -> DataFrame:
+                     prefix: str = "pred_", most: int = MOST_COLUMNS) -> DataFrame:
     """A9 as a view of ``confusion_cells``: one row per actual label (a missing one
     included), one count column per label, and ``other`` and ``missing`` columns
     for predictions outside the labels and for none (empty cells 0; labels seen
-    only as predictions still get a row).  The cells add up to the rows."""
+    only as predictions still get a row).  The cells add up to the rows.  Without ``labels``
+    more than ``most`` different ones are an error: use ``confusion_cells``."""
     counts = materialize(confusion_cells(df, actual, predicted))
     if labels is None:
-        from corvid.operators.encode import category_list
         both = counts.select(F.col(actual).alias("_l")).union(counts.select(F.col(predicted).alias("_l")))
-        labels = category_list(both, "_l")
+        labels = category_list(both, "_l", most)
     labels = list(labels)
     rows = counts.unionByName(counts.where(F.col(predicted).isNotNull()).select(
         F.col(predicted).cast(counts.schema[actual].dataType).alias(actual), F.lit(None).cast(counts.schema[predicted].dataType).alias(predicted),
@@ -128,8 +129,9 @@ def kde_grid(df: DataFrame, col: str, points: int = 1000) -> DataFrame:
     """Gaussian kernel density on ``points`` equally spaced values over
     [min - range/2, max + range/2]; bandwidth std(ddof=1) * n^(-1/5).
 
-    Every row adds its kernel to every grid point, none is cut off.  A task adds
-    the kernels of its rows up in one array and sends ``points`` sums."""
+    Equal values are counted first; every distinct value adds its kernel, times its
+    count, to every grid point, none is cut off.  A task adds up the kernels of its
+    values in one array and sends ``points`` sums."""
     s = df.agg(F.count(col).alias("n"), F.stddev_samp(col).alias("sd"),
                F.min(col).alias("lo"), F.max(col).alias("hi")).first()
     n, sd, lo, hi = s["n"], s["sd"], s["lo"], s["hi"]
@@ -146,13 +148,14 @@ def kde_grid(df: DataFrame, col: str, points: int = 1000) -> DataFrame:
 
         grid, sums = g0 + np.arange(points) * step, np.zeros(points)
         for b in batches:
-            x = b.column(0).to_numpy(zero_copy_only=False)
+            x, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             for at in range(0, len(x), 1024):
                 z = (grid[None, :] - x[at:at + 1024, None]) / h
-                sums += np.exp(-0.5 * z * z).sum(axis=0)
+                sums += n[at:at + 1024].astype(np.float64) @ np.exp(-0.5 * z * z)
         yield pa.RecordBatch.from_pydict({"j": pa.array(np.arange(points), pa.int32()), "s": pa.array(sums)})
 
-    x = spread(df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("x")), float(n) * points, n)
+    x = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    x = spread(x, float(n) * points, n)
     sums = x.mapInArrow(add, "j int, s double").groupBy("j").agg(F.sum("s").alias("_s"))
     norm = n * h * math.sqrt(2 * math.pi)
     return sums.select("j", (F.lit(g0) + F.col("j") * F.lit(step)).alias("x"), (F.col("_s") / F.lit(norm)).alias("density"))

@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvid.operators.scan import last_known
 from corvid.session import materialize
 
 UNB = Window.unboundedPreceding
@@ -99,12 +100,15 @@ def ffill(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], value_c
           out_cols: dict[str, str] | None = None) -> DataFrame:
     """Forward fill, each column on its own, within each key, in
     ``order_cols`` order (``ascending=False`` fills backwards).  ``out_cols``
-    writes the filled value of ``c`` to ``out_cols[c]`` instead of ``c``."""
+    writes the filled value of ``c`` to ``out_cols[c]`` instead of ``c``.
+
+    Without a ``segment`` the rows are scanned in ranges of (key, order), so one key may
+    hold all rows (``scan.last_known``)."""
     out_cols = out_cols or {}
     target = {c: out_cols.get(c, c) for c in value_cols}
     if segment is None:
-        w = Window.partitionBy(*keys).orderBy(*_ordered(order_cols, ascending)).rowsBetween(UNB, 0)
-        return df.withColumns({target[c]: F.last(c, True).over(w) for c in value_cols})
+        out = last_known(df, keys, order_cols, {target[c]: F.col(c) for c in value_cols}, ascending)
+        return out.select(*df.columns, *[t for t in target.values() if t not in df.columns])  # input column order kept
     d = df.withColumn("_seg", segment)
     w = Window.partitionBy(*keys, "_seg").orderBy(*_ordered(order_cols, ascending)).rowsBetween(UNB, 0)
     local = d.withColumns({f"_loc_{c}": F.last(c, True).over(w) for c in value_cols})
@@ -220,14 +224,13 @@ def gap_days(df: DataFrame, keys: Sequence[str], date_col: str, order_cols: Sequ
     With ``order_cols`` beginning with ``date_col`` only the first row of a (key,
     day) lies behind an earlier day, and the others follow a row of the same
     day: the days of a key are windowed, not its rows, and joined back (rows
-    equal in all ``order_cols`` count as the same row).  Any other order needs
-    the rows of a key in one window."""
+    equal in all ``order_cols`` count as the same row).  In any other order the
+    rows are scanned in ranges of (key, order)."""
     from corvid.functions import clip
 
     if order_cols[0] != date_col:
-        w = Window.partitionBy(*keys).orderBy(*order_cols)
-        d = df.withColumn("_prev", F.lag(date_col).over(w))
-        gap = clip(F.datediff(F.col(date_col), F.col("_prev")), lo, hi)
+        d = last_known(df, keys, order_cols, {"_prev": F.struct(date_col)}, inclusive=False)
+        gap = clip(F.datediff(F.col(date_col), F.col("_prev")[date_col]), lo, hi)
         return d.withColumn(out_col, F.coalesce(gap, F.lit(fill)).cast("int")).select(*df.columns, out_col)
     order = F.struct(*[F.col(c) for c in order_cols])
     days = df.where(F.col(date_col).isNotNull()).groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(date_col).alias("_day")).agg(

@@ -182,10 +182,18 @@ def knn_pseudo_refit(spark, sf):
 
 
 def _labelled_doc_features(spark, sf):
-    """(doc_id, n_chars, n_spaces, quality) of the labelled documents."""
+    """(doc_id, n_chars, n_spaces, quality) of the labelled documents, written once: the split, the
+    fit and the test side all read these narrow columns, the texts are read once."""
     docs = _space_counts(spark, sf, ["n_chars"])
     labels = read_table(spark, sf, "labels", ["doc_id", "quality"])
-    return docs.join(labels, "doc_id").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), "n_spaces", "quality")
+    return _written(docs.join(labels, "doc_id").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), "n_spaces", "quality"))
+
+
+def _written(df):
+    """``df`` as a table in the shared folder."""
+    path = shared_folder(df.sparkSession, "features")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _space_counts(spark, sf, columns):
@@ -193,7 +201,7 @@ def _space_counts(spark, sf, columns):
     text is read, so it never enters a shuffle.  (The projection is kept below the
     join by a filter that reads it: without one Spark may move the count above.)"""
     docs = read_table(spark, sf, "documents", ["doc_id", "text", *columns])
-    spaces = (F.length("text") - F.length(F.translate("text", " ", ""))).cast("double")
+    spaces = (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).cast("double")
     return docs.select("doc_id", *columns, spaces.alias("n_spaces")).where("n_spaces is null or n_spaces >= 0")
 
 
@@ -400,6 +408,33 @@ def rest_days_clipped(spark, sf):
     return out.select("o_orderkey", "o_custkey", "order_day", "rest_days")
 
 
+@register
+def rest_days_by_price(spark, sf):
+    """W3 in an order that is not the date's: days from the order before in the customer's order of prices."""
+    orders = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"])
+    o = orders.withColumn("order_day", F.to_date("o_orderdate")).drop("o_orderdate")
+    out = ts.gap_days(o, ["o_custkey"], "order_day", ["o_totalprice", "o_orderkey"], -100, 100, 30)
+    return out.select("o_orderkey", "o_custkey", "order_day", "rest_days")
+
+
+@register
+def segmentless_ffill(spark, sf):
+    """W2 by the ordered scan, forwards and backwards, with the event type as the only key: a few keys hold all rows."""
+    ev = read_table(spark, sf, "events", ["event_id", "event_type", "user_id", "value"]).withColumn(
+        "seen", F.when(F.col("event_id") % 7 == 0, F.col("value")))
+    out = ts.ffill(ev, ["event_type"], ["event_id"], ["seen"], out_cols={"seen": "last_seen"})
+    out = ts.ffill(out, ["event_type"], ["event_id"], ["seen"], ascending=False, out_cols={"seen": "next_seen"})
+    return out.select("event_id", "event_type", r6("last_seen").alias("last_seen"), r6("next_seen").alias("next_seen"))
+
+
+@register
+def onehot_cells(spark, sf):
+    """P15 without a column per category: the cells of the indicator matrix of all part types."""
+    part = read_table(spark, sf, "part", ["p_partkey", "p_type"])
+    cells = encode.one_hot_cells(part, "p_partkey", "p_type")
+    return cells.select("p_partkey", "category", F.col("index").cast("int").alias("index"), F.col("size").cast("int").alias("size"))
+
+
 @register
 def latest_per_key(spark, sf):
     signups = _event_days(spark, sf).filter(F.col("event_type") == "signup").select("user_id")
@@ -513,9 +548,9 @@ DOC_MODEL_FEATURES = ["n_chars_k", "n_spaces_k", "is_en"]
 def _doc_model_table(spark, sf):
     docs = _space_counts(spark, sf, ["n_chars", "lang"])
     labels = read_table(spark, sf, "labels", ["doc_id", "quality"])
-    return docs.join(labels, "doc_id").select(
+    return _written(docs.join(labels, "doc_id").select(
         "doc_id", (F.col("n_chars") / 1000).alias("n_chars_k"), (F.col("n_spaces") / 1000).alias("n_spaces_k"),
-        (F.col("lang") == "en").cast("double").alias("is_en"), "quality")
+        (F.col("lang") == "en").cast("double").alias("is_en"), "quality"))
 
 
 @register

@@ -278,6 +278,19 @@ ORACLE_SQL.update({
                AS rest_days
       FROM (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS order_day FROM orders)
       WINDOW w AS (PARTITION BY o_custkey ORDER BY order_day, o_orderkey)""",
+    "rest_days_by_price": """
+      SELECT o_orderkey, o_custkey, order_day,
+             CAST(CASE WHEN lag(order_day) OVER w IS NULL THEN 30 ELSE greatest(least(datediff('day', lag(order_day) OVER w, order_day), 100), -100) END AS INTEGER) AS rest_days
+      FROM (SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS order_day FROM orders)
+      WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)""",
+    "segmentless_ffill": f"""
+      SELECT event_id, event_type,
+             round(last_value(seen IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS last_seen,
+             round(first_value(seen IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS next_seen
+      FROM (SELECT event_id, event_type, CASE WHEN event_id % 7 = 0 THEN value END AS seen FROM events)""",
+    "onehot_cells": """
+      WITH c AS (SELECT p_type, (row_number() OVER (ORDER BY p_type) - 1)::INTEGER AS index FROM (SELECT DISTINCT p_type FROM part))
+      SELECT p_partkey, p_type AS category, index, (SELECT count(*) FROM c)::INTEGER AS size FROM part JOIN c USING (p_type)""",
     "latest_per_key": f"""
       SELECT user_id, day, {_r6('purchase_value')}, {_r6('error_value')} FROM ({FILLED}) f
       WHERE day = (SELECT max(day) FROM ({FILLED}))

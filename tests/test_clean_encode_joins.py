@@ -98,3 +98,18 @@ def test_lookup_unknown_and_repeated_keys(spark):
 def test_one_hot_has_no_category_limit(spark):
     df = spark.range(1200).select(F.format_string("c%04d", "id").alias("c"))
     assert len(encode.one_hot(df, "c").columns) == 1201
+
+
+def test_categories_as_a_table(spark):
+    import pytest
+
+    from corvid.operators import encode, metrics
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "b"), (5, "c")], "id int, v string")
+    assert sorted(tuple(r) for r in encode.category_index(df, "v").collect()) == [("a", 0), ("b", 1), ("c", 2)]
+    cells = {tuple(r) for r in encode.one_hot_cells(df, "id", "v").collect()}
+    assert cells == {(1, "b", 1, 3), (2, "a", 0, 3), (4, "b", 1, 3), (5, "c", 2, 3)}
+    with pytest.raises(ValueError, match="more than 2 categories"):
+        encode.one_hot(df, "v", most=2)
+    with pytest.raises(ValueError, match="more than 2 categories"):
+        metrics.confusion_matrix(df, "v", "v", most=2)
+    assert encode.one_hot(df, "v", most=3).columns == ["id", "v", "a", "b", "c"]

@@ -1,3 +1,4 @@
+import pytest
 import datetime as dt
 
 import pandas as pd
@@ -147,3 +148,36 @@ def test_gap_days_missing_dates_and_equal_days(spark):
     df = spark.createDataFrame(rows, "team string, day date, ord int")
     out = {r.ord: r.rest_days for r in ts.gap_days(df, ["team"], "day", ["day", "ord"]).collect()}
     assert out == {1: 30, 2: 30, 3: 0, 4: 3}
+
+
+@pytest.fixture
+def many_ranges(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # small ranges are not merged
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, old)
+
+
+def test_one_key_is_scanned_in_ranges(spark, many_ranges):
+    """A key that holds all rows lies in several ranges; fill and lag equal the plain windows."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from corvid.operators.scan import last_known
+    rows = spark.range(0, 20_000, 1, 4).select(
+        F.when(F.col("id") % 500 == 3, None).when(F.col("id") % 9 == 0, F.lit("small")).otherwise(F.lit("all")).alias("k"),
+        (F.xxhash64("id") % 1_000_003).alias("o"), "id", F.when(F.col("id") % 997 == 0, F.col("id")).alias("v"))
+    for ascending in (True, False):
+        order = [(F.col(c).asc() if ascending else F.col(c).desc()) for c in ("o", "id")]
+        w = Window.partitionBy("k").orderBy(*order)
+        for inclusive in (True, False):
+            got = last_known(rows, ["k"], ["o", "id"], {"x": F.col("v"), "p": F.struct("v")}, ascending, inclusive)
+            want = rows.select("*", F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)).alias("x"),
+                               F.last(F.struct("v"), True).over(w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)).alias("p"))
+            a, b = ([(r.id, r.x, r.p) for r in d.orderBy("id").collect()] for d in (got, want))
+            assert a == b
+    spread = rows.repartitionByRange("k", "o", "id").groupBy(F.spark_partition_id().alias("part")).agg(F.count_if(F.col("k") == "all").alias("n"))
+    assert max(r.n for r in spread.collect()) < 0.6 * 17_700
+    assert last_known(rows.limit(0), ["k"], ["o"], {"x": F.col("v")}).count() == 0
+    assert last_known(rows, [], ["id"], {"x": F.col("v")}).where("x <> id - id % 997").count() == 0
