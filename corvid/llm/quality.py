@@ -8,7 +8,10 @@ go to a second layer of learned filters; the largest response of each over all c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -257,9 +260,16 @@ def runs(sizes: np.ndarray, most: int):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` with a score of ``threshold`` or more, all columns as they were."""
-    columns = docs.columns
-    mark = "score"
-    while mark in columns:
-        mark += "_"
-    return score(docs, train(docs, labels), mark).where(F.col(mark) >= threshold).select(*[F.col(f"`{c}`") for c in columns])
+    """The rows of ``docs`` with a score of ``threshold`` or more, all columns as they were.  Only the
+    texts go to the tasks' Python, and only the scores come back."""
+    net = train(docs, labels)
+
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = ByteNet.load(net)
+        for texts in batches:
+            raw = [t.encode() for t in texts]
+            out = [model.score(raw[lo:hi]) for lo, hi in runs(np.array([len(t) for t in raw], np.int64), 8 << 20)]
+            yield pd.Series(np.concatenate(out) if out else np.empty(0))
+
+    return docs.where(scores(F.coalesce("text", F.lit(""))) >= threshold)

@@ -36,10 +36,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a Parquet row group of a stored table: a writer holds one in memory, and every core has a writer.
+ROW_GROUP = 16 << 20
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it from there: the
     lineage ends, and a lost executor costs a re-read, not a recomputation."""
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
