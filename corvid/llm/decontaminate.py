@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvid.llm.shared import giving_back
+
 from corvid.llm.quality import runs
 
 Q = 8
@@ -249,7 +251,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, rate: float = 0.1, window: i
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(item, pa.int64()), pa.array(start, pa.int64()),
                                                   pa.array(end, pa.int64()), pa.array(edits, pa.int32())], ["doc_id", "item_id", "start", "end", "edits"])
 
-        found = docs.mapInArrow(search, HITS)
+        found = docs.mapInArrow(giving_back(search), HITS)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], HITS) if out is None else out
 
@@ -271,5 +273,5 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, rate: float = 0.1, wind
                 hit = {h[0] for h in _search(passages, texts)}
                 yield b.filter(pa.array([i not in hit for i in range(b.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, schema)
+        docs = docs.mapInArrow(giving_back(clean), schema)
     return docs

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.shared import filesystem, pick, stored, work_dir
+from corvid.llm.shared import filesystem, giving_back, pick, stored, work_dir
 
 WIDE = 64  # words of a class
 HEAD_CLASSES = 16
@@ -241,7 +241,7 @@ def encode(docs: DataFrame, chunk_tokens: int = 1 << 21) -> DataFrame:
         if keys:
             yield chunk()
 
-    return docs.select("doc_id", "text", "train").mapInArrow(run, CHUNK)
+    return docs.select("doc_id", "text", "train").mapInArrow(giving_back(run), CHUNK)
 
 
 def _rows_of(folder: str, part: int):
@@ -326,7 +326,7 @@ class Model:
                                                       pa.array(base / np.log(10)), pa.array(own / np.log(10))],
                                                      ["doc_id", "train", "n_tokens", "n_known", "base", "score"])
 
-        return self.chunks.select(*NEEDED).mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base double, score double")
+        return self.chunks.select(*NEEDED).mapInArrow(giving_back(run), "doc_id long, train boolean, n_tokens long, n_known long, base double, score double")
 
 
 BLOCKS = 64  # parts of the gradient that are added up apart
@@ -372,9 +372,9 @@ def _gradient(chunks: DataFrame, reader: Chunks, tables: Tables) -> tuple[np.nda
         if sums:
             yield row()
 
-    parts = chunks.select(*NEEDED).mapInArrow(add, "block int, task int, a binary, b binary")
+    parts = chunks.select(*NEEDED).mapInArrow(giving_back(add), "block int, task int, a binary, b binary")
     parts = parts.repartition("block").sortWithinPartitions("block", "task").select("block", "a", "b")
-    found = {r["block"]: (r["a"], r["b"]) for r in parts.mapInArrow(total, "block int, a binary, b binary").collect()}
+    found = {r["block"]: (r["a"], r["b"]) for r in parts.mapInArrow(giving_back(total), "block int, a binary, b binary").collect()}
     sent.unpersist()
     out = []
     for i, t in enumerate((tables.by_class, tables.by_word)):
@@ -460,7 +460,7 @@ def _joined(rare: DataFrame) -> DataFrame:
         if numbers:
             yield row()
 
-    return rare.mapInArrow(run, "part long, chunk long, numbers binary, counts binary")
+    return rare.mapInArrow(giving_back(run), "part long, chunk long, numbers binary, counts binary")
 
 
 def held_out(doc_id) -> F.Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corvid.llm.quality import fitting
-from corvid.llm.shared import stored, work_dir
+from corvid.llm.shared import giving_back, stored, work_dir
 
 BITS = 12
 
@@ -104,7 +104,7 @@ def learn_domains(texts: DataFrame, labelled: DataFrame, sample_rows: int = 2000
 
     import pickle
 
-    row = rows.select("text", "domain", "place").repartition(1).mapInArrow(fit, "model binary").first()
+    row = rows.select("text", "domain", "place").repartition(1).mapInArrow(giving_back(fit), "model binary").first()
     return None if row is None else DomainModel(*pickle.loads(bytes(row[0])))
 
 
@@ -132,7 +132,7 @@ def _scored(docs: DataFrame, model: DomainModel) -> DataFrame:
                                              ["doc_id", "copy_key", "n_tokens", "posterior"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("copy_key", F.xxhash64("doc_id", "text", F.lit("copies")))
-    return rows.mapInArrow(run, "doc_id long, copy_key long, n_tokens long, posterior array<double>")
+    return rows.mapInArrow(giving_back(run), "doc_id long, copy_key long, n_tokens long, posterior array<double>")
 
 
 class Mix:
@@ -182,7 +182,7 @@ def fit_mix(scored: DataFrame, model: DomainModel, weights: dict[str, float], bu
                     r = _rates(q, list(steps), least)
                     yield pa.RecordBatch.from_pydict({f"t{i}": pa.array([x]) for i, x in enumerate((q * (r * b.column(0).to_numpy())[:, None]).sum(axis=0))})
 
-        parts = scored.select("n_tokens", "posterior").mapInArrow(add, ", ".join(f"t{i} double" for i in range(k)))
+        parts = scored.select("n_tokens", "posterior").mapInArrow(giving_back(add), ", ".join(f"t{i} double" for i in range(k)))
         totals = np.array([x or 0.0 for x in parts.agg(*[F.sum(f"t{i}") for i in range(k)]).first()])
     return Mix(model, steps, least, totals, targets)
 
@@ -220,7 +220,7 @@ def document_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
                                               pa.array(p[np.arange(len(p)), top]), pa.array(_rates(p, steps, least))],
                                              ["doc_id", "copy_key", "n_tokens", "domain", "membership", "rate"])
 
-    rated = scored.mapInArrow(rate, "doc_id long, copy_key long, n_tokens long, domain string, membership double, rate double")
+    rated = scored.mapInArrow(giving_back(rate), "doc_id long, copy_key long, n_tokens long, domain string, membership double, rate double")
     return rated.select("doc_id", "n_tokens", "domain", "membership", "rate", _copies(F.col("rate"), F.col("copy_key")).alias("copies"))
 
 
@@ -252,7 +252,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n.astype(np.int32))], [*columns, count])
 
     keyed = docs.withColumn(count, F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit("copies")))
-    out = keyed.mapInArrow(take, StructType([*schema.fields, StructField(count, IntegerType())]))
+    out = keyed.mapInArrow(giving_back(take), StructType([*schema.fields, StructField(count, IntegerType())]))
     once = "copy_number"
     while once in columns or once == count:
         once += "_"

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corvid.llm.shared import stored, work_dir
+from corvid.llm.shared import give_back, giving_back, stored, work_dir
 
 DIM, HOP, FILTERS, CHUNK_FILTERS = 8, 4, 32, 32
 HALF = 32  # places of the first layer in half a chunk
@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
             return
         yield pa.RecordBatch.from_pydict({"net": pa.array([net.dump()], pa.binary())})
 
-    row = sample.select("place", "text", "y").repartition(1).mapInArrow(fit, "net binary").first()
+    row = sample.select("place", "text", "y").repartition(1).mapInArrow(giving_back(fit), "net binary").first()
     return constant_net(0.0) if row is None else bytes(row[0])
 
 
@@ -244,7 +244,7 @@ def score(docs: DataFrame, net: bytes, column: str = "score") -> DataFrame:
                 out.append(model.score(texts.slice(lo, hi - lo).to_pylist()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else np.empty(0))], [*names, column])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def runs(sizes: np.ndarray, most: int):
@@ -271,5 +271,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
             raw = [t.encode() for t in texts]
             out = [model.score(raw[lo:hi]) for lo, hi in runs(np.array([len(t) for t in raw], np.int64), 8 << 20)]
             yield pd.Series(np.concatenate(out) if out else np.empty(0))
+        give_back()
 
     return docs.where(scores(F.coalesce("text", F.lit(""))) >= threshold)

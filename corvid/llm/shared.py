@@ -87,6 +87,29 @@ def worker_memory(name: str, make):
     return kept[name]
 
 
+def give_back() -> None:
+    """Return the memory that this worker has freed to the machine: the allocators would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the C library that has it
+        pass
+
+
+def giving_back(run):
+    """A task function that gives back its memory in the end: workers live on for tasks of other stages."""
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under fixed names, so extra columns of the input
     never clash with the ones an operator adds."""

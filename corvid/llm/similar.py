@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm.graph import components
-from corvid.llm.shared import may_hold, pick, stored, work_dir
+from corvid.llm.shared import giving_back, may_hold, pick, stored, work_dir
 
 BITS = 22  # buckets of the n-gram counts
 CHUNK_BITS = 16
@@ -114,7 +114,7 @@ def _read_sets(docs: DataFrame, n: int) -> DataFrame:
         for k, x in parts:
             yield pa.RecordBatch.from_pylist([{"chunk": k, "counts": zlib.compress(x.tobytes(), 1)}], schema=schema)
 
-    return docs.mapInArrow(read, "doc_id long, n int, set long, check long, chunk int, counts binary")
+    return docs.mapInArrow(giving_back(read), "doc_id long, n int, set long, check long, chunk int, counts binary")
 
 
 def _frequency_classes(counted: DataFrame) -> np.ndarray:
@@ -135,7 +135,7 @@ def _frequency_classes(counted: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "logs": [np.log2(1 + x.astype("f4")).astype("<f4").tobytes()]})
 
     chunks = 1 << (BITS - CHUNK_BITS)
-    rows = counted.where("chunk is not null").select("chunk", "counts").repartition(chunks, "chunk").mapInArrow(add, "chunk int, logs binary").collect()
+    rows = counted.where("chunk is not null").select("chunk", "counts").repartition(chunks, "chunk").mapInArrow(giving_back(add), "chunk int, logs binary").collect()
     counts = np.zeros((chunks, 1 << CHUNK_BITS), "f4")
     for k, data in rows:
         counts[k] = np.exp2(np.frombuffer(data, "<f4")) - 1
@@ -172,7 +172,7 @@ def _postings(docs: DataFrame, n: int, percent: int, classes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t, safe=False) for c, t in zip(cols, kinds, strict=True)],
                                                  ["token", "salt", "spread", "set", "n", "pos"])
 
-    return docs.select("text").mapInArrow(read, POSTINGS)
+    return docs.select("text").mapInArrow(giving_back(read), POSTINGS)
 
 
 def _may_link(na, pa, nb, pb, percent: int):
@@ -231,7 +231,7 @@ def _pair(postings: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(token[back]), pa.array(ids[back]),
                                               pa.array(n[back], pa.int32()), pa.array(pos[back], pa.int32())], schema=schema)
 
-    return postings.repartition("token", "salt").mapInArrow(run, "a long, b long, token long, set long, n int, pos int")
+    return postings.repartition("token", "salt").mapInArrow(giving_back(run), "a long, b long, token long, set long, n int, pos int")
 
 
 def _grams(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -248,7 +248,7 @@ def _grams(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
             out = [(h, g.tobytes()) for h, text in zip(*(c.to_pylist() for c in b.columns), strict=True) if set_hash(g := hasher.grams(text))[0] == h]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([g for _, g in out], pa.binary())], ["set", "grams"])
 
-    return rows.mapInArrow(read, "set long, grams binary").dropDuplicates(["set"])
+    return rows.mapInArrow(giving_back(read), "set long, grams binary").dropDuplicates(["set"])
 
 
 def _too_different(x: np.ndarray, y: np.ndarray, need: int, parts: int = 8) -> bool:
@@ -280,7 +280,7 @@ def _verify(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
                 keep.append(int((both[1:] == both[:-1]).sum()) >= need)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(check, "a long, b long")
+    return rows.mapInArrow(giving_back(check), "a long, b long")
 
 
 def _stars(again: DataFrame, labels: DataFrame, percent: int) -> DataFrame:

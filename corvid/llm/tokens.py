@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.shared import WholeFile, filesystem, pick, stored, work_dir, worker_memory
+from corvid.llm.shared import WholeFile, filesystem, giving_back, pick, stored, work_dir, worker_memory
 
 
 class _Spelling(dict):
@@ -240,7 +240,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int =
         yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in (
             ("shard", shard), ("documents", n_docs), ("tokens", n_tokens), ("sequences", seqs.seqs))})
 
-    return docs.mapInArrow(write, "shard long, documents long, tokens long, sequences long")
+    return docs.mapInArrow(giving_back(write), "shard long, documents long, tokens long, sequences long")
 
 
 def _chunks(texts, most: int):
@@ -311,7 +311,7 @@ def read_documents(spark, shards: list, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "start": pa.array(starts[:-1], pa.int64()),
                                                       "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())})
 
-    return todo.repartition(max(1, len(shards))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return todo.repartition(max(1, len(shards))).mapInArrow(giving_back(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenize_documents(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
