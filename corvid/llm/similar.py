@@ -8,7 +8,9 @@
    length filter and the positional filter.
 3. Classes that share a prefix n-gram are paired: all with all where they are few; where
    they are many, each with the one in which the n-gram stands first and with its neighbours.
-4. Each pair is verified once, after a suffix filter, on the sets of the two classes.
+4. Each pair is verified once.  Bitmaps of the sets' parities, a few bits an n-gram, go first: bits
+   that differ bound what the two sets do not share.  Only the sets of pairs that pass are
+   read and compared, after a suffix filter.
 5. N-grams of many classes that the links so far do not connect are looked at again: first the
    best class of each component with the best of all, which is linear, until nothing more is
    joined; then every pair in different components, so nothing is lost and a large group of
@@ -75,15 +77,37 @@ class Hasher:
         return np.unique(parts[0] if len(parts) == 1 else np.concatenate(parts))
 
 
-def set_hash(grams: np.ndarray) -> tuple[int, int]:
+def set_hash(grams: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two hashes of a set, the first of ``bits`` bits (fewer in tests only)."""
     from hashlib import blake2b
 
-    return tuple(np.frombuffer(blake2b(grams.tobytes(), digest_size=16).digest(), "<i8").tolist())
+    first, second = np.frombuffer(blake2b(grams.tobytes(), digest_size=16).digest(), "<i8").tolist()
+    return first >> (64 - bits), second
 
 
-def _read_sets(docs: DataFrame, n: int) -> DataFrame:
-    """A row (doc_id, n, set, check) for each document, and rows (chunk, counts) with the n-gram
-    counts of each task."""
+def set_key(grams: np.ndarray, twins: frozenset[int], bits: int) -> int:
+    """The first hash, or the second where different sets have the same first one (``twins``)."""
+    first, second = set_hash(grams, bits)
+    return second if first in twins else first
+
+
+def parities(grams: np.ndarray) -> bytes:
+    """For each of 2 ** k slots, two or more for every n-gram, whether an odd number of them fall there."""
+    slots = 1 << max(6, int(2 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """N-grams in one of two sets only: at least as many as there are slots whose parities differ.
+    The longer bitmap is folded to the length of the shorter."""
+    a, b = sorted((np.frombuffer(v, np.uint8) for v in (x, y)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
+def _read_sets(docs: DataFrame, n: int, bits: int) -> DataFrame:
+    """A row (doc_id, n, set, check, odd) for each document (``odd``: its parities), and rows
+    (chunk, counts) with the n-gram counts of each task."""
 
     def read(batches):
         import zlib
@@ -91,15 +115,16 @@ def _read_sets(docs: DataFrame, n: int) -> DataFrame:
         import pyarrow as pa
 
         hasher, counts = Hasher(n), np.zeros(1 << BITS, np.uint32)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set", pa.int64()), ("check", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set", pa.int64()), ("check", pa.int64()), ("odd", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
         for b in batches:
-            size, first, second, slots, waiting = [], [], [], [], 0
+            size, first, second, odd, slots, waiting = [], [], [], [], [], 0
             for text in b.column(1).to_pylist():
                 g = hasher.grams(text)
                 size.append(len(g))
-                h = set_hash(g)
+                h = set_hash(g, bits)
                 first.append(h[0])
                 second.append(h[1])
+                odd.append(parities(g))
                 slots.append((g >> np.uint64(64 - BITS)).astype(np.int64))
                 waiting += len(g)
                 if waiting > 1 << 21:
@@ -108,13 +133,13 @@ def _read_sets(docs: DataFrame, n: int) -> DataFrame:
             if slots:
                 counts += np.bincount(np.concatenate(slots), minlength=1 << BITS).astype(np.uint32)
             none = pa.nulls(len(size))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(odd, pa.binary()),
                                               none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         parts = [(k, x) for k, x in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)) if x.any()]
         for k, x in parts:
             yield pa.RecordBatch.from_pylist([{"chunk": k, "counts": zlib.compress(x.tobytes(), 1)}], schema=schema)
 
-    return docs.mapInArrow(giving_back(read), "doc_id long, n int, set long, check long, chunk int, counts binary")
+    return docs.mapInArrow(giving_back(read), "doc_id long, n int, set long, check long, odd binary, chunk int, counts binary")
 
 
 def _frequency_classes(counted: DataFrame) -> np.ndarray:
@@ -147,7 +172,7 @@ def _least(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def _postings(docs: DataFrame, n: int, percent: int, classes) -> DataFrame:
+def _postings(docs: DataFrame, n: int, percent: int, classes, twins: frozenset[int], bits: int) -> DataFrame:
     def read(batches):
         import pyarrow as pa
 
@@ -157,7 +182,7 @@ def _postings(docs: DataFrame, n: int, percent: int, classes) -> DataFrame:
             cols: list[list] = [[] for _ in range(6)]
             for text in b.column(0).to_pylist():
                 g = hasher.grams(text)
-                if not len(g) or (h := set_hash(g)[0]) in done:
+                if not len(g) or (h := set_key(g, twins, bits)) in done:
                     continue
                 done.add(h)
                 rank = order[g >> np.uint64(64 - BITS)]
@@ -234,7 +259,7 @@ def _pair(postings: DataFrame, percent: int) -> DataFrame:
     return postings.repartition("token", "salt").mapInArrow(giving_back(run), "a long, b long, token long, set long, n int, pos int")
 
 
-def _grams(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+def _grams(docs: DataFrame, nodes: DataFrame, n: int, twins: frozenset[int], bits: int) -> DataFrame:
     """(set, grams): the sets of the classes in ``nodes`` (set, id), read from one document each."""
     docs = docs.where(F.col("doc_id").isNotNull())
     docs = docs.where(may_hold(nodes, "id")(F.col("doc_id")))  # other texts stay where they are
@@ -245,7 +270,7 @@ def _grams(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
         hasher = Hasher(n)
         for b in batches:
-            out = [(h, g.tobytes()) for h, text in zip(*(c.to_pylist() for c in b.columns), strict=True) if set_hash(g := hasher.grams(text))[0] == h]
+            out = [(h, g.tobytes()) for h, text in zip(*(c.to_pylist() for c in b.columns), strict=True) if set_key(g := hasher.grams(text), twins, bits) == h]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([g for _, g in out], pa.binary())], ["set", "grams"])
 
     return rows.mapInArrow(giving_back(read), "set long, grams binary").dropDuplicates(["set"])
@@ -259,6 +284,28 @@ def _too_different(x: np.ndarray, y: np.ndarray, need: int, parts: int = 8) -> b
     return int(np.minimum(a, b).sum()) < need
 
 
+def _close(pairs: DataFrame, odd: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parities leave room for the asked similarity.  ``odd``: (set, n, odd)."""
+    x, y = (odd.select(F.col("set").alias(k), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"o{k}")) for k in "ab")
+    rows = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "oa", "ob")
+
+    def check(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for na, nb, oa, ob in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                need = -(-percent * (na + nb) // (100 + percent))
+                keep.append(least_difference(oa, ob) <= na + nb - 2 * need)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(giving_back(check), "a long, b long")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+
+
 def _verify(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of sets with 100 * intersection >= percent * union."""
     ga, gb = (grams.select(F.col("set").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
@@ -313,7 +360,7 @@ def _rejoin(again: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("set_x", "set_y").alias("a"), F.greatest("set_x", "set_y").alias("b")).distinct()
 
 
-def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, folder: str | None = None) -> DataFrame:
+def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, folder: str | None = None, bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
     Two rows link when 100 * intersection >= percent * union of their sets of distinct word
@@ -321,26 +368,45 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, folder: s
     doc_id that links lead to.  A null or empty text has an empty set, which links with
     nothing.  A row with a null doc_id is not linked; its component_id is that of the rows
     with an equal set, or else null.  Rows that share a doc_id are one node.  Other columns
-    are ignored.
+    are ignored.  ``bits``: of the first of a set's two hashes; the second one takes its place
+    for sets that share the first.
     """
     spark = docs.sparkSession
     folder = folder or work_dir(spark, "similar")
     docs = pick(docs, doc_id="doc_id", text="text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    read = stored(_read_sets(docs, n), f"{folder}/read")
-    sets = read.where("chunk is null").select("doc_id", "n", "set", "check")
-    classes = stored(sets.where("n > 0 and doc_id is not null").groupBy("set").agg(
-        F.min("doc_id").alias("id"), F.min("check").alias("low"), F.max("check").alias("high")), f"{folder}/classes")
-    if classes.where("low <> high").limit(1).count():
-        raise ValueError("two different sets have the same 64-bit hash")
-    classes = classes.select("set", "id")
+    read = stored(_read_sets(docs, n, bits), f"{folder}/read")
+    sets = read.where("chunk is null").select("doc_id", "n", "set", "check", "odd")
+    # different sets with the same first hash (some only from 5e9 sets on) go by their second one
+    met = sets.where("n > 0").groupBy("set").agg(F.min("check").alias("low"), F.max("check").alias("high"),
+                                                 F.min("doc_id").alias("id"), F.max("n").alias("n"))
+    met = stored(met, f"{folder}/met")
+    double = stored(met.where("low <> high").select("set"), f"{folder}/double")
+    twins = frozenset(r[0] for r in double.toLocalIterator())
+    if twins:
+        sets = sets.join(F.broadcast(double.withColumn("twin", F.lit(True))), "set", "left").select(
+            "doc_id", "n", F.when(F.col("twin"), F.col("check")).otherwise(F.col("set")).alias("set"), "check", "odd")
+        met = stored(sets.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.min("check").alias("low"),
+                                                            F.max("check").alias("high")), f"{folder}/met-again")
+        if met.where("low <> high").limit(1).count():
+            raise ValueError("different sets have the same hash of 128 bits")
+    classes = met.where("id is not null").select("set", "id")
     order = spark.sparkContext.broadcast(_frequency_classes(read))
-    found = stored(_pair(_postings(docs, n, percent, order), percent), f"{folder}/found")
+    found = stored(_pair(_postings(docs, n, percent, order, twins, bits), percent), f"{folder}/found")
     pairs = stored(found.where("a is not null").select("a", "b").distinct(), f"{folder}/pairs")
     again = found.where("token is not null").select("token", "set", "n", "pos")
-    nodes = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).unionByName(again.select("set")).distinct()
-    nodes = stored(nodes.join(classes, "set"), f"{folder}/nodes")
-    grams = stored(_grams(docs, nodes, n), f"{folder}/grams")
-    links = stored(_by_id(_verify(pairs, grams, percent), classes), f"{folder}/links")
+
+    def verified(pairs: DataFrame, at: str) -> DataFrame:
+        """The links (u, v), as document ids, among ``pairs``: whole sets are read of those only that may link."""
+        nodes = _ends(pairs).join(classes, "set")
+        odd = nodes.join(sets.select(F.col("set").alias("own"), "doc_id", "n", "odd"), (F.col("set") == F.col("own")) & (F.col("id") == F.col("doc_id")))
+        near = stored(_close(pairs, odd.select("set", "n", "odd").dropDuplicates(["set"]), percent), f"{at}/near")
+        if not near.limit(1).count():
+            return spark.createDataFrame([], "u long, v long")
+        nodes = stored(_ends(near).join(classes, "set"), f"{at}/nodes")
+        grams = stored(_grams(docs, nodes, n, twins, bits), f"{at}/grams")
+        return stored(_by_id(_verify(near, grams, percent), classes), f"{at}/links")
+
+    links = verified(pairs, f"{folder}/first")
     joined = stored(_labels(classes, components(links, f"{folder}/comps")), f"{folder}/labels")
     # first the components' best sets until that joins no more, then every pair that is left
     step, last = 0, False
@@ -348,12 +414,11 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, folder: s
         step, at = step + 1, f"{folder}/again{step + 1}"
         labels = joined.select("set", "c")
         more = stored(_stars(again, labels, percent).join(pairs, ["a", "b"], "left_anti"), f"{at}/pairs")
-        if not (extra := stored(_by_id(_verify(more, grams, percent), classes), f"{at}/links")).limit(1).count():
+        if not (extra := verified(more, f"{at}/stars")).limit(1).count():
             last, pairs = True, pairs.unionByName(more)
             more = stored(_rejoin(again, labels, percent).join(pairs, ["a", "b"], "left_anti"), f"{at}/rest")
-            if not more.limit(1).count():
+            if not (extra := verified(more, f"{at}/others")).limit(1).count():
                 break
-            extra = stored(_by_id(_verify(more, grams, percent), classes), f"{at}/rest-links")
         links, pairs = links.unionByName(extra), pairs.unionByName(more)
         joined = stored(_labels(classes, components(links, f"{at}/comps")), f"{at}/labels")
     rows = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set").join(joined.select("set", "c"), "set", "left")

@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from corvid.llm import graph, similar
@@ -105,3 +106,22 @@ def test_components_of_a_long_chain(spark):
     rows = [(i, i + 1) for i in range(200)] + [(300, 301), (5, 5), (301, 300)]
     out = {r.id: r.component for r in graph.components(spark.createDataFrame(rows, "u long, v long"), work_dir(spark, "graph-test")).collect()}
     assert out == {**{i: 0 for i in range(201)}, 300: 300, 301: 300}
+
+
+def test_parities_never_hide_a_link():
+    rng = random.Random(4)
+    for _ in range(300):
+        a = {rng.getrandbits(64) for _ in range(rng.choice([1, 3, 30, 400]))}
+        b = {x for x in a if rng.random() < 0.8} | {rng.getrandbits(64) for _ in range(rng.choice([0, 2, 50]))}
+        x, y = (np.array(sorted(v), np.uint64) for v in (a, b))
+        assert similar.least_difference(similar.parities(x), similar.parities(y)) <= len(a ^ b)
+    assert similar.least_difference(similar.parities(x), similar.parities(x)) == 0
+    far = np.array([rng.getrandbits(64) for _ in range(400)], np.uint64)
+    assert similar.least_difference(similar.parities(far), similar.parities(far[:200])) > 100
+
+
+def test_sets_with_the_same_first_hash_stay_apart(spark):
+    rows = _rows(7)
+    docs = documents(spark, rows).repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in similar.similar_components(docs, 4, 85, bits=4).collect())
+    assert got == _brute(rows, 4, 85)  # 16 hashes for some hundred sets
