@@ -2,7 +2,8 @@
 
 An index lives in a shared folder, one sub-folder per generation:
 
-* ``postings``: (doc_id, a, b), one row for each document and distinct long line key;
+* ``postings``: (doc_id, a, b), one row for each document and distinct long line key.  The
+  documents of every insertion have their own folder; a deletion writes what is left anew;
 * ``refs``: (shard, a, b, n, top), the exact table: documents that hold the key and the
   largest doc_id among them.  (a, b) are the two halves of a 128-bit hash of the key;
 * ``filters``: one cuckoo filter for each shard over the keys of ``refs``.
@@ -71,27 +72,36 @@ class CuckooFilter:
         prints, a, b = self._places(keys)
         return ((self.slots[a] == prints[:, None]) | (self.slots[b] == prints[:, None])).any(axis=1)
 
+    def _fill(self, prints: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """Put fingerprints into free slots of their buckets; which of them found none."""
+        left = np.arange(len(prints))
+        while len(left):
+            bucket, one = np.unique(buckets[left], return_index=True)  # one for each bucket at a time
+            free = self.slots[bucket] == 0
+            room = free.any(axis=1)
+            if not room.any():
+                break
+            self.slots[bucket[room], free[room].argmax(axis=1)] = prints[left[one[room]]]
+            left = np.delete(left, one[room])
+        return left
+
     def insert(self, keys: np.ndarray) -> bool:
         """False when a key found no place; the filter is then to be rebuilt larger."""
         prints, a, b = self._places(keys)
+        left = self._fill(prints, a)
+        left = left[self._fill(prints[left], b[left])]
         rng = np.random.default_rng(len(keys))
-        for f, i, j in zip(prints.tolist(), a.tolist(), b.tolist(), strict=True):
-            for bucket in (i, j):
+        for f, bucket in zip(prints[left].tolist(), b[left].tolist(), strict=True):  # both buckets are full
+            for _ in range(self.KICKS):
+                k = rng.integers(self.SLOTS)
+                f, self.slots[bucket, k] = int(self.slots[bucket, k]), f
+                bucket = int(self._other(np.uint64(bucket), f))
                 free = np.flatnonzero(self.slots[bucket] == 0)
                 if len(free):
                     self.slots[bucket, free[0]] = f
                     break
             else:
-                for _ in range(self.KICKS):
-                    k = rng.integers(self.SLOTS)
-                    f, self.slots[bucket, k] = int(self.slots[bucket, k]), f
-                    bucket = int(self._other(np.uint64(bucket), f))
-                    free = np.flatnonzero(self.slots[bucket] == 0)
-                    if len(free):
-                        self.slots[bucket, free[0]] = f
-                        break
-                else:
-                    return False
+                return False
         return True
 
     def delete(self, keys: np.ndarray):
@@ -135,33 +145,51 @@ def postings(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(split, "doc_id long, a long, b long")
 
 
+KEYS_PER_SHARD = 1 << 18
+
+
+def _shards(keys: int) -> int:
+    """A power of two, so that a shard has ``KEYS_PER_SHARD`` keys or fewer, as far as hashes deal evenly."""
+    return 1 << max(0, (max(1, keys) - 1) // KEYS_PER_SHARD).bit_length()
+
+
 class LineIndex:
-    """``min_chars``: shorter keys are never counted.  ``n_shards`` bounds what one task
-    holds of a filter: the keys of a shard."""
+    """``min_chars``: shorter keys are never counted.  ``n_shards``: shards of the filters; by
+    default as many as the keys of a generation need, since a task holds a shard."""
 
-    def __init__(self, spark: SparkSession, folder: str, n_shards: int = 256, min_chars: int = 40):
+    def __init__(self, spark: SparkSession, folder: str, n_shards: int | None = None, min_chars: int = 40):
         self.spark, self.folder, self.n_shards, self.min_chars = spark, folder, n_shards, min_chars
-        self.generation = 0
+        self.generation, self.shards = 0, n_shards or 1
+        self.posted: list[str] = []  # folders of postings
 
-    def _table(self, name: str, generation: int | None = None) -> DataFrame:
+    def _table(self, name: str) -> DataFrame:
         schema = {"postings": "doc_id long, a long, b long", "refs": REFS, "filters": FILTERS}[name]
-        g = self.generation if generation is None else generation
-        if g == 0:
+        paths = self.posted if name == "postings" else [f"{self.folder}/{self.generation}/{name}"]
+        if self.generation == 0:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{g}/{name}")
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    @staticmethod
+    def _shard(n: int):
+        return F.pmod("a", F.lit(n)).cast("int").alias("shard")
 
-    def _counted(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).select(
-            F.pmod("a", F.lit(self.n_shards)).cast("int").alias("shard"), "a", "b", "n", "top")
+    @staticmethod
+    def _counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
 
     def _probe(self, counted: DataFrame) -> DataFrame:
-        """``counted`` with a column ``known``: what the shard's filter says of the key."""
+        """``counted`` with a column ``known``: what the shard's filter says of the key.  A shard's new
+        keys are dealt to pieces where they are many; each piece gets the filter."""
+        pieces = _shards(-(-counted.count() // self.shards))
+        new = counted.select(self._shard(self.shards), F.pmod("b", F.lit(pieces)).cast("int").alias("piece"), "a", "b", "n", "top")
+        filters = self._table("filters").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
 
         def probe(key, new, old):
-            new["known"] = CuckooFilter.load(old["slots"][0]).contains(new["a"].to_numpy() ^ new["b"].to_numpy()) if len(old) else False
-            return new
+            new["known"] = CuckooFilter.load(old["slots"].iloc[0]).contains(new["a"].to_numpy() ^ new["b"].to_numpy()) if len(old) else False
+            return new.drop(columns=["shard", "piece"])
 
-        return counted.groupBy("shard").cogroup(self._table("filters").groupBy("shard")).applyInPandas(probe, f"{REFS}, known boolean")
+        by = ["shard", "piece"]
+        return new.groupBy(*by).cogroup(filters.groupBy(*by)).applyInPandas(probe, "a long, b long, n long, top long, known boolean")
 
     def _filters(self, refs: DataFrame) -> DataFrame:
         def build(key, rows):
@@ -176,19 +204,27 @@ class LineIndex:
         to = f"{self.folder}/{self.generation + 1}"
         docs = pick(docs, doc_id="doc_id", text="text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         new = stored(postings(docs, self.min_chars), f"{to}/postings")
-        counted = self._counted(new)
+        counted = stored(self._counted(new), f"{to}/counted")
         if self.generation:
-            self._table("postings").write.mode("append").parquet(f"{to}/postings")
             probed = stored(self._probe(counted), f"{to}/probed")
-            old = self._table("refs")
-            known = probed.where("known").drop("known")
-            merged = old.join(known.select("a", "b", F.col("n").alias("n2"), F.col("top").alias("top2")), ["a", "b"], "full").select(
-                F.pmod("a", F.lit(self.n_shards)).cast("int").alias("shard"), "a", "b",
-                (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"), F.greatest("top", "top2").alias("top"))
-            counted = merged.unionByName(probed.where(~F.col("known")).drop("known"))
-        refs = stored(counted, f"{to}/refs")
+            known = probed.where("known").select("a", "b", F.col("n").alias("n2"), F.col("top").alias("top2"))
+            merged = self._table("refs").join(known, ["a", "b"], "full").select(
+                "a", "b", (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"), F.greatest("top", "top2").alias("top"))
+            # keys that the filter does not know are in no earlier generation
+            counted = stored(merged.unionByName(probed.where("not known").drop("known")), f"{to}/merged")
+        self.shards = self.n_shards or _shards(counted.count())
+        refs = stored(counted.select(self._shard(self.shards), "a", "b", "n", "top"), f"{to}/refs")
         stored(self._filters(refs), f"{to}/filters")
         self.generation += 1
+        self.posted.append(f"{to}/postings")
+        return self
+
+    def insert_in_parts(self, docs: DataFrame, parts: int) -> LineIndex:
+        """Add all documents in ``parts`` generations, dealt by the hash of their ids: what a
+        generation has in common with those before it goes through the filters."""
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
+        for k in range(parts):
+            self.insert(docs.where(part == k))
         return self
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
@@ -199,9 +235,9 @@ class LineIndex:
         same = old["doc_id"].eqNullSafe(gone["doc_id"])
         left = stored(old.join(gone, same, "left_anti"), f"{to}/postings")
         touched = stored(old.join(gone, same, "left_semi").select("a", "b").distinct(), f"{to}/touched")
-        again = self._counted(left.join(touched, ["a", "b"], "left_semi"))
+        again = self._counted(left.join(touched, ["a", "b"], "left_semi")).select(self._shard(self.shards), "a", "b", "n", "top")
         kept = stored(refs.join(touched, ["a", "b"], "left_anti").select("shard", "a", "b", "n", "top").unionByName(again), f"{to}/refs")
-        empty = touched.join(kept, ["a", "b"], "left_anti").withColumn("shard", F.pmod("a", F.lit(self.n_shards)).cast("int"))
+        empty = touched.join(kept, ["a", "b"], "left_anti").withColumn("shard", self._shard(self.shards))
 
         def drop(key, keys, old):
             import pandas as pd
@@ -214,6 +250,7 @@ class LineIndex:
 
         stored(empty.groupBy("shard").cogroup(self._table("filters").groupBy("shard")).applyInPandas(drop, FILTERS), f"{to}/filters")
         self.generation += 1
+        self.posted = [f"{to}/postings"]
         return self
 
     def clean(self, docs: DataFrame, min_docs: int) -> DataFrame:

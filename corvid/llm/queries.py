@@ -31,7 +31,7 @@ def op3_quality_classifier(spark, sf_dir):
 def op4_line_dedup(spark, sf_dir):
     """Lines of 40 code points or more in 5 documents or more stay in the last one only."""
     docs = read_table(spark, sf_dir, "documents")
-    index = lines.LineIndex(spark, work_dir(spark, "lines"), min_chars=40).insert(docs)
+    index = lines.LineIndex(spark, work_dir(spark, "lines"), min_chars=40).insert_in_parts(docs, 2)
     return index.clean(docs, min_docs=5).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

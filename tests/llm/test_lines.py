@@ -85,3 +85,27 @@ def test_empty_table(spark):
     assert index.clean(docs, 5).count() == 0
     some = documents(spark, [(1, "a\nb")])
     assert [tuple(r) for r in index.clean(some, 5).collect()] == [(1, 2, 0, "a\nb")]
+
+
+def test_parts_equal_brute_force_and_need_the_filters(spark):
+    docs = documents(spark, _rows()).repartition(3)
+    index = LineIndex(spark, work_dir(spark, "lines-test"), n_shards=4).insert_in_parts(docs, 3)
+    assert index.generation == 3
+    assert sorted((tuple(r) for r in index.clean(docs, 5).collect()), key=str) == _brute(_rows(), 40, 5)
+    # with filters that know nothing a common key is split into several, and its lines stay
+    blind = LineIndex(spark, work_dir(spark, "lines-test"), n_shards=4)
+    table = blind._table
+    blind._table = lambda name: table(name).limit(0) if name == "filters" else table(name)
+    blind.insert_in_parts(docs, 3)
+    assert blind._table("refs").groupBy("a", "b").count().where("count > 1").count() > 0
+
+
+def test_shards_follow_the_keys(spark, monkeypatch):
+    from corvid.llm import lines
+
+    monkeypatch.setattr(lines, "KEYS_PER_SHARD", 2)
+    docs = documents(spark, _rows()).repartition(3)
+    index = LineIndex(spark, work_dir(spark, "lines-test")).insert_in_parts(docs, 2)
+    keys = index._table("refs").count()
+    assert keys <= 2 * index.shards < 4 * keys
+    assert sorted((tuple(r) for r in index.clean(docs, 2).collect()), key=str) == _brute(_rows(), 40, 2)
