@@ -68,7 +68,7 @@ def op9_quality_rules(spark, sf_dir):
 def op10_suffix_array_dedup(spark, sf_dir):
     """Bytes in strings of 400 bytes that start more than once go."""
     return repeats.remove_repeats(read_table(spark, sf_dir, "documents"), length=400).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"))
 
 
 def op11_lm_scoring(spark, sf_dir):

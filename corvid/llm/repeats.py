@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corvid.llm.shared import may_hold, stored, work_dir
 
@@ -289,34 +288,72 @@ def _spans_of_trees(rows: DataFrame, by: list[str], length: int, k: int) -> Data
     return rows.mapInArrow(scan, "key long, lo long, hi long")
 
 
-def _spans_of_neighbours(rows: DataFrame, side: str, k: int) -> DataFrame:
-    """(key, lo, hi) of groups in which any two occurrences match on the asked length: the
-    longest match on one side is that with a neighbour in order, found in one stream over
-    the sorted rows, whatever the size of a group."""
+def _spans_of_neighbours(rows: DataFrame, by: str, side: str, k: int, folder: str) -> DataFrame:
+    """(key, lo, hi) of the groups ``by``, in each of which any two occurrences match on the asked
+    length: the longest match on one side is that with a neighbour in order, found in a stream
+    over sorted ranges.  A group may lie in many ranges; the first and the last row of each
+    range (two a task) are then scanned in the same way, so neighbours in two ranges meet too."""
+    kinds = "key long, lo long, hi long, grp string, bytes binary, place long"
 
     def scan(batches):
         import pyarrow as pa
 
-        last = None
+        types = (*[pa.int64()] * 3, pa.string(), pa.binary(), pa.int64())
+        names = [x.split()[0] for x in kinds.split(", ")]
+        first = last = None
         for b in batches:
-            keys, places, lows, highs = [], [], [], []
+            out = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if last is not None and last[0] == row[0]:
                     x, y = last[1], row[1]
                     n = min(len(x), len(y))
-                    a, c = np.frombuffer(x, np.uint8, n), np.frombuffer(y, np.uint8, n)
-                    differ = np.flatnonzero(a != c)
+                    differ = np.flatnonzero(np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n))
                     n = int(differ[0]) if len(differ) else n
                     for _, _, key, place in (last, row):
-                        keys.append(key)
-                        places.append(place)
-                        lows.append(place - n if side == "lefts" else place)
-                        highs.append(place if side == "lefts" else place + k + n)
-                last = row
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], ["key", "lo", "hi"])
-
-    return rows.repartition("anchor").sortWithinPartitions("anchor", side).select("anchor", side, "key", "place").mapInArrow(
-        scan, "key long, lo long, hi long")
+                        out.append((key, place - n if side == "lefts" else place, place if side == "lefts" else place + k + n, None, None, None))
+                first, last = first or row, row
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        if first is not None:
+            ends = [(r[2], None, None, r[0], r[1], r[3]) for r in (first, last)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ends, strict=True), types, strict=True)], names)
+
+    rows = rows.select(F.col(by).cast("string").alias("grp"), F.col(side).alias("bytes"), "key", "place")
+    order = ["grp", "bytes", "key", "place"]
+    found = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan, kinds), folder)
+    ends = found.where("grp is not null").select(*order).coalesce(1).sortWithinPartitions(*order).mapInArrow(scan, kinds)
+    return found.where("grp is null").select("key", "lo", "hi").unionByName(ends.where("grp is null").select("key", "lo", "hi"))
+
+
+def _spans_of_large(rows: DataFrame, folder: str, length: int, k: int, largest: int) -> DataFrame:
+    """(key, lo, hi) for the rows of anchors with many occurrences, in groups that agree in ``l`` bytes
+    on the left and ``r`` on the right.  Groups of ``largest`` rows or fewer are trees.  In a group that
+    agrees in all the asked bytes any two rows match.  Others are split: of two rows that match on
+    ``length`` bytes, one side agrees in half of the bytes that are still open, so they meet in
+    a group by the right or in one by the left.  The open bytes halve with each step."""
+    need, step, spans = length - k, 0, None
+    rows = rows.select(F.col("anchor").cast("string").alias("part"), F.lit(0).alias("l"), F.lit(0).alias("r"), "key", "place", "lefts", "rights")
+    while True:
+        at = f"{folder}/split{step}"
+        rows = stored(rows, f"{at}/rows")
+        sizes = stored(rows.groupBy("part").count().where("count > 1"), f"{at}/sizes")
+        rows = rows.join(sizes, "part")
+        equal = F.col("l") + F.col("r") >= need
+        found = [_spans_of_trees(rows.where(~equal & (F.col("count") <= largest)), ["part"], length, k)]
+        if rows.where(equal).limit(1).count():
+            found += [_spans_of_neighbours(rows.where(equal), "part", side, k, f"{at}/{side}") for side in ("lefts", "rights")]
+        for f in found:
+            spans = f if spans is None else spans.unionByName(f)
+        if not sizes.where(F.col("count") > largest).limit(1).count():
+            return spans
+        large = rows.where(~equal & (F.col("count") > largest))
+        more = F.floor((need - F.col("l") - F.col("r") + 1) / 2).cast("int")
+        right, left = F.col("r") + more, F.lit(need + 1) - F.col("r") - more
+        halves = []
+        for side, size, l, r in (("rights", right, F.col("l"), right), ("lefts", left, left, F.col("r"))):  # noqa: E741
+            part = F.sha2(F.concat(F.concat_ws(":", F.lit(side), "part").cast("binary"), F.substring(side, F.lit(1), size)), 256)
+            halves.append(large.where(F.length(side) >= size).select(part.alias("part"), l.alias("l"), r.alias("r"), "key", "place", "lefts", "rights"))
+        rows, step = halves[0].unionByName(halves[1]), step + 1
 
 
 def _context(docs: DataFrame, places: DataFrame, folder: str, length: int, k: int) -> DataFrame:
@@ -344,11 +381,11 @@ def repeated_spans(docs: DataFrame, folder: str, length: int, k: int, largest: i
     """(key, lo, hi): parts of ``docs`` (key, text binary) whose every byte lies in a string of
     ``length`` bytes that also starts elsewhere; together they hold all such bytes."""
     local = occurrences(docs, length, k, classes=True)
-    here = Window.partitionBy("anchor")
-    classes = local.repartition("anchor").groupBy("anchor", "around").agg(
-        F.sum("n").alias("n"), F.min(F.struct("key", "place")).alias("at"))
-    classes = classes.withColumn("all", F.sum("n").over(here)).withColumn("kinds", F.count("*").over(here)).withColumn("least", F.min("n").over(here))
-    classes = stored(classes.where("all > 1").select("anchor", "around", "n", "at.key", "at.place", "kinds", "least"), f"{folder}/classes")
+    classes = stored(local.groupBy("anchor", "around").agg(F.sum("n").alias("n"), F.min(F.struct("key", "place")).alias("at")), f"{folder}/local")
+    # an anchor may have any number of classes: they are counted before the shuffle
+    stats = classes.groupBy("anchor").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.min("n").alias("least")).where("all > 1")
+    classes = classes.join(stored(stats.drop("all"), f"{folder}/stats"), "anchor")
+    classes = stored(classes.select("anchor", "around", "n", "at.key", "at.place", "kinds", "least"), f"{folder}/classes")
     # classes of two or more: everything around an anchor is repeated
     whole = occurrences(docs, length, k, classes=False).join(classes.where("n > 1").select("anchor", "around"), ["anchor", "around"])
     spans = whole.select("key", (F.col("place") - F.col("left")).alias("lo"), (F.col("place") + F.col("right")).alias("hi"))
@@ -361,52 +398,38 @@ def repeated_spans(docs: DataFrame, folder: str, length: int, k: int, largest: i
     around = stored(around, f"{folder}/around")
     spans = spans.unionByName(_spans_of_trees(around.join(sizes, "anchor", "left_anti"), ["anchor"], length, k))
     many = around.join(sizes.select("anchor"), "anchor")
-    ends = many.groupBy("anchor").agg(*[f(c).alias(f"{c}_{n}") for c in ("lefts", "rights") for n, f in (("a", F.min), ("z", F.max))])
-    core = stored(_core(ends), f"{folder}/core")
-    common = many.join(core.where(F.col("core") >= length - k).select("anchor"), "anchor")
-    for side in ("lefts", "rights"):
-        spans = spans.unionByName(_spans_of_neighbours(common, side, k))
-    # two places that match on ``length`` bytes do so on half of what is left on the right or on the left
-    half = (length - k) // 2
-    rest = many.join(core.where(F.col("core") < length - k).select("anchor"), "anchor")
-    for side, size in (("rights", half), ("lefts", length - k - half)):
-        part = rest.where(F.length(side) >= size).withColumn("part", F.sha2(F.substring(side, 1, size), 256))
-        spans = spans.unionByName(_spans_of_trees(part, ["anchor", "part"], length, k))
-    return spans
-
-
-def _core(ends: DataFrame) -> DataFrame:
-    """(anchor, core): bytes that all occurrences share: what the first and the last in order do."""
-
-    def measure(batches):
-        import pyarrow as pa
+    return spans.unionByName(_spans_of_large(many, folder, length, k, largest))
 
-        for b in batches:
-            out = []
-            for row in b.select(["lefts_a", "lefts_z", "rights_a", "rights_z"]).to_pylist():
-                n = 0
-                for side in ("lefts", "rights"):
-                    for x, y in zip(row[f"{side}_a"], row[f"{side}_z"], strict=False):
-                        if x != y:
-                            break
-                        n += 1
-                out.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int32())], ["anchor", "core"])
 
-    return ends.mapInArrow(measure, "anchor long, core int")
+def _with_keys(rows: DataFrame, folder: str, bits: int) -> DataFrame:
+    """``rows`` (doc_id, text) with a column ``key``: a 64-bit hash of both, or a second one for
+    different rows with the same first hash, so that no row gets the spans of another."""
+    first = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - bits) if bits < 64 else F.xxhash64("doc_id", "text")
+    second = F.xxhash64("text", F.lit(7), "doc_id")
+
+    def twins(keys: DataFrame, name: str) -> DataFrame:
+        met = keys.groupBy("key").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+        return stored(met.where("low <> high").select("key"), f"{folder}/{name}")
+
+    same = [r[0] for r in twins(rows.select(first.alias("key"), second.alias("check")), "twins").toLocalIterator()]
+    key = F.when(first.isin(same), second).otherwise(first) if same else first
+    if same and twins(rows.select(key.alias("key"), second.alias("check")), "twins-again").limit(1).count():
+        raise ValueError("different rows have the same hash of 128 bits")
+    return rows.withColumn("key", key)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, k: int | None = None, folder: str | None = None, largest: int = LARGEST) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, k: int | None = None, folder: str | None = None, largest: int = LARGEST,
+                   bits: int = 64) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every row of ``docs`` (doc_id, text): the
     UTF-8 bytes without those that a string of ``length`` bytes covers that starts anywhere else too.
 
     Matches never cross documents; occurrences may overlap, in one document or several.  A null
     text is empty.  Every row is a document of its own: a repeated row loses all bytes of
     its repeated strings, so rows of ``length`` bytes or more that repeat each other lose everything.
-    Other columns are ignored."""
+    Other columns are ignored.  ``bits``: of the first of a row's two hashes (fewer in tests only)."""
     k = k or length * 8 // 25
     folder = folder or work_dir(docs.sparkSession, "repeats")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = _with_keys(docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")), folder, bits)
     spans = repeated_spans(rows.select("key", "text"), folder, length, k, largest)
     spans = stored(spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), f"{folder}/spans")
     marked = rows.withColumn("cut", may_hold(spans, "key")(F.col("key")))

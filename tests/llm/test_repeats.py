@@ -60,5 +60,25 @@ def test_trees_give_all_members_and_test_the_left():
     assert groups == {((0, 1), 14): {0: 2, 1: 2}, ((0, 1, 2), 10): {0: 2, 1: 2, 2: 2}}
 
 
+def test_a_passage_in_differing_surroundings_is_split_until_groups_are_small(spark):
+    """Occurrences that agree on less than the length, and pairs among them that agree on all of it."""
+    rng = random.Random(2)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, more = noise(75), [noise(30) for _ in range(4)]
+    rows = [(i, noise(60) + passage + noise(60)) for i in range(60)]
+    rows += [(100 + i, noise(40) + rng.choice(more) + passage + rng.choice(more) + noise(40)) for i in range(30)]
+    got = repeats.remove_repeats(documents(spark, rows).repartition(4), length=100, largest=8).collect()
+    want = _brute([t.encode() for _, t in rows], 100)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted((i, *w) for (i, _), w in zip(rows, want))
+    assert sum(w[1] for w in want) > 0
+
+
+def test_rows_with_the_same_first_hash_keep_their_own_spans(spark):
+    rows = _rows(3)[:80]
+    got = repeats.remove_repeats(documents(spark, rows).repartition(4), length=50, bits=4).collect()
+    want = _brute([(t or "").encode() for _, t in rows], 50)
+    assert sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in got) == sorted((i, w[1], w[3]) for (i, _), w in zip(rows, want))
+
+
 def test_empty_table(spark):
     assert repeats.remove_repeats(documents(spark, [])).count() == 0
