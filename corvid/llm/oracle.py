@@ -12,30 +12,47 @@ _BOILER = ("accept cookies|all rights reserved|click here|cookie policy|enable j
 
 
 def _licence_sql() -> str:
-    from corvid.llm.licenses import CUES, TERM, _template_rows
+    """The texts of the templates are data; words, cues, windows and weights are worked out here again, from line positions."""
+    from corvid.llm.licenses import NOTICES, TEXTS
 
-    values = ", ".join(f"({k}, '{licence}', '{t}', {n})" for k, licence, t, n in _template_rows())
+    texts = [(licence, False, t) for licence, notices in NOTICES.items() for t in notices]
+    texts += [(p.stem, True, p.read_text("utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+    quoted = [(licence, full, t.replace("'", "''")) for licence, full, t in texts]
+    values = ", ".join(f"({k}, '{licence}', {full}, '{t}')" for k, (licence, full, t) in enumerate(quoted))
+    words = "regexp_extract_all(replace(lower({}), 'licenc', 'licens'), '[a-z0-9]+(?:\\.[0-9]+)*')"
     return f"""
-WITH tpl(template, licence, term, tf) AS (VALUES {values}),
+WITH src(k, licence, full_text, text) AS (VALUES {values}),
+tpl AS (SELECT k, licence, full_text, {words.format('text')} AS x FROM src),
+lead AS (SELECT k, len(x) AS m, min(i) AS ahead, min_by(x[i], i) AS cue
+  FROM (SELECT k, x, unnest(range(1, len(x) + 1)) AS i FROM tpl WHERE NOT full_text)
+  WHERE regexp_matches(x[i], '^licens|^redistribut|^permission|^domain') GROUP BY k, m),
+tt AS (SELECT k, term, 1 + ln(count(*)) AS f FROM (SELECT k, unnest(x) AS term FROM tpl) GROUP BY k, term),
 docs AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, coalesce(text, '') AS text FROM documents),
 total AS (SELECT count(*) AS n FROM docs),
-held AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{TERM}'))) AS term FROM docs)
-  WHERE term IN (SELECT term FROM tpl) GROUP BY term),
-idf AS (SELECT t.term, ln((n + 1.0) / (coalesce(df, 0) + 1.0)) + 1 AS idf FROM (SELECT DISTINCT term FROM tpl) t LEFT JOIN held USING (term), total),
-tw AS (SELECT template, licence, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY template)) AS w FROM tpl JOIN idf USING (term)),
-cued AS (SELECT * FROM docs WHERE regexp_matches(lower(text), '{CUES}')),
-lines AS (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS unit FROM cued),
-units AS (SELECT * FROM lines WHERE regexp_matches(lower(line), '{CUES}')
-  UNION ALL SELECT doc_id, path, text, -1 FROM cued WHERE length(text) <= 4000),
-tf AS (SELECT doc_id, path, unit, term, count(*) AS tf FROM (SELECT doc_id, path, unit, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM units)
-  GROUP BY ALL),
-w AS (SELECT doc_id, path, unit, tf.term, tf * coalesce(idf, ln(n + 1.0) + 1) AS w FROM total, tf LEFT JOIN idf USING (term)),
-norm AS (SELECT doc_id, path, unit, sqrt(sum(w ** 2)) AS norm FROM w GROUP BY ALL),
-score AS (SELECT doc_id, path, unit, template, licence, round(sum(w.w * tw.w) / any_value(norm), 6) AS score
-  FROM w JOIN tw USING (term) JOIN norm USING (doc_id, path, unit) GROUP BY ALL),
-own AS (SELECT doc_id, path, max_by(licence, struct_pack(s := score, t := -template)) AS licence, max(score) AS score, bool_or(unit = -1) AS whole
-  FROM score WHERE score >= 0.75 GROUP BY doc_id, path),
-by_dir AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, licence, count(*) AS n FROM own WHERE whole GROUP BY ALL),
+held AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({words.format('text')})) AS term FROM docs)
+  WHERE term IN (SELECT term FROM tt) GROUP BY term),
+idf AS (SELECT t.term, ln((n + 1.0) / (coalesce(df, 0) + 1.0)) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) t LEFT JOIN held USING (term), total),
+tw AS (SELECT k, term, f * idf / sqrt(sum((f * idf) ** 2) OVER (PARTITION BY k)) AS w FROM tt JOIN idf USING (term)),
+cued AS (SELECT * FROM docs WHERE regexp_matches({words.format('text')}::VARCHAR, 'licens|redistribut|permission|domain')),
+raw AS (SELECT doc_id, {words.format('line')} AS x, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+  generate_subscripts(string_split(text, chr(10)), 1) AS i FROM cued)),
+lines AS (SELECT doc_id, x, i, sum(len(x)) OVER (PARTITION BY doc_id ORDER BY i) AS behind, sum(len(x)) OVER (PARTITION BY doc_id) AS n_file
+  FROM raw WHERE len(x) > 0),
+spot AS (SELECT doc_id, n_file, x[j] AS cue, behind - len(x) + j AS p FROM (SELECT *, unnest(range(1, len(x) + 1)) AS j FROM lines)),
+laid AS (SELECT doc_id, k, m, p, n_file, greatest(p - ahead + 1, 1) AS a, least(p - ahead + m, n_file) AS b FROM spot JOIN lead USING (cue)),
+win AS (SELECT laid.doc_id, k, p, flatten(list(x ORDER BY i)) AS x, 2 * sum(len(x)) >= any_value(laid.n_file) AS whole
+  FROM laid JOIN lines ON lines.doc_id = laid.doc_id AND behind >= a AND behind - len(x) + 1 <= b
+  GROUP BY laid.doc_id, k, p, m HAVING sum(len(x)) <= 3 * m),
+units AS (SELECT doc_id, k, p, x, whole FROM win
+  UNION ALL SELECT doc_id, k, 0, {words.format('text')}, true FROM cued, tpl WHERE full_text),
+tf AS (SELECT doc_id, k, p, whole, term, 1 + ln(count(*)) AS f FROM (SELECT doc_id, k, p, whole, unnest(x) AS term FROM units) GROUP BY ALL),
+w AS (SELECT doc_id, k, p, whole, tf.term, f * coalesce(idf, ln(n + 1.0) + 1) AS w FROM total, tf LEFT JOIN idf USING (term)),
+score AS (SELECT doc_id, w.k, p, whole, round(sum(w.w * tw.w) / sqrt(sum(w.w ** 2)), 6) AS score
+  FROM w LEFT JOIN tw ON tw.k = w.k AND tw.term = w.term GROUP BY ALL HAVING score >= 0.75),
+own AS (SELECT doc_id, licence, score, whole FROM score JOIN src USING (k)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY whole DESC, score DESC, k) = 1),
+files AS (SELECT own.*, path FROM own JOIN docs USING (doc_id)),
+by_dir AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, licence, count(*) AS n FROM files WHERE whole GROUP BY ALL),
 dir AS (SELECT dir, licence FROM by_dir QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, licence) = 1)
 SELECT d.doc_id, d.path, coalesce(own.licence, a.licence, b.licence, c.licence) AS licence, own.score,
   CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN coalesce(a.licence, b.licence, c.licence) IS NOT NULL THEN 'inherited' END AS origin
