@@ -543,3 +543,40 @@ ORACLE_SQL["knn_confusion"] = f"""
   SELECT e.label AS actual, {_PRED_CELLS}, 0::BIGINT AS pred_other, 0::BIGINT AS pred_missing
   FROM ({_knn_vote(EMB_TRAIN, EMB_TEST, 'vec_id', 'label', EUCL, 7)}) p JOIN embeddings e USING (vec_id)
   GROUP BY e.label"""
+
+
+def _newton_fit(rows: str, penalty: float, steps: int) -> str:
+    """Plain Newton steps from zero on ``rows`` (x list of 10 terms, y): the last weights as a list.  The normal
+    equations with their right side are one nested list, solved by elimination column by column."""
+    n = 10
+    line = [", ".join(f"sum(s * x[{min(i, j)}] * x[{max(i, j)}])" + (f" + {penalty}" if i == j > 1 else "") for j in range(1, n + 1))
+            + f", sum((p - y) * x[{i}])" + (f" + {penalty} * w[{i}]" if i > 1 else "") for i in range(1, n + 1)]
+    solved = f"""SELECT k, w, [{', '.join(f'[{x}]' for x in line)}] AS a
+      FROM (SELECT *, p * (1 - p) AS s FROM (SELECT k, w, x, y, 1 / (1 + exp(-list_dot_product(x, w))) AS p FROM fit, rows WHERE k < {steps})) GROUP BY k, w"""
+    for c in range(1, n + 1):
+        solved = f"""SELECT k, w, list_transform(a, lambda r, i: CASE WHEN i = {c} THEN list_transform(r, lambda v: v / a[{c}][{c}])
+          ELSE list_transform(r, lambda v, j: v - r[{c}] / a[{c}][{c}] * a[{c}][j]) END) AS a FROM ({solved})"""
+    return f"""WITH RECURSIVE rows AS MATERIALIZED ({rows}),
+    fit(k, w) AS (SELECT 0, [{', '.join(['0::DOUBLE'] * n)}]
+      UNION ALL SELECT k + 1, list_transform(w, lambda v, i: v - a[i][{n + 1}]) FROM ({solved}))
+    SELECT w FROM fit WHERE k = {steps}"""
+
+
+_TERMS10 = "[1::DOUBLE, a, b, c, a * a, a * b, a * c, b * b, b * c, c * c]"
+_MODEL_SPLIT = f"SELECT doc_id, quality, is_test, {_TERMS10} AS x FROM ({_split(f'({DOC_MODEL})', 'doc_id', 0.2, 42)})"
+_MODEL_FIT = _newton_fit(f"SELECT x, quality::DOUBLE AS y FROM ({_MODEL_SPLIT}) WHERE NOT is_test", 1e5, 12)
+_MODEL_P = f"SELECT d.*, 1 / (1 + exp(-list_dot_product(x, w))) AS p FROM ({_MODEL_SPLIT}) d, ({_MODEL_FIT})"
+_CELLS = " UNION ALL ".join(f"SELECT part, 'actual_{a}_pred_{q}', count(*) FILTER (WHERE quality = {a} AND pred = {q})::DOUBLE FROM m GROUP BY part"
+                            for a in (0, 1) for q in (0, 1))
+
+ORACLE_SQL["logit_fit_predict"] = f"""
+  SELECT doc_id, round(p, 6) AS p_quality, CAST(p > 0.5 AS INTEGER) AS prediction FROM ({_MODEL_P}) WHERE is_test"""
+
+ORACLE_SQL["logit_evaluation"] = f"""
+  WITH m AS MATERIALIZED (SELECT CASE WHEN is_test THEN 'test' ELSE 'train' END AS part, quality, round(p, 9) AS p, CAST(round(p, 9) > 0.5 AS INTEGER) AS pred
+    FROM ({_MODEL_P})),
+  c AS (SELECT p, count(*) FILTER (WHERE quality = 1) AS pos, count(*) FILTER (WHERE quality <> 1) AS neg FROM m WHERE part = 'test' GROUP BY p),
+  r AS (SELECT *, sum(neg) OVER (ORDER BY p) - neg AS below FROM c)
+  SELECT part, 'accuracy' AS metric, round(avg((quality = pred)::INTEGER::DOUBLE), 6) AS value FROM m GROUP BY part
+  UNION ALL {_CELLS}
+  UNION ALL SELECT 'test', 'auc', round(sum(pos * (below + neg * 0.5)) / (sum(pos) * sum(neg)), 6) FROM r"""

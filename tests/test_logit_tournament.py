@@ -157,3 +157,41 @@ def test_gradient_is_zero_at_the_fit_only(spark):
     assert set(at) == {"intercept", "a", "b", "a*a", "a*b", "b*b"} and max(map(abs, at.values())) < 1e-3
     off = logit.penalised_gradient(df, ["a", "b"], "y", b0, [w[0] + 0.5, *w[1:]], 0.1).collect()
     assert max(abs(r.gradient) for r in off) > 1
+
+
+def test_certificate_holds_against_a_long_numpy_fit(spark):
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(500, 2)) * [1.0, 5.0]
+    y = (X[:, 0] + 0.2 * X[:, 1] > rng.normal(size=500)).astype(float)
+    data = [(*map(float, x), float(t)) for x, t in zip(X, y)]
+    df = spark.createDataFrame(data + [(None, 1.0, 1.0), (1.0, 1.0, None)], "a double, b double, y double")  # two incomplete rows
+    T = np.column_stack([np.ones(500), X, X[:, 0] ** 2, X[:, 0] * X[:, 1], X[:, 1] ** 2])
+    lam = np.array([0.0] + [1 / 0.3] * 5)
+    w = np.zeros(6)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-T @ w))
+        w = w - 0.5 * np.linalg.solve((T * (p * (1 - p))[:, None]).T @ T + np.diag(lam), T.T @ (p - y) + lam * w)
+    best = 1 / (1 + np.exp(-T @ w))
+    steps = []
+    for tol in (0.5, 1e-3, 1e-9):
+        fit = logit.certified_fit(df, ["a", "b"], "y", C=0.3, tol=tol)
+        steps.append(fit.steps)
+        got = df.where("a is not null and y is not null").select(
+            logit.logistic_score(["a", "b"], fit.intercept, fit.coefs).alias("p"), fit.error(["a", "b"]).alias("e")).collect()
+        far = np.abs(np.array([r.p for r in got]) - best)
+        assert np.all(far <= np.array([r.e for r in got]) + 1e-13) and max(r.e for r in got) <= tol / 4 + 1e-15
+        assert tol > 0.1 or far.max() < tol
+    assert steps == sorted(steps) and steps[0] < steps[2]
+    assert df.select(fit.probability(["a", "b"]).alias("p")).where("p is null").count() == 1
+
+
+def test_certificate_is_refused_where_there_is_none(spark):
+    df = spark.createDataFrame([(float(i), 1.0) for i in range(20)], "a double, y double")
+    with pytest.raises(ValueError, match="certified"):
+        logit.certified_fit(df, ["a"], "y", C=1.0, degree=1, most_steps=15)
+    with pytest.raises(ValueError, match="no complete"):
+        logit.certified_fit(df.where("a < 0"), ["a"], "y")
+    two = df.withColumn("y", (F.col("a") % 3 == 0).cast("double"))
+    loose = logit.certified_fit(two, ["a"], "y", C=1.0, degree=1, tol=0.5)
+    with pytest.raises(Exception, match="not known"):
+        two.select(loose.probability(["a"], within=1e-12)).collect()
