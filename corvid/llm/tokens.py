@@ -19,7 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.shared import WholeFile, filesystem, giving_back, pick, stored, work_dir, worker_memory
+from corvid.llm.shared import WholeFile, filesystem, give_back, giving_back, pick, stored, work_dir, worker_memory
+
+
+#: Bytes of text encoded at once, and new parts whose ids are lists at one time.
+CHUNK_BYTES = 2 << 20
+NEW_PARTS = 10_000
 
 
 class _Spelling(dict):
@@ -86,10 +91,14 @@ class PieceEncoder:
         return out
 
     def _add(self, parts: list[str]):
-        """Put new parts behind the known ones; beyond ``most`` they stay for this call only."""
-        ids = self._new(parts)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))
+        """Put new parts behind the known ones; beyond ``most`` they stay for this call only.
+        Ids are lists for a few parts at a time only: lists take many times the room of an array."""
+        sizes, flats = [], []
+        for lo in range(0, len(parts), NEW_PARTS):
+            ids = self._new(parts[lo:lo + NEW_PARTS])
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flats.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
+        n, flat = np.concatenate(sizes), np.concatenate(flats)
         unsure = np.fromiter((not x or x[0].isspace() for x in parts), bool, len(parts))
         self.index.update(zip(parts, range(len(self.index), len(self.index) + len(parts)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
@@ -208,6 +217,8 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int =
     docs = pick(docs, doc_id="doc_id", text="text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
     docs = docs.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
+    name = f"tokenizer {tokenizer}"
+
     def write(batches):
         import os
 
@@ -219,7 +230,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int =
         batch = next((b for b in batches if b.num_rows), None)
         if batch is None:
             return
-        coder = worker_memory(f"tokenizer {tokenizer}", lambda: PieceEncoder(tokenizer, added=True))
+        coder = worker_memory(name, lambda: PieceEncoder(tokenizer, added=True))
         shard = TaskContext.get().partitionId()
         n_docs = n_tokens = 0
         index = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
@@ -227,10 +238,11 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int =
             seqs, docs_file = SequenceWriter(a, id_type(coder.whole.get_vocab_size()), length, rows), pa.ipc.new_file(b, index)
             while batch is not None:
                 texts, sizes = batch.column(1), []
-                for lo, hi in _chunks(texts, 4 << 20):
+                for lo, hi in _chunks(texts, CHUNK_BYTES):
                     ids, n = coder.encode(texts.slice(lo, hi - lo), end)
                     seqs.add(ids)
                     sizes.append(n)
+                    give_back()
                 sizes = np.concatenate(sizes)
                 docs_file.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes)], schema=index))
                 n_docs, n_tokens = n_docs + len(sizes), n_tokens + int(sizes.sum())
@@ -240,7 +252,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int =
         yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in (
             ("shard", shard), ("documents", n_docs), ("tokens", n_tokens), ("sequences", seqs.seqs))})
 
-    return docs.mapInArrow(giving_back(write), "shard long, documents long, tokens long, sequences long")
+    return docs.mapInArrow(giving_back(write, keeps=name), "shard long, documents long, tokens long, sequences long")
 
 
 def _chunks(texts, most: int):

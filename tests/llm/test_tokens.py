@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from corvid.llm import tokens
-from corvid.llm.shared import work_dir
+from corvid.llm.shared import giving_back, work_dir, worker_memory
 from tests.llm.fixtures import documents, prose
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,3 +79,23 @@ def test_added_tokens_are_those_of_the_unchanged_tokenizer(spark):
     got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens.tokenize_documents(documents(spark, rows), PATH).collect()}
     want = [(i, np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4")) for i, t in rows]
     assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want}
+
+
+def test_worker_memory_is_bounded(monkeypatch):
+    """Pipeline: the ids of a whole chunk's new parts were lists at once, and the encoder stayed with
+    the worker through the tasks of all later stages."""
+    some, new = [], tokens.PieceEncoder._new
+    monkeypatch.setattr(tokens.PieceEncoder, "_new", lambda self, parts: some.append(len(parts)) or new(self, parts))
+    text = " ".join(f"word{i}" for i in range(3 * tokens.NEW_PARTS))
+    coder = tokens.PieceEncoder(PATH)
+    ids, sizes = coder.encode(pa.array([text]), None)
+    assert ids.tolist() == coder.whole.encode(text, add_special_tokens=False).ids and sizes.tolist() == [len(ids)]
+    assert len(some) == 3 and max(some) <= tokens.NEW_PARTS
+    made = []
+    run = lambda batches: iter([worker_memory("table", lambda: made.append(1) or "t")])
+    for _ in range(2):
+        assert list(giving_back(run, keeps="table")([])) == ["t"]
+    assert len(made) == 1
+    assert list(giving_back(lambda batches: iter([]))([])) == []  # a task of another stage
+    assert list(giving_back(run, keeps="table")([])) == ["t"] and len(made) == 2
+    list(giving_back(lambda batches: iter([]))([]))
