@@ -19,11 +19,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.shared import WholeFile, filesystem, give_back, giving_back, pick, stored, work_dir, worker_memory
+from corvid.llm.shared import WholeFile, filesystem, giving_back, pick, stored, work_dir, worker_memory
 
 
 #: Bytes of text encoded at once, and new parts whose ids are lists at one time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
 NEW_PARTS = 10_000
 
 
@@ -242,7 +242,6 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int =
                     ids, n = coder.encode(texts.slice(lo, hi - lo), end)
                     seqs.add(ids)
                     sizes.append(n)
-                    give_back()
                 sizes = np.concatenate(sizes)
                 docs_file.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes)], schema=index))
                 n_docs, n_tokens = n_docs + len(sizes), n_tokens + int(sizes.sum())
@@ -323,7 +322,7 @@ def read_documents(spark, shards: list, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "start": pa.array(starts[:-1], pa.int64()),
                                                       "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())})
 
-    return todo.repartition(max(1, len(shards))).mapInArrow(giving_back(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return todo.repartition(max(1, len(shards))).mapInArrow(giving_back(read, keeps="tokenizer"), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenize_documents(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
