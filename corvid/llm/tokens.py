@@ -13,7 +13,9 @@ is filled up, with id 0 and mask 0.
 
 from __future__ import annotations
 
-from itertools import accumulate, chain
+import re
+from codecs import charmap_decode
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,15 +29,20 @@ CHUNK_BYTES = 4 << 20
 NEW_PARTS = 10_000
 
 
-class _Spelling(dict):
-    """Byte-level spelling of each character, as the pre-tokenizer gives it."""
+#: Latin letters, and ASCII marks that the pre-tokenizer cuts into runs (an apostrophe may begin a piece of letters).
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+#: A word, its marks, and after one line feed another word and its marks.
+SHAPE = re.compile("([{0}]+)([{1}]*)(?:\n([{0}]+)([{1}]*))?".format(LETTERS, re.escape(MARKS))).fullmatch
 
-    def __init__(self, pre):
-        self.pre = pre
 
-    def __missing__(self, code):
-        self[code] = self.pre.pre_tokenize_str(chr(code))[0][0]
-        return self[code]
+def _spelling(cut) -> str:
+    """For each byte the character that stands for it after the pre-tokenizer."""
+    table = ["\ufffe"] * 256
+    for c in [*LETTERS, *MARKS, "\n"]:
+        for byte, char in zip(c.encode(), cut(c)[0], strict=True):
+            table[byte] = char
+    return "".join(table)
 
 
 class PieceEncoder:
@@ -44,8 +51,9 @@ class PieceEncoder:
     A byte-level BPE tokenizer first cuts a text into pieces and encodes each piece
     alone.  A space next to a character that is not white space always begins a piece,
     so texts are cut there; the ids of a part are kept in a table of at most
-    ``most`` parts, and only parts that are not in it are encoded: Latin words by the
-    tokenizer's model (they are one piece), all others by the whole tokenizer.  Texts in
+    ``most`` parts, and only parts that are not in it are encoded: Latin words, with marks behind
+    them and perhaps another such word in the next line, piece by piece by the tokenizer's model
+    (``SHAPE``), all others by the whole tokenizer.  Texts in
     which a space stands between white space are given to the tokenizer whole, and so
     are all texts when the tokenizer is found to cut otherwise.  With ``added`` the ids are
     those of the unchanged tokenizer: texts that hold one of its added tokens are given to it
@@ -64,24 +72,34 @@ class PieceEncoder:
         pre = self.whole.pre_tokenizer
         cut = lambda x: [p for p, _ in pre.pre_tokenize_str(x)] if pre else []
         self.space = cut(" ")[0] if cut(" ") else ""
-        self.spell = _Spelling(pre)
         self.cuts = self.whole.normalizer is None and cut(" abc") == [self.space + "abc"] and len(cut("abc.\nD e!!b")) == 7
+        self.shaped = self.cuts and len(cut("a" + MARKS + "\nb" + MARKS)) == 5 and all(len(cut(c)[0]) == len(c.encode()) for c in [*LETTERS, *MARKS, "\n"])
+        self.spelling = _spelling(cut) if self.shaped else ""
+        self.runs: dict[str, list[int]] = {}
         self.index: dict[str, int] = {}
         self.ids, self.starts, self.lens, self.unsure = (np.empty(0, t) for t in (np.uint32, np.int64, np.int64, bool))
 
     def _new(self, parts: list[str]) -> list[list[int]]:
         """Ids of new parts, each with the space before it."""
         out: list = [None] * len(parts)
-        rest, marks = [], {}
-        for i, word in enumerate(parts):
-            end = word[-1:] if word[-1:] in ".," else ""
-            word = word[:-1] if end else word
-            if word.isalpha() and max(word) < "\u0250":
-                out[i] = [x.id for x in self.model.tokenize(self.space + word.translate(self.spell))]
-                if end:
-                    if end not in marks:
-                        marks[end] = [x.id for x in self.model.tokenize(end)]
-                    out[i] += marks[end]
+        rest, space, tokenize, run = [], self.space, self.model.tokenize, self._run
+        spelled = lambda x: x if x.isascii() else charmap_decode(x.encode(), "strict", self.spelling)[0]
+        for i, part in enumerate(parts):
+            if not self.shaped:
+                rest.append(i)
+            elif part.isascii() and part.isalpha():
+                out[i] = [x.id for x in tokenize(space + part)]
+            elif found := SHAPE(part):
+                word, marks, below, more = found.groups()
+                ids = [x.id for x in tokenize(space + spelled(word))]
+                if marks:
+                    ids += run(marks)
+                if below:
+                    ids += run("\n")
+                    ids += [x.id for x in tokenize(spelled(below))]
+                    if more:
+                        ids += run(more)
+                out[i] = ids
             else:
                 rest.append(i)
         for lo in range(0, len(rest), 1000):
@@ -90,8 +108,17 @@ class PieceEncoder:
                 out[i] = e.ids
         return out
 
+    def _run(self, marks: str) -> list[int]:
+        """Ids of a run of marks; some short ones are kept."""
+        if marks in self.runs:
+            return self.runs[marks]
+        ids = [x.id for x in self.model.tokenize(charmap_decode(marks.encode(), "strict", self.spelling)[0])]
+        if len(marks) <= 4 and len(self.runs) < 10_000:
+            self.runs[marks] = ids
+        return ids
+
     def _add(self, parts: list[str]):
-        """Put new parts behind the known ones; beyond ``most`` they stay for this call only.
+        """Put new parts behind the known ones; beyond ``most`` they stay for this call only, without a name.
         Ids are lists for a few parts at a time only: lists take many times the room of an array."""
         sizes, flats = [], []
         for lo in range(0, len(parts), NEW_PARTS):
@@ -99,18 +126,18 @@ class PieceEncoder:
             sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
             flats.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
         n, flat = np.concatenate(sizes), np.concatenate(flats)
-        unsure = np.fromiter((not x or x[0].isspace() for x in parts), bool, len(parts))
-        self.index.update(zip(parts, range(len(self.index), len(self.index) + len(parts)), strict=True))
+        unsure = np.array([not x or x[0].isspace() for x in parts], bool)
+        known = len(self.index)
+        self.index.update(zip(parts[:max(0, self.most - known)], range(known, known + len(parts))))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
         self.ids, self.lens, self.unsure = (np.concatenate(x) for x in ((self.ids, flat), (self.lens, n), (self.unsure, unsure)))
 
-    def _forget(self, parts: list[str]):
-        """Drop the last of the added parts again where there are more than ``most``."""
-        if len(self.index) > self.most:
-            for part in parts[len(parts) - (len(self.index) - self.most):]:
-                del self.index[part]
-            self.starts, self.lens, self.unsure = (x[: self.most] for x in (self.starts, self.lens, self.unsure))
-            self.ids = self.ids[: int(self.starts[-1] + self.lens[-1])]
+    def _forget(self):
+        """Drop the parts without a name."""
+        n = len(self.index)
+        if len(self.starts) > n:
+            self.ids = self.ids[: int(self.starts[n])]
+            self.starts, self.lens, self.unsure = (x[:n] for x in (self.starts, self.lens, self.unsure))
 
     def encode(self, texts, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each closed by ``end``; ids of each text)
@@ -130,9 +157,12 @@ class PieceEncoder:
         words = words.filter(pa.array(later)).dictionary_encode()
         names = words.dictionary.to_pylist()
         lead = [e.ids for e in self.whole.encode_batch_fast(heads, add_special_tokens=False)]
-        if new := [x for x in names if x not in self.index]:
-            self._add(new)
-        at = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))[words.indices.to_numpy()]
+        at = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.index) + np.arange(len(new))
+            self._add([names[i] for i in new.tolist()])
+        at = at[words.indices.to_numpy()]
         lens = self.lens[at]
         body = self._gather(self.starts[at], lens)
         edges = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])]
@@ -148,7 +178,7 @@ class PieceEncoder:
                 ids, tail = self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, tail[:0]
             out += [np.array(ids, np.uint32), tail, close]
             sizes[i] = len(ids) + len(tail) + len(close)
-        self._forget(new)
+        self._forget()
         return np.concatenate(out), sizes
 
     def _gather(self, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

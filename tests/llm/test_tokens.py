@@ -99,3 +99,29 @@ def test_worker_memory_is_bounded(monkeypatch):
     assert list(giving_back(lambda batches: iter([]))([])) == []  # a task of another stage
     assert list(giving_back(run, keeps="table")([])) == ["t"] and len(made) == 2
     list(giving_back(lambda batches: iter([]))([]))
+
+
+def test_words_with_marks_and_line_feeds_take_the_model(library):
+    """op2_token_ids: parts such as ``end.\\nNew`` or ``word$$$`` were given to the whole tokenizer one by one."""
+    random.seed(2)
+    words, ends = ["Haus", "élan", "ñu", "ªb", "THE", "ſt", "don't", "x_y", "Ωm", "a1", "日", ""], [*tokens.MARKS, "...", "$$$", "!!", ",&&&", "'s", "!'s", "", "", "\n", "\n\n", "\x1c"]
+    pick = random.choice
+    texts = [" ".join(pick(words) + pick(ends) + pick(["", "\n"]) + pick(words) + pick(ends) for _ in range(random.randint(1, 9))) for _ in range(6000)]
+    coder = tokens.PieceEncoder(PATH)
+    assert coder.shaped
+    ids, sizes = coder.encode(pa.array(texts), None)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+    class Counted:
+        given = 0
+
+        def encode_batch_fast(self, texts, **kw):
+            self.given += len(texts)
+            return library.encode_batch_fast(texts, **kw)
+
+    coder = tokens.PieceEncoder(PATH)
+    coder.whole = counted = Counted()
+    text = "The Haus,\nNeu élan$$$ ends.\nÜber, ñu.&&& mañana!!"
+    assert coder.encode(pa.array([text]), None)[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert counted.given == 1  # the part before the first space
