@@ -25,7 +25,7 @@ from corvid.llm.shared import WholeFile, filesystem, giving_back, pick, stored,
 
 
 #: Bytes of text encoded at once, and new parts whose ids are lists at one time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 NEW_PARTS = 10_000
 
 
@@ -181,15 +181,22 @@ class PieceEncoder:
         self._forget()
         return np.concatenate(out), sizes
 
-    def _gather(self, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """The runs ``ids[start:start + len]``, one after another."""
-        starts, lens = starts[lens > 0], lens[lens > 0]
-        if not len(starts):
-            return np.empty(0, np.uint32)
-        step = np.ones(int(lens.sum()), np.int64)
-        step[0] = starts[0]
-        step[np.cumsum(lens)[:-1]] = starts[1:] - (starts[:-1] + lens[:-1] - 1)
-        return self.ids[np.cumsum(step)]
+    def _gather(self, starts: np.ndarray, lens: np.ndarray, most: int = 1 << 15) -> np.ndarray:
+        """The runs ``ids[start:start + len]``, one after another; some at a time, since places take
+        many times the room of ids."""
+        out = np.empty(int(lens.sum()), np.uint32)
+        done = 0
+        for lo in range(0, len(starts), most):
+            at, n = starts[lo:lo + most], lens[lo:lo + most]
+            at, n = at[n > 0], n[n > 0]
+            if not len(at):
+                continue
+            step = np.ones(int(n.sum()), np.int64)
+            step[0] = at[0]
+            step[np.cumsum(n)[:-1]] = at[1:] - (at[:-1] + n[:-1] - 1)
+            out[done:done + len(step)] = self.ids[np.cumsum(step)]
+            done += len(step)
+        return out
 
 
 def id_type(vocabulary: int):

@@ -125,3 +125,19 @@ def test_words_with_marks_and_line_feeds_take_the_model(library):
     text = "The Haus,\nNeu élan$$$ ends.\nÜber, ñu.&&& mañana!!"
     assert coder.encode(pa.array([text]), None)[0].tolist() == library.encode(text, add_special_tokens=False).ids
     assert counted.given == 1  # the part before the first space
+
+
+def test_gathering_ids_takes_little_more_room_than_the_ids():
+    """Pipeline: the places of a whole chunk's ids were held twice, eight bytes each."""
+    import tracemalloc
+
+    coder = tokens.PieceEncoder(PATH)
+    coder.ids = np.arange(5000, dtype=np.uint32)
+    rng = np.random.default_rng(1)
+    starts, lens = rng.integers(0, 4990, 400_000), rng.integers(0, 9, 400_000)
+    tracemalloc.start()
+    got = coder._gather(starts, lens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [i for s, n in zip(starts.tolist(), lens.tolist()) for i in range(s, s + n)]
+    assert peak < 2.5 * got.nbytes
